@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwatch.llm import exact_dedup, mixing
+from tarnwatch.llm import byte_bpe, exact_dedup, mixing
 from tarnwatch.sources.tables import table
 
 
@@ -12,6 +13,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> tuple[str, str]:
+    """Where the public ranks are, and the pattern that goes with them."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_plan(docs).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
@@ -19,6 +34,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
     "op7_mix": op7_mix,
 }
 
