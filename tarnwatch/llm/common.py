@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -50,3 +50,36 @@ def text_or_empty(col: str = "text") -> Column:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """Whole rows of docs whose key is in kept ("__key"), each key once. One exchange of docs."""
+    own = docs.withColumn("__key", key)
+    # The join deals rows out by their key, so numbering repeats needs no further exchange.
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    joined = own.join(kept.select("__key").distinct(), "__key", "left_semi").withColumn("__n", first)
+    return joined.where("__n = 1").select(*docs.columns)
+
+
+def row_key(id_col: str, *parts: Column) -> Column:
+    """Id and further parts as one join key; null ids have one of their own."""
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *[p.cast("string") for p in parts])
+
+
+def spread_join(rows: DataFrame, one_per_key: DataFrame, key: str, salts: int = 64, share: int = 1000) -> DataFrame:
+    """rows left-joined with a table of one row per key that also counts them ("__n").
+
+    Keys of more than 1/share of all rows are at most `share` many; that list, of proven size, is broadcast and
+    tells rows of hot keys to spread over `salts` copies of their key's row."""
+    total = one_per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"))
+    hot = one_per_key.crossJoin(F.broadcast(total)).where(F.col("__n") * share > F.col("__all"))
+    hot = written(hot.select(F.col(key).alias("__hot")), "hot-keys")
+    marked = one_per_key.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left")
+    copies = F.when(F.col("__hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0))
+    laid = marked.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies))).drop("__hot", "__n")
+    laid = laid.withColumnRenamed(key, "__key")
+    own = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left")
+    spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    own = own.withColumn("__own", spread).drop("__hot")
+    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__salt"))
+    return own.join(laid, on, "left").drop("__key", "__salt", "__own")

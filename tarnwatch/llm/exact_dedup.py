@@ -18,10 +18,10 @@ them); an empty table gives an empty result; other columns of the input are not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import text_or_empty, written
+from tarnwatch.llm.common import keep_rows, row_key, text_or_empty, written
 
 KEY = ["sha", "n_bytes", "mix"]
 
@@ -78,12 +78,6 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """docs without exact copies, whole rows. Of rows that repeat id and text, one stays."""
 
-    def key(digest):
-        return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest)
-
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(key(F.col("text_sha256")).alias("__key"))
-    own = docs.withColumn("__key", key(F.sha2(text_or_empty(text_col), 256)))
-    # The join deals rows out by their key, so numbering repeats needs no further exchange.
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    joined = own.join(kept.distinct(), "__key", "left_semi").withColumn("__n", first)
-    return joined.where("__n = 1").select(*docs.columns)
+    kept = exact_groups(docs, id_col, text_col, keep).where("kept")
+    kept = kept.select(row_key(id_col, F.col("text_sha256")).alias("__key"))
+    return keep_rows(docs, row_key(id_col, F.sha2(text_or_empty(text_col), 256)), kept)
