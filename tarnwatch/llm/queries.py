@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, mixing, simhash
+from tarnwatch.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
 
@@ -13,6 +14,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, crc_mod("doc_id", 3) != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def tokenizer() -> tuple[str, str]:
     """Where the public ranks are, and the pattern that goes with them."""
     import public_tokenizers
@@ -38,6 +46,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
