@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from tarnwatch.llm import byte_bpe, exact_dedup, mixing, progressive_jpeg, simhash, toxicity
 from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
@@ -44,6 +44,21 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = progressive_jpeg.media_column(table(spark, sf_dir, "documents"), tensors=False)
+    payload = F.col("payload")
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,6 +72,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
+    "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
 ORACLE = {
