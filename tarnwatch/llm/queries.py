@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, mixing, progressive_jpeg, simhash, toxicity
+from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, progressive_jpeg, simhash, toxicity
 from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
@@ -44,6 +44,13 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, crc_mod("doc_id", 4) != 2)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = progressive_jpeg.media_column(table(spark, sf_dir, "documents"), tensors=False)
     payload = F.col("payload")
@@ -72,6 +79,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
+    "op8_language_id": op8_language_id,
     "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
