@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, progressive_jpeg, simhash, toxicity
+from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, progressive_jpeg, quality, simhash, toxicity
 from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
@@ -51,6 +51,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, crc_mod("doc_id", 3) != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = progressive_jpeg.media_column(table(spark, sf_dir, "documents"), tensors=False)
     payload = F.col("payload")
@@ -80,6 +87,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
     "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
     "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
