@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, progressive_jpeg, quality, simhash, toxicity
+from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, progressive_jpeg, quality, simhash, toxicity, url_filter
 from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
@@ -21,6 +21,33 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """pages have no fetch time; a day of 2024 by the page's id stands in for it."""
+    return pages.withColumn("fetched_at", F.timestamp_add("DAY", (F.col("page_id") % 365).cast("int"), F.lit("2024-01-01").cast("timestamp")))
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """No list comes with the tables: hosts of some lengths are listed and taken off again, one domain is listed for
+    a month, and one path of every fourth host throughout."""
+    host = url_filter.host_of(F.col("url"))
+    hosts = pages.select(host.alias("host")).where("host IS NOT NULL").distinct().withColumn("n", F.length("host"))
+    day = lambda d: F.timestamp_add("DAY", d.cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    some, off = hosts.where("n % 5 = 0"), hosts.where("n % 10 = 0")
+    one = hosts.sparkSession.range(1)
+    return (
+        some.select(F.col("host").alias("entry"), F.lit("add").alias("action"), day(F.col("n") * 7 % 200).alias("at"))
+        .unionByName(off.select(F.col("host").alias("entry"), F.lit("remove").alias("action"), day(F.col("n") * 7 % 200 + 90).alias("at")))
+        .unionByName(hosts.where("n % 4 = 1").select(F.concat("host", F.lit("/en")).alias("entry"), F.lit("add").alias("action"), day(F.lit(30)).alias("at")))
+        .unionByName(one.select(F.lit("example.org").alias("entry"), F.lit("add").alias("action"), day(F.lit(250)).alias("at")))
+        .unionByName(one.select(F.lit("example.org").alias("entry"), F.lit("remove").alias("action"), day(F.lit(280)).alias("at")))
+    )
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(captures(pages), url_lists(pages))
+
+
 def tokenizer() -> tuple[str, str]:
     """Where the public ranks are, and the pattern that goes with them."""
     import public_tokenizers
@@ -83,6 +110,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
@@ -91,7 +119,33 @@ QUERIES = {
     "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)"
+
 ORACLE = {
+    "op3_url_filter": f"""WITH c AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 365 AS INT)) AS fetched_at,
+    nullif(regexp_replace(lower(regexp_extract(url, '{_HOST}', 1)), '\\.+$', ''), '') AS host,
+    list_filter(string_split(regexp_extract(url, '{_PATH}', 1), '/'), lambda s: s <> '') AS steps FROM pages),
+h AS (SELECT DISTINCT host, length(host) AS n FROM c WHERE host IS NOT NULL),
+changes AS (
+  SELECT host AS entry, 'add' AS action, n * 7 % 200 AS d FROM h WHERE n % 5 = 0
+  UNION ALL SELECT host, 'remove', n * 7 % 200 + 90 FROM h WHERE n % 10 = 0
+  UNION ALL SELECT host || '/en', 'add', 30 FROM h WHERE n % 4 = 1
+  UNION ALL SELECT 'example.org', 'add', 250 UNION ALL SELECT 'example.org', 'remove', 280),
+spans AS (
+  SELECT entry, since, until FROM (
+    SELECT entry, action, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INT)) AS since,
+      lead(TIMESTAMP '2024-01-01' + to_days(CAST(d AS INT))) OVER (PARTITION BY entry ORDER BY d, action) AS until FROM changes)
+  WHERE action = 'add'),
+met AS (
+  SELECT c.page_id, arg_max(s.entry, (length(s.entry), s.since)) AS entry, max((length(s.entry), s.since)) AS k
+  FROM c JOIN spans s ON (c.host = s.entry OR ends_with(c.host, '.' || s.entry)
+      OR starts_with(c.host || '/' || array_to_string(c.steps, '/') || '/', s.entry || '/') AND contains(s.entry, '/'))
+    AND c.fetched_at >= s.since AND (s.until IS NULL OR c.fetched_at < s.until)
+  GROUP BY c.page_id)
+SELECT c.page_id, c.url, c.fetched_at, c.host, m.entry IS NOT NULL AS blocked, m.entry, m.k[2] AS since
+FROM c LEFT JOIN met m USING (page_id)""",
     "op1_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
