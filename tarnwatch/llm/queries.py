@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, progressive_jpeg, quality, simhash, toxicity, url_filter
+from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, pii, progressive_jpeg, quality, simhash, toxicity, url_filter
 from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
@@ -62,6 +62,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added"
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -112,6 +120,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
     "op8_language_id": op8_language_id,
