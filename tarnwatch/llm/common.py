@@ -30,7 +30,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, for functions that run in Python there."""
+    """Give executors this package, for functions that run in Python there, and keep their Arrow batches small:
+    texts can be long, and a worker holds a batch as Arrow, as objects and as output."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -46,7 +46,7 @@ def words_of(text: str) -> Counter:
 class Vectors:
     """Texts to sparse TF-IDF vectors of unit length over chosen terms."""
 
-    def __init__(self, idf: dict[str, float], memo: int = 200_000):
+    def __init__(self, idf: dict[str, float], memo: int = 100_000):
         self.place = {t: i for i, t in enumerate(idf) if "&" not in t}
         self.pairs: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(idf):
