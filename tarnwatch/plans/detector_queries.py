@@ -1,0 +1,35 @@
+"""Detectors over the text tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarnwatch.functions import signal_catalog as K
+from tarnwatch.operators import detectors as D
+from tarnwatch.sources.tables import table
+
+
+def _docs(s, d):
+    return table(s, d, "documents").select(F.col("source").alias("package"), F.col("text").alias("content"))
+
+
+QUERIES = {
+    "signal_weighted_docs": lambda s, d: D.weighted(table(s, d, "documents"), "PLAIN", K.PLAIN, "doc_id", "text").select("doc_id", "score", "severity", "raw_score"),
+    "signal_catalog_docs": lambda s, d: D.all_weighted(_docs(s, d), K.CONTENT),
+    "signal_catalog_pages": lambda s, d: D.all_weighted(table(s, d, "pages"), K.CONTENT, key="page_id", content="html"),
+    "obfuscation_score": lambda s, d: D.obfuscation(table(s, d, "pages"), "page_id", "html"),
+    "version_confusion": lambda s, d: D.version_confusion(
+        table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(".", F.floor("l_quantity").cast("string"), (F.col("l_partkey") % 12).cast("string"), F.col("l_linenumber").cast("string")).alias("version"))
+    ),
+}
+
+ORACLE = {
+    "signal_weighted_docs": """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{40}')) * 60 + len(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) * 20
+  + len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')) * 55 + len(regexp_extract_all(text, '(?i)(token|secret|password|api_key)')) * 15 AS raw FROM documents)
+SELECT doc_id, CAST(sum(raw) AS INT) AS raw_score, CAST(least(sum(raw), 100) AS INT) AS score,
+  CASE WHEN least(sum(raw), 100) >= 75 THEN 'critical' WHEN least(sum(raw), 100) >= 55 THEN 'high' WHEN sum(raw) >= 30 THEN 'medium' ELSE 'low' END AS severity
+FROM c WHERE raw > 0 GROUP BY doc_id""",
+    "version_confusion": """SELECT * FROM (SELECT l_orderkey, l_linenumber, version, CASE WHEN version = '99.99.99' THEN 85 WHEN a >= 99 OR (a >= 9 AND b >= 99) THEN 65 WHEN a >= 9 AND b >= 5 AND c >= 5 THEN 62 END AS score
+FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS INT) AS a, l_partkey % 12 AS b, l_linenumber AS c,
+  CAST(CAST(floor(l_quantity) AS INT) AS VARCHAR) || '.' || CAST(l_partkey % 12 AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS version FROM lineitem)) WHERE score IS NOT NULL""",
+}
