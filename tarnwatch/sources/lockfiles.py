@@ -34,7 +34,7 @@ def yarn_packages(files: DataFrame) -> DataFrame:
     first = lambda p: F.max(F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)))
     g = b.groupBy("path", "entry").agg(
         first(r"^\"?((?:@[^/@\"]+/)?[^@\"]+)@").alias("name"), first(r"^\s+version:?\s+\"?([^\"\s]+)").alias("version"),
-        first(r"^\s+resolved\s+\"?([^\"#\s]+)").alias("resolved"), first(r"^\s+integrity\s+(\S+)").alias("integrity"),
+        first(r"^\s+resolved\s+\"?([^\"\s]+)").alias("resolved"), first(r"^\s+integrity\s+(\S+)").alias("integrity"),
     )
     return g.withColumn("resolved", F.replace("resolved", F.lit("registry.yarnpkg.com"), F.lit("registry.npmjs.org"))).drop("entry")
 
