@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import signal_catalog as K
 from tarnwatch.operators import detectors as D
+from tarnwatch.operators import rules as R
 from tarnwatch.sources.tables import table
 
 
@@ -13,7 +14,19 @@ def _docs(s, d):
     return table(s, d, "documents").select(F.col("source").alias("package"), F.col("text").alias("content"))
 
 
+def _campaign(s, d):
+    """Line items as rule hits: the return flag is the rule, the order the package."""
+    l = table(s, d, "lineitem")
+    sev = F.when(F.col("l_quantity") > 45, "critical").when(F.col("l_quantity") > 25, "high").otherwise("medium")
+    hits = l.select(F.col("l_orderkey").alias("package"), F.col("l_linestatus").alias("version"), F.col("l_returnflag").alias("rule"), sev.alias("severity"))
+    return R.campaign(hits, "R").select("package", "version", F.concat_ws(",", "rules").alias("rules"), "severity")
+
+
 QUERIES = {
+    "atk_code_rules": lambda s, d: R.code_rules(table(s, d, "pages"), "page_id", "html"),
+    "prompt_injection": lambda s, d: R.prompt_injection(table(s, d, "conversations"), ["conv_id", "turn"], "text"),
+    "encrypted_c2": lambda s, d: R.encrypted_c2(table(s, d, "pages"), "page_id", "html"),
+    "campaign_rollup": _campaign,
     "signal_weighted_docs": lambda s, d: D.weighted(table(s, d, "documents"), "PLAIN", K.PLAIN, "doc_id", "text").select("doc_id", "score", "severity", "raw_score"),
     "signal_catalog_docs": lambda s, d: D.all_weighted(_docs(s, d), K.CONTENT),
     "signal_catalog_pages": lambda s, d: D.all_weighted(table(s, d, "pages"), K.CONTENT, key="page_id", content="html"),
@@ -24,6 +37,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "campaign_rollup": """WITH h AS (SELECT l_orderkey AS package, l_linestatus AS version, l_returnflag AS rule, CASE WHEN l_quantity > 45 THEN 5 WHEN l_quantity > 25 THEN 4 ELSE 3 END AS r FROM lineitem),
+x AS (SELECT *, bool_or(rule = 'R') OVER (PARTITION BY package, version) AS halted FROM h)
+SELECT package, version, array_to_string(list_sort(list_distinct(list(rule))), ',') AS rules, CASE max(r) WHEN 5 THEN 'critical' WHEN 4 THEN 'high' ELSE 'medium' END AS severity
+FROM x WHERE NOT halted OR rule = 'R' GROUP BY package, version""",
     "signal_weighted_docs": """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{40}')) * 60 + len(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) * 20
   + len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')) * 55 + len(regexp_extract_all(text, '(?i)(token|secret|password|api_key)')) * 15 AS raw FROM documents)
 SELECT doc_id, CAST(sum(raw) AS INT) AS raw_score, CAST(least(sum(raw), 100) AS INT) AS score,
