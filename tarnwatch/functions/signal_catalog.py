@@ -191,3 +191,25 @@ PLAIN = Detector("each", 75, 55, {
     "access_key": (55, [r"AKIA[A-Z0-9]{16}"]),
     "credential_word": (15, [r"(?i)(token|secret|password|api_key)"]),
 })
+
+# Build files: each pattern is a type of its own; the three tables see files of different kinds.
+D14_GYP = Detector("each", 99, 70, {
+    "shell_exec": (50, [r"<!?\(.*\)"]), "process_spawn": (45, [r"\b(spawn|exec|execSync|spawnSync|fork)\s*\("]), "env_access": (35, [r"process\.env\."]),
+    "fs_access": (40, [r"\bfs\.(read|write|readFile|writeFile|readdir|exists|stat|mkdir|rm|unlink)"]), "http_request": (50, [r"(?i)\b(http|https|curl|wget|fetch)\b"]),
+    "path_traversal": (55, [r"\.\./"]), "compile_macro_injection": (60, [r"-D\s*['\"]?[A-Z_]+=(system|exec|shell|popen|fork)"]),
+    "include_path_manipulation": (55, [r"-I\s*\.\./\.\./(?:tmp|var|dev|private|etc)"]), "linker_library_injection": (50, [r"['\"](?:-lcurl|libcurl|-lssl|libssl|-lpcap|libpcap|-lkqueue)['\"]"]),
+})
+D14_BUILD = Detector("each", 99, 70, {
+    "makefile_shell_exec": (50, [r"\$\(shell\s+[^)]+\)"]), "cmake_execute_process": (50, [r"\bexecute_process\s*\([^)]*COMMAND\b"]),
+    "cmake_custom_command": (50, [r"\badd_custom_command\s*\([^)]*(COMMAND|DEPENDS)"]), "cmake_custom_target": (50, [r"\badd_custom_target\s*\([^)]*(COMMAND|DEPENDS)"]),
+    "makefile_curl_download": (50, [r"\b(curl|wget|fetch)\s+(--insecure|-k\s+)?(http|https):"]), "makefile_npm_publish": (50, [r"\bnpm\s+(publish|version|dist-tag)"]),
+})
+D14_SOURCE = Detector("each", 99, 70, {
+    "hardcoded_key": (60, [r"(?:AWS|GITHUB|SLACK|STRIPE|TOKEN|SECRET|API_KEY|PASSWORD)\s*[:=]\s*['\"][A-Za-z0-9_-]{20,}['\"]|['\"](?:sk_live_|sk_test_|ghp_|gho_|ghs_|ghu_)[A-Za-z0-9_-]{20,}['\"]"]),
+    "getenv_call": (35, [r"\b(getenv|secure_getenv|getenv_s)\s*\("]), "curl_call": (45, [r"\b(curl_easy_perform|curl_slist_append|CURLOPT_URL|curl_easy_setopt)\s*\("]),
+    "execve_call": (55, [r"\b(execve|execvp|execl|execlp|system|popen|pclose)\s*\("]), "credential_scan": (50, [r"(~/\.aws|~/\.ssh|\.env|credentials\.json|/etc/passwd)"]),
+    "socket_call": (40, [r"\b(socket\s*\(|listen\s*\(|accept\s*\(|connect\s*\(AF_)"]), "environ_access": (35, [r"\b(environ|__environ)\s*\["]),
+})
+BUILD_FILES = {
+    r"(^|/)[^/]*\.gypi?$": D14_GYP, r"(^|/)(Makefile|GNUmakefile|CMakeLists\.txt|[^/]*\.(mk|cmake))$": D14_BUILD, r"\.(c|cc|cpp|h|hpp)$": D14_SOURCE,
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import severity as S
 from tarnwatch.functions import text as T
-from tarnwatch.functions.signal_catalog import Detector
+from tarnwatch.functions.signal_catalog import BUILD_FILES, Detector
 
 
 def weighted(files: DataFrame, name: str, detector: Detector, key: str = "package", content: str = "content") -> DataFrame:
@@ -147,3 +147,12 @@ def content_size_pairs(files: DataFrame, least: int = 51_200) -> DataFrame:
     f = files.where(F.col("path").rlike(r"\.(cjs|mjs)$")).withColumn("stem", F.regexp_replace("path", r"\.(cjs|mjs)$", ""))
     g = f.groupBy("package", "stem").agg(F.max(F.when(F.col("path").endswith(".cjs"), F.col("size"))).alias("cjs"), F.max(F.when(F.col("path").endswith(".mjs"), F.col("size"))).alias("mjs"))
     return g.where(F.abs(F.col("cjs") - F.col("mjs")) > least)
+
+
+def build_config(files: DataFrame) -> DataFrame:
+    """Build files (package, path, content) by their kinds; a gyp file alone counts 20; clamped sum and signals."""
+    parts = [weighted(files.where(F.col("path").rlike(p)), "D14", d).select("package", "raw_score", "signals") for p, d in BUILD_FILES.items()]
+    gyp = files.where(F.col("path").rlike(r"\.gypi?$")).select("package").distinct().select("package", F.lit(20).alias("raw_score"), F.array(F.lit("gyp_present")).alias("signals"))
+    g = reduce(DataFrame.unionByName, [*parts, gyp]).groupBy("package").agg(F.sum("raw_score").alias("raw"), F.flatten(F.collect_list("signals")).alias("signals"))
+    score = F.least("raw", F.lit(100)).cast("int")
+    return g.select("package", score.alias("score"), F.array_sort("signals").alias("signals"), S.ladder(score, [(99, "critical"), (70, "high"), (30, "medium")]).alias("severity"))
