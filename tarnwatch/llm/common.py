@@ -74,9 +74,8 @@ def spread_join(rows: DataFrame, one_per_key: DataFrame, key: str, salts: int =
 
     Keys of more than 1/share of all rows are at most `share` many; that list, of proven size, is broadcast and
     tells rows of hot keys to spread over `salts` copies of their key's row."""
-    total = one_per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"))
-    hot = one_per_key.crossJoin(F.broadcast(total)).where(F.col("__n") * share > F.col("__all"))
-    hot = written(hot.select(F.col(key).alias("__hot")), "hot-keys")
+    total = one_per_key.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = written(one_per_key.where(F.col("__n") * share > total).select(F.col(key).alias("__hot")), "hot-keys")
     marked = one_per_key.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left")
     copies = F.when(F.col("__hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0))
     laid = marked.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies))).drop("__hot", "__n")

@@ -41,6 +41,8 @@ _MARK = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\w+")
 
 Span = tuple[int, int, int]  # kind, start, end
+#: How many features() gives.
+FEATURES = 12
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -153,7 +155,7 @@ class Graph:
                         skip.append((seen[key], n))
                     seen[key] = n
                 last = (n, b)
-        self.features = np.array(feats, np.int64).reshape(len(feats), -1)
+        self.features = np.array(feats, np.int64).reshape(len(feats), FEATURES)
         self.observed = np.array(observed, np.int64)
         self.links = [np.array(sorted(set(x)), np.int64).reshape(-1, 2) for x in (near, skip)]
 
