@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import signal_catalog as K
 from tarnwatch.operators import detectors as D
+from tarnwatch.operators import registry as G
 from tarnwatch.operators import rules as R
+from tarnwatch.operators import windows as W
 from tarnwatch.sources.tables import table
 
 
@@ -22,7 +24,51 @@ def _campaign(s, d):
     return R.campaign(hits, "R").select("package", "version", F.concat_ws(",", "rules").alias("rules"), "severity")
 
 
+def _siblings(s, d):
+    """Users stand in for packages; those of equal remainder share a scope."""
+    e = table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("from"), F.max("ts").alias("until"))
+    name = F.concat(F.lit("@s"), (F.col("user_id") % 9).cast("string"), F.lit("/p"), F.col("user_id").cast("string"))
+    return G.sibling_overlap(e.select(name.alias("package"), "from", "until"))
+
+
+def _blocked(s, d):
+    own = table(s, d, "customer").select(F.col("c_nationkey").alias("package"), F.col("c_mktsegment").alias("version"), "c_custkey")
+    bad = table(s, d, "supplier").select(F.col("s_nationkey").alias("package"), F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise("MACHINERY").alias("version"))
+    return G.blocklisted(own, bad)
+
+
+def _surfaces(s, d):
+    from tarnwatch.operators.code_facts import surface_band
+
+    folder = F.element_at(F.array(*[F.lit(x) for x in (".claude/settings.json", ".cursor/rules/a.md", ".vscode/x.json", "src/a.js", "AGENTS.md")]), (F.col("p_size") % 5 + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", surface_band(folder).alias("band")).where("band IS NOT NULL")
+
+
+def _sources(s, d):
+    return table(s, d, "pages").select(F.col("page_id").cast("string").alias("package"), F.lit("index.js").alias("path"), F.col("html").alias("content"))
+
+
+def _manifests(s, d):
+    return table(s, d, "pages").select(F.col("page_id").cast("string").alias("package"), F.create_map(F.lit("install"), F.col("url")).alias("scripts"), F.lit(None).cast("string").alias("main"))
+
+
+def _c(name, two=True):
+    from tarnwatch.operators import code_facts
+
+    f = getattr(code_facts, name)
+    return (lambda s, d: f(_sources(s, d), _manifests(s, d))) if two else (lambda s, d: f(_sources(s, d)))
+
+
 QUERIES = {
+    "sibling_overlap": _siblings,
+    "version_blocklist": _blocked,
+    "quick_handover": lambda s, d: G.quick_handover(table(s, d, "events"), "user_id", "ts", "event_type", 15 * W.MINUTE),
+    "surface_band": _surfaces,
+    "dropper": _c("dropper"),
+    "runtime_evasion": _c("runtime_evasion"),
+    "workspace_persistence": _c("workspace_persistence", False),
+    "build_config": lambda s, d: D.build_config(_sources(s, d).withColumn("path", F.lit("Makefile"))),
+    "lifecycle_hooks": lambda s, d: D.lifecycle_rule(_manifests(s, d)).select("package", "hook", "score", "severity"),
     "atk_code_rules": lambda s, d: R.code_rules(table(s, d, "pages"), "page_id", "html"),
     "prompt_injection": lambda s, d: R.prompt_injection(table(s, d, "conversations"), ["conv_id", "turn"], "text"),
     "encrypted_c2": lambda s, d: R.encrypted_c2(table(s, d, "pages"), "page_id", "html"),
@@ -37,6 +83,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sibling_overlap": """SELECT scope, max(lo) AS "from", min(hi) AS until, count(*) AS packages FROM (SELECT '@s' || CAST(user_id % 9 AS VARCHAR) AS scope, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id, user_id % 9)
+GROUP BY scope HAVING count(*) >= 2 AND max(lo) < min(hi)""",
+    "version_blocklist": """SELECT c_nationkey AS package, c_mktsegment AS version, c_custkey FROM customer c WHERE EXISTS (
+  SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND CASE WHEN s.s_acctbal > 5000 THEN 'BUILDING' ELSE 'MACHINERY' END = c.c_mktsegment)""",
+    "quick_handover": """SELECT user_id, ts AS at, before, event_type AS after FROM (SELECT *, lag(event_type) OVER o AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS gap
+  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_type)) WHERE before <> event_type AND gap <= 900000000""",
+    "surface_band": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'exec' WHEN 1 THEN 'agent_read' WHEN 2 THEN 'editor_config' WHEN 4 THEN 'agent_read' END AS band FROM part WHERE p_size % 5 <> 3""",
+    "lifecycle_hooks": """SELECT CAST(page_id AS VARCHAR) AS package, 'install' AS hook, 100.0::DOUBLE AS score, 'critical' AS severity FROM pages""",
     "campaign_rollup": """WITH h AS (SELECT l_orderkey AS package, l_linestatus AS version, l_returnflag AS rule, CASE WHEN l_quantity > 45 THEN 5 WHEN l_quantity > 25 THEN 4 ELSE 3 END AS r FROM lineitem),
 x AS (SELECT *, bool_or(rule = 'R') OVER (PARTITION BY package, version) AS halted FROM h)
 SELECT package, version, array_to_string(list_sort(list_distinct(list(rule))), ',') AS rules, CASE max(r) WHEN 5 THEN 'critical' WHEN 4 THEN 'high' ELSE 'medium' END AS severity
