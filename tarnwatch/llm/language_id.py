@@ -32,7 +32,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def subwords(text: str, buckets: int, sizes=(2, 3, 4)) -> Iterator[np.ndarray]:
     """Bucket numbers of all subwords, in blocks of long texts; none if the text has no letter."""
     norm = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not norm:
+    if not any(map(str.isalpha, norm)):
         return
     raw = np.frombuffer(f" {norm} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     for begin in range(0, len(raw), 1 << 18):
