@@ -2,7 +2,8 @@
 
 Terms are lower-cased words and their beginnings of three to six characters. From a bounded sample of labelled
 rows (`examples`, those of the smallest hashes of their ids) the terms that go with the label are kept: of the
-`terms` strongest by log-likelihood ratio, those beyond what chance gives among so many candidates; and pairs of
+`terms` strongest by log-likelihood ratio, those beyond what chance gives among so many candidates (terms that speak
+against the label are not kept: a large group of alike clean texts would fill the vectors with its words); and pairs of
 the `crossed` strongest in one text, a term with itself included, where the pair says more than either term, since
 some words mark a text only together or repeated. Examples and texts are TF-IDF vectors of those.
 
@@ -89,44 +90,43 @@ class BlockMaxIndex:
         self.block = block
         self.blocks = -(-len(vectors) // block)
         self.most = np.zeros((terms, self.blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        #: Per block the row of each term it has (else -1), and the rows: weights in its examples.
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
         for b in range(self.blocks):
-            found: dict[int, list[tuple[int, float]]] = {}
-            for at, n in enumerate(self.order[b * block : (b + 1) * block]):
-                for t, w in zip(*(x.tolist() for x in vectors[n]), strict=True):
-                    found.setdefault(t, []).append((at, w))
-            self.postings.append({t: (np.array([a for a, _ in p]), np.array([w for _, w in p])) for t, p in found.items()})
-            for t, p in found.items():
-                self.most[t, b] = max(w for _, w in p)
+            own = self.order[b * block : (b + 1) * block]
+            here = np.unique(np.concatenate([vectors[n][0] for n in own]))
+            weights = np.zeros((len(here), len(own)))
+            for at, n in enumerate(own):
+                weights[np.searchsorted(here, vectors[n][0]), at] = vectors[n][1]
+            place = np.full(terms, -1, np.int32)
+            place[here] = np.arange(len(here))
+            self.postings.append((place, weights))
+            self.most[here, b] = weights.max(axis=1)
 
     def nearest(self, i: np.ndarray, v: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above zero, ties by their number; `leave` is left out."""
         if not len(i):
             return np.zeros(0, np.int64), np.zeros(0)
         bound = v @ self.most[i]
-        got_n, got_s, floor = [], [], 0.0
-        terms = list(zip(i.tolist(), v.tolist(), strict=True))
+        n, s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or bound[b] < floor - 1e-12:
                 break
-            score = np.zeros(self.block)
-            here = self.postings[b]
-            for t, w in terms:
-                if t in here:
-                    at, weight = here[t]
-                    score[at] += w * weight
-            at = np.flatnonzero(score > 0)
-            n = self.order[b * self.block + at]
-            got_n.append(n[n != leave])
-            got_s.append(score[at][n != leave])
-            if sum(map(len, got_s)) >= k:
-                s, n = np.concatenate(got_s), np.concatenate(got_n)
+            place, weights = self.postings[b]
+            row = place[i]
+            has = row >= 0
+            # Rounded, so that equal examples in different blocks tie.
+            score = np.round(v[has] @ weights[row[has]], 12)
+            at = np.flatnonzero((score > 0) & (score >= floor))
+            names = self.order[b * self.block + at]
+            use = names != leave
+            n, s = np.concatenate((n, names[use])), np.concatenate((s, score[at][use]))
+            if len(n) > k:
                 best = np.lexsort((n, -s))[:k]
-                got_s, got_n, floor = [s[best]], [n[best]], s[best[-1]]
-        if not got_s:
-            return np.zeros(0, np.int64), np.zeros(0)
-        s, n = np.concatenate(got_s), np.concatenate(got_n)
-        best = np.lexsort((n, -s))[:k]
+                n, s = n[best], s[best]
+            if len(n) == k:
+                floor = s.min()
+        best = np.lexsort((n, -s))
         return n[best], s[best]
 
 
@@ -223,7 +223,7 @@ def fit(
             + part(positive - hit, n - seen, positive) + part(n - seen - positive + hit, n - seen, n - positive)
         )
         least = 2 * float(np.log(max(found.count(), 1) + 1))
-        best = found.withColumn("ratio", ratio).where(F.col("ratio") >= least)
+        best = found.where(hit * n > seen * positive).withColumn("ratio", ratio).where(F.col("ratio") >= least)
         got = best.orderBy(F.col("ratio").desc(), "term").limit(terms).collect()
         found.unpersist()
         return got
