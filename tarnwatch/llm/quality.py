@@ -27,7 +27,18 @@ from pyspark.sql import functions as F
 from tarnwatch.llm.common import ship, text_or_empty
 
 _WORD = re.compile(r"\S+")
-_KINDS = [re.compile(p) for p in (r"[^\W\d_]", r"\d", r"[^\w\s]", r"[A-ZÀ-ÖØ-Þ]", r"\s", r"\n")]
+
+
+def character_shares(text: str) -> list[float]:
+    """Shares of letters, digits, marks, capitals, spaces and line ends (Latin capitals; all else beyond is letters)."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    low = a | 32
+    letter = ((low >= 97) & (low <= 122)) | (a >= 0xC0)
+    digit = (a >= 48) & (a <= 57)
+    space = (a == 32) | ((a >= 9) & (a <= 13)) | (a == 0xA0)
+    capital = ((a >= 65) & (a <= 90)) | ((a >= 0xC0) & (a <= 0xDE) & (a != 0xD7))
+    n = max(len(a), 1)
+    return [float(np.count_nonzero(x)) / n for x in (letter, digit, ~(letter | digit | space), capital, space, a == 10)]
 
 
 def content_features(text: str, buckets: int) -> np.ndarray:
@@ -50,7 +61,7 @@ def content_features(text: str, buckets: int) -> np.ndarray:
 
 def metadata_features(text: str, source: str | None, lang: str | None, buckets: int = 64) -> np.ndarray:
     n = max(len(text), 1)
-    share = [sum(1 for _ in p.finditer(text)) / n for p in _KINDS]
+    share = character_shares(text)
     lines = text.count("\n") + 1
     x = [np.log1p(len(text)) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 10, *share, *[float(s > 0.2) for s in share]]
     named = np.zeros(buckets, np.float32)
