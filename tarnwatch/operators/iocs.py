@@ -35,16 +35,23 @@ def by_time(events: DataFrame, windows: DataFrame, key: str, ts: str) -> DataFra
     return j.where((F.col(ts) >= F.col("from")) & (F.col("until").isNull() | (F.col(ts) <= F.col("until"))))
 
 
-def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
-    """Documents that contain a needle. Needle and text meet by the needle's first five words: a needle that occurs
-    has them in the text at some word. Needles of fewer words, or that begin inside a word, meet by the test itself."""
+def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, most_short: int = 10_000) -> DataFrame:
+    """Documents that contain a needle. A needle of seven words or more meets the texts that have its second to sixth
+    word in a row, and is then tested; its first and last may be parts of words in the text. Shorter ones are a list
+    of checked size, tested against each text."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    head = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
-    n = needles.select(needle_key, F.col(needle).alias("__n"), words(F.col(needle)).alias("__w")).where("__n IS NOT NULL AND size(__w) > 6")
-    # The first and last word of a needle may be parts of words in the text, so the key leaves the first out.
-    n = n.select(needle_key, "__n", head(F.col("__w"), F.lit(2)).alias("__k"))
+    five = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
+    n = needles.select(needle_key, F.col(needle).alias("__n"), words(F.col(needle)).alias("__w")).where("__n IS NOT NULL")
     d = docs.select(key, F.col(text).alias("__t")).where("__t IS NOT NULL")
+    long = n.where("size(__w) > 6").select(needle_key, "__n", five(F.col("__w"), F.lit(2)).alias("__k"))
     keyed = d.select(key, words(F.col("__t")).alias("__w")).where("size(__w) >= 5")
-    keyed = keyed.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - 4), lambda i: head(F.col("__w"), i)))).alias("__k"))
-    met = keyed.join(sized(n), "__k").select(key, needle_key, "__n").distinct()
-    return met.join(d, key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()
+    keyed = keyed.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - 4), lambda i: five(F.col("__w"), i)))).alias("__k"))
+    met = keyed.join(sized(long), "__k").select(key, needle_key, "__n").distinct()
+    found = met.join(d, key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()
+    short = n.where("size(__w) <= 6").select(needle_key, "__n")
+    count = short.limit(most_short + 1).count()
+    if count > most_short:
+        raise ValueError("too many needles of few words for a list that goes to every task")
+    if not count:
+        return found
+    return found.unionByName(d.join(F.broadcast(short), F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key)).distinct()

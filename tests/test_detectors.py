@@ -81,6 +81,13 @@ def test_indicators(spark):
     assert [r["version"] for r in I.by_name(p, i).collect()] == ["2"]
 
 
+def test_needles(spark):
+    d = spark.createDataFrame([(1, "xx the quick brown fox jumps over the lazyish dog"), (2, "the quick brown"), (3, None), (4, "")], "doc_id int, text string")
+    n = spark.createDataFrame([(10, "e quick brown fox jumps over the lazy"), (11, "quick brown"), (12, "the slow brown fox jumps over the lazy"), (13, None)], "item_id int, needle string")
+    got = sorted(tuple(r) for r in I.contains_any(d, n, "doc_id", "text", "item_id", "needle").collect())
+    assert got == [(1, 10), (1, 11), (2, 11)]
+
+
 def test_suppression_keeps_lifecycle_hooks(spark):
     cols = "finding_id int, package string, atk_id string, is_dist_build boolean, is_test_fixture boolean, is_lifecycle_hook boolean, is_multi_layer boolean, file_path string"
     f = spark.createDataFrame([(1, "p", "A", True, False, True, False, "dist/x.js"), (2, "p", "A", True, False, False, False, "dist/x.js"), (3, "p", "B", True, False, False, False, "dist/x.js")], cols)
