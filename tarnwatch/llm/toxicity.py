@@ -49,6 +49,8 @@ class Vectors:
 
     def __init__(self, idf: dict[str, float], memo: int = 100_000):
         self.place = {t: i for i, t in enumerate(idf) if "&" not in t}
+        #: A word that begins like none of the terms has none; most words are settled by that.
+        self.heads = {t[:3] for t in self.place}
         self.pairs: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(idf):
             if "&" in t:
@@ -60,10 +62,12 @@ class Vectors:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         counts: dict[int, int] = {}
-        memo, place = self.memo, self.place
+        memo, place, heads = self.memo, self.place, self.heads
         if len(memo) > self.most:
             memo.clear()
         for w, n in words_of(text).items():
+            if w[:3] not in heads:
+                continue
             at = memo.get(w)
             if at is None:
                 at = memo[w] = [place[t] for t in terms_of(w) if t in place]
