@@ -30,6 +30,7 @@ repeated rows get the same result; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -300,16 +301,22 @@ def near_duplicates(
 _MORE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
+@lru_cache(maxsize=8)
+def _file_plan(bits: int, tables: int, key_bits: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits each table takes, and which of the closest votes each probe turns; alike on all executors."""
+    rng = np.random.default_rng(64)
+    chosen = np.array([rng.choice(bits, key_bits, replace=False) for _ in range(tables)])
+    return chosen, np.array([[(s >> k) & 1 for k in range(probes)] for s in range(1 << probes)]).reshape(1 << probes, probes)
+
+
 def file_keys(v: np.ndarray, tables: int, key_bits: int, probes: int) -> np.ndarray:
     """The files of a text with votes v: for each table its own pattern, and those with some of the `probes`
     closest votes turned."""
-    rng = np.random.default_rng(64)
-    chosen = np.array([rng.choice(len(v), key_bits, replace=False) for _ in range(tables)])
+    chosen, turned = _file_plan(len(v), tables, key_bits, probes)
     own = v[chosen]
     weight = 1 << np.arange(key_bits)
     base = ((own > 0) * weight).sum(axis=1)
     close = weight[np.argsort(np.abs(own), axis=1, kind="stable")[:, :probes]]
-    turned = np.array([[(s >> k) & 1 for k in range(probes)] for s in range(1 << probes)]).reshape(1 << probes, probes)
     flips = (close[:, None, :] * turned[None, :, :]).sum(axis=2)
     keys = (np.arange(tables)[:, None] << key_bits) + (base[:, None] ^ flips)
     return keys.ravel()
