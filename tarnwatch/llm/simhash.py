@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,16 +219,31 @@ def _spanning_links(names: list[np.ndarray], codes: list[np.ndarray], most: int)
 def _join_lists(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
     """columns: one or two lists of (name, word...) structs."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for lists in pdf[columns].itertuples(index=False, name=None):
-                tables = [np.array([tuple(x.values()) for x in one], np.int64) for one in lists]
-                out.append(_spanning_links([t[:, 0] for t in tables], [t[:, 1:].view(np.uint64) for t in tables], most))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, ends = [], []
+            for c in columns:
+                lists = batch.column(c)
+                fields = lists.flatten().flatten()
+                tables.append(np.stack([f.to_numpy(zero_copy_only=False) for f in fields], axis=1))
+                ends.append(np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))))
+            todo, out = range(batch.num_rows), []
+            if len(columns) == 1:
+                # Files of two are one pair each, compared all at once; an index would have nothing to rule out.
+                size = np.diff(ends[0])
+                two = ends[0][:-1][size == 2]
+                x, y = tables[0][two], tables[0][two + 1]
+                near = np.bitwise_count((x[:, 1:] ^ y[:, 1:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+                out.append((x[near, 0], y[near, 0]))
+                todo = np.flatnonzero(size > 2).tolist()
+            for k in todo:
+                some = [t[e[k] : e[k + 1]] for t, e in zip(tables, ends, strict=True)]
+                out.append(_spanning_links([t[:, 0] for t in some], [t[:, 1:].view(np.uint64) for t in some], most))
             if out:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+                a, b = (np.concatenate([o[n] for o in out]) for n in (0, 1))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select(*columns).mapInPandas(work, "a bigint, b bigint")
+    return rows.select(*columns).mapInArrow(work, "a bigint, b bigint")
 
 
 def file_links(filed: DataFrame, nodes: DataFrame, words: list[str], most: int, file_rows: int, chunk_rows: int) -> DataFrame:
