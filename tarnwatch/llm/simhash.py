@@ -15,7 +15,8 @@ pairs of chunks in the same way, and the pairs that remain are compared as rows
 Rows of the same fingerprint are one node throughout; links, components and fingerprints stay in DataFrames.
 
 `near_copies` is the wider form, for texts alike at a Jaccard similarity of `least` (0.8) or more on five-word
-shingles. Such texts differ in about 36 of 256 fingerprint bits, too many for blocks that agree, but they differ
+shingles. Its fingerprints are of the set of shingles, each counted once, as the similarity is: repeats of a line
+move no bit. Such texts differ in about 36 of 256 fingerprint bits, too many for blocks that agree, but they differ
 where a bit's vote was close. So each text is filed under `tables` bit patterns of `key_bits` bits, and under
 those with its `probes` closest votes turned; inside a file the same index finds all pairs up to `most` bits of
 256 apart. Of those the closest that span the file leave it, and each is verified: the shingle sets are compared
@@ -77,22 +78,36 @@ def shingle_hashes(text: str, words: int, block: int = 1 << 16) -> Iterator[np.n
         yield np.array([xxh64_intdigest(norm[s:e], 42) for s, e in some], np.uint64)
 
 
-def votes(text: str, words: int, more: tuple[int, ...] = ()) -> np.ndarray:
-    """For each bit, the hashes that set it less those that don't; 64 bits, and 64 for each factor in `more`,
-    by which the hashes are mixed anew. High bits come first."""
+def _votes(h: np.ndarray, more: tuple[int, ...]) -> np.ndarray:
     out = np.zeros(64 * (1 + len(more)), np.int64)
-    for h in shingle_hashes(text, words):
-        mixed = [h]
-        for factor in more:
-            x = h * np.uint64(factor)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed.append(x ^ (x >> np.uint64(32)))
-        for k, x in enumerate(mixed):
-            bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            out[64 * k : 64 * k + 64] += 2 * bits.sum(axis=0, dtype=np.int64) - len(h)
+    mixed = [h]
+    for factor in more:
+        x = h * np.uint64(factor)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed.append(x ^ (x >> np.uint64(32)))
+    for k, x in enumerate(mixed):
+        bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out[64 * k : 64 * k + 64] = 2 * bits.sum(axis=0, dtype=np.int64) - len(h)
     return out
 
 
+def votes(text: str, words: int, more: tuple[int, ...] = ()) -> np.ndarray:
+    """For each bit, the hashes that set it less those that don't; 64 bits, and 64 for each factor in `more`,
+    by which the hashes are mixed anew. High bits come first. A shingle counts as often as it occurs."""
+    return sum((_votes(h, more) for h in shingle_hashes(text, words)), np.zeros(64 * (1 + len(more)), np.int64))
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def set_votes(shingles: np.ndarray, more: tuple[int, ...] = (), block: int = 1 << 16) -> np.ndarray:
+    """As votes(), of a shingle_set()."""
+    parts = (_votes(shingles[i : i + block], more) for i in range(0, len(shingles), block))
+    return sum(parts, np.zeros(64 * (1 + len(more)), np.int64))
+
+
 def fingerprint(text: str, words: int = 3) -> int:
     """The unsigned 64-bit fingerprint of one text."""
     return int.from_bytes(np.packbits(votes(text, words) > 0).tobytes(), "big")
@@ -351,7 +366,7 @@ def near_copies(
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = [votes(t, words, _MORE) for t in pdf["__text"]]
+            v = [set_votes(shingle_set(t, words), _MORE) for t in pdf["__text"]]
             codes = np.packbits(np.array(v).reshape(len(v), 256) > 0, axis=1).view(">i8").astype(np.int64)
             out = pdf[["__id", "name"]].assign(**{c: codes[:, k] for k, c in enumerate(columns)})
             yield out.assign(files=[file_keys(x, tables, key_bits, probes) for x in v])

@@ -105,6 +105,16 @@ def test_near_copies_at_eight_tenths(make, prose):
     assert sum(f for f, a in zip(found, alike, strict=True) if a) >= 0.9 * sum(alike)
 
 
+def test_repeats_of_a_passage_do_not_part_copies(make, prose):
+    rows = []
+    for i in range(20):
+        body, passage = prose(300, 3000 + i), prose(40, 4000 + i)
+        rows.append((2 * i, f"{body} {passage}", "en", "a"))
+        rows.append((2 * i + 1, " ".join([body, *[passage] * 30]), "en", "a"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(make(rows)).collect()}
+    assert [got[2 * i + 1] for i in range(20)] == [2 * i for i in range(20)]
+
+
 @pytest.mark.parametrize("words", [1, 4])
 def test_index_finds_all_pairs(words):
     rng = np.random.default_rng(2)
