@@ -18,9 +18,9 @@ Rows of the same fingerprint are one node throughout; links, components and fing
 shingles. Its fingerprints are of the set of shingles, each counted once, as the similarity is: repeats of a line
 move no bit. Such texts differ in about 36 of 256 fingerprint bits, too many for blocks that agree, but they differ
 where a bit's vote was close. So each text is filed under `tables` bit patterns of `key_bits` bits, and under
-those with its `probes` closest votes turned; inside a file the same index finds all pairs up to `most` bits of
-256 apart. Of those the closest that span the file leave it, and each is verified: the shingle sets are compared
-whole. At 0.8 itself, about 96 of 100 pairs meet in some file; the share rises with the similarity, and in a
+those with its `probes` closest votes turned. Texts of one shingle set are one node. Of each file neighbours in
+Gray order are verified first: the shingle sets are compared whole. Then all pairs of a file up to `most` of 256
+bits apart that no verified links join so far are verified too. At 0.8 itself, about 96 of 100 pairs meet in some file; the share rises with the similarity, and in a
 group of copies one link of several is enough.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other;
@@ -293,6 +293,100 @@ def file_links(filed: DataFrame, nodes: DataFrame, words: list[str], most: int,
     return found.unionByName(_join_lists(chunks, ["x"], most)).unionByName(_join_lists(met, ["x", "y"], most)).distinct()
 
 
+def neighbour_pairs(shared: DataFrame, words: list[str], most: int, least: float) -> DataFrame:
+    """shared (file, name, size, *words) to pairs (a, b) of neighbours in Gray order, file by file, at most `most`
+    bits apart: no more than rows, however crowded a file is."""
+    order = ["file", gray_rank_column(F.col(words[0])), "name"]
+    laid = shared.repartitionByRange(*order).sortWithinPartitions(*order).select("file", "name", "size", *words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((0, 3 + len(words)), np.int64)
+        for batch in batches:
+            t = np.concatenate((last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)))
+            last, x, y = t[-1:], t[:-1], t[1:]
+            near = np.bitwise_count((x[:, 3:] ^ y[:, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+            near &= (x[:, 0] == y[:, 0]) & _sizes_allow(x[:, 2], y[:, 2], least)
+            yield _pair_batch(x[near, 1], y[near, 1])
+
+    return laid.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def _sizes_allow(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Sets of n and of m members can have a similarity of `least`."""
+    return np.minimum(n, m) >= least * np.maximum(n, m)
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _open_in_lists(rows: DataFrame, columns: list[str], most: int, least: float) -> DataFrame:
+    """columns: one or two lists of (name, label, size, word...) structs, to all pairs of different labels, at most
+    `most` bits apart, whose sizes allow the similarity."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, ends = [], []
+            for c in columns:
+                lists = batch.column(c)
+                tables.append(np.stack([f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten()], axis=1))
+                ends.append(np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))))
+            for k in range(batch.num_rows):
+                some = [t[e[k] : e[k + 1]] for t, e in zip(tables, ends, strict=True)]
+                x, y = some[0], some[-1]
+                step = max(1, (1 << 18) // max(1, len(y)))  # what is held at once does not grow with the lists
+                for at in range(0, len(x), step):
+                    top = x[at : at + step]
+                    ok = (top[:, None, 1] != y[None, :, 1]) & _sizes_allow(top[:, None, 2], y[None, :, 2], least)
+                    if len(columns) == 1:
+                        ok &= np.arange(at, at + len(top))[:, None] < np.arange(len(y))[None, :]
+                    i, j = np.nonzero(ok)
+                    near = np.bitwise_count((top[i, 3:] ^ y[j, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+                    if near.any():
+                        yield _pair_batch(top[i[near], 0], y[j[near], 0])
+
+    return rows.select(*columns).mapInArrow(work, "a bigint, b bigint")
+
+
+def open_pairs(shared: DataFrame, labels: DataFrame, words: list[str], most: int, least: float, file_rows: int, chunk_rows: int) -> DataFrame:
+    """shared (file, name, size, *words) and labels (name, label) to all pairs (a, b) of a file that are of
+    different labels and at most `most` bits apart. Pairs of one label are never made: a file of one label is left
+    out whole, and a crowded one is cut by label, so that pairs of chunks of one label are too."""
+    labelled = shared.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    labelled = written(labelled, "labelled")
+    sizes = labelled.groupBy("file").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = written(sizes.where("lo != hi").select("file", "n"), "open-files")
+    entry = F.struct("name", "label", "size", *words)
+    small = labelled.join(sizes.where(F.col("n") <= file_rows).select("file"), "file")
+    found = _open_in_lists(small.groupBy("file").agg(F.collect_list(entry).alias("x")), ["x"], most, least)
+    crowded = sizes.where(F.col("n") > file_rows)
+    total = crowded.agg(F.sum("n")).first()[0]
+    if not total:
+        return found.distinct()
+    # The name is in the key, so rows of one fingerprint can be cut apart.
+    large = labelled.join(crowded.select("file"), "file")
+    ordered = large.repartitionByRange(int(total // chunk_rows + 1), "file", "label", gray_rank_column(F.col(words[0])), "name")
+    cut = written(ordered.withColumn("chunk", F.spark_partition_id()), "file-chunks")
+    bounds = [f(w).alias(f"{n}_{w}") for w in words for n, f in (("ones", F.bit_and), ("any", F.bit_or))]
+    bounds += [F.min("label").alias("lo"), F.max("label").alias("hi")]
+    chunks = written(cut.groupBy("file", "chunk").agg(F.collect_list(entry).alias("x"), *bounds), "chunk-lists")
+
+    def side(at: str) -> DataFrame:
+        return chunks.select("file", *[F.col(c).alias(f"{at}_{c}") for c in chunks.columns if c not in ("file", "x")])
+
+    def sure(w: str, one: str, other: str):
+        return F.col(f"{one}_ones_{w}").bitwiseAND(F.bitwise_not(F.col(f"{other}_any_{w}")))
+
+    apart = sum((F.bit_count(sure(w, "l", "r").bitwiseOR(sure(w, "r", "l"))) for w in words), F.lit(0))
+    differ = F.least("l_lo", "r_lo") != F.greatest("l_hi", "r_hi")
+    met = side("l").join(side("r"), "file").where((F.col("l_chunk") < F.col("r_chunk")) & (apart <= most) & differ)
+    met = met.select("file", "l_chunk", "r_chunk")
+    for at, x in (("l", "x"), ("r", "y")):
+        met = met.join(chunks.select("file", F.col("chunk").alias(f"{at}_chunk"), F.col("x").alias(x)), ["file", f"{at}_chunk"])
+    inner = _open_in_lists(chunks.where("lo != hi"), ["x"], most, least)
+    return found.unionByName(inner).unionByName(_open_in_lists(met, ["x", "y"], most, least)).distinct()
+
+
 def links(nodes: DataFrame, most: int = 3, file_rows: int = 2000, chunk_rows: int = 1000) -> DataFrame:
     """nodes (__fp, distinct) to links (a, b) that span the same components as all pairs at most `most` apart.
 
@@ -360,45 +454,42 @@ def near_copies(
     """Per row: id, component_id (the smallest id of its group of near copies), text_mix and first_mix."""
     ship(docs.sparkSession)
     text = text_or_empty(text_col)
-    own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("name"), text.alias("__text"))
+    own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("mix"), text.alias("__text"))
     kind = own.schema["__id"].dataType.simpleString()
     columns = ["w0", "w1", "w2", "w3"]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
         for pdf in batches:
-            v = [set_votes(shingle_set(t, words), _MORE) for t in pdf["__text"]]
+            v, names, sizes = [], [], []
+            for t in pdf["__text"]:
+                h = shingle_set(t, words)
+                v.append(set_votes(h, _MORE))
+                names.append(_signed(xxh64_intdigest(h.tobytes())))
+                sizes.append(len(h))
             codes = np.packbits(np.array(v).reshape(len(v), 256) > 0, axis=1).view(">i8").astype(np.int64)
-            out = pdf[["__id", "name"]].assign(**{c: codes[:, k] for k, c in enumerate(columns)})
+            out = pdf[["__id", "mix"]].assign(name=np.array(names, np.int64), size=np.array(sizes, np.int64))
+            out = out.assign(**{c: codes[:, k] for k, c in enumerate(columns)})
             yield out.assign(files=[file_keys(x, tables, key_bits, probes) for x in v])
 
-    schema = f"__id {kind}, name bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, files array<bigint>"
+    schema = f"__id {kind}, mix bigint, name bigint, size bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, files array<bigint>"
     rows = written(own.mapInPandas(sketch, schema), "sketches")
-    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id")))
+    # A node is a set of shingles: texts that differ in case, white space or repeats are one, with no pair compared.
+    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("mix").alias("mix")))
     nodes = written(
-        rows.groupBy("name").agg(F.count("*").alias("__n"), first.alias("first"), *[F.first(c).alias(c) for c in [*columns, "files"]]),
+        rows.groupBy("name").agg(F.count("*").alias("__n"), first.alias("first"), *[F.first(c).alias(c) for c in ["size", *columns, "files"]]),
         "nodes",
     )
     filed = nodes.select("name", F.explode("files").alias("file"))
-    pairs = file_links(filed, nodes.select("name", *columns), columns, most, file_rows, file_rows // 2)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-
-    # The shingle sets of the texts in those pairs, and of no other.
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "near-names")
-    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    some = own.select("name", "__text").join(F.broadcast(wanted) if few else wanted, "name", "left_semi")
+    full = written(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1").select("file"), "file-sizes")
+    shared = written(filed.join(full, "file").join(nodes.select("name", "size", *columns), "name"), "shared-files")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [
-                np.unique(np.concatenate([h.astype(np.uint32) for h in shingle_hashes(t, words)] or [np.zeros(0, np.uint32)])).tobytes()
-                for t in pdf["__text"]
-            ]
+            out = [np.unique(shingle_set(t, words).astype(np.uint32)).tobytes() for t in pdf["__text"]]
             yield pd.DataFrame({"name": pdf["name"], "shingles": out})
 
-    shingles = written(some.mapInPandas(sets, "name bigint, shingles binary").dropDuplicates(["name"]), "near-sets")
-    met = pairs.join(shingles.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
-    met = met.join(shingles.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
-
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
@@ -408,16 +499,34 @@ def near_copies(
                 ok.append(same >= least * (len(x) + len(y) - same))
             yield pdf.loc[ok, ["a", "b"]]
 
-    star = stars(met.mapInPandas(verify, "a bigint, b bigint"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs those alike, by the shingle sets of the texts in them, and of no other."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        wanted = written(wanted.join(nodes.select("name", F.col("first.mix").alias("mix")), "name"), "near-names")
+        few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+        some = own.select("mix", "__text").join(F.broadcast(wanted) if few else wanted, "mix").select("name", "__text")
+        shingles = written(some.mapInPandas(sets, "name bigint, shingles binary").dropDuplicates(["name"]), "near-sets")
+        met = pairs.join(shingles.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
+        met = met.join(shingles.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+        return met.mapInPandas(verify, "a bigint, b bigint")
+
+    # First neighbours are verified, which joins most of each group of copies by few pairs. Then every pair within
+    # the limit whose ends are not yet joined is: none is lost to a closer one that fails.
+    near = written(neighbour_pairs(shared, columns, most, least), "near-pairs")
+    star = stars(verified(near))
+    others = open_pairs(shared, star.select(F.col("a").alias("name"), F.col("b").alias("label")), columns, most, least, file_rows, file_rows // 2)
+    others = written(others.join(near, ["a", "b"], "left_anti"), "open-pairs")
+    if not others.isEmpty():
+        star = stars(star.unionByName(verified(others)))
     rooted = nodes.select("name", "__n", "first").join(star, F.col("name") == F.col("a"), "left")
     rooted = written(rooted.select("name", "__n", "first", F.coalesce("b", "name").alias("root")), "rooted")
-    low = rooted.groupBy("root").agg(F.min(F.struct("first", "name")).alias("low"))
-    named = rooted.join(low, "root").select("name", "__n", F.col("low.first.id").alias("least_id"), F.col("low.name").alias("least_name"))
-    return spread_join(rows.select("__id", "name"), named, "name").select(
+    low = rooted.groupBy("root").agg(F.min("first").alias("low"))
+    named = rooted.join(low, "root").select("name", "__n", F.col("low.id").alias("least_id"), F.col("low.mix").alias("least_mix"))
+    return spread_join(rows.select("__id", "mix", "name"), named, "name").select(
         F.col("__id").alias(id_col),
         F.col("least_id").alias("component_id"),
-        F.col("name").alias("text_mix"),
-        F.col("least_name").alias("first_mix"),
+        F.col("mix").alias("text_mix"),
+        F.col("least_mix").alias("first_mix"),
     )
 
 

@@ -115,6 +115,25 @@ def test_repeats_of_a_passage_do_not_part_copies(make, prose):
     assert [got[2 * i + 1] for i in range(20)] == [2 * i for i in range(20)]
 
 
+def test_dense_group_loses_no_pair_to_closer_ones_that_fail(make, prose):
+    rng = random.Random(11)
+    template, texts = prose(400, 5000).split(), []
+    for k in range(120):
+        own = list(template)
+        for at in rng.sample(range(80), 8):  # edits five words apart, of which two texts may share some
+            own[5 * at] = f"own{at}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[k : k + 5]) for k in range(396)} for w in map(str.split, texts)]
+    alike = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = joined(120, alike)
+    docs = make([(i, t, "en", "a") for i, t in enumerate(texts)])  # both files hold all
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, tables=1, key_bits=1, probes=1).collect()}
+    found = sum(got[i] == got[j] for i, j in alike)
+    assert len(alike) > 15 and found >= 0.9 * len(alike)
+    within = {i: {got[j] for j in range(120) if roots[j] == roots[i]} for i in range(120)}
+    assert sum(len(x) for x in {r: within[r] for r in set(roots)}.values()) == len(set(got.values()))  # no wrong link
+
+
 @pytest.mark.parametrize("words", [1, 4])
 def test_index_finds_all_pairs(words):
     rng = np.random.default_rng(2)
