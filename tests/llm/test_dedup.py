@@ -134,6 +134,19 @@ def test_dense_group_loses_no_pair_to_closer_ones_that_fail(make, prose):
     assert sum(len(x) for x in {r: within[r] for r in set(roots)}.values()) == len(set(got.values()))  # no wrong link
 
 
+def test_crowded_file_of_one_fingerprint_is_cut_up(spark):
+    # Names 0..39 are of one label, so no pair of them may be made; 40..59 are of their own.
+    rows = [(1, k, 100, 5, 5, 5, 5) for k in range(60)] + [(2, k, 100, 5, 5, 5, 5) for k in range(40)]
+    words = ["w0", "w1", "w2", "w3"]
+    shared = spark.createDataFrame(rows, "file long, name long, size long, w0 long, w1 long, w2 long, w3 long")
+    labels = spark.createDataFrame([(k, 0) for k in range(1, 40)], "name long, label long")
+    got = simhash.open_pairs(shared, labels, words, 52, 0.8, 20, 15)
+    want = {(a, b) for b in range(40, 60) for a in range(b)}
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(want)
+    near = simhash.neighbour_pairs(shared, words, 52, 0.8).count()
+    assert 40 <= near <= 59
+
+
 @pytest.mark.parametrize("words", [1, 4])
 def test_index_finds_all_pairs(words):
     rng = np.random.default_rng(2)
