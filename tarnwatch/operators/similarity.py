@@ -110,13 +110,24 @@ def token_simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def simhash_neighbours(hashes: DataFrame, key: str, least: float = 0.9) -> DataFrame:
-    """Pairs of different hashes at `least` similarity (1 - bits / 32), by equality in one of four blocks of 8 bits:
-    three differing bits leave one block whole. Equal hashes are one entry with all they stand for counted."""
+    """Pairs of documents at `least` similarity (1 - bits / 32), each with the class of its first (`class_id`: the
+    smallest key of its hash) and the class's size (`copies`), and one row per document with its class and links.
+
+    `kind` tells them apart. "pair": two classes, by their smallest keys, similar by equality in one of four blocks
+    of 8 bits: three differing bits leave one block whole. "member": `other` is the document's class, at 1.0, and
+    `links` how many classes that class is paired with. Rows grow with documents and linked classes, not with a
+    class's square: documents of one class are all alike, and those of paired classes as their hashes are."""
     assert (1 - least) * 32 < 4
     reps = hashes.groupBy("simhash").agg(F.min(key).alias(key), F.count("*").alias("copies"))
     blocks = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftright("simhash", 8 * b).bitwiseAND(F.lit(255)).alias("v")) for b in range(4)])
-    filed = reps.select("simhash", key, F.explode(blocks).alias("f")).select("simhash", key, "f.b", "f.v")
+    filed = reps.select("simhash", key, "copies", F.explode(blocks).alias("f")).select("simhash", key, "copies", "f.b", "f.v")
     o = filed.select(F.col("simhash").alias("other_hash"), F.col(key).alias("other"), "b", "v")
     bits = F.bit_count(F.col("simhash").bitwiseXOR(F.col("other_hash")))
     p = filed.join(o, ["b", "v"]).where((F.col("simhash") < F.col("other_hash")) & (1 - bits / 32 >= least))
-    return p.select(key, "other", F.round(1 - bits / 32, 4).alias("similarity")).distinct()
+    p = p.select("simhash", "other_hash", key, "other", "copies", F.round(1 - bits / 32, 4).alias("similarity")).distinct()
+    ends = p.select(F.explode(F.array("simhash", "other_hash")).alias("simhash")).groupBy("simhash").agg(F.count("*").alias("links"))
+    classes = reps.join(ends, "simhash", "left").select("simhash", F.col(key).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    members = hashes.select(key, "simhash").join(classes, "simhash")
+    pairs = p.select(key, "other", "similarity", F.lit("pair").alias("kind"), F.col(key).alias("class_id"), "copies", F.lit(None).cast("long").alias("links"))
+    own = members.select(key, F.col("class_id").alias("other"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"), "class_id", "copies", "links")
+    return pairs.unionByName(own)

@@ -141,3 +141,17 @@ def test_desync_ignores_line_ends(spark):
 
 def test_glob():
     assert T.glob("a/*.js") == r"^a/[^/]*\.js$" and T.glob("d/**") == "^d/.*$"
+
+
+def test_simhash_classes_and_pairs_against_brute_force(spark):
+    # Equal hashes of different texts: order of the words does not count.
+    texts = {1: "a b c d", 2: "d c b a", 3: "b a d c", 4: "w x y z", 5: "z y x w", 6: "one two three four five"}
+    hashes = M.token_simhash(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text")
+    of = {r["doc_id"]: r["simhash"] for r in hashes.collect()} | {7: 0b111, 8: 0b110, 9: 0b110}
+    rows = M.simhash_neighbours(spark.createDataFrame(list(of.items()), "doc_id long, simhash long"), "doc_id").collect()
+    least = {h: min(k for k in of if of[k] == h) for h in of.values()}
+    pairs = {(least[g], least[h]) for g in least for h in least if g < h and (g ^ h).bit_count() <= 3}
+    assert {(r["doc_id"], r["other"]) for r in rows if r["kind"] == "pair"} == pairs and (8, 7) in pairs
+    want = {k: (least[h], sum(g == h for g in of.values()), sum(least[h] in q for q in pairs)) for k, h in of.items()}
+    assert {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in rows if r["kind"] == "member"} == want
+    assert want[3][:2] == (1, 3)
