@@ -5,7 +5,8 @@ document that hold a digit or an @. Its potentials: of each token by its shape a
 next to each other, and, across the whole document, of tokens that repeat or are alike (same letters and digits,
 same last seven digits, same name before the @): each is linked to the next of its kind, so links grow with the
 tokens, not with their square. Tokens in base spans are observed; loopy sum-product message passing carries their
-labels to the others, and tokens that end up as personal data become further spans.
+labels to the others, and tokens that end up as personal data become further spans. Each round reaches one link
+further; rounds go on until no message moves, and their bound grows with the tokens of the longest document.
 
 The field is trained here: on a bounded sample of documents that have base spans (`examples`, those of the smallest
 hashes of their ids), whose labels are the base spans, by gradient steps on the pseudo-likelihood, with features left
@@ -199,8 +200,9 @@ class Field:
                 self.link[k] += rate * (t / n - 1e-3 * (self.link[k] - self.prior[k]))
         self.trained = True
 
-    def beliefs(self, g: Graph, rounds: int = 10, damping: float = 0.5) -> np.ndarray:
-        """Label probabilities of all nodes after so many rounds of messages."""
+    def beliefs(self, g: Graph, least_rounds: int = 100, damping: float = 0.5, still: float = 1e-6) -> np.ndarray:
+        """Label probabilities of all nodes when messages have settled. Damped, a message takes some two rounds a
+        link, so a document has least_rounds and four for each of its tokens; its messages stop once they are still."""
         theta = self.node[g.features].sum(axis=1)
         fixed = g.observed > 0
         theta[fixed] = np.where(np.eye(self.labels)[g.observed[fixed]] > 0, 0.0, -30.0)
@@ -213,13 +215,25 @@ class Field:
             back[at : at + n], back[at + n : at + 2 * n] = np.arange(at + n, at + 2 * n), np.arange(at, at + n)
             at += 2 * n
         msg = np.zeros((len(src), self.labels))
-        for _ in range(rounds):
-            into = theta.copy()
-            np.add.at(into, dst, msg)
-            z = (into[src] - msg[back])[:, :, None] + pot
+        of = np.array(g.of, np.int64)
+        bound = least_rounds + 4 * np.bincount(of)
+        live, done = np.arange(len(src)), 0
+        while len(live):
+            # Documents are apart from each other: only messages of those not yet settled are sent again.
+            s, d = src[live], dst[live]
+            nodes, place = np.unique(np.concatenate((s, d)), return_inverse=True)
+            ps, pd_ = place[: len(s)], place[len(s) :]
+            into = theta[nodes]
+            np.add.at(into, pd_, msg[live])
+            z = (into[ps] - msg[back[live]])[:, :, None] + pot[live]
             top = z.max(axis=1, keepdims=True)
-            new = _normal((top + np.log(np.exp(z - top).sum(axis=1, keepdims=True)))[:, 0, :]) if len(src) else msg
-            msg = damping * msg + (1 - damping) * new
+            new = _normal((top + np.log(np.exp(z - top).sum(axis=1, keepdims=True)))[:, 0, :])
+            moved = np.abs(new - msg[live]).max(axis=1)
+            msg[live] = damping * msg[live] + (1 - damping) * new
+            done += 1
+            most = np.zeros(len(bound))
+            np.maximum.at(most, of[s], moved)
+            live = live[((most > still) & (done < bound))[of[s]]]
         np.add.at(theta, dst, msg)
         return np.exp(_normal(theta))
 
@@ -261,15 +275,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", example
     sample = texts.join(F.broadcast(few.select("__h")), "__h", "left_semi")  # at most `examples` rows
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Only what lies around tokens is needed: it goes to the driver, whole texts don't."""
+        """Only what lies around tokens is needed: it goes to the driver, whole texts don't. Slices that meet are one."""
         for pdf in batches:
             out = []
             for t in pdf["__text"]:
                 spans, kept = base_spans(t), []
                 if spans:
-                    for a, b in tokens(t)[:200]:
-                        kept.append(t[max(0, a - 48) : b + 48][:400])
-                out.append("\n".join(kept))
+                    for a, b in tokens(t):
+                        a, b = max(0, a - 48), b + 48
+                        if kept and a <= kept[-1][1]:
+                            kept[-1][1] = b
+                        else:
+                            kept.append([a, b])
+                out.append("\n".join(t[a:b] for a, b in kept))
             yield pdf[["__h"]].assign(around=out)
 
     got = sample.mapInPandas(cut, "__h bigint, around string").toPandas().sort_values(["__h", "around"], kind="stable")

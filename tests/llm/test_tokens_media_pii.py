@@ -130,3 +130,12 @@ def test_tail_and_digest_of_queries(spark):
         raw = (texts[r["doc_id"]] or "").encode()
         p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+
+
+def test_pii_label_reaches_all_repeats():
+    texts = ["call +49301234567 now. " + "or dial 49301234567 again, as they said. " * 40]
+    field = pii.Field(64)
+    field.link[1] = 10.0 * np.eye(field.labels)
+    field.trained = True
+    kinds = [k for k, _, _ in field.added(texts, [pii.base_spans(texts[0])])[0]]
+    assert kinds == [pii.KINDS.index("phone")] * 40
