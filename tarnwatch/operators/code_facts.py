@@ -1,8 +1,8 @@
 """Facts about source code that otherwise need a syntax tree, as column functions over file contents.
 
 Literals, arrays, dotted calls and file names are read by regular expressions; which value reaches which call is
-approximated by both standing in one file. So findings carry approx = true. Files beyond 512,000 characters and files
-without any marker are left out before the costly expressions run."""
+approximated by both standing in one file. So findings carry approx = true. Files are read whole, whatever their length;
+files without any marker are left out before the costly expressions run."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tarnwatch.functions import severity as S
 from tarnwatch.functions import text as T
 
-MAX_CHARS = 512_000
-
 # Weights and anchors of the three detectors, and the patterns of runtimes and workspace files.
 DROPPER = {
     "dns_payload_assembly": 95, "encoded_string_array": 60, "dns_txt_oob": 55, "string_array_decoder": 50, "fingerprint_network_coupling": 40,
@@ -82,7 +80,7 @@ def _rolled(per_file: DataFrame, weights: dict[str, int], anchors: list[str], le
 
 
 def code(files: DataFrame) -> DataFrame:
-    return files.where(F.col("path").rlike(r"\.(js|mjs|cjs)$") & (F.length("content") <= MAX_CHARS))
+    return files.where(F.col("path").rlike(r"\.(js|mjs|cjs)$"))
 
 
 def dropper(files: DataFrame, packages: DataFrame, dns_tools: list[str] = ()) -> DataFrame:
@@ -111,7 +109,7 @@ def runtime_evasion(files: DataFrame, packages: DataFrame) -> DataFrame:
     packages: package, scripts (map), main. A file a hook names by its base name runs at install time."""
     hook = packages.select("package", F.explode(F.map_entries("scripts")).alias("s")).where(F.col("s.key").rlike("^(pre|post)?install$")).select("package", F.col("s.value").alias("body"))
     named = hook.select("package", F.explode(F.regexp_extract_all("body", F.lit(r"([\w.-]+\.(?:js|mjs|cjs|ts|sh))"), F.lit(1))).alias("base")).distinct().withColumn("install", F.lit(True))
-    f = files.where(F.length("content") <= MAX_CHARS).withColumn("base", F.element_at(F.split("path", "/"), -1)).join(named, ["package", "base"], "left")
+    f = files.withColumn("base", F.element_at(F.split("path", "/"), -1)).join(named, ["package", "base"], "left")
     f = f.join(packages.select("package", F.coalesce("main", F.lit("index.js")).alias("main")), "package", "left")
     c = F.col("content")
     install, entry = F.coalesce("install", F.lit(False)), F.col("path").eqNullSafe(F.regexp_replace("main", r"^\./", ""))

@@ -66,8 +66,9 @@ def lifecycle_hooks(packages: DataFrame) -> DataFrame:
 
 def lifecycle_rule(packages: DataFrame) -> DataFrame:
     """Hooks scored by what they run: eval or obfuscation with network 90, addresses 70 (internal 90), environment 90;
-    a hook that loads nothing and reaches 70 counts 2.5 times, to 100 at most. Bodies beyond 10,240 characters go."""
-    h = lifecycle_hooks(packages).where("length(body) <= 10240")
+    a hook that loads nothing and reaches 70 counts 2.5 times, to 100 at most. Bodies are read whole, whatever
+    their length."""
+    h = lifecycle_hooks(packages)
     b = F.col("body")
     host = F.regexp_extract(b, r"https?://([^/\s'\"]+)", 1)
     net = b.rlike(r"https?://|\b(curl|wget|fetch|nc)\b")

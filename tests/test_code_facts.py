@@ -44,3 +44,13 @@ def test_crypto_tamper(spark):
     f = spark.createDataFrame([("p", "1", "a.js", "function sign(x) { return x }\nfunction other() { fetch('u') }"), ("p", "2", "a.js", "function sign(x) { fetch('http://x'); return x }")], "package string, version string, path string, content string")
     o = spark.createDataFrame([("p", "2", "1")], "package string, version string, previous string")
     assert [(r["version"], r["name"]) for r in C.crypto_tamper(f, o, ["sign"]).collect()] == [("2", "sign")]
+
+
+def test_files_are_read_whole(spark):
+    pad = "x = 1;\n" * 80_000  # 560,000 characters
+    array = "[" + ",".join(f"'{i:08x}'" for i in range(10)) + "]"
+    f = sources(spark, ("a", "i.js", f"{pad}const x = {array}; Buffer.from(x[0], 'hex')"), ("b", "index.js", f"{pad}Bun.spawn(['x'])"), ("c", "i.js", f"{pad}fs.writeFileSync('.vscode/tasks.json', x)"))
+    p = spark.createDataFrame([(n, {"test": "x"}, None) for n in "abc"], "package string, scripts map<string,string>, main string")
+    assert [r["package"] for r in C.dropper(f, p).collect()] == ["a"]
+    assert [r["package"] for r in C.runtime_evasion(f, p).collect()] == ["b"]
+    assert [r["package"] for r in C.workspace_persistence(f).collect()] == ["c"]

