@@ -7,16 +7,18 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a local one."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs in one process, a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"{tempfile.gettempdir()}/tarnwatch-shared"
     return at.rstrip("/")
 
@@ -55,18 +57,32 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """Whole rows of docs whose key is in kept ("__key"), each key once. One exchange of docs."""
+def text_mixes(text: Column) -> tuple[Column, Column]:
+    """Two hashes that together stand for a text: mix and mix2."""
+    return F.xxhash64(text).alias("mix"), F.xxhash64(F.lit(1), text).alias("mix2")
+
+
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame, salts: int = 64) -> DataFrame:
+    """Whole rows of docs whose key is in kept ("__key", once for each row that has it), each key once.
+
+    One exchange of docs. Keys that rows repeat are known from kept; only where there are any do their rows go a
+    second way, spread over `salts` parts of which each leaves one row a key."""
+    counted = written(kept.groupBy("__key").agg(F.count("*").alias("__n")), "kept-keys")
     own = docs.withColumn("__key", key)
-    # The join deals rows out by their key, so numbering repeats needs no further exchange.
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    joined = own.join(kept.select("__key").distinct(), "__key", "left_semi").withColumn("__n", first)
-    return joined.where("__n = 1").select(*docs.columns)
+    once = own.join(counted.where("__n = 1").select("__key"), "__key", "left_semi")
+    repeated = counted.where("__n > 1").select("__key")
+    if repeated.isEmpty():
+        return once.select(*docs.columns)
+    parts = repeated.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = own.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    some = spread.join(parts, ["__key", "__salt"], "left_semi").dropDuplicates(["__key", "__salt"])
+    return once.unionByName(some.dropDuplicates(["__key"]).drop("__salt")).select(*docs.columns)
 
 
 def row_key(id_col: str, *parts: Column) -> Column:
-    """Id and further parts as one join key; null ids have one of their own."""
-    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *[p.cast("string") for p in parts])
+    """Id and further parts as one join key; no two lists of values have the same one, and a null id has its own."""
+    own = F.col(id_col).cast("string")
+    return F.struct(own.isNull().alias("n"), F.coalesce(own, F.lit("")).alias("id"), *[p.cast("string").alias(f"p{k}") for k, p in enumerate(parts)])
 
 
 def spread_join(rows: DataFrame, one_per_key: DataFrame, key: str, salts: int = 64, share: int = 1000) -> DataFrame:

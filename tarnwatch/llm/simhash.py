@@ -16,20 +16,25 @@ Rows of the same fingerprint are one node throughout; links, components and fing
 
 `near_copies` is the wider form, for texts alike at a Jaccard similarity of `least` (0.8) or more on five-word
 shingles. Its fingerprints are of the set of shingles, each counted once, as the similarity is: repeats of a line
-move no bit. Such texts differ in about 36 of 256 fingerprint bits, too many for blocks that agree, but they differ
-where a bit's vote was close. So each text is filed under `tables` bit patterns of `key_bits` bits, and under
-those with its `probes` closest votes turned. Texts of one shingle set are one node. Of each file neighbours in
-Gray order are verified first: the shingle sets are compared whole. Then all pairs of a file up to `most` of 256
-bits apart that no verified links join so far are verified too. At 0.8 itself, about 96 of 100 pairs meet in some file; the share rises with the similarity, and in a
-group of copies one link of several is enough.
+move no bit. Such texts differ in about 39 of 256 fingerprint bits, too many for blocks that agree. So the 256 votes
+behind the fingerprint are turned by fixed random signs and a Hadamard transform, and a text is filed, in each of
+some tables, under the places and signs of the strongest turned votes of a few groups, and under those with the
+second strongest in the two closest groups. Keys widen and tables become more with a count of the documents
+(`file_plan`): texts that have nothing in common meet in a file `chance` times a text at most, however many there
+are, and of pairs at 0.8 itself `recall` meet in some file; the share rises with the similarity, and in a group of
+copies one link of several is enough. Texts of one shingle set are one node. Of each file neighbours in Gray order
+are verified first: the shingle sets are compared whole. Then all pairs of a file up to `most` of 256 bits apart
+that no verified links join so far are verified too.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other;
 with fewer words than a shingle has, the whole sequence is the shingle; null ids are never the smallest;
-repeated rows get the same result; an empty table gives an empty result.
+repeated rows get the same result; an empty table gives an empty result; very long texts are hashed in blocks and
+count whole; further columns may have any names but those that begin with two underscores.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import keep_rows, row_key, ship, spread_join, text_or_empty, written
+from tarnwatch.llm.common import keep_rows, row_key, ship, spread_join, text_mixes, text_or_empty, written
 from tarnwatch.llm.components import stars
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -426,75 +431,127 @@ def near_duplicates(
 _MORE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-@lru_cache(maxsize=8)
-def _file_plan(bits: int, tables: int, key_bits: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bits each table takes, and which of the closest votes each probe turns; alike on all executors."""
-    rng = np.random.default_rng(64)
-    chosen = np.array([rng.choice(bits, key_bits, replace=False) for _ in range(tables)])
-    return chosen, np.array([[(s >> k) & 1 for k in range(probes)] for s in range(1 << probes)]).reshape(1 << probes, probes)
+def file_plan(texts: int, recall: float = 0.985, chance: float = 0.25) -> tuple[int, int]:
+    """(bits of a key, tables) for so many texts.
 
-
-def file_keys(v: np.ndarray, tables: int, key_bits: int, probes: int) -> np.ndarray:
-    """The files of a text with votes v: for each table its own pattern, and those with some of the `probes`
-    closest votes turned."""
-    chosen, turned = _file_plan(len(v), tables, key_bits, probes)
-    own = v[chosen]
-    weight = 1 << np.arange(key_bits)
-    base = ((own > 0) * weight).sum(axis=1)
-    close = weight[np.argsort(np.abs(own), axis=1, kind="stable")[:, :probes]]
-    flips = (close[:, None, :] * turned[None, :, :]).sum(axis=2)
-    keys = (np.arange(tables)[:, None] << key_bits) + (base[:, None] ^ flips)
-    return keys.ravel()
+    The share of pairs at a similarity of 0.8 that meet in one table is measured (tests/llm): above 0.32 at 24 bits,
+    and falling by some 8 % a bit. A table's four keys of one text and four of another make 16 chances in
+    2**bits; n texts make n/2 pairs a text, and each pair is two rows."""
+    bits = 12
+    while True:
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - min(0.55, 0.32 * 0.915 ** (bits - 24))))
+        if texts * tables * 16 <= chance * 2**bits:
+            return bits, tables
+        bits += 1
+
+
+@lru_cache(maxsize=4)
+def _signs(turns: int) -> np.ndarray:
+    """Fixed random signs of 256 votes for each turn, alike on all executors."""
+    return np.random.default_rng(64).choice(np.array([-1, 1], np.float32), (turns, 256))
+
+
+def _hadamard(x: np.ndarray) -> np.ndarray:
+    """The Walsh-Hadamard transform of the last axis."""
+    half = 1
+    while half < x.shape[-1]:
+        y = x.reshape(*x.shape[:-1], -1, 2, half)
+        x = np.stack((y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]), axis=-2).reshape(x.shape)
+        half *= 2
+    return x
+
+
+def file_keys(v: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The files of texts with votes v (texts x 256): four a table."""
+    groups = -(-bits // 10)
+    widths = [bits // groups + (k < bits % groups) for k in range(groups)]
+    turns = -(-sum(1 << (w - 1) for w in widths) // 256)
+    signs, rows = _signs(turns * tables), np.arange(len(v))
+    v, out = v.astype(np.float32), []
+    for t in range(tables):
+        turned = _hadamard(v[:, None, :] * signs[None, t * turns : (t + 1) * turns]).reshape(len(v), -1)
+        key, at, shift, gaps, other = np.full(len(v), t << bits), 0, 0, [], []
+        for w in widths:
+            own = turned[:, at : at + (1 << (w - 1))]
+            size = np.abs(own)
+            i = size.argmax(axis=1)
+            top = size[rows, i]
+            size[rows, i] = -1
+            j = size.argmax(axis=1)
+            first, second = 2 * i + (own[rows, i] > 0), 2 * j + (own[rows, j] > 0)
+            key |= first << shift
+            gaps.append(top - size[rows, j])
+            other.append((first ^ second) << shift)
+            at, shift = at + (1 << (w - 1)), shift + w
+        close = np.argsort(np.stack(gaps, axis=1), axis=1, kind="stable")[:, :2]
+        turn = np.take_along_axis(np.stack(other, axis=1), close, axis=1)
+        out += [key, key ^ turn[:, 0], key ^ turn[:, 1], key ^ turn[:, 0] ^ turn[:, 1]]
+    return np.stack(out, axis=1)
+
+
+def name_nodes(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows (name, name2, ...) and one node per set of shingles, with what the columns hold. Where two sets have one
+    name, which second hashes tell, all but one of them take those for a name."""
+    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), "mix", "mix2"))
+    while True:
+        one = rows.groupBy("name").agg(
+            F.count("*").alias("__n"), first.alias("first"), F.min("name2").alias("lo"), F.max("name2").alias("hi"), *[F.first(c).alias(c) for c in columns]
+        )
+        nodes = written(one, "nodes")
+        clash = nodes.where("lo != hi").select("name", "lo")
+        if clash.isEmpty():
+            return rows, nodes.drop("lo", "hi")
+        parted = rows.join(clash, "name", "left").withColumn("name", F.when(F.col("name2") != F.col("lo"), F.col("name2")).otherwise(F.col("name")))
+        rows = written(parted.drop("lo"), "sketches")
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 52,
-    tables: int = 28, key_bits: int = 24, probes: int = 2, file_rows: int = 2000, broadcast_rows: int = 200_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 56,
+    plan: tuple[int, int] | None = None, file_rows: int = 2000, broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """Per row: id, component_id (the smallest id of its group of near copies), text_mix and first_mix."""
+    """Per row: id, component_id (the smallest id of its group of near copies), text_mix and first_mix.
+
+    `plan` is (bits of a key, tables); None: as file_plan() has it for the rows of docs."""
     ship(docs.sparkSession)
     text = text_or_empty(text_col)
-    own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("mix"), text.alias("__text"))
+    own = docs.select(F.col(id_col).alias("__id"), *text_mixes(text), text.alias("__text"))
     kind = own.schema["__id"].dataType.simpleString()
     columns = ["w0", "w1", "w2", "w3"]
+    bits, tables = plan or file_plan(docs.count())
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
         for pdf in batches:
-            v, names, sizes = [], [], []
+            v, names, others, sizes = [], [], [], []
             for t in pdf["__text"]:
                 h = shingle_set(t, words)
                 v.append(set_votes(h, _MORE))
                 names.append(_signed(xxh64_intdigest(h.tobytes())))
+                others.append(_signed(xxh64_intdigest(h.tobytes(), 1)))
                 sizes.append(len(h))
-            codes = np.packbits(np.array(v).reshape(len(v), 256) > 0, axis=1).view(">i8").astype(np.int64)
-            out = pdf[["__id", "mix"]].assign(name=np.array(names, np.int64), size=np.array(sizes, np.int64))
+            v = np.array(v).reshape(len(v), 256)
+            codes = np.packbits(v > 0, axis=1).view(">i8").astype(np.int64)
+            out = pdf[["__id", "mix", "mix2"]].assign(name=np.array(names, np.int64), name2=np.array(others, np.int64), size=np.array(sizes, np.int64))
             out = out.assign(**{c: codes[:, k] for k, c in enumerate(columns)})
-            yield out.assign(files=[file_keys(x, tables, key_bits, probes) for x in v])
+            yield out.assign(files=list(file_keys(v, bits, tables)))
 
-    schema = f"__id {kind}, mix bigint, name bigint, size bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, files array<bigint>"
-    rows = written(own.mapInPandas(sketch, schema), "sketches")
+    schema = f"__id {kind}, mix bigint, mix2 bigint, name bigint, name2 bigint, size bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, files array<bigint>"
     # A node is a set of shingles: texts that differ in case, white space or repeats are one, with no pair compared.
-    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("mix").alias("mix")))
-    nodes = written(
-        rows.groupBy("name").agg(F.count("*").alias("__n"), first.alias("first"), *[F.first(c).alias(c) for c in ["size", *columns, "files"]]),
-        "nodes",
-    )
+    rows, nodes = name_nodes(written(own.mapInPandas(sketch, schema), "sketches"), ["size", *columns, "files"])
     filed = nodes.select("name", F.explode("files").alias("file"))
     full = written(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1").select("file"), "file-sizes")
     shared = written(filed.join(full, "file").join(nodes.select("name", "size", *columns), "name"), "shared-files")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [np.unique(shingle_set(t, words).astype(np.uint32)).tobytes() for t in pdf["__text"]]
-            yield pd.DataFrame({"name": pdf["name"], "shingles": out})
+            yield pd.DataFrame({"name": pdf["name"], "shingles": [shingle_set(t, words).tobytes() for t in pdf["__text"]]})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(same >= least * (len(x) + len(y) - same))
             yield pdf.loc[ok, ["a", "b"]]
@@ -502,9 +559,9 @@ def near_copies(
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs those alike, by the shingle sets of the texts in them, and of no other."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = written(wanted.join(nodes.select("name", F.col("first.mix").alias("mix")), "name"), "near-names")
+        wanted = written(wanted.join(nodes.select("name", F.col("first.mix").alias("mix"), F.col("first.mix2").alias("mix2")), "name"), "near-names")
         few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-        some = own.select("mix", "__text").join(F.broadcast(wanted) if few else wanted, "mix").select("name", "__text")
+        some = own.select("mix", "mix2", "__text").join(F.broadcast(wanted) if few else wanted, ["mix", "mix2"]).select("name", "__text")
         shingles = written(some.mapInPandas(sets, "name bigint, shingles binary").dropDuplicates(["name"]), "near-sets")
         met = pairs.join(shingles.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
         met = met.join(shingles.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
@@ -521,11 +578,11 @@ def near_copies(
     rooted = nodes.select("name", "__n", "first").join(star, F.col("name") == F.col("a"), "left")
     rooted = written(rooted.select("name", "__n", "first", F.coalesce("b", "name").alias("root")), "rooted")
     low = rooted.groupBy("root").agg(F.min("first").alias("low"))
-    named = rooted.join(low, "root").select("name", "__n", F.col("low.id").alias("least_id"), F.col("low.mix").alias("least_mix"))
-    return spread_join(rows.select("__id", "mix", "name"), named, "name").select(
+    named = rooted.join(low, "root").select("name", "__n", F.col("low.id").alias("least_id"), F.struct("low.mix", "low.mix2").alias("least_mix"))
+    return spread_join(rows.select("__id", "mix", "mix2", "name"), named, "name").select(
         F.col("__id").alias(id_col),
         F.col("least_id").alias("component_id"),
-        F.col("mix").alias("text_mix"),
+        F.struct("mix", "mix2").alias("text_mix"),
         F.col("least_mix").alias("first_mix"),
     )
 
@@ -534,5 +591,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one document of each group of near copies, whole rows."""
     found = near_copies(docs, id_col, text_col, **how)
     stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_mix") == F.col("first_mix")))
-    kept = stays.select(row_key(id_col, F.col("text_mix")).alias("__key"))
-    return keep_rows(docs, row_key(id_col, F.xxhash64(text_or_empty(text_col))), kept)
+    kept = stays.select(row_key(id_col, F.col("text_mix.mix"), F.col("text_mix.mix2")).alias("__key"))
+    return keep_rows(docs, row_key(id_col, *text_mixes(text_or_empty(text_col))), kept)
