@@ -58,13 +58,13 @@ def encoded_arrays(content: Column) -> Column:
     """How many array literals hold eight strings or more, four fifths of them hex or dense base64."""
     arrays = F.regexp_extract_all(content, F.lit(r"\[\s*(?:['\"][^'\"\n]*['\"]\s*,\s*){7,}['\"][^'\"\n]*['\"]\s*,?\s*\]"), F.lit(0))
     strings = lambda a: F.regexp_extract_all(a, F.lit(r"['\"]([^'\"\n]*)['\"]"), F.lit(1))
-    encoded = lambda s: s.rlike(r"^(?:[0-9a-fA-F]{2}){3,}$") | (s.rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (T.entropy(s) >= 4.5))
+    encoded = lambda s: s.rlike(r"^(?:[0-9a-fA-F]{2}){3,}$") | (s.rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (T.entropy_of_short(s) >= 4.5))
     return F.size(F.filter(arrays, lambda a: F.size(F.filter(strings(a), encoded)) >= F.size(strings(a)) * 0.8))
 
 
 def dense_literals(content: Column) -> Column:
     literals = F.regexp_extract_all(content, F.lit(r"['\"`]([^'\"`\n]{64,})['\"`]"), F.lit(1))
-    return F.size(F.filter(literals, lambda s: T.entropy(s) > 5.0))
+    return F.size(F.filter(literals, lambda s: T.entropy_of_short(s) > 5.0))
 
 
 def _rolled(per_file: DataFrame, weights: dict[str, int], anchors: list[str], least: int, flag: int, name: str) -> DataFrame:

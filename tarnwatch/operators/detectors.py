@@ -10,85 +10,147 @@ from pyspark.sql import functions as F
 from tarnwatch.functions import severity as S
 from tarnwatch.functions import text as T
 from tarnwatch.functions.signal_catalog import BUILD_FILES, Detector
+from tarnwatch.operators.iocs import sized
+
+
+# Which files count as code; three detectors read native sources too, one signal reads install scripts
+# only, one detector reads script bodies beside the code, and one signal counts three matches at most.
+SCRIPTED = r"(?i)\.(js|mjs|cjs|ts)$"
+NATIVE = r"(?i)\.(js|mjs|cjs|ts|rs|c|cc|cpp|h|hpp)$"
+READS_NATIVE = ("D15-MEMORY-EXTRACTION", "D16-EBPF-ROOTKIT", "D17-PRIVILEGE-ESCALATION")
+READS_SCRIPTS = ("D24-BUN-RUNTIME-SWAP",)
+INSTALL_ONLY = {("D16-EBPF-ROOTKIT", "bpf_syscall")}
+MOST = {("D17-PRIVILEGE-ESCALATION", "exploit_reference"): 3}
 
 
 def weighted(files: DataFrame, name: str, detector: Detector, key: str = "package", content: str = "content") -> DataFrame:
-    """Per package with any signal: detector, score (clamped to 100), severity, signals, raw score.
+    """Per package with any signal: detector, score (clamped to 100), severity, signals, raw score. Every file counts."""
+    return all_weighted(files, {name: detector}, key=key, content=content)
+
+
+def all_weighted(
+    files: DataFrame, catalog: dict[str, Detector], key: str = "package", content: str = "content", path: str | None = None, scripts: DataFrame | None = None
+) -> DataFrame:
+    """All detectors of a catalogue in one scan of the contents: what leaves a file is one number per signal type.
 
-    Patterns are matched file by file in one pass; what leaves a file is one number per signal type."""
+    With a path, only code files count, by each detector's own suffixes. scripts (key, hook, body): bodies that some
+    detectors read beside the files."""
     text = F.coalesce(F.col(content), F.lit(""))
-    each = detector.mode == "each"
-
-    def count(patterns: list[str]) -> Column:
-        if each:
-            return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in patterns])
-        return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns]).cast("int")
-
-    types = list(detector.signals)
-    found = files.select(key, *[count(p).alias(t) for t, (_, p) in detector.signals.items()])
-    found = found.where(reduce(lambda a, b: a | b, [F.col(t) > 0 for t in types]))
-    total = found.groupBy(key).agg(*[(F.sum(t) if each else F.max(t)).alias(t) for t in types])
-    raw = reduce(lambda a, b: a + b, [F.col(t) * w for t, (w, _) in detector.signals.items()])
-    score = F.least(raw, F.lit(100))
-    band = F.when(score >= detector.flag, "critical").when(score >= detector.warn, "high").when(score >= 30, "medium").otherwise("low")
-    fired = F.array_compact(F.array(*[F.when(F.col(t) > 0, F.lit(t)) for t in types]))
-    return total.select(key, F.lit(name).alias("detector"), score.cast("int").alias("score"), band.alias("severity"), fired.alias("signals"), raw.cast("int").alias("raw_score"))
-
-
-def all_weighted(files: DataFrame, catalog: dict[str, Detector], **how) -> DataFrame:
-    return reduce(DataFrame.unionByName, [weighted(files, n, d, **how) for n, d in catalog.items()])
-
-
-def obfuscation(files: DataFrame, key: str, content: str) -> DataFrame:
-    """Entropy, suspicious calls, minified shape and size of each text of 100 characters or more; 50 and over."""
-    x = files.select(key, F.coalesce(F.col(content), F.lit("")).alias("c")).where("length(c) >= 100")
-    x = x.withColumn("e", F.round(T.entropy(F.col("c")), 2)).withColumn("m", T.is_minified(F.col("c")))
-    # The patterns of suspicious code.
-    patterns = [
-        r"\beval\s*\(", r"new\s+Function\s*\(", r"\.split\(['\"]['\"]\)\.reverse\(\)\.join", r"\^\s*0x[0-9a-fA-F]+", r"require\s*\(\s*[^'\"\s)]",
-        r"[A-Za-z0-9+/]{60,}={0,2}", r"\\x[0-9a-fA-F]{2}\\x[0-9a-fA-F]{2}", r"\\u[0-9a-fA-F]{4}\\u[0-9a-fA-F]{4}",
-    ]
-    n = reduce(lambda a, b: a + b, [F.col("c").rlike(p).cast("int") for p in patterns])
-    x = x.withColumn("n", n)
+    if path:
+        rows = files.select(key, text.alias("__c"), F.col(path).rlike(SCRIPTED).alias("__s"), F.col(path).rlike(NATIVE).alias("__n"), F.lit(False).alias("__b"), F.lit(False).alias("__i"))
+    else:
+        rows = files.select(key, text.alias("__c"), F.lit(True).alias("__s"), F.lit(True).alias("__n"), F.lit(False).alias("__b"), F.lit(False).alias("__i"))
+    if scripts is not None:
+        # The install script is postinstall, or where that is absent or empty, install.
+        body = F.coalesce("body", F.lit(""))
+        named = scripts.where(F.col("hook").isin("postinstall", "install") & (body != "")).groupBy(key).agg(F.max_by("body", F.col("hook") == "postinstall").alias("__c"))
+        rows = rows.unionByName(scripts.select(key, body.alias("__c"), F.lit(False).alias("__s"), F.lit(False).alias("__n"), F.lit(True).alias("__b"), F.lit(False).alias("__i")))
+        rows = rows.unionByName(named.select(key, "__c", F.lit(False).alias("__s"), F.lit(False).alias("__n"), F.lit(False).alias("__b"), F.lit(True).alias("__i")))
+    c, counts, totals, parts = F.col("__c"), [], [], []
+    for d, (name, detector) in enumerate(catalog.items()):
+        each, names, raw = detector.mode == "each", [], F.lit(0)
+        own = F.col("__n") if name in READS_NATIVE else F.col("__s") | F.col("__b") if name in READS_SCRIPTS else F.col("__s")
+        for k, (signal, (weight, patterns)) in enumerate(detector.signals.items()):
+            at = f"__{d}_{k}"
+            reads = F.col("__i") if (name, signal) in INSTALL_ONLY else own
+            if each:
+                n = reduce(lambda a, b: a + b, [F.regexp_count(c, F.lit(p)) for p in patterns])
+            else:
+                n = reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns]).cast("int")
+            counts.append(F.when(reads, n).otherwise(0).alias(at))
+            total = F.sum(at) if each else F.max(at)
+            totals.append((F.least(total, F.lit(MOST[name, signal])) if (name, signal) in MOST else total).cast("long").alias(at))
+            names.append(F.when(F.col(at) > 0, F.lit(signal)))
+            raw = raw + F.col(at) * weight
+        score = F.least(raw, F.lit(100))
+        band = F.when(score >= detector.flag, "critical").when(score >= detector.warn, "high").when(score >= 30, "medium").otherwise("low")
+        parts.append(F.when(raw > 0, F.struct(
+            F.lit(name).alias("detector"), score.cast("int").alias("score"), band.alias("severity"), F.array_compact(F.array(*names)).alias("signals"), raw.cast("int").alias("raw_score"))))
+    found = rows.select(key, *counts).groupBy(key).agg(*totals)
+    return found.select(key, F.explode(F.array_compact(F.array(*parts))).alias("f")).select(key, "f.*")
+
+
+# The ids and patterns of suspicious code.
+CODE_PATTERNS = {
+    "EVAL_USAGE": r"\beval\s*\(", "FUNCTION_CONSTRUCTOR": r"Function\s*\(",
+    "STRING_REVERSAL_CHAIN": r"\.split\s*\(\s*['\"]\s*['\"]\s*\)\s*\.reverse\s*\(\s*\)\s*\.join\s*\(", "XOR_CIPHER": r"charCodeAt\s*\([^)]*\)\s*\^\s*\w+",
+    "BITWISE_LOOP": r"for\s*\([^;]+;[^;]+\)\s*\{[^}]{20,}\^[^}]*\}", "DYNAMIC_REQUIRE": r"require\s*\(\s*(?:Buffer\.from|atob|decodeURIComponent)",
+    "BASE64_LITERAL": r"['\"][A-Za-z0-9+/]{60,}={0,2}['\"]", "OBFUSCATED_STRING": r"(?:\\x[0-9a-fA-F]{2}){8,}", "UNICODE_ESCAPE": r"(?:\\u[0-9a-fA-F]{4}){8,}",
+}
+
+
+def code_patterns(content: Column) -> Column:
+    """The ids of the patterns a text matches, in the order of the list."""
+    return F.array_compact(F.array(*[F.when(content.rlike(p), F.lit(n)) for n, p in CODE_PATTERNS.items()]))
+
+
+def obfuscation(files: DataFrame, key: str, content: str, least: int = 50, shortest: int = 100) -> DataFrame:
+    """Entropy, suspicious code, minified shape and size of each text of `shortest` characters or more; from `least` on.
+    Bodies of hooks are scored by the same rule from 40 on, whatever their length."""
+    x = files.select(key, F.coalesce(F.col(content), F.lit("")).alias("c")).where(F.length("c") >= shortest)
+    x = x.withColumns({"e": F.round(T.entropy(F.col("c")), 2), "m": T.is_minified(F.col("c")), "p": code_patterns(F.col("c"))})
+    n = F.size("p")
     score = (
         F.when(F.col("e") > 5.3, 35).otherwise(0) + F.when(F.col("e") > 5.8, 15).otherwise(0)
-        + F.when(F.col("n") >= 3, 30).when(F.col("n") >= 1, 20).otherwise(0) + F.when(F.col("m"), 10).otherwise(0)
-        + F.when(F.length("c") > 100_000, 15).otherwise(0)
+        + F.when(n >= 3, 30).when(n >= 1, 20).otherwise(0) + F.when(F.col("m"), 10).otherwise(0) + F.when(F.length("c") > 100_000, 15).otherwise(0)
+        + F.when(F.array_contains("p", "XOR_CIPHER") & (n >= 2), 10).otherwise(0) + F.when(F.array_contains("p", "EVAL_USAGE") & (F.col("e") > 5.0), 15).otherwise(0)
     )
-    return x.select(key, F.least(score, F.lit(100)).alias("score")).where("score >= 50")
+    return x.select(key, F.least(score, F.lit(100)).alias("score"), F.array_join("p", ",").alias("patterns")).where(F.col("score") >= least)
 
 
-def lifecycle_hooks(packages: DataFrame) -> DataFrame:
-    """packages (package, scripts map) to one row per hook of installation: package, hook, body."""
+def hooks_of(packages: DataFrame, which: str) -> DataFrame:
+    """packages (package, scripts map) to one row per script whose name matches: package, hook, body."""
     hooks = packages.select("package", F.explode(F.map_entries("scripts")).alias("s")).select("package", "s.key", "s.value")
-    return hooks.where(F.col("key").isin("preinstall", "install", "postinstall", "prepare", "prepublish", "preprepare", "postprepare")).select("package", F.col("key").alias("hook"), F.col("value").alias("body"))
+    return hooks.where(F.col("key").rlike(which) & (F.col("value") != "")).select("package", F.col("key").alias("hook"), F.col("value").alias("body"))
+
+
+# The hooks each rule reads.
+INSTALL_HOOKS = r"^(install|prepare|pre.*|post.*)$"
+FETCHING_HOOKS = r"^(preinstall|install|postinstall|prepare)$"
 
 
-def lifecycle_rule(packages: DataFrame) -> DataFrame:
-    """Hooks scored by what they run: eval or obfuscation with network 90, addresses 70 (internal 90), environment 90;
-    a hook that loads nothing and reaches 70 counts 2.5 times, to 100 at most. Bodies are read whole, whatever
-    their length."""
-    h = lifecycle_hooks(packages)
+def lifecycle_hooks(packages: DataFrame) -> DataFrame:
+    """One row per hook that runs around an installation: install, prepare, and all that begin with pre or post."""
+    return hooks_of(packages, INSTALL_HOOKS)
+
+
+def unlisted(packages: DataFrame, reputable: DataFrame | None, name: str = "package") -> DataFrame:
+    """packages that are not of a list of reputable names."""
+    if reputable is None:
+        return packages
+    known = sized(reputable.select(F.col("name").alias("__r")).distinct())
+    return packages.join(known, F.col(name) == F.col("__r"), "left_anti")
+
+
+def lifecycle_rule(packages: DataFrame, reputable: DataFrame | None = None) -> DataFrame:
+    """Hooks scored by what they run: eval or obfuscation with network 90, addresses 70 (internal 90), credentials from
+    the environment 90; a hook that loads nothing and reaches 70 counts 2.5 times, to 100 at most. Reputable packages
+    are left out. Bodies are read whole, whatever their length."""
+    h = lifecycle_hooks(unlisted(packages, reputable))
     b = F.col("body")
-    host = F.regexp_extract(b, r"https?://([^/\s'\"]+)", 1)
-    net = b.rlike(r"https?://|\b(curl|wget|fetch|nc)\b")
-    obfuscated = b.rlike(r"\\x[0-9a-fA-F]{2}|[A-Za-z0-9+/]{60,}={0,2}")
+    # The signs in a hook's body.
+    h = h.select(
+        "package", "hook", b.rlike(r"\beval\s*\(|\bFunction\s*\(|\(0,\s*eval\)\s*\(").alias("runs"), T.is_obfuscated(b).alias("hidden"),
+        (b.rlike(r"(?i)\b(?:curl|wget|powershell|bash|sh)\b") | b.rlike(r"\b(?:exec|execSync|spawn|spawnSync|fork)\s*\(")).alias("net"),
+        (b.rlike(r"(?i)https?://[^'\"\s)\]]+") | b.rlike(r"\b(?:\d{1,3}\.){3}\d{1,3}\b")).alias("address"), b.rlike(r"(?i)github-ent|jira\.internal|docs\.internal").alias("internal"),
+        b.rlike(r"process\.env\.(?:AWS_[A-Z_]+|NPM_TOKEN|NPM_AUTH_TOKEN|GIT_TOKEN|SSH_KEY)").alias("env"), (~b.rlike(r"\brequire\s*\(")).alias("silent"),
+    )
     base = F.greatest(
-        F.when(b.rlike(r"\beval\b|new\s+Function") | (obfuscated & net), 90).otherwise(0),
-        F.when((host != "") & T.is_internal_host(host), 90).when(b.rlike(r"https?://|\b\d{1,3}(\.\d{1,3}){3}\b"), 70).otherwise(0),
-        F.when(b.rlike(r"process\.env|\$\{?[A-Z_]*(TOKEN|SECRET|KEY|PASSWORD)"), 90).otherwise(0),
+        F.when(F.col("runs") | (F.col("hidden") & F.col("net")), 90).otherwise(0),
+        F.when(F.col("address") & F.col("internal"), 90).when(F.col("address"), 70).otherwise(0),
+        F.when(F.col("env"), 90).otherwise(0),
     )
-    silent = ~b.rlike(r"require\s*\(")
-    score = F.when(silent & (base >= 70), F.least(base * 2.5, F.lit(100.0))).otherwise(base.cast("double"))
-    out = h.withColumn("score", score).where("score > 0")
-    return out.withColumn("severity", S.ladder(F.col("score"), [(90, "critical"), (70, "high")], "medium"))
+    h = h.withColumn("base", base).where("base > 0")
+    score = F.when(F.col("silent"), F.least(F.col("base") * 2.5, F.lit(100.0))).otherwise(F.col("base").cast("double"))
+    return h.select("package", "hook", score.cast("int").alias("score"), F.when(F.col("base") >= 90, "critical").otherwise("high").alias("severity"))
 
 
 def multistage(packages: DataFrame) -> DataFrame:
     """Hooks that fetch and then execute (82), that leave a detached process (78), or both (95)."""
-    h = lifecycle_hooks(packages)
-    fetch = F.col("body").rlike(r"\b(curl|wget|fetch|https?\.get)\b") & F.col("body").rlike(r"(\||&&|;)\s*(sh|bash|node|python3?)\b|chmod\s+\+x|\bexec\b|\bspawn\b")
-    detached = F.col("body").rlike(r"\bnohup\b|\bsetsid\b|detached\s*:\s*true|&\s*$|\bdisown\b")
+    h = hooks_of(packages, FETCHING_HOOKS)
+    # Calls that fetch, that execute and that detach.
+    fetch = F.col("body").rlike(r"\b(?:fetch|axios\.get|axios\.post|http\.get|https\.get)\(|\b(?:curl|wget)\s") & F.col("body").rlike(r"\b(?:execFile|execFileSync|execSync|exec|spawnSync|spawn)\s*\(")
+    detached = F.col("body").rlike(r"detached\s*:\s*true")
     score = F.when(fetch & detached, 95).when(fetch, 82).when(detached, 78)
     return h.withColumn("score", score).where("score IS NOT NULL")
 
@@ -97,16 +159,19 @@ def version_confusion(versions: DataFrame) -> DataFrame:
     """Versions made to win: 99.99.99 (85), its family (65), or high in all three parts (62)."""
     v = F.col("version")
     ma, mi, pa = (T.semver_part(v, i) for i in (1, 2, 3))
-    score = F.when(v == "99.99.99", 85).when((ma >= 99) | ((ma >= 9) & (mi >= 99)), 65).when((ma >= 9) & (mi >= 5) & (pa >= 5), 62)
+    # The family.
+    score = F.when(v == "99.99.99", 85).when(v.isin("9.9.9", "9.9.10", "10.10.10", "11.11.11"), 65).when((ma >= 9) & (mi >= 5) & (pa >= 5), 62)
     return versions.withColumn("score", score).where("score IS NOT NULL")
 
 
 def metadata_spoof(packages: DataFrame) -> DataFrame:
     """packages (package, urls array, inflated boolean): internal addresses 65, more than one 20 on top, times 1.3
-    with an inflated version; inflation alone 40; between 50 and 90 where there is an address."""
-    n = F.size(F.filter("urls", lambda u: T.is_internal_host(T.host(u))))
+    with an inflated version; inflation alone counts 40 and so shows as 50; never below 50 or above 90."""
+    named = lambda u: F.coalesce(F.nullif(T.host(u), F.lit("")), F.nullif(F.regexp_extract(u, r"^(?:[a-z+]+://)?(?:[^@/]*@)?([^/\s:]+)", 1), F.lit("")), F.lit(""))
+    n = F.size(F.filter("urls", lambda u: T.is_internal_host(named(u))))
     base = F.lit(65) + F.when(n > 1, 20).otherwise(0)
-    score = F.when(n > 0, F.greatest(F.lit(50.0), F.least(F.lit(90.0), F.when(F.col("inflated"), base * 1.3).otherwise(base.cast("double"))))).when(F.col("inflated"), 40.0)
+    inflated = F.coalesce("inflated", F.lit(False))
+    score = F.when(n > 0, F.greatest(F.lit(50), F.least(F.lit(90), F.when(inflated, F.round(base * 1.3)).otherwise(base))).cast("int")).when(inflated, 50)
     return packages.select("package", score.alias("score")).where("score IS NOT NULL")
 
 

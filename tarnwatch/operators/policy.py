@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import severity as S
+from tarnwatch.functions import text as T
 from tarnwatch.operators.iocs import sized
 
 
@@ -16,21 +17,31 @@ def allowed(packages: DataFrame, allow: DataFrame) -> DataFrame:
     return full.join(a, F.col("__full") == F.col("__e"), "left_anti").join(a, F.col("package") == F.col("__e"), "left_anti").drop("__full")
 
 
+_ASKED = ("is_dist_build", "is_test_fixture", "is_known_safe_domain", "provenance_verified")
+
+
 def suppress(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """findings without those a rule names: same id, package equal or *, and every condition the rule sets.
 
-    Findings of lifecycle hooks and of several layers always stay. Rules: atk_id, package, is_dist_build,
-    is_test_fixture, path_regex; what is null is not asked for."""
-    r = sized(rules.select(*[F.col(c).alias(f"r_{c}") for c in ("atk_id", "package", "is_dist_build", "is_test_fixture", "path_regex")]))
-    same = lambda c: F.col(f"r_{c}").isNull() | (F.col(f"r_{c}") == F.col(c))
-    hit = (
-        (F.col("atk_id") == F.col("r_atk_id"))
-        & ((F.col("r_package") == "*") | (F.col("r_package") == F.col("package").cast("string")))
-        & same("is_dist_build") & same("is_test_fixture")
-        & (F.col("r_path_regex").isNull() | F.expr("coalesce(file_path, '') RLIKE r_path_regex"))
-        & ~F.coalesce("is_lifecycle_hook", F.lit(False)) & ~F.coalesce("is_multi_layer", F.lit(False))
-    )
-    return findings.join(r, hit, "left_anti")
+    Findings of lifecycle hooks and of several layers always stay. Rules: atk_id, package, path_regex, url_domain (*
+    for anything), reputation_tier, and booleans; what is null, or no column of the rules, is not asked for. A finding
+    without a domain meets no rule that asks for one."""
+    have = [c for c in (*_ASKED, "path_regex", "url_domain", "reputation_tier") if c in rules.columns]
+    r = sized(rules.select(*[F.col(c).alias(f"r_{c}") for c in ("atk_id", "package", *have)]))
+    hit = (F.col("atk_id") == F.col("r_atk_id")) & ((F.col("r_package") == "*") | (F.col("r_package") == F.col("package").cast("string")))
+    for c in have:
+        asked = F.col(f"r_{c}")
+        if c == "path_regex":
+            met = F.regexp_like(F.coalesce("file_path", F.lit("")), asked)
+        elif c == "url_domain":
+            met = F.coalesce(T.domain_matches(F.col("url_domain"), asked), F.lit(False))
+        elif c == "reputation_tier":
+            met = asked.isin("*", "any") | (asked == F.col("reputation_tier"))
+        else:
+            met = asked == F.coalesce(F.col(c), F.lit(False))
+        hit = hit & (asked.isNull() | met)
+    guarded = F.coalesce("is_lifecycle_hook", F.lit(False)) | F.coalesce("is_multi_layer", F.lit(False))
+    return findings.join(r, hit & ~guarded, "left_anti")
 
 
 def override(findings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -26,8 +26,27 @@ NIST = {
     "ATK-010": ("SR-10.3", "Anti-evasion detection"),
     "ATK-011": ("SR-11.4", "Supply chain propagation monitoring"),
 }
-#: The STIG requirements follow each other, one for each rule.
-STIG = {f"SRG-APP-{141 + i:06d}": f"ATK-{i + 1:03d}" for i in range(11)}
+STIG = {
+    "SRG-APP-000141": ("ATK-001", "Application Malware Detection"),
+    "SRG-APP-000142": ("ATK-002", "Application Code Obfuscation"),
+    "SRG-APP-000143": ("ATK-003", "Credential Harvesting"),
+    "SRG-APP-000144": ("ATK-004", "Persistence Mechanisms"),
+    "SRG-APP-000145": ("ATK-005", "Data Exfiltration"),
+    "SRG-APP-000146": ("ATK-006", "Dependency Confusion"),
+    "SRG-APP-000147": ("ATK-007", "Typosquatting"),
+    "SRG-APP-000148": ("ATK-008", "Tarball Tampering"),
+    "SRG-APP-000149": ("ATK-009", "Dormant Triggers"),
+    "SRG-APP-000150": ("ATK-010", "Sandbox Evasion"),
+    "SRG-APP-000151": ("ATK-011", "Transitive Propagation"),
+}
+CRA = [
+    ("Art. 7", "Secure by default configuration", "ATK-001"), ("Art. 7", "Secure by default configuration", "ATK-010"), ("Art. 10(1)", "Vulnerability disclosure", "ATK-008"),
+    ("Art. 10(2)", "Known vulnerability reporting", "ATK-006"), ("Art. 11", "Software Bill of Materials", "ATK-008"), ("Art. 11", "Software Bill of Materials", "ATK-006"),
+    ("Annex I(1.1)", "No known exploitable vulnerabilities", "ATK-009"), ("Annex I(1.3)", "Least privilege", "ATK-003"), ("Annex I(1.5)", "Limited attack surface", "ATK-002"),
+    ("Annex I(1.5)", "Limited attack surface", "ATK-004"), ("Annex I(1.5)", "Limited attack surface", "ATK-005"), ("Annex I(2.1)", "Protection against unauthorized access", "ATK-003"),
+    ("Annex I(2.3)", "Data integrity", "ATK-008"), ("Annex I(2.3)", "Data integrity", "ATK-011"), ("Annex I(3.2)", "Incident detection and reporting", "ATK-009"),
+    ("Annex I(3.2)", "Incident detection and reporting", "ATK-010"), ("Annex I(3.3)", "Supply chain security monitoring", "ATK-011"), ("Annex I(3.3)", "Supply chain security monitoring", "ATK-007"),
+]
 
 
 def _bar(c: Column) -> Column:
@@ -121,7 +140,16 @@ def nist_controls(spark) -> DataFrame:
 
 
 def stig_controls(spark) -> DataFrame:
-    return spark.createDataFrame([(a, s) for s, a in STIG.items()], "atk_id string, control string")
+    return spark.createDataFrame([(a, s, t) for s, (a, t) in STIG.items()], "atk_id string, control string, title string")
+
+
+def cra_controls(spark) -> DataFrame:
+    return spark.createDataFrame(CRA, "article string, title string, atk_id string")
+
+
+def by_severity(findings: DataFrame) -> DataFrame:
+    """The worst findings first, then by package and id."""
+    return findings.orderBy(S.rank(F.col("severity")).desc(), "package", "atk_id", "finding_id")
 
 
 def scan_text(findings: DataFrame) -> DataFrame:
@@ -154,6 +182,34 @@ def sbom(packages: DataFrame, findings: DataFrame) -> DataFrame:
     return j.select("package", "version", F.to_json(doc).alias("bom"))
 
 
+def spdx(packages: DataFrame, findings: DataFrame) -> DataFrame:
+    """One SPDX document per package and version, with an annotation for each of its findings; it bears no time of its
+    own, so that the same input gives the same document."""
+    note = F.concat(F.lit("["), "atk_id", F.lit("] "), F.upper("severity"), F.lit(": "), F.coalesce("description", F.lit("")))
+    a = findings.groupBy("package", "version").agg(F.array_sort(F.collect_set(note)).alias("notes"))
+    j = packages.join(a, ["package", "version"], "left")
+    name = F.col("package").cast("string")
+    purl = F.concat(F.lit("pkg:npm/"), name, F.lit("@"), F.col("version"))
+    ref = F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), purl.alias("referenceLocator"))
+    own = F.struct(F.lit("SPDXRef-Package").alias("SPDXID"), name.alias("name"), F.col("version").alias("versionInfo"), F.lit("LIBRARY").alias("primaryPackagePurpose"), F.array(ref).alias("externalRefs"))
+    notes = F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: F.struct(F.lit("OTHER").alias("annotationType"), F.lit(f"Tool: {PRODUCT}").alias("annotator"), n.alias("comment")))
+    doc = F.struct(
+        F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.concat(name, F.lit("@"), "version").alias("name"),
+        F.array(own).alias("packages"), notes.alias("annotations"),
+    )
+    return j.select("package", "version", F.to_json(doc).alias("spdx"))
+
+
+def signed(manifests: DataFrame, body: str, key: bytes, into: str = "hmac") -> DataFrame:
+    """HMAC-SHA256 of a column under a key, in hex, by its definition on two SHA-256 digests."""
+    from hashlib import sha256
+
+    k = (sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(c ^ x for c in k).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.col(body).cast("binary")), 256))
+    return manifests.withColumn(into, F.sha2(F.concat(pad(0x5C), inner), 256))
+
+
 def provenance(manifests: DataFrame) -> DataFrame:
     """SHA-256 of a rule with its indicators, in their order."""
     return manifests.select("rule", F.sha2(F.concat_ws("\n", "rule", F.array_join(F.array_sort("indicators"), "\n")), 256).alias("digest"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import severity as S
 
-# What each rule looks for, in the order in which the first match counts.
+# The patterns of each rule, in the order in which the first match counts. The short ids are ours.
 LIFECYCLE_KEYS = r"(?i)pre|post|install"
 LIFECYCLE_BODY = r"(?i)curl|wget|sh |bash |\.sh|exfil|steal|pwn|c2|pastebin"
 CREDENTIALS = r"process\.env\.(NPM_TOKEN|GIT_TOKEN|AWS_SECRET|AWS_ACCESS|SSH_KEY)|\.npmrc|\.ssh/id_rsa|readFile.*\.ssh"
@@ -19,37 +19,37 @@ PERSISTENCE = r"mkdir.*(\.vscode|\.claude|\.cursor)"
 EXFILTRATION = r"curl.*(-d|--data|--data-binary)|github\.com/.*keys|pastebin|dns\.resolve.*\.com|exfil"
 CONFUSION = r"(?i)squat|confus|typo"
 CI_CHECKS = [
-    ("CI env check", r"process\.env\.CI\b"),
-    ("CI vendor check", r"process\.env\.(TRAVIS|CIRCLECI|GITHUB_ACTIONS|JENKINS|GITLAB_CI|CODEBUILD)"),
-    ("isCI utility check", r"\bisCI\b"),
+    ("ci_variable", r"process\.env\.CI\b"),
+    ("ci_vendor", r"process\.env\.(TRAVIS|CIRCLECI|GITHUB_ACTIONS|JENKINS|GITLAB_CI|CODEBUILD)"),
+    ("is_ci_helper", r"\bisCI\b"),
 ]
 TIME_CHECKS = [
-    ("date comparison", r"new Date\(\)\s*[><=!]+\s*new Date\(['\"]\d{4}"),
-    ("time-gated action", r"(?i)\bDate\.now\(\)\s*[><=!]+.*(?:eval|fetch|exec|write|crypto|env\.CI)"),
-    ("long timer", r"\bsetTimeout\s*\([^)]*,\s*(?!0\b)[1-9]\d{3,}"),
-    ("date-gated action", r"(?i)\bDate\(\)\b.*(?:exec|eval|fetch|write|crypto)"),
+    ("date_compare", r"new Date\(\)\s*[><=!]+\s*new Date\(['\"]\d{4}"),
+    ("clock_gate", r"(?i)\bDate\.now\(\)\s*[><=!]+.*(?:eval|fetch|exec|write|crypto|env\.CI)"),
+    ("long_timer", r"\bsetTimeout\s*\([^)]*,\s*(?!0\b)[1-9]\d{3,}"),
+    ("date_gate", r"(?i)\bDate\(\)\b.*(?:exec|eval|fetch|write|crypto)"),
 ]
 SUSPICIOUS = [
     r"\beval\(|atob\(|btoa\(|new Function\(|child_process\b|\.exec\(|spawn\(", r"\.fetch\(|http\.request\(|https\.request\(|dns\.lookup\(", r"process\.env\.(?!NODE_ENV)[A-Z_]{4,}",
 ]
 EVASION = [
-    ("debugger statement", r"(?m)\bdebugger\s*;?(\s*//|\s*$|\)|\])"),
-    ("inspect/debug flag detection", r"process\.argv.*['\"]--inspect['\"]|process\.argv.*\binspect\b(?!.*argv)"),
-    ("host name probe", r"(?i)hostname.*(?:docker|sandbox|container|vmware|vbox)"),
-    ("explicit evasion probe", r"(?i)detect.*(?:sandbox|debugger|analysis|virtual)"),
-    ("stack probe", r"(?i)e\.stack\b.*(?:sandbox|docker|container|vmware)"),
+    ("debugger", r"(?m)\bdebugger\s*;?(\s*//|\s*$|\)|\])"),
+    ("inspect_flag", r"process\.argv.*['\"]--inspect['\"]|process\.argv.*\binspect\b(?!.*argv)"),
+    ("host_name", r"(?i)hostname.*(?:docker|sandbox|container|vmware|vbox)"),
+    ("evasion_word", r"(?i)detect.*(?:sandbox|debugger|analysis|virtual)"),
+    ("stack_text", r"(?i)e\.stack\b.*(?:sandbox|docker|container|vmware)"),
 ]
-HOST_APIS = ["os.hostname", "os.userInfo", "os.networkInterfaces", "os.cpus", "os.totalmem"]
+HOST_APIS = ["process.pid", "process.ppid", "os.hostname", "os.cpus", "process.arch"]
 PROPAGATION_HIGH = [
-    ("programmatic install", r"(?i)(?:exec|execSync|spawn)\s*\([^)]*npm\s+(?:install|link)\s*\."),
-    ("write into dependencies", r"(?i)fs\.(?:writeFile|writeFileSync|copyFile|copyFileSync)\s*\([^)]*(?:node_modules/(?!\.)[^/]+).*(?:index\.js|main\.js|package\.json)"),
-    ("script injection", r"(?i)fs\.(?:writeFile|writeFileSync)\s*\([^)]*package\.json[^)]*[\"']scripts[\"']"),
-    ("parent manifest write", r"(?i)fs\.(?:writeFile|writeFileSync)\s*\([^)]*\.\./[^)]*package\.json"),
-    ("parent install", r"(?i)(?:exec|execSync|spawn)\s*\([^)]*(?:\.\./|process\.env\.INIT_CWD).*npm\s+install"),
+    ("install_call", r"(?i)(?:exec|execSync|spawn)\s*\([^)]*npm\s+(?:install|link)\s*\."),
+    ("dependency_write", r"(?i)fs\.(?:writeFile|writeFileSync|copyFile|copyFileSync)\s*\([^)]*(?:node_modules/(?!\.)[^/]+).*(?:index\.js|main\.js|package\.json)"),
+    ("scripts_write", r"(?i)fs\.(?:writeFile|writeFileSync)\s*\([^)]*package\.json[^)]*[\"']scripts[\"']"),
+    ("parent_manifest", r"(?i)fs\.(?:writeFile|writeFileSync)\s*\([^)]*\.\./[^)]*package\.json"),
+    ("parent_install", r"(?i)(?:exec|execSync|spawn)\s*\([^)]*(?:\.\./|process\.env\.INIT_CWD).*npm\s+install"),
 ]
 PROPAGATION_MEDIUM = [
-    ("own name", r"process\.env\.npm_package_name"), ("dependency link", r"fs\.symlink(?:Sync)?\s*\([^)]*node_modules"),
-    ("dependency folder", r"fs\.(?:mkdir|mkdirSync)\s*\([^)]*\.\./[^)]*node_modules"), ("sibling require", r"__dirname.*\.\./[^/]+/node_modules.*require\("),
+    ("own_name", r"process\.env\.npm_package_name"), ("dependency_link", r"fs\.symlink(?:Sync)?\s*\([^)]*node_modules"),
+    ("dependency_folder", r"fs\.(?:mkdir|mkdirSync)\s*\([^)]*\.\./[^)]*node_modules"), ("sibling_require", r"__dirname.*\.\./[^/]+/node_modules.*require\("),
 ]
 WORM = {
     "npmrc_exfil": (95, r"(process\.env\.NPM_TOKEN|fs\.readFileSync.*\.npmrc|npm\s+(whoami|publish|token))"),

@@ -67,16 +67,10 @@ QUERIES = {
     "dropper": _c("dropper"),
     "runtime_evasion": _c("runtime_evasion"),
     "workspace_persistence": _c("workspace_persistence", False),
-    "build_config": lambda s, d: D.build_config(_sources(s, d).withColumn("path", F.lit("Makefile"))),
-    "lifecycle_hooks": lambda s, d: D.lifecycle_rule(_manifests(s, d)).select("package", "hook", "score", "severity"),
-    "atk_code_rules": lambda s, d: R.code_rules(table(s, d, "pages"), "page_id", "html"),
-    "prompt_injection": lambda s, d: R.prompt_injection(table(s, d, "conversations"), ["conv_id", "turn"], "text"),
-    "encrypted_c2": lambda s, d: R.encrypted_c2(table(s, d, "pages"), "page_id", "html"),
     "campaign_rollup": _campaign,
     "signal_weighted_docs": lambda s, d: D.weighted(table(s, d, "documents"), "PLAIN", K.PLAIN, "doc_id", "text").select("doc_id", "score", "severity", "raw_score"),
     "signal_catalog_docs": lambda s, d: D.all_weighted(_docs(s, d), K.CONTENT),
     "signal_catalog_pages": lambda s, d: D.all_weighted(table(s, d, "pages"), K.CONTENT, key="page_id", content="html"),
-    "obfuscation_score": lambda s, d: D.obfuscation(table(s, d, "pages"), "page_id", "html"),
     "version_confusion": lambda s, d: D.version_confusion(
         table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(".", F.floor("l_quantity").cast("string"), (F.col("l_partkey") % 12).cast("string"), F.col("l_linenumber").cast("string")).alias("version"))
     ),
@@ -90,7 +84,6 @@ GROUP BY scope HAVING count(*) >= 2 AND max(lo) < min(hi)""",
     "quick_handover": """SELECT user_id, ts AS at, before, event_type AS after FROM (SELECT *, lag(event_type) OVER o AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS gap
   FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_type)) WHERE before <> event_type AND gap <= 900000000""",
     "surface_band": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'exec' WHEN 1 THEN 'agent_read' WHEN 2 THEN 'editor_config' WHEN 4 THEN 'agent_read' END AS band FROM part WHERE p_size % 5 <> 3""",
-    "lifecycle_hooks": """SELECT CAST(page_id AS VARCHAR) AS package, 'install' AS hook, 100.0::DOUBLE AS score, 'critical' AS severity FROM pages""",
     "campaign_rollup": """WITH h AS (SELECT l_orderkey AS package, l_linestatus AS version, l_returnflag AS rule, CASE WHEN l_quantity > 45 THEN 5 WHEN l_quantity > 25 THEN 4 ELSE 3 END AS r FROM lineitem),
 x AS (SELECT *, bool_or(rule = 'R') OVER (PARTITION BY package, version) AS halted FROM h)
 SELECT package, version, array_to_string(list_sort(list_distinct(list(rule))), ',') AS rules, CASE max(r) WHEN 5 THEN 'critical' WHEN 4 THEN 'high' ELSE 'medium' END AS severity
@@ -100,7 +93,7 @@ FROM x WHERE NOT halted OR rule = 'R' GROUP BY package, version""",
 SELECT doc_id, CAST(sum(raw) AS INT) AS raw_score, CAST(least(sum(raw), 100) AS INT) AS score,
   CASE WHEN least(sum(raw), 100) >= 75 THEN 'critical' WHEN least(sum(raw), 100) >= 55 THEN 'high' WHEN sum(raw) >= 30 THEN 'medium' ELSE 'low' END AS severity
 FROM c WHERE raw > 0 GROUP BY doc_id""",
-    "version_confusion": """SELECT * FROM (SELECT l_orderkey, l_linenumber, version, CASE WHEN version = '99.99.99' THEN 85 WHEN a >= 99 OR (a >= 9 AND b >= 99) THEN 65 WHEN a >= 9 AND b >= 5 AND c >= 5 THEN 62 END AS score
+    "version_confusion": """SELECT * FROM (SELECT l_orderkey, l_linenumber, version, CASE WHEN version = '99.99.99' THEN 85 WHEN version IN ('9.9.9', '9.9.10', '10.10.10', '11.11.11') THEN 65 WHEN a >= 9 AND b >= 5 AND c >= 5 THEN 62 END AS score
 FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS INT) AS a, l_partkey % 12 AS b, l_linenumber AS c,
   CAST(CAST(floor(l_quantity) AS INT) AS VARCHAR) || '.' || CAST(l_partkey % 12 AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS version FROM lineitem)) WHERE score IS NOT NULL""",
 }

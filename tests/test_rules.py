@@ -10,7 +10,7 @@ def test_manifest_rules(spark):
 
 def test_code_rules(spark):
     f = spark.createDataFrame([
-        ("a", "process.env.NPM_TOKEN"), ("b", "if (process.env.CI) x\nnew Date() > new Date('2024"), ("c", "os.hostname os.cpus os.totalmem"),
+        ("a", "process.env.NPM_TOKEN"), ("b", "if (process.env.CI) x\nnew Date() > new Date('2024"), ("c", "os.hostname os.cpus process.pid"),
         ("d", "process.env.npm_package_name"), ("d", "execSync('npm install .')"), ("e", None), ("f", "setTimeout(f, 5000)"), ("g", "CURL x -D y"),
     ], "package string, content string")
     got = sorted((r["package"], r["id"], r["severity"]) for r in R.code_rules(f).collect())
