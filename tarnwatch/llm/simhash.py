@@ -23,8 +23,9 @@ second strongest in the two closest groups. Keys widen and tables become more wi
 (`file_plan`): texts that have nothing in common meet in a file `chance` times a text at most, however many there
 are, and of pairs at 0.8 itself `recall` meet in some file; the share rises with the similarity, and in a group of
 copies one link of several is enough. Texts of one shingle set are one node. Of each file neighbours in Gray order
-are verified first: the shingle sets are compared whole. Then all pairs of a file up to `most` of 256 bits apart
-that no verified links join so far are verified too.
+are verified first: the shingle sets are compared whole. Texts that then still have one of another group within
+`most` of 256 bits in some file form families by the files they share. A family is compared in one place, each member's
+set with all others at once, and only links that join groups leave it, never its pairs.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other;
 with fewer words than a shingle has, the whole sequence is the shingle; null ids are never the smallest;
@@ -325,71 +326,104 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _open_in_lists(rows: DataFrame, columns: list[str], most: int, least: float) -> DataFrame:
-    """columns: one or two lists of (name, label, size, word...) structs, to all pairs of different labels, at most
-    `most` bits apart, whose sizes allow the similarity."""
+def open_names(shared: DataFrame, labels: DataFrame, words: list[str], most: int, least: float, file_rows: int) -> DataFrame:
+    """shared (file, name, size, *words), labels (name, label) to the names, with label and size, that may have a
+    partner of another label: one at most `most` bits apart, and of fitting size, in some file. In a file of more than
+    file_rows names all may, if it has two labels. No pair leaves a file, only names do."""
+    labelled = written(shared.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")), "labelled")
+    sizes = labelled.groupBy("file").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = written(sizes.where("lo != hi").select("file", "n"), "open-files")
+    entry = F.struct("name", "label", "size", *words)
+    lists = labelled.join(sizes.where(F.col("n") <= file_rows).select("file"), "file").groupBy("file").agg(F.collect_list(entry).alias("x"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables, ends = [], []
-            for c in columns:
-                lists = batch.column(c)
-                tables.append(np.stack([f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten()], axis=1))
-                ends.append(np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))))
+            column = batch.column("x")
+            t = np.stack([f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()], axis=1)
+            ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+            open_ = np.zeros(len(t), bool)
             for k in range(batch.num_rows):
-                some = [t[e[k] : e[k + 1]] for t, e in zip(tables, ends, strict=True)]
-                x, y = some[0], some[-1]
-                step = max(1, (1 << 18) // max(1, len(y)))  # what is held at once does not grow with the lists
+                x = t[ends[k] : ends[k + 1]]
+                step = max(1, (1 << 18) // len(x))  # what is held at once does not grow with the list
                 for at in range(0, len(x), step):
                     top = x[at : at + step]
-                    ok = (top[:, None, 1] != y[None, :, 1]) & _sizes_allow(top[:, None, 2], y[None, :, 2], least)
-                    if len(columns) == 1:
-                        ok &= np.arange(at, at + len(top))[:, None] < np.arange(len(y))[None, :]
-                    i, j = np.nonzero(ok)
-                    near = np.bitwise_count((top[i, 3:] ^ y[j, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
-                    if near.any():
-                        yield _pair_batch(top[i[near], 0], y[j[near], 0])
+                    i, j = np.nonzero((top[:, None, 1] != x[None, :, 1]) & _sizes_allow(top[:, None, 2], x[None, :, 2], least))
+                    near = np.bitwise_count((top[i, 3:] ^ x[j, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+                    open_[ends[k] + at + i[near]] = True
+            found = np.unique(t[open_, :3], axis=0)
+            yield pa.RecordBatch.from_pydict({n: pa.array(found[:, c], pa.int64()) for c, n in enumerate(("name", "label", "size"))})
+
+    small = lists.mapInArrow(work, "name bigint, label bigint, size bigint")
+    crowded = labelled.join(sizes.where(F.col("n") > file_rows).select("file"), "file").select("name", "label", "size")
+    return small.unionByName(crowded).distinct()
+
+
+def _links_in_lists(rows: DataFrame, columns: list[str], least: float) -> DataFrame:
+    """columns: one or two lists of (name, label, shingles) structs. Links (a, b) of a similarity of `least` or more that
+    span the labels: inside one list, from all names not of its commonest label, or from one list to the other.
+
+    A name's shingles are marked among those of the list, and one sum over all the list's shingles gives what it
+    shares with every member; no pair is made. Only links leave, fewer than there are names."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                parts = [batch.column(c).slice(k, 1).flatten().flatten() for c in columns]
+                name, label = (np.concatenate([p[f].to_numpy(zero_copy_only=False) for p in parts]) for f in (0, 1))
+                sizes = np.concatenate([p[2].value_lengths().to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
+                inverse = np.unique(np.concatenate([p[2].flatten().to_numpy(zero_copy_only=False) for p in parts]), return_inverse=True)[1]
+                starts, ids = np.cumsum(sizes) - sizes, np.unique(label, return_inverse=True)[1]
+                if len(columns) == 1:
+                    seekers = np.flatnonzero(ids != np.bincount(ids).argmax())
+                else:
+                    seekers = np.arange(len(parts[0][0]))
+                root, mark = np.arange(ids.max() + 1), np.zeros(inverse.max() + 1, np.int32)
+                for x in seekers.tolist():
+                    own = inverse[starts[x] : starts[x] + sizes[x]]
+                    mark[own] = 1
+                    same = np.add.reduceat(mark[inverse], starts)
+                    mark[own] = 0
+                    for y in np.flatnonzero((same >= least * (sizes[x] + sizes - same)) & (root[ids] != root[ids[x]])).tolist():
+                        if (old := root[ids[y]]) != (new := root[ids[x]]):
+                            root[root == old] = new
+                            a.append(name[x])
+                            b.append(name[y])
+            yield _pair_batch(np.array(a, np.int64), np.array(b, np.int64))
 
     return rows.select(*columns).mapInArrow(work, "a bigint, b bigint")
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, words: list[str], most: int, least: float, file_rows: int, chunk_rows: int) -> DataFrame:
-    """shared (file, name, size, *words) and labels (name, label) to all pairs (a, b) of a file that are of
-    different labels and at most `most` bits apart. Pairs of one label are never made: a file of one label is left
-    out whole, and a crowded one is cut by label, so that pairs of chunks of one label are too."""
-    labelled = shared.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    labelled = written(labelled, "labelled")
-    sizes = labelled.groupBy("file").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    sizes = written(sizes.where("lo != hi").select("file", "n"), "open-files")
-    entry = F.struct("name", "label", "size", *words)
-    small = labelled.join(sizes.where(F.col("n") <= file_rows).select("file"), "file")
-    found = _open_in_lists(small.groupBy("file").agg(F.collect_list(entry).alias("x")), ["x"], most, least)
-    crowded = sizes.where(F.col("n") > file_rows)
-    total = crowded.agg(F.sum("n")).first()[0]
-    if not total:
-        return found.distinct()
-    # The name is in the key, so rows of one fingerprint can be cut apart.
-    large = labelled.join(crowded.select("file"), "file")
-    ordered = large.repartitionByRange(int(total // chunk_rows + 1), "file", "label", gray_rank_column(F.col(words[0])), "name")
-    cut = written(ordered.withColumn("chunk", F.spark_partition_id()), "file-chunks")
-    bounds = [f(w).alias(f"{n}_{w}") for w in words for n, f in (("ones", F.bit_and), ("any", F.bit_or))]
-    bounds += [F.min("label").alias("lo"), F.max("label").alias("hi")]
-    chunks = written(cut.groupBy("file", "chunk").agg(F.collect_list(entry).alias("x"), *bounds), "chunk-lists")
+def family_links(sets: DataFrame, least: float, most_work: float = 2e9) -> DataFrame:
+    """sets (family, name, label, shingles) to links that span, family by family, all pairs of different labels alike at
+    `least` or more.
+
+    A family's work is its names times its shingles. Where that is more than most_work, it is cut into chunks by label
+    and name, and each chunk meets each other that has another label as a row of its own, on all executors."""
+    n = F.size("shingles")
+    sizes = written(sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(n).alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi"), "families")
+    work = F.col("n").cast("double") * F.col("of")
+    entry = F.collect_list(F.struct("name", "label", "shingles")).alias("x")
+    small = sets.join(sizes.where(work <= most_work).select("family"), "family").groupBy("family").agg(entry)
+    found = _links_in_lists(small, ["x"], least)
+    large = sizes.where(work > most_work)
+    parts = large.agg(F.sum(F.ceil(F.sqrt(work / (most_work / 4))))).first()[0]
+    if not parts:
+        return found
+    # The name is in the key, so rows of one label can be cut apart.
+    dealt = sets.join(large.select("family"), "family").repartitionByRange(int(parts), "family", "label", "name")
+    cut = written(dealt.withColumn("chunk", F.spark_partition_id()), "family-chunks")
+    chunks = written(cut.groupBy("family", "chunk").agg(entry, F.min("label").alias("lo"), F.max("label").alias("hi")), "chunk-lists")
 
     def side(at: str) -> DataFrame:
-        return chunks.select("file", *[F.col(c).alias(f"{at}_{c}") for c in chunks.columns if c not in ("file", "x")])
+        return chunks.select("family", *[F.col(c).alias(f"{at}_{c}") for c in ("chunk", "lo", "hi")])
 
-    def sure(w: str, one: str, other: str):
-        return F.col(f"{one}_ones_{w}").bitwiseAND(F.bitwise_not(F.col(f"{other}_any_{w}")))
-
-    apart = sum((F.bit_count(sure(w, "l", "r").bitwiseOR(sure(w, "r", "l"))) for w in words), F.lit(0))
     differ = F.least("l_lo", "r_lo") != F.greatest("l_hi", "r_hi")
-    met = side("l").join(side("r"), "file").where((F.col("l_chunk") < F.col("r_chunk")) & (apart <= most) & differ)
-    met = met.select("file", "l_chunk", "r_chunk")
-    for at, x in (("l", "x"), ("r", "y")):
-        met = met.join(chunks.select("file", F.col("chunk").alias(f"{at}_chunk"), F.col("x").alias(x)), ["file", f"{at}_chunk"])
-    inner = _open_in_lists(chunks.where("lo != hi"), ["x"], most, least)
-    return found.unionByName(inner).unionByName(_open_in_lists(met, ["x", "y"], most, least)).distinct()
+    met = side("l").join(side("r"), "family").where((F.col("l_chunk") < F.col("r_chunk")) & differ).select("family", "l_chunk", "r_chunk")
+    for at, c in (("l", "x"), ("r", "y")):
+        met = met.join(chunks.select("family", F.col("chunk").alias(f"{at}_chunk"), F.col("x").alias(c)), ["family", f"{at}_chunk"])
+    inner = _links_in_lists(chunks.where("lo != hi"), ["x"], least)
+    return found.unionByName(inner).unionByName(_links_in_lists(met, ["x", "y"], least))
 
 
 def links(nodes: DataFrame, most: int = 3, file_rows: int = 2000, chunk_rows: int = 1000) -> DataFrame:
@@ -545,36 +579,40 @@ def near_copies(
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"name": pdf["name"], "shingles": [shingle_set(t, words).tobytes() for t in pdf["__text"]]})
+            yield pd.DataFrame({"name": pdf["name"], "shingles": [shingle_set(t, words).view(np.int64) for t in pdf["__text"]]})
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        """The shingle sets of so many names, by one text of each; no other text is read into sets."""
+        wanted = written(names.join(nodes.select("name", F.col("first.mix").alias("mix"), F.col("first.mix2").alias("mix2")), "name"), "near-names")
+        few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+        some = own.select("mix", "mix2", "__text").join(F.broadcast(wanted) if few else wanted, ["mix", "mix2"]).select("name", "__text")
+        return written(some.mapInPandas(sets, "name bigint, shingles array<bigint>").dropDuplicates(["name"]), "near-sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(same >= least * (len(x) + len(y) - same))
             yield pdf.loc[ok, ["a", "b"]]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs those alike, by the shingle sets of the texts in them, and of no other."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = written(wanted.join(nodes.select("name", F.col("first.mix").alias("mix"), F.col("first.mix2").alias("mix2")), "name"), "near-names")
-        few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-        some = own.select("mix", "mix2", "__text").join(F.broadcast(wanted) if few else wanted, ["mix", "mix2"]).select("name", "__text")
-        shingles = written(some.mapInPandas(sets, "name bigint, shingles binary").dropDuplicates(["name"]), "near-sets")
+    def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+        """Of the pairs those alike, by their shingle sets."""
         met = pairs.join(shingles.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
         met = met.join(shingles.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
         return met.mapInPandas(verify, "a bigint, b bigint")
 
-    # First neighbours are verified, which joins most of each group of copies by few pairs. Then every pair within
-    # the limit whose ends are not yet joined is: none is lost to a closer one that fails.
+    # First neighbours are verified, which joins most of each group of copies by few pairs. Names that may have further
+    # partners make families, by the files they share, and each family is compared whole: none is lost to a closer
+    # one that fails.
     near = written(neighbour_pairs(shared, columns, most, least), "near-pairs")
-    star = stars(verified(near))
-    others = open_pairs(shared, star.select(F.col("a").alias("name"), F.col("b").alias("label")), columns, most, least, file_rows, file_rows // 2)
-    others = written(others.join(near, ["a", "b"], "left_anti"), "open-pairs")
-    if not others.isEmpty():
-        star = stars(star.unionByName(verified(others)))
+    star = stars(verified(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("name")).distinct())))
+    names = written(open_names(shared, star.select(F.col("a").alias("name"), F.col("b").alias("label")), columns, most, least, file_rows), "open-names")
+    if not names.isEmpty():
+        meet = shared.join(names.select("name"), "name").select("file", "name")
+        families = stars(meet.join(meet.groupBy("file").agg(F.min("name").alias("b")), "file").select(F.col("name").alias("a"), "b"))
+        family = names.join(families, F.col("name") == F.col("a"), "left").select("name", "label", F.coalesce("b", "name").alias("family"))
+        star = stars(star.unionByName(family_links(sets_of(names.select("name")).where(F.size("shingles") > 0).join(family, "name"), least)))
     rooted = nodes.select("name", "__n", "first").join(star, F.col("name") == F.col("a"), "left")
     rooted = written(rooted.select("name", "__n", "first", F.coalesce("b", "name").alias("root")), "rooted")
     low = rooted.groupBy("root").agg(F.min("first").alias("low"))

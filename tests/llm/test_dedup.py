@@ -136,17 +136,35 @@ def test_dense_group_loses_no_pair_to_closer_ones_that_fail(make, prose):
     assert sum(len(x) for x in {r: within[r] for r in set(roots)}.values()) == len(set(got.values()))  # no wrong link
 
 
-def test_crowded_file_of_one_fingerprint_is_cut_up(spark):
-    # Names 0..39 are of one label, so no pair of them may be made; 40..59 are of their own.
-    rows = [(1, k, 100, 5, 5, 5, 5) for k in range(60)] + [(2, k, 100, 5, 5, 5, 5) for k in range(40)]
+@pytest.mark.parametrize("file_rows", [100, 20])
+def test_names_with_partners_elsewhere(spark, file_rows):
+    # Names 0..39 are of one label and one fingerprint, so none of them looks for another; 40..44 are of their own.
+    rows = [(1, k, 100, 5, 5, 5, 5) for k in range(45)] + [(2, k, 100, 5, 5, 5, 5) for k in range(40)] + [(3, 50, 100, -1, 5, -1, 5), (3, 51, 100, 5, 5, 5, 5)]
     words = ["w0", "w1", "w2", "w3"]
     shared = spark.createDataFrame(rows, "file long, name long, size long, w0 long, w1 long, w2 long, w3 long")
     labels = spark.createDataFrame([(k, 0) for k in range(1, 40)], "name long, label long")
-    got = simhash.open_pairs(shared, labels, words, 52, 0.8, 20, 15)
-    want = {(a, b) for b in range(40, 60) for a in range(b)}
-    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(want)
-    near = simhash.neighbour_pairs(shared, words, 52, 0.8).count()
-    assert 40 <= near <= 59
+    got = simhash.open_names(shared, labels, words, 52, 0.8, file_rows)
+    assert sorted(r["name"] for r in got.collect()) == list(range(45))  # 50 and 51 are too far apart
+    assert 43 <= simhash.neighbour_pairs(shared, words, 52, 0.8).count() <= 44
+
+
+@pytest.mark.parametrize("most_work", [2e9, 2e5])
+def test_families_join_all_that_are_alike(spark, most_work):
+    rng = random.Random(13)
+    template, sets = list(range(100)), []
+    for k in range(150):
+        own = set(template) if k % 3 else set(rng.sample(range(1000, 1400), 90))
+        for _ in range(rng.randint(0, 25)):
+            own.discard(rng.choice(template))
+            own.add(rng.randint(200, 600))
+        sets.append(sorted(own))
+    labels = [1 if k % 3 == 1 and k < 90 else k for k in range(150)]
+    rows = spark.createDataFrame([(k // 75, k, labels[k], s) for k, s in enumerate(sets)], "family long, name long, label long, shingles array<long>")
+    got = [(r["a"], r["b"]) for r in simhash.family_links(rows, 0.8, most_work).collect()]
+    alike = {(i, j) for j in range(150) for i in range(j) if i // 75 == j // 75 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    same = [(k, labels[k]) for k in range(150) if labels[k] != k]
+    assert len(alike) > 50 and set(got) <= alike and len(got) < (150 if most_work > 1e9 else 1500)
+    assert joined(150, same + got) == joined(150, same + sorted(alike))
 
 
 @pytest.mark.parametrize("texts", [200, 42_000, 10**6, 10**10])
