@@ -1,11 +1,12 @@
 """Exact dedup: a tree merge of sorted digest runs, by DataFrame operations alone.
 
-Every row falls into one of `leaves` runs by a hash of its id. A leaf run has, sorted by digest, one entry
-per distinct text of its rows: the identifier that stays so far, and how many rows it stands for. In each
-round `fan_in` neighbouring runs (fan_in = 2**k takes k binomial rounds at once) are exchanged and merged into
-one, until a single level holds the winner of each text. The winners then go down the same tree, level by
-level, to the rows. A text that a third of all rows have is one entry per run on every level, so no task ever
-gathers its rows: neither the merge nor the way back joins on the digest alone.
+Every row falls into one of `leaves` runs by a hash of its id. A leaf run has one entry per distinct text of its
+rows: the identifier that stays so far, and how many rows it stands for. In each round `fan_in` neighbouring runs
+(fan_in = 2**k takes k binomial rounds at once) are exchanged, dealt by digest, and merged: sorted by digest and
+identifier, entries of one text stand next to each other, at most one from each run, and the first of them, the
+identifier that stays, goes on with their sum. A single run at last holds the winner of each text. The winners then
+go down the same tree, level by level, to the rows. A text that a third of all rows have is one entry per run on
+every level, so no task ever gathers its rows: neither the merge nor the way back joins on the digest alone.
 
 Digests are SHA-256; length and a second 64-bit hash go along in every merge key, so that two texts are taken
 for equal only when all three agree ("verified" entries).
@@ -18,7 +19,7 @@ them); an empty table gives an empty result; other columns of the input are not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.llm.common import keep_rows, row_key, text_or_empty, written
@@ -39,11 +40,13 @@ def leaf_runs(docs: DataFrame, id_col: str, text_col: str, leaves: int) -> DataF
 
 
 def merge_level(runs: DataFrame, fan_in: int, keep: str) -> DataFrame:
-    """One exchange: fan_in neighbouring runs become one."""
-    best = F.max if keep == "largest" else F.min
-    return runs.groupBy((F.col("run") / fan_in).cast("int").alias("run"), *KEY).agg(
-        best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-    )
+    """fan_in neighbouring sorted runs become one: an exchange, a sort by digest, and one pass over what is sorted."""
+    id_ = F.col("keep_id")
+    one = Window.partitionBy("run", *KEY)
+    stays = one.orderBy(id_.desc_nulls_last() if keep == "largest" else id_.asc_nulls_last())
+    met = runs.withColumn("run", (F.col("run") / fan_in).cast("int"))
+    merged = met.withColumn("at", F.row_number().over(stays)).withColumn("total", F.sum("group_size").over(one))
+    return merged.where("at = 1").select("run", *KEY, "keep_id", F.col("total").alias("group_size"))
 
 
 def exact_groups(
