@@ -12,7 +12,8 @@ is laid out over `salts` keys, so that a host of a third of all captures meets m
 
 Defined results: null or malformed URLs have no host and are not blocked; null fetch times match no interval;
 entries with a null entry, action or time are left out; of changes at the same time a removal comes last, so it
-wins; repeated captures get the same result each; empty lists block nothing; an empty table gives an empty result.
+wins; repeated captures get the same result each; empty lists block nothing; an empty table gives an empty result;
+very long URLs count whole; further columns of captures are not touched and may have any name.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All a list entry may say of a URL: domains from the host up, and the host with each beginning of the path."""
+def keys_of(host: Column, path: Column, labels: int, depth: int) -> Column:
+    """All that list entries of so many domain labels and path steps at most may say of a URL: domains from the host
+    up, and the host with each beginning of the path."""
     parts = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    first = F.greatest(F.lit(1), F.size(parts) - F.lit(labels - 1))
+    domains = F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
+    last = F.least(F.size(steps), F.lit(depth))
     paths = F.when(
-        F.size(steps) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))),
+        last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))
     ).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(domains, paths))
 
@@ -62,7 +65,10 @@ def filter_urls(
     own = own.withColumn("__key", row_key("__id", F.coalesce(F.col("__url"), F.lit("")), F.coalesce(F.col("__at").cast("string"), F.lit(""))))
     own = own.withColumn("host", host_of(F.col("__url"))).withColumn("__path", F.regexp_extract("__url", PATH, 1))
     spans = written(intervals(entries), "list-intervals")
-    keyed = own.where("host IS NOT NULL").select("__key", "__at", F.explode(keys_of(F.col("host"), F.col("__path"))).alias("entry"))
+    # Keys deeper than any entry can't match; a URL of very many steps has no more keys than that.
+    deepest = spans.agg(F.max(F.size(F.split("entry", r"\."))), F.max(F.size(F.split("entry", "/")) - 1)).first()
+    labels, depth = (int(d or 1) for d in deepest)
+    keyed = own.where("host IS NOT NULL").select("__key", "__at", F.explode(keys_of(F.col("host"), F.col("__path"), labels, depth)).alias("entry"))
     held = (F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until")))
     if spans.limit(broadcast_rows + 1).count() <= broadcast_rows:
         met = keyed.join(F.broadcast(spans), "entry").where(held)
