@@ -52,6 +52,12 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def one_row_each(rows: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
+    """Of rows that share a key those of the smallest rest: what repeats ends before the exchange."""
+    least = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__least"))
+    return least.select(*key, *[F.col(f"__least.{c}").alias(c) for c in rest])
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

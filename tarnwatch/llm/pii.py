@@ -13,14 +13,16 @@ hashes of their ids), whose labels are the base spans, by gradient steps on the
 out at random so that the links get weight of their own.
 
 Defined results: null text counts as empty and has no spans; texts are read whole, whatever their length, in time
-linear in it; base spans always stay; without any base span in the sample nothing is added; repeated rows get the
-same result.
+linear in it and some hundred bytes for each token; base spans always stay; where spans of several kinds cover a token
+the one that begins first is its label; without any base span in the sample nothing is added; repeated rows get the
+same result; further columns are not touched and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import ship, text_or_empty
+from tarnwatch.llm.common import one_row_each, ship, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -86,20 +88,19 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
+def tokens(text: str) -> Iterator[tuple[int, int]]:
     """Tokens that hold a digit or an @."""
-    out, at = [], 0
+    at = 0
     for m in iter(lambda: _MARK.search(text, at), None):
         begin = m.start()
         while begin > at and _TOKEN.fullmatch(text, begin - 1, begin):
             begin -= 1
         at = max(_TOKEN.match(text, m.start()).end(), m.end())
-        out.append((begin, at))
-    return out
+        yield begin, at
 
 
 def shape(token: str) -> str:
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", token[:64]))
+    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", token))
 
 
 def features(text: str, begin: int, end: int, size: int) -> list[int]:
@@ -129,36 +130,47 @@ def keys(token: str) -> list[str]:
 
 
 class Graph:
-    """Nodes and links of many documents at once."""
+    """Nodes and links of many documents at once, in arrays: some hundred bytes a token, however long a text is."""
 
     def __init__(self, texts: list[str], spans: list[list[Span]], size: int):
-        self.of, self.at, feats, observed, near, skip = [], [], [], [], [], []
+        from xxhash import xxh64_intdigest
+
+        of, at, feats, observed, near, alike, skip = (array(c) for c in "iqHBiQi")
+        pairs: list[np.ndarray] = []
         for d, text in enumerate(texts):
-            seen: dict[str, int] = {}
             last = None
             own = iter(sorted((a, b, k) for k, a, b in spans[d]))
             covering: list[tuple[int, int, int]] = []
             following = next(own, None)
             for a, b in tokens(text):
-                n = len(self.of)
+                n = len(of)
                 while following and following[0] < b:
                     covering.append(following)
                     following = next(own, None)
                 covering = [s for s in covering if s[1] > a]
-                self.of.append(d)
-                self.at.append((a, b))
-                feats.append(features(text, a, b, size))
+                of.append(d)
+                at.extend((a, b))
+                feats.extend(features(text, a, b, size))
                 observed.append(covering[0][2] + 1 if covering else 0)
                 if last is not None and a - last[1] <= 3:
-                    near.append((last[0], n))
+                    near.extend((last[0], n))
                 for key in keys(text[a:b]):
-                    if key in seen:
-                        skip.append((seen[key], n))
-                    seen[key] = n
+                    alike.append(xxh64_intdigest(key.encode("utf-8", "surrogatepass")))
+                    skip.append(n)
                 last = (n, b)
-        self.features = np.array(feats, np.int64).reshape(len(feats), FEATURES)
+            if len(skip):
+                # Tokens alike stand in order once sorted; each is linked to the next of its kind.
+                key, node = np.array(alike, np.uint64), np.array(skip, np.int32)
+                order = np.lexsort((node, key))
+                key, node = key[order], node[order]
+                same = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+                pairs.append(np.stack((node[same], node[same + 1]), axis=1))
+                del alike[:], skip[:]
+        self.of, self.at = np.array(of, np.int32), np.array(at, np.int64).reshape(-1, 2)
+        self.features = np.array(feats, np.uint16).reshape(-1, FEATURES)
         self.observed = np.array(observed, np.int64)
-        self.links = [np.array(sorted(set(x)), np.int64).reshape(-1, 2) for x in (near, skip)]
+        skips = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int32)
+        self.links = [np.array(near, np.int32).reshape(-1, 2), skips]
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
@@ -200,40 +212,43 @@ class Field:
                 self.link[k] += rate * (t / n - 1e-3 * (self.link[k] - self.prior[k]))
         self.trained = True
 
-    def beliefs(self, g: Graph, least_rounds: int = 100, damping: float = 0.5, still: float = 1e-6) -> np.ndarray:
+    def beliefs(self, g: Graph, least_rounds: int = 100, damping: float = 0.5, still: float = 1e-6, block: int = 1 << 15) -> np.ndarray:
         """Label probabilities of all nodes when messages have settled. Damped, a message takes some two rounds a
         link, so a document has least_rounds and four for each of its tokens; its messages stop once they are still."""
-        theta = self.node[g.features].sum(axis=1)
+        theta = np.concatenate([np.zeros((0, self.labels)), *(self.node[g.features[k : k + block]].sum(axis=1) for k in range(0, len(g.features), block))])
         fixed = g.observed > 0
         theta[fixed] = np.where(np.eye(self.labels)[g.observed[fixed]] > 0, 0.0, -30.0)
+        # Messages of one kind of link and one way stand together; `back` is how far off the one the other way is.
+        ways, begin = [], 0
+        for t, links in zip(self.link, g.links, strict=True):
+            n = len(links)
+            ways += [(begin, begin + n, t, n), (begin + n, begin + 2 * n, t.T, -n)]
+            begin += 2 * n
         src = np.concatenate([x for links in g.links for x in (links[:, 0], links[:, 1])])
         dst = np.concatenate([x for links in g.links for x in (links[:, 1], links[:, 0])])
-        pot = np.concatenate([np.repeat(p[None], len(links), axis=0) for t, links in zip(self.link, g.links, strict=True) for p in (t, t.T)])
-        back, at = np.zeros(len(src), np.int64), 0
-        for links in g.links:
-            n = len(links)
-            back[at : at + n], back[at + n : at + 2 * n] = np.arange(at + n, at + 2 * n), np.arange(at, at + n)
-            at += 2 * n
         msg = np.zeros((len(src), self.labels))
-        of = np.array(g.of, np.int64)
-        bound = least_rounds + 4 * np.bincount(of)
-        live, done = np.arange(len(src)), 0
+        bound = least_rounds + 4 * np.bincount(g.of)
+        live, done = np.arange(len(src), dtype=np.int32), 0
         while len(live):
             # Documents are apart from each other: only messages of those not yet settled are sent again.
-            s, d = src[live], dst[live]
-            nodes, place = np.unique(np.concatenate((s, d)), return_inverse=True)
-            ps, pd_ = place[: len(s)], place[len(s) :]
-            into = theta[nodes]
-            np.add.at(into, pd_, msg[live])
-            z = (into[ps] - msg[back[live]])[:, :, None] + pot[live]
-            top = z.max(axis=1, keepdims=True)
-            new = _normal((top + np.log(np.exp(z - top).sum(axis=1, keepdims=True)))[:, 0, :])
-            moved = np.abs(new - msg[live]).max(axis=1)
-            msg[live] = damping * msg[live] + (1 - damping) * new
+            into, new, most = theta.copy(), np.empty((len(live), self.labels)), np.zeros(len(bound))
+            for k in range(0, len(live), block):
+                e = live[k : k + block]
+                np.add.at(into, dst[e], msg[e])
+            for first, end, pot, back in ways:
+                lo, hi = np.searchsorted(live, (first, end))
+                for k in range(lo, hi, block):
+                    e = live[k : min(k + block, hi)]
+                    z = (into[src[e]] - msg[e + back])[:, :, None] + pot
+                    top = z.max(axis=1, keepdims=True)
+                    got = _normal((top + np.log(np.exp(z - top).sum(axis=1, keepdims=True)))[:, 0, :])
+                    np.maximum.at(most, g.of[src[e]], np.abs(got - msg[e]).max(axis=1))
+                    new[k : k + len(e)] = got
+            for k in range(0, len(live), block):
+                e = live[k : k + block]
+                msg[e] = damping * msg[e] + (1 - damping) * new[k : k + block]
             done += 1
-            most = np.zeros(len(bound))
-            np.maximum.at(most, of[s], moved)
-            live = live[((most > still) & (done < bound))[of[s]]]
+            live = live[((most > still) & (done < bound))[g.of[src[live]]]]
         np.add.at(theta, dst, msg)
         return np.exp(_normal(theta))
 
@@ -249,7 +264,7 @@ class Field:
         p = self.beliefs(g)
         best = p[:, 1:].argmax(axis=1)
         for n in np.flatnonzero((g.observed == 0) & (p[:, 1:].max(axis=1) >= least)).tolist():
-            d, (a, b), kind = g.of[n], g.at[n], int(best[n])
+            d, (a, b), kind = int(g.of[n]), g.at[n].tolist(), int(best[n])
             while b > a and texts[d][b - 1] in ".!?)]":
                 b -= 1
             if b <= a:
@@ -272,7 +287,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", example
     marked = docs.where(likely).select(F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__h"))
     few = marked.orderBy("__h", "__id").limit(examples).distinct()
     texts = docs.where(likely).select(F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__h"), F.col(text_col).alias("__text"))
-    sample = texts.join(F.broadcast(few.select("__h")), "__h", "left_semi")  # at most `examples` rows
+    sample = texts.join(F.broadcast(few.select("__h")), "__h", "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Only what lies around tokens is needed: it goes to the driver, whole texts don't. Slices that meet are one."""
@@ -290,7 +305,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", example
                 out.append("\n".join(t[a:b] for a, b in kept))
             yield pdf[["__h"]].assign(around=out)
 
-    got = sample.mapInPandas(cut, "__h bigint, around string").toPandas().sort_values(["__h", "around"], kind="stable")
+    cuts = one_row_each(sample.mapInPandas(cut, "__h bigint, around string"), ["__h"], ["around"])
+    got = cuts.toPandas().sort_values("__h", kind="stable")  # at most `examples` rows
     texts_ = [t for t in got["around"].tolist() if t]
     field = Field(size)
     if texts_:
