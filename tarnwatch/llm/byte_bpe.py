@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tarnwatch.llm.common import ship, text_or_empty
 
 _FIRST = 0xF0000  # the first private-use character: token 0
-_POS = 1 << 22
+_POS = 1 << 40  # rank and position share 64 bits
 
 #: Of each pair the merge table has `key`: its rank, and whether it may be made everywhere at once.
 ENCODE = f"""

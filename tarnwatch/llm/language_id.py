@@ -3,7 +3,8 @@
 A text's subwords are its byte n-grams (`sizes`), lower-cased, letters and single spaces only, so that they know
 where words begin and end; each is hashed to one of `buckets` embeddings. Their average goes through a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample
-of labelled texts (`examples`, those of the smallest hashes of their ids, evenly over languages as far as there are).
+of labelled texts (`examples`, those of the smallest hashes of their ids, evenly over languages as far as there are,
+two of each language at least, however many languages).
 A part of the sample is held back to calibrate: a temperature makes scores probabilities, and texts whose score
 falls below the `reject` quantile of that part are marked as rejected.
 
@@ -11,7 +12,9 @@ Scoring needs one number per bucket and language, the embedding times the softma
 
 Defined results: null texts and texts without a letter are `und` with score 0, rejected; short texts get a
 prediction from what they have; without labelled rows every text is `und`; with a single language in the sample that
-language is predicted for all; ties go to the language first in code point order; repeated rows score alike.
+language is predicted for all; ties go to the language first in code point order; repeated rows score alike, and
+of rows that share an id only the one of the smallest language, then text, is learned; very long texts are read whole,
+in blocks; further columns are not touched and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import ship
+from tarnwatch.llm.common import one_row_each, ship, written
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -112,17 +115,19 @@ def fit(
     marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learn)
     # Only ids and languages take part in the choice; the texts of those chosen follow.
     thin = marked.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(F.col(id_col)).alias("__h"))
-    langs = thin.groupBy("__lang").count().orderBy(F.col("count").desc(), "__lang").limit(1000).collect()
-    if not langs:
+    langs = written(thin.groupBy("__lang").agg(F.count("*").alias("__of")), "languages")
+    known = langs.count()
+    if not known:
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 1.0)
-    each = max(2, examples // len(langs))
+    each = max(2, examples // known)
     # A share of each language a little above what is needed, cut to the number: no window over all rows.
-    share = F.coalesce(*[F.when(F.col("__lang") == r["__lang"], F.lit(min(1.0, 1.5 * each / r["count"] + 30 / r["count"]))) for r in langs])
-    drawn = thin.where(F.pmod("__h", F.lit(1 << 30)) < share * (1 << 30))
+    drawn = thin.join(F.broadcast(langs) if known <= 10_000 else langs, "__lang")
+    drawn = drawn.where(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), (1.5 * each + 30) / F.col("__of")) * (1 << 30))
     first = Window.partitionBy("__lang").orderBy("__h", "__id")
-    few = drawn.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= each).select("__id", "__lang")
+    few = drawn.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= each).select("__id", "__lang").distinct()
     texts = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    sample = texts.join(F.broadcast(few.distinct()), ["__id", "__lang"])  # at most `examples` ids
+    sample = texts.join(F.broadcast(few), ["__id", "__lang"])  # at most `each` ids a language
+    sample = one_row_each(sample, ["__id"], ["__lang", "__text"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,7 +137,7 @@ def fit(
 
     kind = sample.schema["__id"].dataType.simpleString()
     got = sample.mapInPandas(features, f"__id {kind}, __lang string, x binary").toPandas()  # examples * buckets floats
-    got = got.drop_duplicates("__id").sort_values("__id", kind="stable")
+    got = got.sort_values("__id", kind="stable")
     if not len(got):
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 1.0)
     names = sorted(got["__lang"].unique())

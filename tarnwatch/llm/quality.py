@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import ship, text_or_empty
+from tarnwatch.llm.common import one_row_each, ship, text_or_empty
 
 _WORD = re.compile(r"\S+")
 
@@ -170,7 +170,7 @@ def fit(
     own = docs.select(
         F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"), F.col(source_col).alias("__source"), F.col(lang_col).alias("__lang")
     )
-    sample = own.join(F.broadcast(few), "__id")  # at most labelled + unlabelled rows
+    sample = one_row_each(own.join(F.broadcast(few), "__id"), ["__id"], ["__label", "__text", "__source", "__lang"])
     kind = sample.schema["__id"].dataType.simpleString()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,8 +179,8 @@ def fit(
             m = [metadata_features(*r).astype("<f4").tobytes() for r in _plain(pdf)]
             yield pdf[["__id", "__label"]].assign(c=c, m=m)
 
-    got = sample.mapInPandas(features, f"__id {kind}, __label double, c binary, m binary").toPandas()
-    got = got.drop_duplicates("__id").sort_values("__id", kind="stable")
+    got = sample.mapInPandas(features, f"__id {kind}, __label double, c binary, m binary").toPandas()  # at most labelled + unlabelled rows
+    got = got.sort_values("__id", kind="stable")
     y = got["__label"].to_numpy(float)
     if not (y >= 0).any() or len(set(y[y >= 0])) < 2:
         return Model(float(y[y >= 0].mean()) if (y >= 0).any() else 1.0, buckets)

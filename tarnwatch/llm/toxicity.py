@@ -16,7 +16,7 @@ nearest examples come along as evidence.
 Defined results: null text counts as empty; a text without known terms has no neighbours and gets the
 calibrated score of such examples; without any labelled row, or with rows of one label only, every score is the
 base rate (0 without rows); labels that contradict each other count as toxic, null labels as none; repeated rows
-score alike; other columns of the input are not touched.
+score alike, and of rows that share an id only the one of the smallest text is an example; other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import ship, text_or_empty
+from tarnwatch.llm.common import one_row_each, ship, text_or_empty
 
 _WORD = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6)
@@ -181,7 +181,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     ids = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
     few = marked.join(ids, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(examples)
     text = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
-    return text.join(F.broadcast(few), "__id")  # at most `examples` rows of two numbers
+    # few has at most `examples` rows of two numbers; so many rows come of the join.
+    return one_row_each(text.join(F.broadcast(few), "__id"), ["__id"], ["__label", "__text"])
 
 
 def fit(
