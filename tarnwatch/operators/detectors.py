@@ -175,11 +175,21 @@ def metadata_spoof(packages: DataFrame) -> DataFrame:
     return packages.select("package", score.alias("score")).where("score IS NOT NULL")
 
 
+def platform_stem(path: Column) -> Column:
+    """A path without what names a platform at its end."""
+    return F.regexp_replace(path, r"[-_.]?(linux|darwin|win32|macos|windows|x64|arm64|ia32)+.*$", "")
+
+
+def platform_groups(files: DataFrame) -> DataFrame:
+    """Base names that a package has for two platforms or more."""
+    g = files.groupBy("package", platform_stem(F.col("path")).alias("stem")).agg(F.countDistinct("path").alias("variants"))
+    return g.where("variants >= 2")
+
+
 def binary_embed(files: DataFrame) -> DataFrame:
     """files (package, path, bytes, declared, invoked): executables by their first bytes, scored 50 to 100."""
     kind = T.magic(F.col("bytes"))
-    stem = F.regexp_replace("path", r"[-_.]?(linux|darwin|win32|macos|windows|x64|arm64|ia32)+.*$", "")
-    f = files.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("stem", stem)
+    f = files.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("stem", platform_stem(F.col("path")))
     score = F.when(F.col("kind") == "wasm", 60).otherwise(95)
     g = f.groupBy("package", "stem").agg(F.max(score).alias("base"), F.count("*").alias("n"), F.max(F.col("path").rlike(r"(^|/)bin/").cast("int")).alias("bin"), F.min(F.col("declared").cast("int")).alias("declared"), F.max(F.col("invoked").cast("int")).alias("invoked"))
     total = F.col("base") + F.when(F.col("n") >= 2, 25).otherwise(0) + F.col("bin") * 15 + (1 - F.col("declared")) * 50 + F.col("invoked") * 25

@@ -35,23 +35,39 @@ def by_time(events: DataFrame, windows: DataFrame, key: str, ts: str) -> DataFra
     return j.where((F.col(ts) >= F.col("from")) & (F.col("until").isNull() | (F.col(ts) <= F.col("until"))))
 
 
-def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, most_short: int = 10_000) -> DataFrame:
-    """Documents that contain a needle. A needle of seven words or more meets the texts that have its second to sixth
-    word in a row, and is then tested; its first and last may be parts of words in the text. Shorter ones are a list
-    of checked size, tested against each text."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    five = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
-    n = needles.select(needle_key, F.col(needle).alias("__n"), words(F.col(needle)).alias("__w")).where("__n IS NOT NULL")
-    d = docs.select(key, F.col(text).alias("__t")).where("__t IS NOT NULL")
-    long = n.where("size(__w) > 6").select(needle_key, "__n", five(F.col("__w"), F.lit(2)).alias("__k"))
-    keyed = d.select(key, words(F.col("__t")).alias("__w")).where("size(__w) >= 5")
-    keyed = keyed.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - 4), lambda i: five(F.col("__w"), i)))).alias("__k"))
-    met = keyed.join(sized(long), "__k").select(key, needle_key, "__n").distinct()
-    found = met.join(d, key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()
-    short = n.where("size(__w) <= 6").select(needle_key, "__n")
-    count = short.limit(most_short + 1).count()
-    if count > most_short:
-        raise ValueError("too many needles of few words for a list that goes to every task")
-    if not count:
-        return found
-    return found.unionByName(d.join(F.broadcast(short), F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key)).distinct()
+#: Runs of words that needles are met by: the longest a needle has of its own, without its first and last word, which
+#: may be parts of words in a text.
+RUNS = (5, 3, 2, 1)
+
+
+def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
+    """Documents that contain a needle, by an equi-join on hashed runs of words; each meeting is then tested whole.
+
+    A needle of seven words or more is met by its second to sixth word, shorter ones by three, two or one word between
+    their first and last. Needles with no such word (one or two words, or none) are met by four characters from their
+    middle, the shortest by what they have. Texts are read twice: for their runs, and, those met, for the test."""
+    words = lambda c: F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
+    n = needles.select(needle_key, F.col(needle).alias("__n")).where("__n IS NOT NULL AND __n <> ''").withColumn("__w", words(F.col("__n")))
+    inner = F.size("__w") - 2
+    width = F.coalesce(*[F.when(inner >= r, F.lit(r)) for r in RUNS], F.lit(0))
+    chars = F.least(F.length("__n"), F.lit(4))
+    middle = F.substring(F.col("__n"), ((F.length("__n") - chars) / 2).cast("int") + 1, chars)
+    run = F.xxhash64(F.when(width > 0, F.array_join(F.slice("__w", F.lit(2), width), " ")).otherwise(middle))
+    n = n.select(needle_key, "__n", F.when(width > 0, width).otherwise(-chars).alias("__r"), run.alias("__k"))
+    kinds = sorted(r["__r"] for r in n.select("__r").distinct().collect())  # eight at most
+    d = docs.select(key, F.col(text).alias("__t")).where("__t IS NOT NULL AND __t <> ''")
+    if not kinds:
+        return d.select(key).join(n.select(needle_key), F.lit(False))
+
+    def runs(r: int) -> Column:
+        last = (F.size("__w") if r > 0 else F.length("__t")) - (abs(r) - 1)
+        one = (lambda i: F.xxhash64(F.array_join(F.slice("__w", i, r), " "))) if r > 0 else (lambda i: F.xxhash64(F.substring(F.col("__t"), i, F.lit(-r))))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), one)).otherwise(F.array().cast("array<bigint>"))
+
+    met = None
+    for r in kinds:
+        keyed = d.withColumn("__w", words(F.col("__t"))) if r > 0 else d
+        keyed = keyed.select(key, F.explode(F.array_distinct(runs(r))).alias("__k"))
+        own = keyed.join(sized(n.where(F.col("__r") == r).select(needle_key, "__n", "__k")), "__k").select(key, needle_key, "__n")
+        met = own if met is None else met.unionByName(own)
+    return d.join(sized(met.distinct()), key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()

@@ -41,7 +41,7 @@ def hidden_payload(files: DataFrame, packages: DataFrame) -> DataFrame:
         F.when(hit, F.struct(F.lit(n).alias("kind"), F.lit(s).alias("severity"), T.line_of(c, p).alias("line"))) for n, s, p, hit in kinds
     ])
     host = T.first_host(c)
-    f = files.withColumn("found", found).where("found IS NOT NULL").select(
+    f = files.select("package", "path", "content", F.explode(F.array_compact(F.array(found))).alias("found")).select(
         "package", "path", "found.*", T.encoding_type(c).alias("encoding_type"), T.decode_preview(c).alias("decoded_preview"), host.alias("url_domain"),
         T.is_safe_domain(host).alias("is_known_safe_domain"), T.is_dist_build(path).alias("is_dist_build"), T.is_test_fixture(path).alias("is_test_fixture"),
     )

@@ -11,12 +11,11 @@ from tarnwatch.functions import severity as S
 def package_risk(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """Per package of the completed scans: findings, severe findings, their ids, last scan.
 
-    findings are summed per scan before the join, so the join carries one row per scan."""
-    per_scan = findings.groupBy("scan_id").agg(
-        F.countDistinct("finding_id").alias("n"),
-        F.countDistinct(F.when(F.col("severity").isin("high", "critical"), F.col("finding_id"))).alias("severe"),
-        F.collect_set("atk_id").alias("ids"),
-    )
+    findings are summed per scan before the join, so the join carries one row per scan. Rows that repeat a finding_id
+    count once: they are put together by scan and id, in the exchange that the sums need."""
+    severe = F.max(F.col("severity").isin("high", "critical").cast("int"))
+    once = findings.groupBy("scan_id", "finding_id").agg(severe.alias("severe"), F.collect_set("atk_id").alias("ids"))
+    per_scan = once.groupBy("scan_id").agg(F.count("finding_id").alias("n"), F.sum("severe").alias("severe"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     return (
         scans.where("status = 'completed'")
         .join(per_scan, "scan_id", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,11 +86,21 @@ def jaro_winkler_best(names: DataFrame, targets: DataFrame, least: float = 0.82,
     if len(known) > most_targets:
         raise ValueError("too many targets for a list that goes to every task")
 
+    def counts(name: str) -> np.ndarray:
+        return np.bincount([ord(c) % 64 for c in name.lower()], minlength=64)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.array([counts(t) for t in known]).reshape(len(known), 64)
+        length = table.sum(axis=1)
         for pdf in batches:
             out = []
             for n in pdf["name"]:
-                best = max(((round(jaro_winkler(n.lower(), t.lower()), 6), t) for t in known if t.lower() != n.lower()), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=None)
+                # No more characters can match than the two have in common, so most targets fall away at once.
+                own = counts(n)
+                common = np.minimum(table, own).sum(axis=1)
+                jaro = (common / np.maximum(length, 1) + common / max(len(n), 1) + 1) / 3
+                near = np.flatnonzero(jaro + 0.4 * (1 - jaro) >= least - 1e-6)
+                best = max(((round(jaro_winkler(n.lower(), known[k].lower()), 6), known[k]) for k in near.tolist() if known[k].lower() != n.lower()), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=None)
                 if best and best[0] >= least:
                     out.append((n, best[1], best[0]))
             yield pd.DataFrame(out, columns=["name", "target", "score"])

@@ -158,7 +158,18 @@ def neighbours(lines: DataFrame, key: str, at: str, anchor: Column, near: Column
 
 
 def cache_prune(entries: DataFrame, size: str, ts: str, tie: str, limit: float, keep_share: float = 0.8) -> DataFrame:
-    """Which cache entries stay when the oldest go until the rest fits into a share of the limit."""
-    newest = Window.orderBy(F.col(ts).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(size).over(Window.partitionBy())
-    return entries.withColumn("running", F.sum(size).over(newest)).withColumn("stays", (total <= limit) | (F.col("running") <= limit * keep_share))
+    """Which cache entries stay when the oldest go until the rest fits into a share of the limit.
+
+    A running sum over all entries, in range partitions: each sums its own, and the sums of those before it, one row a
+    partition, are added. The number of partitions is given, so that both passes see the same ones."""
+    order = [F.col(ts).desc(), F.col(tie).desc()]
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Ranges do not overlap, so the place of a partition's first row tells its place among the partitions.
+    own = dealt.withColumns({"__run": F.sum(size).over(inside)})
+    sums = own.groupBy("__part").agg(F.sum(size).alias("__sum"), F.max(F.struct(ts, tie)).alias("__first"))
+    before = Window.orderBy(F.col("__first").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__off"), F.sum("__sum").over(Window.partitionBy()).alias("__all"))
+    j = own.join(F.broadcast(offsets), "__part").withColumn("running", F.col("__run") + F.col("__off"))
+    return j.withColumn("stays", (F.col("__all") <= limit) | (F.col("running") <= limit * keep_share)).drop("__part", "__run", "__off", "__all")

@@ -12,10 +12,6 @@ from tarnwatch.operators import windows as W
 from tarnwatch.sources.tables import table
 
 
-def _docs(s, d):
-    return table(s, d, "documents").select(F.col("source").alias("package"), F.col("text").alias("content"))
-
-
 def _campaign(s, d):
     """Line items as rule hits: the return flag is the rule, the order the package."""
     l = table(s, d, "lineitem")
@@ -44,33 +40,13 @@ def _surfaces(s, d):
     return table(s, d, "part").select("p_partkey", surface_band(folder).alias("band")).where("band IS NOT NULL")
 
 
-def _sources(s, d):
-    return table(s, d, "pages").select(F.col("page_id").cast("string").alias("package"), F.lit("index.js").alias("path"), F.col("html").alias("content"))
-
-
-def _manifests(s, d):
-    return table(s, d, "pages").select(F.col("page_id").cast("string").alias("package"), F.create_map(F.lit("install"), F.col("url")).alias("scripts"), F.lit(None).cast("string").alias("main"))
-
-
-def _c(name, two=True):
-    from tarnwatch.operators import code_facts
-
-    f = getattr(code_facts, name)
-    return (lambda s, d: f(_sources(s, d), _manifests(s, d))) if two else (lambda s, d: f(_sources(s, d)))
-
-
 QUERIES = {
     "sibling_overlap": _siblings,
     "version_blocklist": _blocked,
     "quick_handover": lambda s, d: G.quick_handover(table(s, d, "events"), "user_id", "ts", "event_type", 15 * W.MINUTE),
     "surface_band": _surfaces,
-    "dropper": _c("dropper"),
-    "runtime_evasion": _c("runtime_evasion"),
-    "workspace_persistence": _c("workspace_persistence", False),
     "campaign_rollup": _campaign,
     "signal_weighted_docs": lambda s, d: D.weighted(table(s, d, "documents"), "PLAIN", K.PLAIN, "doc_id", "text").select("doc_id", "score", "severity", "raw_score"),
-    "signal_catalog_docs": lambda s, d: D.all_weighted(_docs(s, d), K.CONTENT),
-    "signal_catalog_pages": lambda s, d: D.all_weighted(table(s, d, "pages"), K.CONTENT, key="page_id", content="html"),
     "version_confusion": lambda s, d: D.version_confusion(
         table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(".", F.floor("l_quantity").cast("string"), (F.col("l_partkey") % 12).cast("string"), F.col("l_linenumber").cast("string")).alias("version"))
     ),

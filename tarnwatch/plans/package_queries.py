@@ -29,7 +29,7 @@ def _plain(pattern: str) -> str:
     return pattern
 
 
-def _catalog_sql() -> str:
+def _catalog_sql(given: str | None = None) -> str:
     """Each signal per file or script, summed (or found) per package, weighed and banded."""
     counts, found = [], []
     for d, (name, det) in enumerate(K.CONTENT.items()):
@@ -47,9 +47,10 @@ def _catalog_sql() -> str:
             total.append(f"x{d}_{k} * {weight}")
             fired.append(f"CASE WHEN x{d}_{k} > 0 THEN '{signal}' END")
         found.append(f"SELECT package, '{name}' AS detector, {' + '.join(total)} AS raw, concat_ws(',', {', '.join(fired)}) AS signals, {det.flag} AS flag, {det.warn} AS warn FROM x")
-    return WITH + f""", texts AS (SELECT package, content AS c, 'code' AS kind, regexp_matches(path, '(?i)\\.(js|mjs|cjs|ts)$') AS s, regexp_matches(path, '(?i)\\.(js|mjs|cjs|ts|rs|c|cc|cpp|h|hpp)$') AS n FROM files
+    texts = given or WITH + """, texts AS (SELECT package, content AS c, 'code' AS kind, regexp_matches(path, '(?i)\\.(js|mjs|cjs|ts)$') AS s, regexp_matches(path, '(?i)\\.(js|mjs|cjs|ts|rs|c|cc|cpp|h|hpp)$') AS n FROM files
   UNION ALL SELECT package, body, 'script', false, false FROM hooks
-  UNION ALL SELECT package, body, 'install', false, false FROM hooks WHERE hook IN ('postinstall', 'install')),
+  UNION ALL SELECT package, body, 'install', false, false FROM hooks WHERE hook IN ('postinstall', 'install'))"""
+    return texts + f""",
 x AS (SELECT package, {', '.join(counts)} FROM texts GROUP BY package), f AS ({' UNION ALL '.join(found)})
 SELECT package, detector, CAST(raw AS INT) AS raw_score, CAST(least(raw, 100) AS INT) AS score, signals,
   CASE WHEN least(raw, 100) >= flag THEN 'critical' WHEN least(raw, 100) >= warn THEN 'high' WHEN raw >= 30 THEN 'medium' ELSE 'low' END AS severity FROM f WHERE raw > 0"""
@@ -60,6 +61,32 @@ def _catalog(s, d):
     return found.withColumn("signals", F.array_join("signals", ","))
 
 
+def _code_in(name, text, key):
+    """A table's texts, each with a line of code behind it."""
+    def query(s, d):
+        t = table(s, d, name).select(F.col(key).alias("package"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), pick(CODE, key)).alias("content"))
+        return D.all_weighted(t, K.CONTENT).withColumn("signals", F.array_join("signals", ","))
+
+    return query
+
+
+def _code_in_sql(name, text, key):
+    return _catalog_sql(f"WITH texts AS (SELECT {key} AS package, coalesce({text}, '') || chr(10) || {pick_sql(CODE, key)} AS c, 'code' AS kind, true AS s, true AS n FROM {name})")
+
+
+def _facts(name, two=True):
+    from tarnwatch.operators import code_facts
+
+    f = getattr(code_facts, name)
+
+    def query(s, d):
+        own = packages(s, d).select("package", "scripts", F.lit("f1/index.js").alias("main"))
+        found = f(files(s, d), own) if two else f(files(s, d))
+        return found.withColumn("signals", F.array_join("signals", ","))
+
+    return query
+
+
 def _spoof(s, d):
     """Addresses of a package's metadata; a version before it by its key."""
     from tarnwatch.functions import text as T
@@ -127,6 +154,11 @@ def _code_rules(s, d):
 
 QUERIES = {
     "signal_catalog_packages": _catalog,
+    "signal_catalog_docs": _code_in("documents", "text", "doc_id"),
+    "signal_catalog_pages": _code_in("pages", "html", "page_id"),
+    "dropper": _facts("dropper"),
+    "runtime_evasion": _facts("runtime_evasion"),
+    "workspace_persistence": _facts("workspace_persistence", False),
     "lifecycle_hooks": lambda s, d: D.lifecycle_rule(packages(s, d), reputable(s, d)),
     "multistage_hooks": lambda s, d: D.multistage(packages(s, d)).select("package", "hook", "score"),
     "metadata_spoof": _spoof,
@@ -177,6 +209,8 @@ _ID = r"AKIA[0-9A-Z]{16}"
 
 ORACLE = {
     "signal_catalog_packages": _catalog_sql(),
+    "signal_catalog_docs": _code_in_sql("documents", "text", "doc_id"),
+    "signal_catalog_pages": _code_in_sql("pages", "html", "page_id"),
     "lifecycle_hooks": WITH + f""", h AS (SELECT package, hook, {has('body', _RUNS)} AS runs, {obfuscated_sql('body')} AS hidden,
     {has('body', r'(?i)\b(?:curl|wget|powershell|bash|sh)\b', r'\b(?:exec|execSync|spawn|spawnSync|fork)\s*\(')} AS net,
     {has('body', "(?i)https?://([^'\"\\s)\\]]+)", r'\b(?:\d{1,3}\.){3}\d{1,3}\b')} AS address, {has('body', r'(?i)(?:github-ent|jira\.internal|docs\.internal)')} AS internal,
@@ -353,3 +387,50 @@ ORACLE["campaign_copied_names"] = WITH + f""", hit AS (
   UNION ALL SELECT p.package, p.version, 'D3' FROM packages p WHERE p.package IN (SELECT package FROM files WHERE {has('content', *C.CLOUD_SECRETS)})),
 h AS (SELECT * FROM hit WHERE rule = 'D1S' OR package NOT IN (SELECT package FROM hit WHERE rule = 'D1S'))
 """ + _ROLL.format("'critical'")
+
+
+def _rolled(facts: str, weights: dict[str, int], anchors: list[str], name: str) -> str:
+    """SQL: signals once per package, nothing without an anchor, the clamped sum from 55 on."""
+    have = [w for w in weights if f" AS {w}" in facts]
+    total = " + ".join(f"CAST({w} AS INT) * {weights[w]}" for w in have)
+    fired = ", ".join(f"CASE WHEN {w} THEN '{w}' END" for w in have)
+    return f"""{facts},
+g AS (SELECT package, {', '.join(f'coalesce(bool_or({w}), false) AS {w}' for w in have)} FROM facts GROUP BY package),
+r AS (SELECT package, least(100, {total}) AS score, concat_ws(',', {fired}) AS signals FROM g WHERE {' OR '.join(a for a in anchors if a in have)})
+SELECT package, '{name}' AS detector, score, signals, true AS approx, CASE WHEN score >= 80 THEN 'critical' ELSE 'high' END AS severity FROM r WHERE score >= 55"""
+
+
+from tarnwatch.operators import code_facts as X  # noqa: E402
+
+_TXT, _FINGER = X._DNS_TXT, r"process\.(platform|arch)\b|\bos\.(platform|arch|type|release)\s*\("
+_ARRAYS = f"""len(list_filter(regexp_extract_all(content, {sql(r"\[\s*(?:['\"][^'\"\n]*['\"]\s*,\s*){7,}['\"][^'\"\n]*['\"]\s*,?\s*\]")}, 0), lambda a: len(list_filter(regexp_extract_all(a, {sql(r"['\"]([^'\"\n]*)['\"]")}, 1),
+  lambda s: regexp_matches(s, '^(?:[0-9a-fA-F]{{2}}){{3,}}$') OR (regexp_matches(s, '^[A-Za-z0-9+/]{{16,}}={{0,2}}$') AND list_aggregate(string_split(s, ''), 'entropy') >= 4.5))) >= 0.8 * len(regexp_extract_all(a, {sql(r"['\"]([^'\"\n]*)['\"]")}, 1)))) > 0"""
+_DENSE = f"""len(list_filter(regexp_extract_all(content, {sql(r"['\"`]([^'\"`\n]{64,})['\"`]")}, 1), lambda s: list_aggregate(string_split(s, ''), 'entropy') > 5.0)) >= 3"""
+ORACLE["dropper"] = _rolled(WITH + f""", code AS (SELECT package, content FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$') AND {has('content', X._MARKER)}),
+facts AS (SELECT package, {has('content', _TXT)} AND {has('content', X._DECODER)} AND {has('content', X._SINK)} AS dns_payload_assembly, {_ARRAYS} AS encoded_string_array, {has('content', _TXT)} AS dns_txt_oob,
+  {_ARRAYS} AND {has('content', X._DECODER)} AS string_array_decoder, {has('content', _FINGER)} AND {has('content', X._NETWORK, _TXT)} AS fingerprint_network_coupling,
+  NOT {_MINIFIED.format('content')} AND {_DENSE} AS high_entropy_literals, {has('content', X._NETWORK)} AND {has('content', r'\.(herokuapp|vercel|netlify|onrender|railway)\.(com|app)\b')} AS paas_stage_resolution,
+  {has('content', _FINGER)} AS env_fingerprint FROM code)""", X.DROPPER, X.DROPPER_ANCHORS, "D28-AI-SLOP-DROPPER")
+_GET = " OR ".join(has("{0}", p) for p in X.RUNTIME_DOWNLOADS)
+_RUN = r"\bBun\.(spawn|spawnSync|\$)\s*[(`]|\bDeno\.(run|Command)\b|\bstd\.popen\s*\(|\bos\.exec\s*\("
+_CONNECT = r"\bBun\.(connect|fetch)\s*\(|\bDeno\.(connect|connectTls)\s*\("
+ORACLE["runtime_evasion"] = _rolled(WITH + f""", act AS (SELECT package, body FROM hooks WHERE regexp_matches(hook, '^(pre|post)?install$')),
+named AS (SELECT DISTINCT package, unnest(regexp_extract_all(body, '([\\w.-]+\\.(?:js|mjs|cjs|ts|sh))', 1)) AS base FROM act),
+f AS (SELECT files.*, EXISTS (SELECT 1 FROM named n WHERE n.package = files.package AND n.base = regexp_extract(path, '([^/]+)$', 1)) AS install,
+  CASE WHEN package IN (SELECT package FROM packages) THEN path = 'f1/index.js' ELSE path = 'index.js' END AS entry FROM files),
+facts AS (SELECT package, ({_GET.replace('{0}', 'content')}) AND install AS runtime_download_install_time, ({_GET.replace('{0}', 'content')}) AS runtime_download, {has('content', r'bun:ffi|\bDeno\.dlopen\s*\(')} AS alt_runtime_ffi,
+  {has('content', _RUN)} AND (install OR entry) AS alt_runtime_exec_entry, {has('content', _RUN)} AS alt_runtime_exec, {has('content', _CONNECT)} AND (install OR entry) AS alt_runtime_network_entry, {has('content', _CONNECT)} AS alt_runtime_network,
+  {has('content', r'\b(Bun\.env|Deno\.env)\b.{0,60}(TOKEN|SECRET|KEY|PASSWORD)', r'\b(Bun\.file|Deno\.readTextFile(Sync)?)\s*\([^)]{0,20}(\.npmrc|\.ssh|\.aws)')} AS alt_runtime_credential_access,
+  {has('content', r'\b(Bun\.env|Deno\.env)\b')} AS alt_runtime_env_read, {has('content', r'\b(Bun|Deno)\.(serve|listen)\s*\(')} AS alt_runtime_listen, {has('content', r'\bBun\.file\s*\(|\bDeno\.read\w*\s*\(')} AS alt_runtime_fs_read,
+  {has('content', r'typeof\s+(Bun|Deno)\b')} AS runtime_fingerprint, false AS alt_runtime_hook_interpreter FROM f WHERE ({_GET.replace('{0}', 'content')}) OR {has('content', r'\b(Bun|Deno)\b|\bstd\.|\bos\.exec|bun:ffi')}
+  UNION ALL SELECT package, ({_GET.replace('{0}', 'body')}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {has('body', r'^\s*(bun|deno|qjs)\s')} FROM act)""", X.RUNTIME, X.RUNTIME_ANCHORS, "D29-RUNTIME-EVASION")
+_BAND = "CASE " + " ".join(f"WHEN {has('target', p)} THEN '{b}'" for b, p in X.SURFACES) + " END"
+ORACLE["workspace_persistence"] = WITH + f""", code AS (SELECT package, content FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$')),
+hits AS (SELECT package, unnest(regexp_extract_all(content, {sql(r"\bwriteFile(?:Sync)?\s*\(\s*['\"`]([^'\"`]+)['\"`]")}, 1)) AS target, 'static_surface_write' AS kind FROM code
+  UNION ALL SELECT package, array_to_string(regexp_extract_all(call, {sql(r"['\"`]([^'\"`]+)['\"`]")}, 1), '/'), 'dynamic_surface_write' FROM (SELECT package, unnest(regexp_extract_all(content, {sql(r"\bwriteFile(?:Sync)?\s*\(\s*(?:path\.(?:join|resolve)\s*\(|\[)([^)\]]*)[)\]]")}, 1)) AS call FROM code)
+  UNION ALL SELECT package, target, CASE WHEN regexp_matches(target, '(?i)\\.github/workflows/') AND regexp_matches(content, 'pull_request_target|workflow_run') THEN 'shipped_workflow_privileged_trigger' ELSE 'shipped_exec_config' END
+    FROM (SELECT package, path AS target, content FROM files) WHERE {_BAND} = 'exec' AND regexp_matches(content, '"command"\\s*:|"hooks"\\s*:|folderOpen|postCreateCommand|run:')),
+o AS (SELECT DISTINCT package, kind, {_BAND} AS band FROM hits),
+g AS (SELECT package, CAST(least(100, sum(CASE kind {' '.join(f"WHEN '{k}' THEN {w}" for k, w in X.WRITE_WEIGHT.items())} END + CASE band WHEN 'exec' THEN 30 WHEN 'agent_read' THEN 15 ELSE 0 END)) AS INT) AS score,
+  array_to_string(list_sort(list(kind || ':' || band)), ',') AS signals FROM o WHERE band IS NOT NULL GROUP BY package)
+SELECT package, score, signals, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 45 THEN 'high' ELSE 'medium' END AS severity, true AS approx FROM g"""

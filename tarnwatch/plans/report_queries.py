@@ -77,6 +77,15 @@ def _two_hop(s, d):
     return j.groupBy("n_name").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
 
 
+def _platforms(s, d):
+    """Binaries of one base name under several platform suffixes."""
+    from tarnwatch.operators.detectors import platform_groups
+    from tarnwatch.plans.package_data import pick
+
+    path = F.concat(F.lit("tool"), (F.col("p_size") % 3).cast("string"), pick(["-linux-x64", "-darwin-arm64", "", "-win32.exe"], "p_size"))
+    return platform_groups(table(s, d, "part").select((F.col("p_partkey") % 101).alias("package"), path.alias("path")))
+
+
 def _scan_arrays(s, d):
     f = _findings(s, d)
     return f.groupBy("scan_id", "campaign").agg(F.collect_set("detector").alias("detected")).withColumn(
@@ -130,7 +139,7 @@ QUERIES = {
     "version_diff": _version_diff,
     "registry_merge": _registry_merge,
     "graph_two_hop": _two_hop,
-    "cross_platform_groups": lambda s, d: table(s, d, "part").withColumn("base", F.regexp_replace("p_type", r" (TIN|NICKEL|BRASS|STEEL|COPPER)$", "")).groupBy("base").agg(F.countDistinct("p_type").alias("variants")).where("variants >= 2"),
+    "cross_platform_groups": _platforms,
 }
 
 _TARGETS = """t AS (SELECT DISTINCT target, CAST(ascii(target) AS INT) * 100 + length(target) AS ordinal FROM (
@@ -206,5 +215,26 @@ SELECT l_suppkey, CAST(y AS INT) AS y, count(*) AS added FROM l WHERE NOT EXISTS
     "registry_merge": """SELECT version, array_to_string(list_sort(list_distinct(list(registry))), ',') AS registries, min(nation) AS nation FROM (
   SELECT c_custkey AS version, 'A' AS registry, c_nationkey AS nation FROM customer UNION ALL SELECT s_suppkey, 'B', s_nationkey FROM supplier) GROUP BY version""",
     "graph_two_hop": """SELECT n_name, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
-    "cross_platform_groups": """SELECT base, count(DISTINCT p_type) AS variants FROM (SELECT p_type, regexp_replace(p_type, ' (TIN|NICKEL|BRASS|STEEL|COPPER)$', '') AS base FROM part) GROUP BY base HAVING count(DISTINCT p_type) >= 2""",
+    "cross_platform_groups": """SELECT package, stem, count(DISTINCT path) AS variants FROM (SELECT p_partkey % 101 AS package, 'tool' || CAST(p_size % 3 AS VARCHAR) AS stem, p_size % 3 AS a, p_size % 4 AS path FROM part) GROUP BY package, stem HAVING count(DISTINCT path) >= 2""",
 }
+
+_BITS = ", ".join(f"CASE WHEN sum(n * (((h >> {b}) & 1) * 2 - 1)) > 0 THEN {1 << b} ELSE 0 END AS b{b}" for b in range(32))
+ORACLE["near_dup_simhash"] = f"""WITH k AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(trim(text)), '\\s+')) AS t FROM documents) WHERE t <> '' GROUP BY doc_id, t),
+w AS (SELECT t, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 33 + c) & 4294967295) AS h FROM (SELECT DISTINCT t FROM k)),
+v AS (SELECT doc_id, {_BITS} FROM k JOIN w USING (t) GROUP BY doc_id), s AS (SELECT doc_id, CAST({' + '.join(f'b{b}' for b in range(32))} AS BIGINT) AS simhash FROM v),
+r AS (SELECT simhash, min(doc_id) AS class_id, count(*) AS copies FROM s GROUP BY simhash),
+p AS (SELECT x.simhash AS a, y.simhash AS b, x.class_id AS doc_id, y.class_id AS other, x.copies, round(1 - bit_count(xor(x.simhash, y.simhash)) / 32.0::DOUBLE, 4) AS similarity FROM r x JOIN r y ON x.simhash < y.simhash AND bit_count(xor(x.simhash, y.simhash)) <= 3),
+n AS (SELECT h, count(*) AS links FROM (SELECT a AS h FROM p UNION ALL SELECT b FROM p) GROUP BY h)
+SELECT doc_id, other, similarity, 'pair' AS kind, doc_id AS class_id, copies, CAST(NULL AS BIGINT) AS links FROM p
+UNION ALL SELECT s.doc_id, r.class_id, 1.0, 'member', r.class_id, r.copies, coalesce(links, 0) FROM s JOIN r USING (simhash) LEFT JOIN n ON n.h = simhash"""
+_SAME = "CASE " + " ".join(f"WHEN left(a, {k}) = left(b, {k}) THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END"
+ORACLE["jaro_winkler_best"] = f"""WITH p AS (SELECT n_name AS name, r_name AS target, lower(n_name) AS a, lower(r_name) AS b FROM nation, region WHERE lower(n_name) <> lower(r_name)),
+s AS (SELECT name, target, round(jaro_similarity(a, b) + {_SAME} * 0.1 * (1 - jaro_similarity(a, b)), 6) AS score FROM p)
+SELECT name, min(target) AS target, score FROM s WHERE score >= 0.5 AND score = (SELECT max(score) FROM s o WHERE o.name = s.name) GROUP BY name, score"""
+ORACLE["sbom_components"] = _F + """, v AS (SELECT package, version, list_sort(list(DISTINCT struct_pack(id := atk_id, severity := severity))) AS v FROM f GROUP BY package, version)
+SELECT package, version, CAST(to_json(struct_pack(bomFormat := 'CycloneDX', specVersion := '1.5', component := struct_pack(type := 'library', name := CAST(package AS VARCHAR), version := version,
+  purl := 'pkg:npm/' || replace(CAST(package AS VARCHAR), '@', '%40') || '@' || version), vulnerabilities := v)) AS VARCHAR) AS bom FROM v"""
+_SCORE = "CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 80 WHEN 'medium' THEN 50 WHEN 'low' THEN 20 ELSE 50 END"
+ORACLE["export_ecs"] = _F + f"""SELECT finding_id, CAST(to_json(struct_pack("@timestamp" := strftime(scanned_at, '%Y-%m-%dT00:00:00.000Z'), event := struct_pack(kind := 'alert', category := 'threat', severity := {_SCORE}), message := '[' || atk_id || '] ' || upper(severity) || ': ' || description,
+  log := struct_pack(level := severity), observer := struct_pack(vendor := 'tarnwatch', product := 'tarnwatch', version := '0.1.0'), labels := struct_pack(package := CAST(f.package AS VARCHAR), version := version, atk_id := atk_id, severity := severity),
+  vulnerability := struct_pack(classification := 'package-supply-chain', id := atk_id, description := description, enumeration := 'ATK'))) AS VARCHAR) AS line FROM f JOIN scans USING (scan_id)"""
