@@ -1,8 +1,8 @@
 """Quality by co-training: a classifier of the text content and one of the page's metadata teach each other.
 
-The content view is hashed words and word pairs, and how often they repeat; the metadata view is what one knows
-of a page without its words: its length, lines, shares of letters, digits, marks, capitals and spaces, and its
-source and language. Both are logistic models trained in numpy on a bounded sample: `labelled` rows with labels and
+The content view is all that is read off the text: hashed words and word pairs, how often they repeat, its lines, and
+its shares of letters, digits, marks, capitals and spaces; the metadata view is what is recorded of a page without
+reading it: its source, language and length. No feature is in both. Both are logistic models trained in numpy on a bounded sample: `labelled` rows with labels and
 `unlabelled` rows without (those of the smallest hashes of their ids). In each round either view labels the
 unlabelled rows it is surest of, as many of each class as the base rate asks for, and the other view learns them.
 A part of the labelled rows is held back: on it each view is calibrated (Platt), and so is the sum of the two
@@ -10,7 +10,9 @@ calibrated log-odds, which scores all documents.
 
 Defined results: null text counts as empty and null metadata as a value of its own; empty texts get a score like
 any other; without labelled rows, or with labels of one class only, every score is the base rate (1 without rows:
-documents are kept); labels that contradict each other count as the lower; repeated rows score alike.
+documents are kept); labels that contradict each other count as the lower; repeated rows score alike, and of rows that
+share an id only the one of the smallest text is learned; ties of what a view is surest of go by the rows' ids; very
+long texts are read whole; further columns are not touched and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,33 +43,36 @@ def character_shares(text: str) -> list[float]:
     return [float(np.count_nonzero(x)) / n for x in (letter, digit, ~(letter | digit | space), capital, space, a == 10)]
 
 
+#: Features of the content view beside the hashed ones.
+SHAPE = 18
+
+
 def content_features(text: str, buckets: int) -> np.ndarray:
-    """Shares of hashed words and pairs, square-rooted, and measures of repetition."""
+    """Shares of hashed words and pairs, square-rooted, measures of repetition, lines and kinds of characters."""
     words = _WORD.findall(text.lower())
-    x = np.zeros(buckets + 4, np.float32)
+    x = np.zeros(buckets + SHAPE, np.float32)
+    share, lines = character_shares(text), text.count("\n") + 1
+    x[buckets + 4 :] = [np.log1p(lines) / 5, np.log1p(max(len(text), 1) / lines) / 10, *share, *[float(s > 0.2) for s in share]]
     if not words:
-        x[-1] = 1
+        x[buckets + 3] = 1
         return x
     ids = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
     pairs = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]) >> np.uint64(20)
     both = np.concatenate((ids, pairs)) % np.uint64(buckets)
     x[:buckets] = np.sqrt(np.bincount(both.astype(np.int64), minlength=buckets) / len(both))
     _, n = np.unique(ids, return_counts=True)
-    x[-4] = 1 - len(n) / len(ids)
-    x[-3] = n.max() / len(ids)
-    x[-2] = (ids[1:] == ids[:-1]).mean() if len(ids) > 1 else 0
+    x[buckets] = 1 - len(n) / len(ids)
+    x[buckets + 1] = n.max() / len(ids)
+    x[buckets + 2] = (ids[1:] == ids[:-1]).mean() if len(ids) > 1 else 0
     return x
 
 
-def metadata_features(text: str, source: str | None, lang: str | None, buckets: int = 64) -> np.ndarray:
-    n = max(len(text), 1)
-    share = character_shares(text)
-    lines = text.count("\n") + 1
-    x = [np.log1p(len(text)) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 10, *share, *[float(s > 0.2) for s in share]]
-    named = np.zeros(buckets, np.float32)
-    for name in (f"source:{source}", f"lang:{lang}"):
-        named[zlib.crc32(name.encode("utf-8", "surrogatepass")) % buckets] = 1
-    return np.concatenate((np.array(x, np.float32), named))
+def metadata_features(length: int, source: str | None, lang: str | None, buckets: int = 64) -> np.ndarray:
+    named = np.zeros(1 + buckets, np.float32)
+    named[0] = np.log1p(length) / 10
+    for name in (f"source:{source}", f"lang:{lang}", f"length:{int(2 * np.log2(length + 1))}"):
+        named[1 + zlib.crc32(name.encode("utf-8", "surrogatepass")) % buckets] = 1
+    return named
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -189,9 +194,9 @@ def fit(
 
 
 def _plain(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """(text, source, lang) with None for nulls of any kind."""
+    """(length, source, lang) with None for nulls of any kind."""
     for t, s, g in zip(pdf["__text"], pdf["__source"], pdf["__lang"], strict=True):
-        yield t, s if isinstance(s, str) else None, g if isinstance(g, str) else None
+        yield len(t), s if isinstance(s, str) else None, g if isinstance(g, str) else None
 
 
 def score(
@@ -210,11 +215,11 @@ def score(
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for pdf in batches:
-            rows = list(_plain(pdf))
+            rows, texts = list(_plain(pdf)), pdf["__text"].tolist()
             got = [np.zeros(0)]
             for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                got.append(m.scores(np.array([content_features(r[0], m.buckets) for r in some]), np.array([metadata_features(*r) for r in some])))
+                content = np.array([content_features(t, m.buckets) for t in texts[at : at + 512]])
+                got.append(m.scores(content, np.array([metadata_features(*r) for r in rows[at : at + 512]])))
             s = np.concatenate(got)
             yield pdf[["__id"]].assign(score=s, predicted=(s >= threshold).astype("int32"))
 

@@ -1,6 +1,7 @@
 """Models by held-out accuracy, mixing by its sums, URL lists by brute force."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import duckdb
@@ -67,6 +68,78 @@ def test_quality_held_out(spark):
     assert ((h["predicted"] == 1) & (h["quality"] == 1)).sum() / (h["quality"] == 1).sum() >= 0.97
 
 
+def test_quality_scores_are_those_of_all_features_at_once(spark, make, edge_rows):
+    """What comes back row by row against the model applied to the whole table in one place."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    rows = edge_rows + [(1000 + i, f"words {i} " * (i % 40), ("en", None, "de")[i % 3], ("a", "b", None)[i % 3]) for i in range(60)]
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(make(rows), model).collect()}
+    for i, text, lang, source in rows:
+        t = text or ""
+        z = 0.0
+        for view, x, (a, b) in zip(model.views, (quality.content_features(t, model.buckets), quality.metadata_features(len(t), source, lang)), model.scales, strict=True):
+            z += a * (sum(float(p) * float(q) for p, q in zip(x, view.w, strict=True)) + view.b) + b
+        want = 1 / (1 + np.exp(-(model.last[0] * z + model.last[1])))
+        assert abs(got[i][0] - want) < 1e-4 and got[i][1] == int(got[i][0] >= 0.5)
+
+
+def test_views_share_no_feature():
+    low, high = quality.content_features("one two", 64), quality.content_features("one two", 64)
+    assert (low == high).all() and (quality.metadata_features(7, "a", "en") == quality.metadata_features(7, "a", "en")).all()
+    assert not (quality.metadata_features(7, "a", "en") == quality.metadata_features(7, "b", "en")).all()
+
+
+def test_language_scores_by_brute_force(spark, make, edge_rows):
+    """Subword by subword in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs, F.lit(True), buckets=512)
+    rows = edge_rows[:4] + edge_rows[6:] + [(10_000 + r["doc_id"], r["text"], None, None) for r in docs.where("length(text) < 2000").limit(15).collect()]
+    got = {r["doc_id"]: r for r in language_id.identify(make(rows), model).collect()}
+    for i, text, *_ in rows:
+        norm = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+        if not any(map(str.isalpha, norm)):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        raw, z, n = f" {norm} ".encode(), np.zeros(len(model.names)), 0
+        for size in (2, 3, 4):
+            for k in range(len(raw) - size + 1):
+                h = 0
+                for byte in raw[k : k + size]:
+                    h = (h * 0x01000193 + byte) & 0xFFFFFFFF
+                x = ((h ^ (size * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF
+                z, n = z + model.rows[(x ^ (x >> 15)) & 511], n + 1
+        e = np.exp((z / n + model.bias) / model.temperature)
+        p = e / e.sum()
+        assert got[i]["lang_pred"] == model.names[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-6
+
+
+def test_many_languages(make):
+    rows = [(2 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k:04d}", "a") for k in range(1200) for j in (0, 1)]
+    model = language_id.fit(make(rows), F.lit(True), buckets=256, epochs=1)
+    assert len(model.names) == 1200
+
+
+def test_toxicity_scores_by_brute_force(spark, make, edge_rows):
+    """All examples scored for each text in plain numpy, without the index."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    dense = np.zeros((len(model.labels), len(model.vector.idf)))
+    for b, (place, weights) in enumerate(model.index.postings):
+        own = model.index.order[b * model.index.block : (b + 1) * model.index.block]
+        for t in np.flatnonzero(place >= 0):
+            dense[own, t] = weights[place[t]]
+    texts = [(10_000 + r["doc_id"], r["text"], None, None) for r in docs.join(labels.where("toxic = 1"), "doc_id").select("doc_id", "text").limit(20).collect()]
+    rows = edge_rows[:4] + edge_rows[6:] + texts
+    got = {r["doc_id"]: r for r in toxicity.score(make(rows), model).collect()}
+    for i, text, *_ in rows:
+        at, v = model.vector(text or "")
+        cos = np.round(dense[:, at] @ v, 12) if len(at) else np.zeros(len(dense))
+        order = [n for n in np.lexsort((np.arange(len(cos)), -cos)) if cos[n] > 0][: model.k]
+        vote = round(float(((cos[order] * model.labels[order]).sum() + model.pull * model.base) / (cos[order].sum() + model.pull)), 6)
+        want = min(max(float(np.interp(vote, *model.knots)), 0.0), 1.0)
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+
+
 def test_quality_edges(spark, edge, empty, edge_rows):
     for labels in (labels_of(spark, []), labels_of(spark, [(1, 1, 0), (4, 0, 0)])):
         assert quality.score(edge, quality.fit(edge, labels, F.lit(True))).count() == len(edge_rows)
@@ -122,8 +195,9 @@ def test_url_lists(spark, few):
     day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
     entries = [("bad.example", "add", 10), ("bad.example", "remove", 20), ("ok.example/x", "add", 5), ("sub.bad.example", "add", 15), ("tie.example", "add", 3), ("tie.example", "remove", 3), (None, "add", 1), ("Bad.Example.", "add", 40)]
     e = spark.createDataFrame([(a, b, day(c)) for a, b, c in entries], "entry string, action string, at timestamp")
+    deep = "http://ok.example/x/" + "y/" * 5000
     captures = [
-        (1, "http://bad.example/", 12, "bad.example"), (2, "https://a.sub.bad.example/p", 16, "sub.bad.example"), (3, "http://bad.example", 20, None), (4, "http://notbad.example", 12, None),
+        (12, deep, 9, "ok.example/x"), (13, "1|http://bad.example/", 12, None), (1, "http://bad.example/", 12, "bad.example"), (2, "https://a.sub.bad.example/p", 16, "sub.bad.example"), (3, "http://bad.example", 20, None), (4, "http://notbad.example", 12, None),
         (5, "http://u:p@OK.example:80/x/y?z", 9, "ok.example/x"), (6, "http://ok.example/xy", 9, None), (7, "http://tie.example", 4, None), (8, None, 12, None), (9, "nonsense", 12, None),
         (10, "http://bad.example", None, None), (11, "http://bad.example.", 41, "bad.example"), (1, "http://bad.example/", 12, "bad.example"),
     ]
