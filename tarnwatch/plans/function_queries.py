@@ -225,7 +225,7 @@ QUERIES = {
     "sbom_spdx": lambda s, d: RP.spdx(_findings(s, d).select("package", "version").distinct(), _findings(s, d)),
     "sarif_results": _sarif,
     "provenance_record": lambda s, d: RP.signed(RP.provenance(packages(s, d).select(F.col("package").alias("rule"), F.array("version", "publisher").alias("indicators"))), "digest", b"a key"),
-    "fp_examples": lambda s, d: CA.examples(_findings(s, d)),
+    "fp_examples": lambda s, d: CA.examples(_findings(s, d).dropDuplicates(["finding_id"])).select("detector", "finding_id", "position"),
     "policy_rules": lambda s, d: _policy(s).suppress.select("atk_id", "package", "reason", "reputation_tier", "path_regex", "url_domain", *[F.col(c).cast("string").alias(c) for c in SP.CONTEXT]),
     "policy_allowed": lambda s, d: PO.allowed(packages(s, d).select("package", "version"), _policy(s).allow),
     "policy_applied": _applied,
@@ -372,3 +372,4 @@ SELECT package, version, CAST(to_json(struct_pack(spdxVersion := 'SPDX-2.3', dat
 _PAD = lambda x: "from_hex('" + bytes(c ^ x for c in b"a key".ljust(64, b"\0")).hex() + "')"
 ORACLE["provenance_record"] = WITH + f""", r AS (SELECT package AS rule, sha256(package || chr(10) || array_to_string(list_sort([version, publisher]), chr(10))) AS digest FROM packages)
 SELECT rule, digest, sha256({_PAD(0x5C)} || from_hex(sha256({_PAD(0x36)} || encode(digest)))) AS hmac FROM r"""
+ORACLE["fp_examples"] = _F + "SELECT detector, finding_id, position FROM (SELECT detector, finding_id, row_number() OVER (PARTITION BY detector ORDER BY finding_id) AS position FROM (SELECT DISTINCT detector, finding_id FROM f)) WHERE position <= 5"
