@@ -32,3 +32,11 @@ def publish_sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minute
     """Sessions of publishing with gaps of at most `gap`."""
     s = F.session_window(F.col(ts), gap)
     return events.withWatermark(ts, late).groupBy(s, key).agg(F.count("*").alias("versions")).select(key, F.col("session_window.start").alias("from"), F.col("session_window.end").alias("until"), "versions")
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """All that a stream has by now, appended to files under a shared folder, as a table: what its watermark still
+    holds back stays in the checkpoint for the next run."""
+    q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").format("parquet").start(f"{path}/rows")
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
