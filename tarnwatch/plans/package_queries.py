@@ -128,6 +128,13 @@ def _campaign(rule, stop=None):
     return query
 
 
+def _hijacked(s, d):
+    p = packages(s, d).withColumn("package", F.when(F.col("id") == 7, "node-ipc").otherwise(F.col("package"))).withColumn("version", F.when(F.col("id") == 7, "9.1.6").otherwise(F.col("version")))
+    p = p.withColumn("publisher", F.when(F.col("id") == 7, "atiertant").otherwise(F.col("publisher")))
+    hashes = files(s, d).where("id % 40 = 0").select(F.sha2("content", 256).alias("sha256"))
+    return R.campaign(C.hijacked_module(p, files(s, d), hashes)).select("package", "version", F.concat_ws(",", "rules").alias("rules"), "severity")
+
+
 def _desync(s, d):
     one = lambda df: df.groupBy("package", "path").agg(F.min_by("content", "id").alias("content"))
     return D.tarball_desync(one(files(s, d)), one(_source_tree(s, d)))
@@ -181,6 +188,8 @@ QUERIES = {
     "campaign_trapdoor": _campaign(lambda p, f: C.trapdoor(p, f, "2024-02-01")),
     "campaign_poisoned_client": _campaign(C.poisoned_client, "D1"),
     "campaign_copied_names": _campaign(C.copied_names, "D1S"),
+    "campaign_scrambled_worm": _campaign(C.scrambled_worm, "D1"),
+    "campaign_hijacked_module": _hijacked,
     "model_references": lambda s, d: G.model_references(files(s, d)),
     "paas_domains": lambda s, d: files(s, d).select("id", F.array_join(P.paas_domains(F.col("content")), ",").alias("domains")).where("domains <> ''"),
 }
@@ -434,3 +443,24 @@ o AS (SELECT DISTINCT package, kind, {_BAND} AS band FROM hits),
 g AS (SELECT package, CAST(least(100, sum(CASE kind {' '.join(f"WHEN '{k}' THEN {w}" for k, w in X.WRITE_WEIGHT.items())} END + CASE band WHEN 'exec' THEN 30 WHEN 'agent_read' THEN 15 ELSE 0 END)) AS INT) AS score,
   array_to_string(list_sort(list(kind || ':' || band)), ',') AS signals FROM o WHERE band IS NOT NULL GROUP BY package)
 SELECT package, score, signals, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 45 THEN 'high' ELSE 'medium' END AS severity, true AS approx FROM g"""
+
+ORACLE["campaign_scrambled_worm"] = WITH + f""", seen AS (SELECT package, bool_or({has('content', C.LOCALE)}) AND bool_or({has('content', C.LOCALE_SWITCH)}) AS d3, bool_or(contains(content, '{C.DROP_WORD}'))
+    OR (bool_or({has('content', C.HUB_API)}) AND (bool_or({has('content', C.HUB_TOKEN)}) OR bool_or({has('content', C.COMMIT_LOOP)}))) AS d4 FROM files GROUP BY package),
+hit AS (SELECT package, 'D1' AS rule FROM files WHERE {has('content', C.SCRAMBLE)} UNION ALL SELECT package, 'D2' FROM files WHERE {has('content', *C.PERSISTS)}
+  UNION ALL SELECT package, 'D2' FROM hooks WHERE hook IN ('preinstall', 'install', 'postinstall', 'preuninstall', 'postuninstall') AND {has('body', *C.PERSISTS)}
+  UNION ALL SELECT package, 'D3' FROM seen WHERE d3 UNION ALL SELECT package, 'D4' FROM seen WHERE d4),
+h AS (SELECT p.package, p.version, rule FROM packages p JOIN hit ON hit.package = p.package WHERE rule = 'D1' OR p.package NOT IN (SELECT package FROM hit WHERE rule = 'D1'))
+""" + _ROLL.format("CASE WHEN bool_or(rule <> 'D3') THEN 'critical' ELSE 'high' END")
+ORACLE["campaign_hijacked_module"] = WITH + f""", pk AS (SELECT CASE WHEN id = 7 THEN 'node-ipc' ELSE package END AS package, CASE WHEN id = 7 THEN '9.1.6' ELSE version END AS version, hook, body FROM packages),
+hk AS (SELECT package, hook, body FROM pk UNION ALL SELECT package, 'test', 'node t.js' FROM pk WHERE hook <> 'test'),
+js AS (SELECT package, content AS c FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$')),
+act AS (SELECT package, body AS c FROM hk WHERE regexp_matches(hook, 'preinstall|install|postinstall|prepare')),
+hit AS (SELECT 'node-ipc' AS package, 'D1' AS rule UNION ALL SELECT 'node-ipc', 'D10'
+  UNION ALL SELECT package, 'D5' FROM (SELECT * FROM js UNION ALL SELECT * FROM act) WHERE {has('c', C.RESOLVER)} AND regexp_extract(c, {sql(C.RESOLVER_ADDRESS)}, 1) NOT IN ('', '1.1.1.1', '8.8.8.8', '8.8.4.4', '9.9.9.9')
+  UNION ALL SELECT package, 'D6' FROM (SELECT package, content AS c FROM files UNION ALL SELECT package, body FROM hk) WHERE {has('c', C.HIJACK_HOSTS)}
+  UNION ALL SELECT package, 'D7' FROM (SELECT * FROM js UNION ALL SELECT * FROM act) WHERE {has('c', C.HIJACK_ZONE)}
+  UNION ALL SELECT package, 'D8' FROM (SELECT * FROM js UNION ALL SELECT package, body FROM hk) WHERE {has('c', r'\bsetImmediate\s*\(')}
+  UNION ALL SELECT package, 'D9' FROM files WHERE path LIKE '%~/nt-1a/x.tar.gz' UNION ALL SELECT package, 'D11' FROM files WHERE path LIKE '%package-lock.json' AND contains(content, 'node-ipc') AND contains(content, '"9.1.6"')
+  UNION ALL SELECT package, 'D2' FROM files WHERE sha256(content) IN (SELECT sha256(content) FROM files WHERE id % 40 = 0)),
+h AS (SELECT p.package, p.version, rule FROM pk p JOIN hit ON hit.package = p.package)
+""" + _ROLL.format("CASE WHEN bool_or(rule <> 'D8') THEN 'critical' ELSE 'info' END")
