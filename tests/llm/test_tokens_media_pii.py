@@ -139,3 +139,50 @@ def test_pii_label_reaches_all_repeats():
     field.trained = True
     kinds = [k for k, _, _ in field.added(texts, [pii.base_spans(texts[0])])[0]]
     assert kinds == [pii.KINDS.index("phone")] * 40
+
+
+def test_long_pieces_and_digits(library):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "7" * 20_000, " ".join(str(rng.randint(0, 10**6)) for _ in range(5000)), "=" * 9000]
+    for t, (ids, back) in zip(texts, byte_bpe.PieceCoder(*tokenizer()).batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t) and back == t.encode()
+
+
+def test_media_of_long_and_repeated_rows(make):
+    long_text = "alpha beta gamma delta " * 9000
+    rows = progressive_jpeg.media_column(make([(5, long_text, "de", "a"), (5, long_text, "de", "a"), (6, None, None, None)])).collect()
+    raw = long_text.encode()
+    assert [bytes(r["payload"]) for r in rows if r["doc_id"] == 5] == [raw + b"\xff" * (-len(raw) % 576)] * 2
+    assert len({(bytes(r["media"]), r["feature"]) for r in rows if r["doc_id"] == 5}) == 1
+    empty_row = next(r for r in rows if r["doc_id"] == 6)
+    assert empty_row["n_bytes"] == 0 and bytes(empty_row["payload"]) == b"\xff" * 576
+
+
+def test_spans_of_edge_rows(spark, make, edge_rows):
+    field = pii.fit(make([(i, f"mail a{i}@b.example or call +49 30 1234{i:04d}", "en", "a") for i in range(50)]), examples=40)
+    rows = edge_rows + [(90, "x@y.zz and 10.0.0.1, +49 30 1234567", "en", "a"), (90, "x@y.zz and 10.0.0.1, +49 30 1234567", "en", "a"), (91, " ".join(map(str, range(30_000))), "en", "a")]
+    got = pii.find(make(rows), field).collect()
+    want = {i: plain(t or "") for i, t, *_ in rows}
+    assert len(got) == len(rows) and all(r["base"] == want[r["doc_id"]] for r in got)
+    assert all((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 0, 1) for r in got if r["doc_id"] == 90)
+    assert len({r["spans"] for r in got if r["doc_id"] == 90}) == 1
+
+
+def test_field_is_exact_on_a_tree():
+    """Beliefs of a chain with one skip link and no cycle against sums over all labellings."""
+    import itertools
+
+    text = "call +49301234567; then x, 49301234567"
+    field = pii.Field(64)
+    rng = np.random.default_rng(3)
+    field.node, field.link, field.trained = rng.normal(0, 0.5, field.node.shape), [rng.normal(0, 1, (5, 5)) for _ in range(2)], True
+    g = pii.Graph([text], [[]], 64)  # nothing observed
+    n = len(g.observed)
+    theta = field.node[g.features].sum(axis=1)
+    total = np.zeros((n, 5))
+    for y in itertools.product(range(5), repeat=n):
+        w = np.exp(sum(theta[k, y[k]] for k in range(n)) + sum(t[y[a], y[b]] for t, links in zip(field.link, g.links, strict=True) for a, b in links))
+        for k in range(n):
+            total[k, y[k]] += w
+    assert sum(map(len, g.links)) == n - 1 > 0
+    assert np.allclose(field.beliefs(g), total / total.sum(axis=1, keepdims=True), atol=1e-4)
