@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import severity as S
 from tarnwatch.functions import text as T
+from tarnwatch.operators.payloads import PAAS
 
 # Weights and anchors of the three detectors, and the patterns of runtimes and workspace files.
 DROPPER = {
@@ -94,7 +95,7 @@ def dropper(files: DataFrame, packages: DataFrame, dns_tools: list[str] = ()) ->
         "package", (txt & c.rlike(_DECODER) & c.rlike(_SINK)).alias("dns_payload_assembly"), arrays.alias("encoded_string_array"),
         (txt & ~F.col("package").isin(list(dns_tools))).alias("dns_txt_oob"), (arrays & c.rlike(_DECODER)).alias("string_array_decoder"),
         (fingerprint & (network | txt)).alias("fingerprint_network_coupling"), (~T.is_minified(c) & (dense_literals(c) >= 3)).alias("high_entropy_literals"),
-        (network & c.rlike(r"\.(herokuapp|vercel|netlify|onrender|railway)\.(com|app)\b")).alias("paas_stage_resolution"), fingerprint.alias("env_fingerprint"), F.lit(False).alias("readme_directed_entry"),
+        c.rlike(PAAS).alias("paas_stage_resolution"), fingerprint.alias("env_fingerprint"), F.lit(False).alias("readme_directed_entry"),
     )
     hooks = F.size(F.filter(F.map_keys(F.coalesce("scripts", F.create_map().cast("map<string,string>"))), lambda k: k.rlike("^(pre|post)?install$"))) > 0
     readme = files.where(F.col("path").rlike(r"(?i)(^|/)readme(\.\w+)?$")).join(packages.where(~hooks).select("package"), "package")

@@ -155,8 +155,10 @@ def multistage(packages: DataFrame) -> DataFrame:
     return h.withColumn("score", score).where("score IS NOT NULL")
 
 
-def version_confusion(versions: DataFrame) -> DataFrame:
-    """Versions made to win: 99.99.99 (85), its family (65), or high in all three parts (62)."""
+def version_confusion(versions: DataFrame, reputable: DataFrame | None = None) -> DataFrame:
+    """Versions made to win: 99.99.99 (85), its family (65), or high in all three parts (62). Reputable packages are left
+    out."""
+    versions = unlisted(versions, reputable)
     v = F.col("version")
     ma, mi, pa = (T.semver_part(v, i) for i in (1, 2, 3))
     # The family.
@@ -164,7 +166,7 @@ def version_confusion(versions: DataFrame) -> DataFrame:
     return versions.withColumn("score", score).where("score IS NOT NULL")
 
 
-def metadata_spoof(packages: DataFrame) -> DataFrame:
+def metadata_spoof(packages: DataFrame, reputable: DataFrame | None = None) -> DataFrame:
     """packages (package, urls array, inflated boolean): internal addresses 65, more than one 20 on top, times 1.3
     with an inflated version; inflation alone counts 40 and so shows as 50; never below 50 or above 90."""
     named = lambda u: F.coalesce(F.nullif(T.host(u), F.lit("")), F.nullif(F.regexp_extract(u, r"^(?:[a-z+]+://)?(?:[^@/]*@)?([^/\s:]+)", 1), F.lit("")), F.lit(""))
@@ -172,7 +174,7 @@ def metadata_spoof(packages: DataFrame) -> DataFrame:
     base = F.lit(65) + F.when(n > 1, 20).otherwise(0)
     inflated = F.coalesce("inflated", F.lit(False))
     score = F.when(n > 0, F.greatest(F.lit(50), F.least(F.lit(90), F.when(inflated, F.round(base * 1.3)).otherwise(base))).cast("int")).when(inflated, 50)
-    return packages.select("package", score.alias("score")).where("score IS NOT NULL")
+    return unlisted(packages, reputable).select("package", score.alias("score")).where("score IS NOT NULL")
 
 
 def platform_stem(path: Column) -> Column:

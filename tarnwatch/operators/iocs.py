@@ -24,6 +24,11 @@ def by_scope(packages: DataFrame, iocs: DataFrame) -> DataFrame:
     return scoped.join(sized(scopes), "__scope").where("__scope <> ''").drop("__scope")
 
 
+def by_integrity(packages: DataFrame, iocs: DataFrame) -> DataFrame:
+    """Packages whose name and integrity are listed together."""
+    return packages.join(sized(iocs.select("package", "integrity").distinct()), ["package", "integrity"], "left_semi")
+
+
 def by_hash(files: DataFrame, hashes: DataFrame, content: str, key: str = "sha256") -> DataFrame:
     """Files whose SHA-256 is listed."""
     return files.withColumn(key, F.sha2(F.col(content), 256)).join(sized(hashes.select(key).distinct()), key, "left_semi")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import text as T
+from tarnwatch.functions.known import REPUTABLE
 from tarnwatch.operators import similarity as M
 from tarnwatch.operators.iocs import sized
 from tarnwatch.operators.windows import micros
 
 
+def reputable(spark: SparkSession) -> DataFrame:
+    """The names that detectors leave alone, as their table."""
+    return spark.createDataFrame([(n,) for n in REPUTABLE], "name string")
+
+
 def typosquat(packages: DataFrame, targets: DataFrame, reputable: DataFrame) -> DataFrame:
     """packages (name, age_days, weekly_downloads: null where unknown): the best target by edits or look-alike
     characters, and scopes around a target's name; age and downloads change the score; 50 to 100.

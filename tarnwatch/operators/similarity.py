@@ -124,13 +124,15 @@ def simhash_neighbours(hashes: DataFrame, key: str, least: float = 0.9) -> DataF
     """Pairs of documents at `least` similarity (1 - bits / 32), each with the class of its first (`class_id`: the
     smallest key of its hash) and the class's size (`copies`), and one row per document with its class and links.
 
-    `kind` tells them apart. "pair": two classes, by their smallest keys, similar by equality in one of four blocks
-    of 8 bits: three differing bits leave one block whole. "member": `other` is the document's class, at 1.0, and
+    `kind` tells them apart. "pair": two classes, by their smallest keys, that agree on two of five blocks of bits: three
+    differing bits leave two blocks whole, so each hash is filed under ten patterns of some 13 bits. "member": `other` is the document's class, at 1.0, and
     `links` how many classes that class is paired with. Rows grow with documents and linked classes, not with a
     class's square: documents of one class are all alike, and those of paired classes as their hashes are."""
     assert (1 - least) * 32 < 4
     reps = hashes.groupBy("simhash").agg(F.min(key).alias(key), F.count("*").alias("copies"))
-    blocks = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftright("simhash", 8 * b).bitwiseAND(F.lit(255)).alias("v")) for b in range(4)])
+    parts = [0x7F, 0x7F << 7, 0x3F << 14, 0x3F << 20, 0x3F << 26]
+    masks = [parts[i] | parts[j] for i in range(5) for j in range(i)]
+    blocks = F.array(*[F.struct(F.lit(b).alias("b"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("v")) for b, m in enumerate(masks)])
     filed = reps.select("simhash", key, "copies", F.explode(blocks).alias("f")).select("simhash", key, "copies", "f.b", "f.v")
     o = filed.select(F.col("simhash").alias("other_hash"), F.col(key).alias("other"), "b", "v")
     bits = F.bit_count(F.col("simhash").bitwiseXOR(F.col("other_hash")))

@@ -8,6 +8,7 @@ from tarnwatch.functions import text as T
 from tarnwatch.operators import calibration as CA
 from tarnwatch.operators import campaigns as C
 from tarnwatch.operators import code_facts as X
+from tarnwatch.operators import detectors as D
 from tarnwatch.operators import iocs as I
 from tarnwatch.operators import policy as PO
 from tarnwatch.operators import registry as G
@@ -232,6 +233,7 @@ QUERIES = {
     "policy_blocked": lambda s, d: PO.fails(_applied(s, d).join(_findings(s, d).select("finding_id", "scan_id"), "finding_id"), _policy(s).fail_on),
     "reputation_tier": lambda s, d: _orders(s, d).select("o_orderkey", SP.tier(pick(["react", "@react/dom", "left", "@x/react"], "o_orderkey"), ["react"]).alias("tier")),
     "typosquat_scores": _typosquat,
+    "reputable_bail": lambda s, d: D.version_confusion(_orders(s, d).select("o_orderkey", pick(["react", "left", "@angular/cli", "lodash2", "pg"], "o_orderkey").alias("package"), pick(["9.9.9", "99.99.99", "1.0.0"], "o_orderkey").alias("version")), G.reputable(s)),
     "transitive_deps": _transitive,
     "attestation": _attestation,
     "registry_versions": _merge,
@@ -242,7 +244,7 @@ QUERIES = {
     "ioc_rows": lambda s, d: _iocs(s).withColumn("malicious_versions", F.array_join("malicious_versions", ",")),
     "ioc_by_name": lambda s, d: I.by_name(packages(s, d).select("package", "version"), _iocs(s)).select("package", "version", "wave"),
     "ioc_by_scope": lambda s, d: I.by_scope(packages(s, d).select("package", "version"), _iocs(s)).select("package", "version", "value"),
-    "ioc_integrity": lambda s, d: _attested(s, d).join(_attested(s, d).where("o_orderkey % 17 = 0").select("package", "integrity").distinct(), ["package", "integrity"], "left_semi").select("o_orderkey", "package"),
+    "ioc_integrity": lambda s, d: I.by_integrity(_attested(s, d), _attested(s, d).where("o_orderkey % 17 = 0")).select("o_orderkey", "package"),
     "crypto_tamper": _crypto,
     "lockfile_formats": lambda s, d: _texts(s, LOCKS).select("path", L.lockfile_format(F.col("path"), F.col("content")).alias("format")),
     "lockfile_npm": lambda s, d: L.npm_packages(_texts(s, LOCKS[:1])).select("path", "name", F.col("at").alias("place"), "version", "integrity", F.col("dev").cast("string").alias("dev"), F.col("optional").cast("string").alias("optional")),
@@ -373,3 +375,5 @@ _PAD = lambda x: "from_hex('" + bytes(c ^ x for c in b"a key".ljust(64, b"\0")).
 ORACLE["provenance_record"] = WITH + f""", r AS (SELECT package AS rule, sha256(package || chr(10) || array_to_string(list_sort([version, publisher]), chr(10))) AS digest FROM packages)
 SELECT rule, digest, sha256({_PAD(0x5C)} || from_hex(sha256({_PAD(0x36)} || encode(digest)))) AS hmac FROM r"""
 ORACLE["fp_examples"] = _F + "SELECT detector, finding_id, position FROM (SELECT detector, finding_id, row_number() OVER (PARTITION BY detector ORDER BY finding_id) AS position FROM (SELECT DISTINCT detector, finding_id FROM f)) WHERE position <= 5"
+ORACLE["reputable_bail"] = """SELECT * FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'left' WHEN 3 THEN 'lodash2' END AS package, CASE o_orderkey % 3 WHEN 0 THEN '9.9.9' WHEN 1 THEN '99.99.99' END AS version, CASE o_orderkey % 3 WHEN 0 THEN 65 ELSE 85 END AS score FROM orders)
+WHERE package IS NOT NULL AND version IS NOT NULL"""

@@ -418,7 +418,7 @@ _DENSE = f"""len(list_filter(regexp_extract_all(content, {sql(r"['\"`]([^'\"`\n]
 ORACLE["dropper"] = _rolled(WITH + f""", code AS (SELECT package, content FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$') AND {has('content', X._MARKER)}),
 facts AS (SELECT package, {has('content', _TXT)} AND {has('content', X._DECODER)} AND {has('content', X._SINK)} AS dns_payload_assembly, {_ARRAYS} AS encoded_string_array, {has('content', _TXT)} AS dns_txt_oob,
   {_ARRAYS} AND {has('content', X._DECODER)} AS string_array_decoder, {has('content', _FINGER)} AND {has('content', X._NETWORK, _TXT)} AS fingerprint_network_coupling,
-  NOT {_MINIFIED.format('content')} AND {_DENSE} AS high_entropy_literals, {has('content', X._NETWORK)} AND {has('content', r'\.(herokuapp|vercel|netlify|onrender|railway)\.(com|app)\b')} AS paas_stage_resolution,
+  NOT {_MINIFIED.format('content')} AND {_DENSE} AS high_entropy_literals, {has('content', P.PAAS)} AS paas_stage_resolution,
   {has('content', _FINGER)} AS env_fingerprint FROM code)""", X.DROPPER, X.DROPPER_ANCHORS, "D28-AI-SLOP-DROPPER")
 _GET = " OR ".join(has("{0}", p) for p in X.RUNTIME_DOWNLOADS)
 _RUN = r"\bBun\.(spawn|spawnSync|\$)\s*[(`]|\bDeno\.(run|Command)\b|\bstd\.popen\s*\(|\bos\.exec\s*\("
