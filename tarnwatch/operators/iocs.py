@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.sources.scratch import written
+
 
 def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A broadcast of df if it has few rows, else df."""
@@ -51,28 +53,28 @@ def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needl
     A needle of seven words or more is met by its second to sixth word, shorter ones by three, two or one word between
     their first and last. Needles with no such word (one or two words, or none) are met by four characters from their
     middle, the shortest by what they have. Texts are read twice: for their runs, and, those met, for the test."""
-    words = lambda c: F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
-    n = needles.select(needle_key, F.col(needle).alias("__n")).where("__n IS NOT NULL AND __n <> ''").withColumn("__w", words(F.col("__n")))
+    words = lambda c: F.split(c, "[^A-Za-z0-9]+")  # noqa: E731  an empty word may stand at either end, never between
+    run = lambda w, i, r: F.xxhash64(*[F.get(w, i + k) for k in range(r)])
+    n = needles.select(needle_key, F.col(needle).alias("__n")).where("__n IS NOT NULL AND __n <> ''").withColumn("__w", F.filter(words(F.col("__n")), lambda w: w != ""))
     inner = F.size("__w") - 2
-    width = F.coalesce(*[F.when(inner >= r, F.lit(r)) for r in RUNS], F.lit(0))
     chars = F.least(F.length("__n"), F.lit(4))
     middle = F.substring(F.col("__n"), ((F.length("__n") - chars) / 2).cast("int") + 1, chars)
-    run = F.xxhash64(F.when(width > 0, F.array_join(F.slice("__w", F.lit(2), width), " ")).otherwise(middle))
-    n = n.select(needle_key, "__n", F.when(width > 0, width).otherwise(-chars).alias("__r"), run.alias("__k"))
+    width = F.coalesce(*[F.when(inner >= r, F.lit(r)) for r in RUNS], -chars)
+    hashed = F.coalesce(*[F.when(inner >= r, run(F.col("__w"), F.lit(1), r)) for r in RUNS], F.xxhash64(middle))
+    n = n.select(needle_key, "__n", width.alias("__r"), hashed.alias("__k"))
     kinds = sorted(r["__r"] for r in n.select("__r").distinct().collect())  # eight at most
     d = docs.select(key, F.col(text).alias("__t")).where("__t IS NOT NULL AND __t <> ''")
     if not kinds:
         return d.select(key).join(n.select(needle_key), F.lit(False))
 
     def runs(r: int) -> Column:
-        last = (F.size("__w") if r > 0 else F.length("__t")) - (abs(r) - 1)
-        one = (lambda i: F.xxhash64(F.array_join(F.slice("__w", i, r), " "))) if r > 0 else (lambda i: F.xxhash64(F.substring(F.col("__t"), i, F.lit(-r))))
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), one)).otherwise(F.array().cast("array<bigint>"))
+        last = (F.size("__w") if r > 0 else F.length("__t")) - abs(r)
+        one = (lambda i: run(F.col("__w"), i, r)) if r > 0 else (lambda i: F.xxhash64(F.substring(F.col("__t"), i + 1, F.lit(-r))))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<bigint>"))
 
     met = None
     for r in kinds:
-        keyed = d.withColumn("__w", words(F.col("__t"))) if r > 0 else d
-        keyed = keyed.select(key, F.explode(F.array_distinct(runs(r))).alias("__k"))
+        keyed = (d.withColumn("__w", words(F.col("__t"))) if r > 0 else d).select(key, F.explode(runs(r)).alias("__k"))
         own = keyed.join(sized(n.where(F.col("__r") == r).select(needle_key, "__n", "__k")), "__k").select(key, needle_key, "__n")
         met = own if met is None else met.unionByName(own)
-    return d.join(sized(met.distinct()), key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()
+    return d.join(sized(written(met.distinct(), "needle-runs")), key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()

@@ -19,6 +19,7 @@ from tarnwatch.plans.report_queries import _F, _findings
 from tarnwatch.sources import lockfiles as L
 from tarnwatch.sources import manifests as MF
 from tarnwatch.sources import policy as SP
+from tarnwatch.sources import scratch
 from tarnwatch.sources.tables import table
 
 LOOSE = ["1.2.3", "^2.0.1", "~10.0.0", "v1.0.0", "1.x.0", "12.1.5-beta", "3.4", "0.0.61", "1.25.0", "20.0.0"]
@@ -186,8 +187,7 @@ def _stored(s, d):
     from tarnwatch.sinks import store
     from uuid import uuid4
 
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/store-{uuid4().hex}"
+    path = f"{scratch.folder(s)}/store-{uuid4().hex}"
     sc = scans(s, d).where("scan_id % 50 = 1").select("scan_id", F.col("package").cast("string").alias("package"), F.col("scanned_at").cast("timestamp").alias("scanned_at"))
     f = _findings(s, d).where("scan_id % 50 = 1").select("scan_id", "finding_id", F.when(F.col("finding_id") % 2 == 0, F.col("atk_id")).alias("title"), "description")
     store.save_scans(sc, f, path)

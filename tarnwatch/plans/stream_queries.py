@@ -6,13 +6,13 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from tarnwatch.sources import scratch
 from tarnwatch.sources.tables import table
 from tarnwatch.streaming import bursts as B
 
 
 def _folder(s) -> str:
-    at = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/stream-{uuid4().hex}"
+    return f"{scratch.folder(s)}/stream-{uuid4().hex}"
 
 
 def _landed(s, d, times: int = 1):
