@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import byte_bpe, exact_dedup, language_id, mixing, pii, progressive_jpeg, quality, simhash, toxicity, url_filter
+from tarnwatch.llm import byte_bpe, centroids, exact_dedup, language_id, mixing, packing, pii, prefix_trie, progressive_jpeg, quality, simhash, toxicity, url_filter
 from tarnwatch.llm.common import crc_mod
 from tarnwatch.sources.tables import table
 
@@ -108,6 +108,20 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,12 +140,66 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_progressive_jpeg": op10_progressive_jpeg,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_centroids": op12_centroids,
+    "op13_packing": op13_packing,
 }
 
+#: CRC-32 of a number's digits, bit by bit: a byte enters with the first of its eight steps.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda s: [ord(s)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+_TRIE = f"""WITH t AS (
+  SELECT conv_id, length(coalesce(text, '')) AS points, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, t.token, t.points, t.i FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL SELECT c.conv_id, t.token, t.points, t.i FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h),
+m AS (
+  SELECT conv_id AS conv, row_number() OVER w AS d, sha256(string_agg(token, '') OVER w) AS key, points FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+node AS (SELECT d, key, min(conv) AS conv_id, count(*) AS n, max(points) AS points FROM m GROUP BY d, key),
+up AS (SELECT n.d, n.key, p.key AS parent FROM node n JOIN m p ON p.conv = n.conv_id AND p.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS key, count(*) AS n_children FROM up GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n - 1) * points AS saved FROM node LEFT JOIN kids USING (d, key)),
+below AS (
+  SELECT a.d, a.key, sum((o.n_children = 0)::INT) AS n_leaves, sum(o.saved) AS saved_tokens
+  FROM own o JOIN m a ON a.conv = o.conv_id AND a.d <= o.d GROUP BY a.d, a.key),
+ends AS (
+  SELECT d, key, string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) AS ids
+  FROM (SELECT conv, max(d) AS d, arg_max(key, d) AS key FROM m GROUP BY conv) GROUP BY d, key)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own o JOIN below USING (d, key) LEFT JOIN ends USING (d, key) LEFT JOIN up ON up.d = o.d AND up.key = o.key
+LEFT JOIN node p ON p.d = o.d - 1 AND p.key = up.parent"""
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    near = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda e: isfinite(e) AND abs(e) < 2097152))),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), vec_id, x) - 1 AS c, x FROM kept QUALIFY c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS (SELECT v.r, v.vec_id, any_value(v.x) AS x, arg_min(c.c, {near} * {k} + c.c) AS c, min({near})::BIGINT AS distance FROM kept v, c{n} c GROUP BY v.r, v.vec_id)")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY c, i),
+c{n + 1} AS (SELECT c, coalesce(m.x, c{n}.x) AS x FROM c{n} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{n} GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)"
 
 ORACLE = {
+    "op11_prefix_trie": _TRIE,
+    "op12_centroids": _centroid_sql(),
     "op3_url_filter": f"""WITH c AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 365 AS INT)) AS fetched_at,
     nullif(regexp_replace(lower(regexp_extract(url, '{_HOST}', 1)), '\\.+$', ''), '') AS host,
