@@ -4,7 +4,7 @@ A text's subwords are its byte n-grams (`sizes`), lower-cased, letters and singl
 where words begin and end; each is hashed to one of `buckets` embeddings. Their average goes through a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample
 of labelled texts (`examples`, those of the smallest hashes of their ids, evenly over languages as far as there are,
-two of each language at least, however many languages).
+two of each language at least) of the `languages` that most rows have, ties by code point.
 A part of the sample is held back to calibrate: a temperature makes scores probabilities, and texts whose score
 falls below the `reject` quantile of that part are marked as rejected.
 
@@ -13,8 +13,8 @@ Scoring needs one number per bucket and language, the embedding times the softma
 Defined results: null texts and texts without a letter are `und` with score 0, rejected; short texts get a
 prediction from what they have; without labelled rows every text is `und`; with a single language in the sample that
 language is predicted for all; ties go to the language first in code point order; repeated rows score alike, and
-of rows that share an id only the one of the smallest language, then text, is learned; very long texts are read whole,
-in blocks; further columns are not touched and may have any name; an empty table gives an empty result.
+of rows that share an id only the one of the smallest language, then text, is learned, among those whose language and
+text are not null; very long texts are read whole, in blocks; further columns are not touched and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,24 +109,24 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, width: int, epochs: int, r
 
 def fit(
     docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    examples: int = 2400, buckets: int = 4096, width: int = 16, epochs: int = 30, rate: float = 0.5, reject: float = 0.005,
+    examples: int = 2400, languages: int = 500, buckets: int = 4096, width: int = 16, epochs: int = 30, rate: float = 0.5, reject: float = 0.005,
 ) -> LanguageModel:
     ship(docs.sparkSession)
     marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learn)
     # Only ids and languages take part in the choice; the texts of those chosen follow.
     thin = marked.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(F.col(id_col)).alias("__h"))
-    langs = written(thin.groupBy("__lang").agg(F.count("*").alias("__of")), "languages")
+    langs = written(thin.groupBy("__lang").agg(F.count("*").alias("__of")).orderBy(F.desc("__of"), "__lang").limit(languages), "languages")
     known = langs.count()
     if not known:
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 1.0)
     each = max(2, examples // known)
     # A share of each language a little above what is needed, cut to the number: no window over all rows.
-    drawn = thin.join(F.broadcast(langs) if known <= 10_000 else langs, "__lang")
+    drawn = thin.join(F.broadcast(langs), "__lang")  # `languages` rows at most
     drawn = drawn.where(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), (1.5 * each + 30) / F.col("__of")) * (1 << 30))
     first = Window.partitionBy("__lang").orderBy("__h", "__id")
     few = drawn.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= each).select("__id", "__lang").distinct()
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    sample = texts.join(F.broadcast(few), ["__id", "__lang"])  # at most `each` ids a language
+    texts = marked.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    sample = texts.join(F.broadcast(few), ["__id", "__lang"])  # `examples`, or two for each of `languages`
     sample = one_row_each(sample, ["__id"], ["__lang", "__text"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -240,3 +240,21 @@ def test_stages_on_edges(spark, edge, empty, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == edge.columns
         assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).where("NOT exact").count() == 0
+
+
+def test_language_rows_that_repeat_with_nulls(make, prose):
+    """A learned id again with a null text, another text or language: the smallest of those that are whole is learned."""
+    rows = [(k, prose(12, k) if k % 2 else prose(12, k).upper()[::-1], "aa" if k % 2 else "bb", "s") for k in range(40)]
+    again = [(1, None, "aa", "s"), (3, "zzz " * 9, "aa", "s"), (5, None, None, "s"), (7, "qqq", None, "s"), (None, None, "aa", "s")]
+    model = language_id.fit(make([*rows, *again]), F.lit(True))
+    assert model.names == ["aa", "bb"]
+    changed = [r if r[0] != 3 else (3, min(r[1], "zzz " * 9), "aa", "s") for r in rows]
+    assert np.allclose(language_id.fit(make(changed), F.lit(True)).rows, model.rows)
+
+
+def test_many_languages_are_bounded(spark):
+    """Junk codes do not grow the model or what the driver gets: the languages of most rows are learned."""
+    junk = spark.range(50_000).selectExpr("id AS doc_id", "concat('text of ', id) AS text", "concat('x', id) AS lang", "'s' AS source")
+    real = spark.range(50_000, 50_200).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'der und die das nicht', 'the and of that with') AS text", "IF(id % 2 = 0, 'de', 'en') AS lang", "'s' AS source")
+    model = language_id.fit(junk.unionByName(real), F.lit(True), languages=20, epochs=5)
+    assert len(model.names) == 20 and {"de", "en"} <= set(model.names) and model.rows.shape == (4096, 20)
