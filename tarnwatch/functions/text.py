@@ -175,7 +175,7 @@ def decode_preview(content: Column) -> Column:
         return F.when(F.length(raw) > 80, F.concat(F.left(raw, F.lit(80)), F.lit("..."))).otherwise(raw)
 
     b64 = lambda call: F.try_to_binary(F.nullif(F.regexp_extract(content, call + r"\(['\"]([A-Za-z0-9+/=]{10,})['\"]\)", 1), F.lit("")), F.lit("base64"))
-    hexed = F.unhex(F.nullif(F.regexp_extract(content, r"Buffer\.from\(['\"]((?:[0-9a-fA-F]{2})+)['\"],\s*['\"]hex['\"]\)", 1), F.lit("")))
+    hexed = F.unhex(F.nullif(F.regexp_extract(content, r"Buffer\.from\(['\"]((?:[0-9a-fA-F]{2})++)['\"],\s*['\"]hex['\"]\)", 1), F.lit("")))
     return F.coalesce(*[shown(x.cast("string")) for x in (b64("atob"), hexed, b64("btoa"))])
 
 
@@ -202,7 +202,7 @@ def inflation(current: Column, previous: Column, age_days: Column) -> Column:
 
 def release(version: Column) -> Column:
     """A Python version's first three numbers as a struct that compares; what is missing is 0; null if none."""
-    nums = F.regexp_extract_all(F.regexp_extract(version, r"^\s*v?(\d+(?:\.\d+)*)", 1), F.lit(r"(\d+)"), F.lit(1))
+    nums = F.regexp_extract_all(F.regexp_extract(version, r"^\s*v?(\d+(?:\.\d+)*+)", 1), F.lit(r"(\d+)"), F.lit(1))
     part = lambda i: F.coalesce(F.try_element_at(nums, F.lit(i)).cast("long"), F.lit(0).cast("long"))
     return F.when(F.size(nums) > 0, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("micro")))
 

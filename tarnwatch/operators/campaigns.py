@@ -27,8 +27,35 @@ def _all(*hits: DataFrame) -> DataFrame:
 
 
 def _of(packages: DataFrame, rows: DataFrame) -> DataFrame:
-    """packages that rows have."""
-    return packages.select(*KEY).join(rows.select("package").distinct(), "package", "left_semi")
+    """packages that rows have: of rows with a version (files of several versions) only that one."""
+    on = [k for k in KEY if k in rows.columns]
+    return packages.select(*KEY).join(rows.select(*on).distinct(), on, "left_semi")
+
+
+def signs(packages: DataFrame, files: DataFrame, of_file: dict[str, Column], hooks: str | None = None, of_hook: dict[str, Column] | None = None) -> DataFrame:
+    """All signs of a campaign in one pass over the contents: package, version, and a boolean per sign.
+
+    of_file: conditions on path and content. Scripts whose hook matches `hooks` count for the signs in of_hook. A sign of a
+    file with a version is that version's; without one it is every version's."""
+    c = F.coalesce("content", F.lit("")).alias("content")
+    on = [k for k in KEY if k in files.columns]
+    rows = files.select(*on, "path", c).select(*on, *[F.coalesce(v, F.lit(False)).alias(k) for k, v in of_file.items()])
+    seen = rows.groupBy(*on).agg(*[F.max(k).alias(k) for k in of_file])
+    found = packages.select(*KEY).distinct().join(seen, on, "left")
+    if hooks is not None:
+        h = packages.select(*KEY, F.explode(F.map_entries("scripts")).alias("s")).where(F.col("s.key").rlike(hooks)).select(*KEY, F.col("s.key").alias("hook"), F.coalesce("s.value", F.lit("")).alias("content"))
+        h = h.select(*KEY, *[F.coalesce(v, F.lit(False)).alias(f"h_{k}") for k, v in of_hook.items()]).groupBy(*KEY).agg(*[F.max(f"h_{k}").alias(f"h_{k}") for k in of_hook])
+        found = found.join(h, KEY, "left")
+        for k in of_hook:
+            own = F.coalesce(F.col(k), F.lit(False)) if k in of_file else F.lit(False)
+            found = found.withColumn(k, own | F.coalesce(F.col(f"h_{k}"), F.lit(False))).drop(f"h_{k}")
+    return found.select(*KEY, *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in {**of_file, **(of_hook or {})}])
+
+
+def fired(found: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Rules (name: severity and condition) over signs as hits, one row each."""
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, (s, c) in rules.items()]))
+    return found.select(*KEY, F.explode(hits).alias("h")).select(*KEY, "h.*").distinct()
 
 
 def base_name(path: Column) -> Column:
@@ -45,18 +72,22 @@ TRAPDOOR_LURES = r"(?i)solidity|defi|solana|sui\b|move-lang|^eth-|prompt-enginee
 def trapdoor(packages: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
     """D1 to D6: a marker in notes and scripts, a payload by name or size, a publisher, addresses next to secret paths,
     characters without width in agent rules, and lure names younger than 30 days before `as_of`."""
-    c, base = F.coalesce("content", F.lit("")), base_name(F.col("path"))
-    marked = files.where((base.isin(".cursorrules", "CLAUDE.md", "README.md", "package.json") | F.col("path").rlike(r"\.(md|sh|json)$")) & c.contains(TRAPDOOR_MARKER))
-    payload = files.where((base == TRAPDOOR_FILE) | (F.octet_length(c) == TRAPDOOR_BYTES))
-    hooks = hooks_of(packages, "preinstall|install|postinstall|prepare").select("package", F.col("body").alias("content"))
-    sends = hooks.unionByName(files.where(F.col("path").rlike(r"\.(js|mjs|cjs)$")).select("package", "content"))
-    sends = sends.where(any_of(F.col("content"), TRAPDOOR_C2) & F.col("content").rlike(TRAPDOOR_SECRETS))
-    poisoned = files.where(F.lower(base).isin(".cursorrules", "claude.md") & (F.size(T.zero_width(c)) > 0))
+    c, base = F.col("content"), base_name(F.col("path"))
+    sends = any_of(c, TRAPDOOR_C2) & c.rlike(TRAPDOOR_SECRETS)
+    found = signs(
+        packages, files,
+        {
+            "marked": (base.isin(".cursorrules", "CLAUDE.md", "README.md", "package.json") | F.col("path").rlike(r"\.(md|sh|json)$")) & c.contains(TRAPDOOR_MARKER),
+            "payload": (base == TRAPDOOR_FILE) | (F.octet_length(c) == TRAPDOOR_BYTES), "sends": F.col("path").rlike(r"\.(js|mjs|cjs)$") & sends,
+            "poisoned": F.lower(base).isin(".cursorrules", "claude.md") & (F.size(T.zero_width(c)) > 0),
+        },
+        "preinstall|install|postinstall|prepare", {"sends": sends},
+    )
     young = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("first_published").cast("timestamp")) < 30 * 86_400_000_000
     lure = packages.where(F.col("package").rlike(TRAPDOOR_LURES) & young & (F.col("versions") <= 2))
     return _all(
-        _hits(_of(packages, marked), "D1", "critical"), _hits(_of(packages, payload), "D2", "critical"), _hits(packages.where(F.col("publisher") == TRAPDOOR_PUBLISHER), "D3", "critical"),
-        _hits(_of(packages, sends), "D4", "critical"), _hits(_of(packages, poisoned), "D5", "high"), _hits(lure, "D6", "medium"),
+        fired(found, {"D1": ("critical", F.col("marked")), "D2": ("critical", F.col("payload")), "D4": ("critical", F.col("sends")), "D5": ("high", F.col("poisoned"))}),
+        _hits(packages.where(F.col("publisher") == TRAPDOOR_PUBLISHER), "D3", "critical"), _hits(lure, "D6", "medium"),
     )
 
 
@@ -121,14 +152,12 @@ HUB_TOKEN, COMMIT_LOOP = r"process\.env\.(?:GH_TOKEN|GITHUB_TOKEN|GITHUB_ACTOR)"
 def scrambled_worm(packages: DataFrame, files: DataFrame) -> DataFrame:
     """D1 a scrambling module, which stops the other rules; D2 persistence in files or install scripts; D3 a switch by
     locale; D4 a dead drop in commits. Signs of D3 and D4 may stand in different files of a package."""
-    c = F.coalesce("content", F.lit(""))
-    scripts = hooks_of(packages, "^(preinstall|install|postinstall|preuninstall|postuninstall)$").select("package", F.col("body").alias("content"))
-    stays = files.select("package", "content").unionByName(scripts).where(any_of(c, PERSISTS))
-    seen = files.groupBy("package").agg(*[F.max(c.rlike(p)).alias(n) for n, p in (("at", LOCALE), ("off", LOCALE_SWITCH), ("api", HUB_API), ("token", HUB_TOKEN), ("loop", COMMIT_LOOP), ("word", DROP_WORD))])
-    return _all(
-        _hits(_of(packages, files.where(c.rlike(SCRAMBLE))), "D1", "critical"), _hits(_of(packages, stays), "D2", "critical"), _hits(_of(packages, seen.where("at AND off")), "D3", "high"),
-        _hits(_of(packages, seen.where("word OR (api AND (token OR loop))")), "D4", "critical"),
-    )
+    c = F.col("content")
+    stays = any_of(c, PERSISTS)
+    texts = {"scramble": SCRAMBLE, "at": LOCALE, "off": LOCALE_SWITCH, "api": HUB_API, "token": HUB_TOKEN, "loop": COMMIT_LOOP, "word": DROP_WORD}
+    found = signs(packages, files, {n: c.rlike(p) for n, p in texts.items()} | {"stays": stays}, "^(preinstall|install|postinstall|preuninstall|postuninstall)$", {"stays": stays})
+    drop = F.col("word") | (F.col("api") & (F.col("token") | F.col("loop")))
+    return fired(found, {"D1": ("critical", F.col("scramble")), "D2": ("critical", F.col("stays")), "D3": ("high", F.col("at") & F.col("off")), "D4": ("critical", drop)})
 
 
 # Versions, hosts and an account of a hijacked module.
@@ -143,23 +172,24 @@ HIJACK_ZONE = r"(?i:bt\.node\.js)|\bresolveTxt\s*\("
 def hijacked_module(packages: DataFrame, files: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """D1 versions; D2 file hashes (sha256); D5 a resolver of its own; D6 hosts; D7 names over DNS text records; D8 work at
     load time (info); D9 leftovers under ~/nt-*; D10 the account; D11 lockfiles that hold a bad version."""
-    c, path = F.coalesce("content", F.lit("")), F.col("path")
+    c, path = F.col("content"), F.col("path")
     scripted = path.rlike(r"\.(js|mjs|cjs)$")
-    every = hooks_of(packages, "").select("package", F.col("body").alias("content"))
-    install = hooks_of(packages, "preinstall|install|postinstall|prepare").select("package", F.col("body").alias("content"))
-    code = files.where(scripted).select("package", "content")
     address = F.regexp_extract(c, RESOLVER_ADDRESS, 1)
-    own = code.unionByName(install).where(c.rlike(RESOLVER) & (address != "") & ~address.isin(PUBLIC_RESOLVERS))
-    lock = files.where(path.rlike(r"(?i)(package-lock\.json|yarn\.lock|pnpm-lock\.ya?ml)$") & c.rlike(r"(?i)\bnode-ipc\b") & any_of(c, [f'"{v}"'.replace(".", r"\.") for v in HIJACKED_VERSIONS]))
+    own, zone, late, hosts = c.rlike(RESOLVER) & (address != "") & ~address.isin(PUBLIC_RESOLVERS), c.rlike(HIJACK_ZONE), c.rlike(r"\bsetImmediate\s*\("), c.rlike(HIJACK_HOSTS)
+    lock = path.rlike(r"(?i)(package-lock\.json|yarn\.lock|pnpm-lock\.ya?ml)$") & c.rlike(r"(?i)\bnode-ipc\b") & any_of(c, [f'"{v}"'.replace(".", r"\.") for v in HIJACKED_VERSIONS])
+    install = F.col("hook").rlike("preinstall|install|postinstall|prepare")
+    found = signs(
+        packages, files, {"own": scripted & own, "hosts": hosts, "zone": scripted & zone, "late": scripted & late, "left": path.rlike(r"~/nt-[\w-]+/.*\.tar\.gz"), "lock": lock},
+        "", {"own": install & own, "hosts": hosts, "zone": install & zone, "late": late},
+    )
     named = packages.where(F.col("package") == HIJACKED)
+    rules = {"D5": ("critical", "own"), "D6": ("critical", "hosts"), "D7": ("critical", "zone"), "D8": ("info", "late"), "D9": ("critical", "left"), "D11": ("critical", "lock")}
     hits = [
-        _hits(named.where(F.col("version").isin(HIJACKED_VERSIONS)), "D1", "critical"), _hits(_of(packages, own), "D5", "critical"),
-        _hits(_of(packages, files.select("package", "content").unionByName(every).where(c.rlike(HIJACK_HOSTS))), "D6", "critical"), _hits(_of(packages, code.unionByName(install).where(c.rlike(HIJACK_ZONE))), "D7", "critical"),
-        _hits(_of(packages, code.unionByName(every).where(c.rlike(r"\bsetImmediate\s*\("))), "D8", "info"), _hits(_of(packages, files.where(path.rlike(r"~/nt-[\w-]+/.*\.tar\.gz"))), "D9", "critical"),
-        _hits(named.where(F.col("publisher") == HIJACKER), "D10", "critical"), _hits(_of(packages, lock), "D11", "critical"),
+        fired(found, {r: (s, F.col(k)) for r, (s, k) in rules.items()}),
+        _hits(named.where(F.col("version").isin(HIJACKED_VERSIONS)), "D1", "critical"), _hits(named.where(F.col("publisher") == HIJACKER), "D10", "critical"),
     ]
     if hashes is not None:
-        hits.append(_hits(_of(packages, by_hash(files.withColumn("content", c), hashes, "content")), "D2", "critical"))
+        hits.append(_hits(_of(packages, by_hash(files.withColumn("content", F.coalesce("content", F.lit(""))), hashes, "content")), "D2", "critical"))
     return _all(*hits)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnwatch.functions import severity as S
 from tarnwatch.functions import text as T
 from tarnwatch.operators.payloads import PAAS
+from tarnwatch.operators.value_flow import reaches
 
 # Weights and anchors of the three detectors, and the patterns of runtimes and workspace files.
 DROPPER = {
@@ -57,10 +58,11 @@ def surface_band(path: Column) -> Column:
 
 def encoded_arrays(content: Column) -> Column:
     """How many array literals hold eight strings or more, four fifths of them hex or dense base64."""
-    arrays = F.regexp_extract_all(content, F.lit(r"\[\s*(?:['\"][^'\"\n]*['\"]\s*,\s*){7,}['\"][^'\"\n]*['\"]\s*,?\s*\]"), F.lit(0))
+    # Possessive: a repeated group that may give back takes stack for every string of an array.
+    arrays = F.regexp_extract_all(content, F.lit(r"\[\s*+(?:['\"][^'\"\n]*+['\"]\s*+,\s*+){7,}+(?:['\"][^'\"\n]*+['\"]\s*+)?+\]"), F.lit(0))
     strings = lambda a: F.regexp_extract_all(a, F.lit(r"['\"]([^'\"\n]*)['\"]"), F.lit(1))
-    encoded = lambda s: s.rlike(r"^(?:[0-9a-fA-F]{2}){3,}$") | (s.rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (T.entropy_of_short(s) >= 4.5))
-    return F.size(F.filter(arrays, lambda a: F.size(F.filter(strings(a), encoded)) >= F.size(strings(a)) * 0.8))
+    encoded = lambda s: s.rlike(r"^(?:[0-9a-fA-F]{2}){3,}+$") | (s.rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (T.entropy_of_short(s) >= 4.5))
+    return F.size(F.filter(arrays, lambda a: (F.size(strings(a)) >= 8) & (F.size(F.filter(strings(a), encoded)) >= F.size(strings(a)) * 0.8)))
 
 
 def dense_literals(content: Column) -> Column:
@@ -68,7 +70,7 @@ def dense_literals(content: Column) -> Column:
     return F.size(F.filter(literals, lambda s: T.entropy_of_short(s) > 5.0))
 
 
-def _rolled(per_file: DataFrame, weights: dict[str, int], anchors: list[str], least: int, flag: int, name: str) -> DataFrame:
+def _rolled(per_file: DataFrame, weights: dict[str, int], anchors: list[str], least: int, flag: int, name: str, approx: bool = True) -> DataFrame:
     """Signals once per package; nothing without an anchor; the clamped sum from `least` on."""
     have = [s for s in weights if s in per_file.columns]
     g = per_file.groupBy("package").agg(*[F.max(F.coalesce(s, F.lit(False))).alias(s) for s in have])
@@ -76,7 +78,7 @@ def _rolled(per_file: DataFrame, weights: dict[str, int], anchors: list[str], le
     score = F.least(raw, F.lit(100))
     anchored = reduce(lambda a, b: a | b, [F.col(a) for a in anchors])
     fired = F.array_compact(F.array(*[F.when(F.col(s), F.lit(s)) for s in have]))
-    out = g.where(anchored).select("package", F.lit(name).alias("detector"), score.alias("score"), fired.alias("signals"), F.lit(True).alias("approx"))
+    out = g.where(anchored).select("package", F.lit(name).alias("detector"), score.alias("score"), fired.alias("signals"), F.lit(approx).alias("approx"))
     return out.where(F.col("score") >= least).withColumn("severity", S.ladder(F.col("score"), [(flag, "critical"), (least, "high")], "medium"))
 
 
@@ -104,6 +106,31 @@ def dropper(files: DataFrame, packages: DataFrame, dns_tools: list[str] = ()) ->
     return _rolled(facts.unionByName(entry, allowMissingColumns=True), DROPPER, DROPPER_ANCHORS, 55, 80, "D28-AI-SLOP-DROPPER")
 
 
+#: Marks of statements, whose tokens are parted by spaces.
+FLOW_MARKS = {
+    "array": r"\[ (?:['\"][^'\"\n]*+['\"] ?,? ?){8,}+\]", "decoder": r"Buffer \. from \([^)]*, ['\"](hex|base64)['\"] \)|fromCharCode|\batob \(|\bunescape \(|decodeURIComponent \(|parseInt \([^)]*, 16 \)",
+    "sink": r"\beval \(|\bexec(Sync|File|FileSync)? \(|\bspawn(Sync)? \(|runInNewContext|\bnew Function \(", "txt": r"\bresolve(Txt|Any) \(|\bresolve \([^)]*['\"](TXT|ANY)['\"]",
+    "network": r"\b(fetch|axios|got|request) \(|\bnew (XMLHttpRequest|WebSocket)|\b(https?|net|tls) \. (get|request|connect) \(|\baxios \. \w+ \(",
+    "fingerprint": r"process \. (platform|arch)\b|\bos \. (platform|arch|type|release) \(",
+}
+
+
+def dropper_flows(files: DataFrame, dns_tools: list[str] = ()) -> DataFrame:
+    """The dropper's signals where the value does reach the call: a decoder that gets an encoded array, execution that gets
+    decoded DNS text, a request that gets a fingerprint. files: package, id (of the file), path, content."""
+    f = code(files).where(F.col("content").rlike(_MARKER))
+    s = reaches(f, FLOW_MARKS, "id")
+    has = lambda m: F.array_contains("marks", m)
+    gets = lambda m: F.array_contains("reached", m)
+    encoded = encoded_arrays(F.regexp_replace("text", "^.*?= ", "")) > 0
+    facts = s.select(
+        "id", (has("sink") & gets("txt") & gets("decoder")).alias("dns_payload_assembly"), (has("array") & encoded).alias("encoded_string_array"), has("txt").alias("dns_txt_oob"),
+        (has("decoder") & gets("array")).alias("string_array_decoder"), (has("network") & gets("fingerprint")).alias("fingerprint_network_coupling"), has("fingerprint").alias("env_fingerprint"),
+    ).join(f.select("id", "package"), "id").drop("id")
+    facts = facts.withColumn("dns_txt_oob", F.col("dns_txt_oob") & ~F.col("package").isin(list(dns_tools)))
+    return _rolled(facts, DROPPER, DROPPER_ANCHORS, 55, 80, "D28-AI-SLOP-DROPPER", approx=False)
+
+
 def runtime_evasion(files: DataFrame, packages: DataFrame) -> DataFrame:
     """Other runtimes fetched, started or used for execution, by where the code runs: install hook, entry or module.
 
@@ -153,7 +180,7 @@ def workspace_persistence(files: DataFrame) -> DataFrame:
 def function_bodies(files: DataFrame) -> DataFrame:
     """Named functions by their heads, each body up to the next head: package, version, name, body."""
     heads = r"(?:function\s+|(?:const|let|var)\s+|\b)([A-Za-z_$][\w$]*)\s*(?:=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>)|\([^)]*\)\s*\{)"
-    pieces = F.regexp_extract_all("content", F.lit(rf"(?s){heads}(?:(?!\bfunction\s+[A-Za-z_$]).)*"), F.lit(0))
+    pieces = F.regexp_extract_all("content", F.lit(rf"(?s){heads}(?:(?!\bfunction\s+[A-Za-z_$]).)*+"), F.lit(0))
     return code(files).select("package", "version", F.explode(pieces).alias("body")).withColumn("name", F.regexp_extract("body", heads, 1))
 
 

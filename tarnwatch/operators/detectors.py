@@ -75,7 +75,7 @@ CODE_PATTERNS = {
     "EVAL_USAGE": r"\beval\s*\(", "FUNCTION_CONSTRUCTOR": r"Function\s*\(",
     "STRING_REVERSAL_CHAIN": r"\.split\s*\(\s*['\"]\s*['\"]\s*\)\s*\.reverse\s*\(\s*\)\s*\.join\s*\(", "XOR_CIPHER": r"charCodeAt\s*\([^)]*\)\s*\^\s*\w+",
     "BITWISE_LOOP": r"for\s*\([^;]+;[^;]+\)\s*\{[^}]{20,}\^[^}]*\}", "DYNAMIC_REQUIRE": r"require\s*\(\s*(?:Buffer\.from|atob|decodeURIComponent)",
-    "BASE64_LITERAL": r"['\"][A-Za-z0-9+/]{60,}={0,2}['\"]", "OBFUSCATED_STRING": r"(?:\\x[0-9a-fA-F]{2}){8,}", "UNICODE_ESCAPE": r"(?:\\u[0-9a-fA-F]{4}){8,}",
+    "BASE64_LITERAL": r"['\"][A-Za-z0-9+/]{60,}={0,2}['\"]", "OBFUSCATED_STRING": r"(?:\\x[0-9a-fA-F]{2}){8,}+", "UNICODE_ESCAPE": r"(?:\\u[0-9a-fA-F]{4}){8,}+",
 }
 
 
@@ -188,14 +188,45 @@ def platform_groups(files: DataFrame) -> DataFrame:
     return g.where("variants >= 2")
 
 
-def binary_embed(files: DataFrame) -> DataFrame:
-    """files (package, path, bytes, declared, invoked): executables by their first bytes, scored 50 to 100."""
-    kind = T.magic(F.col("bytes"))
-    f = files.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("stem", platform_stem(F.col("path")))
-    score = F.when(F.col("kind") == "wasm", 60).otherwise(95)
-    g = f.groupBy("package", "stem").agg(F.max(score).alias("base"), F.count("*").alias("n"), F.max(F.col("path").rlike(r"(^|/)bin/").cast("int")).alias("bin"), F.min(F.col("declared").cast("int")).alias("declared"), F.max(F.col("invoked").cast("int")).alias("invoked"))
-    total = F.col("base") + F.when(F.col("n") >= 2, 25).otherwise(0) + F.col("bin") * 15 + (1 - F.col("declared")) * 50 + F.col("invoked") * 25
-    return g.groupBy("package").agg(F.max(F.least(F.lit(100), F.greatest(F.lit(50), total))).alias("score"), F.sum("n").alias("binaries"))
+# Where binaries lie, how they end and what they are called; packages that ship them; what starts them.
+BINARY_DIRS = r"(^|/)(bin|native)/"
+BINARY_SUFFIXES = r"(?i)\.(exe|dll|so|dylib|wasm|node|o|a)$"
+BINARY_NAMES = ["bun", "deno", "go", "rustc", "python", "python3", "ruby", "php"]
+BINARY_PACKAGES = ["electron", "puppeteer", "sharp", "esbuild", "node-gyp", "node-pre-gyp", "@mapbox/node-pre-gyp"]
+STARTS = r"\b(?:spawn|exec|execSync|spawnSync|fork)\s*\(|fs\.chmod\s*\("
+PLATFORM_END = r"(?i)-(?:linux|darwin|macos|win32|windows|win)-(?:x64|x86|arm64|ia32)\.?(?:exe)?$"
+
+
+def binary_embed(files: DataFrame, manifests: DataFrame, code: DataFrame, reputable: DataFrame | None = None) -> DataFrame:
+    """Binaries in packages, each scored 50 to 100: package, path, score, subtype, severity.
+
+    files: package, path, bytes (the first four do); manifests: package, bin_name (a single string), bin (values of a map),
+    optional (names of optional dependencies), gyp (boolean); code: package, content. A file counts by its first bytes,
+    folder, suffix or name. Of sets of one name for several platforms, one a package counts: that of the first path."""
+    slashed = F.replace("path", F.lit("\\"), F.lit("/"))
+    name = F.element_at(F.split(slashed, "/"), -1)
+    f = unlisted(files, reputable).where(~F.col("package").isin(BINARY_PACKAGES)).withColumns({"kind": T.magic(F.col("bytes")), "base": name, "in_dir": slashed.rlike(BINARY_DIRS)})
+    known = F.lower(F.regexp_replace("base", r"\.\w+$", "")).isin(BINARY_NAMES)
+    f = f.where(F.col("kind").isNotNull() | F.col("in_dir") | F.col("path").rlike(BINARY_SUFFIXES) | known)
+    f = f.withColumn("stem", F.element_at(F.split(F.regexp_replace(slashed, PLATFORM_END, ""), "/"), -1))
+    sets = f.groupBy("package", "stem").agg(F.count("*").alias("n"), F.min("path").alias("first")).where("n >= 2")
+    sets = sets.groupBy("package").agg(F.min_by("stem", "first").alias("stem")).withColumn("cross", F.lit(1))
+    started = code.where(F.col("content").rlike(STARTS)).select("package").distinct().withColumn("started", F.lit(1))
+    j = f.join(manifests, "package", "left").join(sets, ["package", "stem"], "left").join(started, "package", "left")
+    no = F.array().cast("array<string>")
+    declared = (
+        F.coalesce(F.col("bin_name") == F.col("base"), F.lit(False)) | F.exists(F.coalesce("bin", no), lambda v: (v == F.col("base")) | v.endswith(F.concat(F.lit("/"), F.col("base"))))
+        | F.array_contains(F.coalesce("optional", no), F.col("base")) | (F.coalesce("gyp", F.lit(False)) & F.col("base").endswith(".node"))
+    )
+    cross = F.col("cross").isNotNull()
+    total = (
+        F.when(F.col("kind").isNotNull() & (F.col("kind") != "wasm"), 95).otherwise(60) + F.when(cross, 25).otherwise(0) + F.when(F.col("in_dir"), 15).otherwise(0)
+        + F.when(declared, 0).otherwise(50) + F.when(F.col("started").isNotNull(), 25).otherwise(0)
+    )
+    score = F.greatest(F.lit(50), F.least(F.lit(100), total))
+    kind = F.coalesce("kind", F.lit("unknown"))
+    subtype = F.when(cross, F.concat(F.lit("cross_platform_"), kind)).when(F.col("kind").isNull(), "magic_byte_unknown").otherwise(F.concat(kind, F.lit("_embedded")))
+    return j.select("package", "path", score.alias("score"), subtype.alias("subtype"), S.ladder(score, [(90, "critical"), (70, "high")], "medium").alias("severity"))
 
 
 def follow_hooks(packages: DataFrame, files: DataFrame) -> DataFrame:
@@ -234,3 +265,45 @@ def build_config(files: DataFrame) -> DataFrame:
     g = reduce(DataFrame.unionByName, [*parts, gyp]).groupBy("package").agg(F.sum("raw_score").alias("raw"), F.flatten(F.collect_list("signals")).alias("signals"))
     score = F.least("raw", F.lit(100)).cast("int")
     return g.select("package", score.alias("score"), F.array_sort("signals").alias("signals"), S.ladder(score, [(99, "critical"), (70, "high"), (30, "medium")]).alias("severity"))
+
+
+# Addons that are expected to have a build file, packages that are left out, and the weights beside patterns.
+NATIVE_ADDONS = ["node-sass", "sqlite3", "bcrypt", "@mapbox/node-pre-gyp", "better-sqlite3", "sharp", "canvas", "node-gyp", "prebuild-install"]
+BUILD_REPUTABLE = ["electron", "puppeteer", "playwright", "sharp", "esbuild", "node-gyp", "@mapbox/node-pre-gyp", "node-pre-gyp", "webpack", "vite", "rollup"]
+UNEXPECTED, UNDECLARED, SHELL_ROW, LINKER_ROW, LARGE_ADDON, REBUILT = 20, 45, 50, 35, 30, 99
+ADDON_BYTES = 10 * 1024 * 1024
+
+
+def build_abuse(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """Build configuration of packages: package, score (clamped sum), severity, signals.
+
+    packages: package, scripts, gypfile (declares a native build); files: package, path, content, size. The first
+    binding.gyp of a package counts by its patterns and again by its rows (shell expansions, linker flags); other build
+    files and sources by theirs; large addons by size; a build file that the manifest does not declare, more so where it
+    is not expected; and a hook that rebuilds from one with a shell or macro in it."""
+    from tarnwatch.operators.source_tokens import gyp_rows
+
+    named = F.regexp_replace("path", r"\\\\", "/")
+    f = files.where(~F.regexp_extract("package", "^(@[^/]+/[^/]+|[^/]+)", 1).isin(BUILD_REPUTABLE))
+    gyp = f.where(named.rlike("(?i)(^|/)binding\\.gyp$")).groupBy("package").agg(F.min_by("content", "path").alias("content"))
+    kinds = list(BUILD_FILES.values())
+    counted = [weighted(gyp, "D14", kinds[0])]
+    counted += [weighted(f.where(F.col("path").rlike(p)), "D14", d) for p, d in ((r"(?i)(\.mk|makefile|cmakelists\.txt|configure|\.cmake)$", kinds[1]), (r"(?i)\.(c|cc|cpp|cxx|h|hpp)$", kinds[2]))]
+    parts = [c.select("package", F.col("raw_score").alias("raw"), "signals") for c in counted]
+    one = lambda df, n, name: df.select("package", F.lit(n).alias("raw"), F.array(F.lit(name)).alias("signals"))
+    rows = gyp_rows(gyp)
+    parts += [one(rows.where("kind = 'shell'"), SHELL_ROW, "gyp_shell_exec"), one(rows.where("kind = 'linker'"), LINKER_ROW, "linker_flag")]
+    parts.append(one(f.where(F.lower("path").endswith(".node") & (F.col("size") > ADDON_BYTES)), LARGE_ADDON, "large_addon"))
+    install = F.coalesce(F.try_element_at("scripts", F.lit("install")), F.lit(""))
+    m = packages.select("package", (F.coalesce("gypfile", F.lit(False)) | install.contains("node-gyp") | install.contains("node-pre-gyp")).alias("declared"), F.exists(
+        F.array(*[F.coalesce(F.try_element_at("scripts", F.lit(h)), F.lit("")) for h in ("preinstall", "install", "postinstall", "prepare", "prepublish")]), lambda s: s.contains("node-gyp rebuild")).alias("rebuilds"))
+    have = gyp.select("package").join(m, "package", "left")
+    undeclared = ~F.coalesce("declared", F.lit(False))
+    parts.append(one(have.where(undeclared & ~F.col("package").isin(NATIVE_ADDONS)), UNEXPECTED, "gyp_present"))
+    parts.append(one(have.where(undeclared & F.col("declared").isNotNull()), UNDECLARED, "undeclared_gyp"))
+    g = reduce(DataFrame.unionByName, parts).groupBy("package").agg(F.sum("raw").alias("raw"), F.array_distinct(F.flatten(F.collect_list("signals"))).alias("signals"))
+    armed = F.coalesce("rebuilds", F.lit(False)) & (F.arrays_overlap("signals", F.array(*map(F.lit, ["shell_exec", "makefile_shell_exec", "compile_macro_injection", "gyp_shell_exec"]))))
+    g = g.join(have.select("package", "rebuilds"), "package", "left").withColumn("armed", armed)
+    score = F.least(F.lit(100), F.col("raw") + F.when(F.col("armed"), REBUILT).otherwise(0)).cast("int")
+    signals = F.when(F.col("armed"), F.array_append("signals", F.lit("rebuilt_by_hook"))).otherwise(F.col("signals"))
+    return g.select("package", score.alias("score"), S.ladder(score, [(70, "critical"), (50, "high"), (30, "medium")]).alias("severity"), F.array_join(F.array_sort(signals), ",").alias("signals"))

@@ -67,7 +67,7 @@ SECRETS = [("cred_regex_aws", r"AKIA[0-9A-Z]{16}"), ("cred_regex_npm_token", r"n
 ENV_DUMP = r"process\.env\.(?:AWS_[A-Z_]+|NPM_TOKEN|NPM_AUTH_TOKEN|GIT_TOKEN|SSH_KEY)"
 IDENTITY = r"\.gitconfig|\.ssh/|\.aws/config|\.config/git/config|\.config/gcloud/properties|resolv\.conf|['\"`](?:\.git/config|\.git/logs/HEAD)[`'\"]"
 GIT_CONFIG = r"(?:exec|execSync|spawn|spawnSync)\s*\(\s*['\"]git['\"]\s*,\s*\[\s*['\"]config['\"]|(?:exec|execSync)\s*\(\s*['\"]git\s+config\b"
-PAAS = r"(?i)https?://([a-z0-9-]+(?:\.[a-z0-9-]+)*(?:\.run\.app|\.web\.app|\.vercel\.app|\.netlify\.app|\.workers\.dev))"
+PAAS = r"(?i)https?://([a-z0-9-][a-z0-9.-]*(?:\.run\.app|\.web\.app|\.vercel\.app|\.netlify\.app|\.workers\.dev))"
 NAMED = "Miasma: The Spreading Blight"
 
 

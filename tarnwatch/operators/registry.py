@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.functions import severity as S
 from tarnwatch.functions import text as T
 from tarnwatch.functions.known import REPUTABLE
 from tarnwatch.operators import similarity as M
@@ -86,18 +89,45 @@ def merge_registries(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("extension", "version").agg(F.array_sort(F.collect_set("registry")).alias("registries"), F.min("published_at").alias("published_at"), F.max("asset_size").alias("asset_size"))
 
 
+# What activation events weigh, and words of commands and events that go with execution.
+ACTIVATION = {"*": "critical", "onStartupFinished": "high", "workspaceContains:**/*": "high", "workspaceContains": "high", "onCommand:*": "low"}
+COMMAND_WORDS = ["npx", "bun", "curl", "wget", "exec", "spawn", "execSync"]
+EVENT_WORDS = ["npx", "bun", "curl", "wget", "fetch(", "exec(", "spawn(", "execsync", "spawnsync", "child_process", "shell: true", "detached: true"]
+SIZE_JUMP = 400 * 1024
+
+
 def activation_severity(event: Column) -> Column:
-    return F.when(event == "*", "critical").when(event.startswith("onStartup") | event.startswith("workspaceContains"), "high").when(event.startswith("onCommand:"), "low").when(event.contains("*"), "high").otherwise("low")
+    """Five events have a weight of their own, others with a star are high, the rest no risk (null)."""
+    return S.lookup(event, ACTIVATION, F.when(event.contains("*"), "high"))
 
 
 def extension_changes(versions: DataFrame) -> DataFrame:
-    """Per version what it activates on that no earlier one did, and the spread of sizes so far."""
-    w = Window.partitionBy("extension").orderBy("published_at", "version").rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.array_distinct(F.flatten(F.collect_list("activation_events").over(w)))
-    v = versions.withColumn("new_events", F.array_except("activation_events", seen)).withColumn("first", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1)
-    spread = F.max("asset_size").over(upto) - F.min("asset_size").over(upto)
-    return v.withColumn("size_delta", spread > 400 * 1024).select("extension", "version", F.when(F.col("first"), F.array().cast("array<string>")).otherwise(F.col("new_events")).alias("new_events"), "size_delta")
+    """Per version what it activates on that no earlier one did, and whether sizes so far spread by more than a jump.
+
+    An event is new in the version it is first seen in: one window over (extension, event), not over all sets before."""
+    key = ["extension", "published_at", "version"]
+    upto = Window.partitionBy("extension").orderBy("published_at", "version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = versions.withColumns({"no": F.row_number().over(upto), "size_delta": F.max("asset_size").over(upto) - F.min("asset_size").over(upto) > SIZE_JUMP})
+    v = v.withColumn("prior", F.sum(F.size(F.coalesce("activation_events", F.array()))).over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    first = Window.partitionBy("extension", "event").orderBy("published_at", "version")
+    events = v.select(*key, F.explode(F.array_distinct("activation_events")).alias("event")).withColumn("seen", F.row_number().over(first)).where("seen = 1")
+    new = events.groupBy(*key).agg(F.array_sort(F.collect_list("event")).alias("fresh"))
+    got = F.when((F.col("no") > 1), F.coalesce("fresh", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return v.join(new, key, "left").select("extension", "version", got.alias("new_events"), F.coalesce("size_delta", F.lit(False)).alias("size_delta"), (F.coalesce("prior", F.lit(0)) > 0).alias("had_events"))
+
+
+def activation_risk(versions: DataFrame) -> DataFrame:
+    """versions (extension, version, published_at, asset_size, activation_events, titles, bundled) to the risk of each:
+    extension, version, risk, why. The worst event counts; words of execution, a jump in size, or a first event beside a
+    high one make it critical. Versions without a weighty event have no row."""
+    worst = F.array_max(F.transform(F.coalesce("activation_events", F.array().cast("array<string>")), lambda e: S.rank(activation_severity(e))))
+    said = lambda c, words: reduce(lambda a, b: a | b, [F.lower(F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")).contains(w) for w in words])
+    words = said(F.col("titles"), COMMAND_WORDS) | said(F.col("activation_events"), EVENT_WORDS) | F.array_join(F.coalesce("bundled", F.array().cast("array<string>")), " ").rlike("bun|runtime")
+    v = versions.join(extension_changes(versions), ["extension", "version"]).withColumns({"worst": worst, "words": words}).where(F.col("worst") > 0)
+    fresh = F.col("had_events") & (F.size("new_events") > 0)
+    up = F.col("words") | F.col("size_delta") | (fresh & (F.col("worst") >= S.RANK["high"]))
+    why = F.array_compact(F.array(F.when(F.col("words"), "execution_words"), F.when(F.col("size_delta"), "size_jump"), F.when(fresh, "first_event")))
+    return v.select("extension", "version", F.when(up, "critical").otherwise(S.from_rank(F.col("worst"))).alias("risk"), F.array_join(why, ",").alias("why"))
 
 
 def quick_handover(versions: DataFrame, key: str, ts: str, publisher: str, within: int) -> DataFrame:
@@ -107,11 +137,19 @@ def quick_handover(versions: DataFrame, key: str, ts: str, publisher: str, withi
     return v.where((F.col("before") != F.col(publisher)) & (F.col("gap") <= within)).select(key, F.col(ts).alias("at"), "before", F.col(publisher).alias("after"))
 
 
-def model_references(files: DataFrame) -> DataFrame:
-    """org/model references of hub loads in code: package, org, model."""
-    refs = F.regexp_extract_all("content", F.lit(r"(?:from_pretrained|hf_hub_download|snapshot_download)\s*\(\s*['\"]([\w.-]+/[\w.-]+)['\"]"), F.lit(1))
-    r = files.select("package", F.explode(refs).alias("r")).distinct()
-    return r.select("package", F.split_part("r", F.lit("/"), F.lit(1)).alias("org"), F.split_part("r", F.lit("/"), F.lit(2)).alias("model"))
+# Four ways in which scripts and code name a repository of a model hub.
+HUB_URL = r"(?:huggingface\.co|hf\.co)/([^/\s\"'>]+/[^/\s\"'>]+)"
+HUB_PRETRAINED = r"from_pretrained\(\s*[\"']([^\"']+/[^\"']+)[\"']"
+HUB_ONE, HUB_TWO = r"hub\.download\(\s*[\"']([^\"']+/[^\"']+)[\"']", r"hub\.download\(\s*[\"']([^\"']+[\"']\s*,\s*[\"'][^\"']+)[\"']"
+
+
+def model_references(texts: DataFrame) -> DataFrame:
+    """References to repositories of a model hub in scripts and code (package, content): package, org, model. The
+    organisation is what stands before the first slash."""
+    found = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+    two = F.transform(found(HUB_TWO), lambda m: F.regexp_replace(m, r"[\"']\s*,\s*[\"']", "/"))
+    r = texts.select("package", F.explode(F.concat(found(HUB_URL), found(HUB_PRETRAINED), found(HUB_ONE), two)).alias("r")).distinct()
+    return r.select("package", F.split_part("r", F.lit("/"), F.lit(1)).alias("org"), F.substring_index("r", "/", -1).alias("model")).distinct()
 
 
 def spoofed_orgs(files: DataFrame, known_orgs: DataFrame, least: float = 0.82) -> DataFrame:

@@ -62,7 +62,7 @@ C2 = {
     "known_endpoint": (80, r"(?i)(?:filev2\.getsession\.org|api\.signal\.org|(?:[\w-]+\.)?briarproject\.org|api\.ricochet\.im|signal-cli|signal-desktop|tor\s*(?:proxy|socks|connect|bridge))"),
     "onion": (30, r"(?i)(?:[a-z2-7]{16,56}\.onion|\.onion|tor\s*(?:proxy|socks|connect|bridge))"),
     "encoded_url": (35, r"(?i)(?:atob|Buffer\.from|decodeURIComponent)\s*\((?:['\"`][A-Za-z0-9+/=]{20,}['\"`]|['\"`](?:[0-9a-fA-F]{2,})['\"`])"),
-    "hex_domain": (35, r"(?:0x[0-9a-fA-F]{2,}){4,}"),
+    "hex_domain": (35, r"(?:0x[0-9a-fA-F]{2,}?(?=0x|[^0-9a-fA-F]|$)){4,}+"),
 }
 INJECTION = {
     "instruction_override": (75, "high", [
@@ -152,17 +152,23 @@ def encrypted_c2(files: DataFrame, key: str = "package", content: str = "content
     return g.select(key, score.cast("int").alias("score")).where("score >= 50")
 
 
-def cloud_metadata(lines: DataFrame, key: str, at: str, content: str) -> DataFrame:
-    """Requests to cloud metadata services: host names, or the address with its header within five lines; 82 for one
-    cloud, 92 for two."""
-    from tarnwatch.operators.windows import neighbours
+# Signs of two clouds' metadata services, and a header that goes with the address of one.
+GCP_SIGNS = ["metadata.google.internal", "computeMetadata/v1"]
+AZURE_PATHS = ["169.254.169.254/metadata/instance", "169.254.169.254/metadata/identity"]
+_NEAR, _ADDRESS, _HEADER = r"(?:[^\n]*\n){0,5}[^\n]*", r"169\.254\.169\.254", r"(?i:Metadata[^\S\n]*:[^\S\n]*true)"
 
-    c = F.col(content)
-    address = c.contains("169.254.169.254")
-    gcp = neighbours(lines, key, at, address, c.rlike("(?i)Metadata-Flavor")).select(key).unionByName(lines.where(c.contains("metadata.google.internal")).select(key)).distinct()
-    azure = neighbours(lines, key, at, address, c.rlike(r"(?i)Metadata['\"]?\s*[:=]\s*['\"]?true")).select(key).distinct()
-    both = gcp.withColumn("gcp", F.lit(1)).join(azure.withColumn("azure", F.lit(1)), key, "full")
-    return both.select(key, F.when(F.col("gcp").isNotNull() & F.col("azure").isNotNull(), 92).otherwise(82).alias("score"))
+
+def cloud_metadata(texts: DataFrame, key: str = "package", content: str = "content") -> DataFrame:
+    """Requests to cloud metadata services in scripts and code: 82 for one cloud, 92 for two; key, score, subtype, severity.
+
+    The address counts with its path, or with its header in the same text at most five lines away."""
+    c = F.coalesce(F.col(content), F.lit(""))
+    gcp = reduce(lambda a, b: a | b, [c.contains(x) for x in GCP_SIGNS])
+    azure = reduce(lambda a, b: a | b, [c.contains(x) for x in AZURE_PATHS]) | c.rlike(_ADDRESS + _NEAR + _HEADER) | c.rlike(_HEADER + _NEAR + _ADDRESS)
+    g = texts.select(key, gcp.alias("gcp"), azure.alias("azure")).groupBy(key).agg(F.max("gcp").alias("gcp"), F.max("azure").alias("azure")).where("gcp OR azure")
+    both = F.col("gcp") & F.col("azure")
+    subtype = F.when(both, "multi_cloud_imds").when(F.col("gcp"), "gcp_metadata").otherwise("azure_imds")
+    return g.select(key, F.when(both, 92).otherwise(82).alias("score"), subtype.alias("subtype"), F.lit("high").alias("severity"))
 
 
 def prompt_injection(texts: DataFrame, keys: list[str], content: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwatch.plans import detector_queries, function_queries, package_queries, report_queries, rollup_queries, stream_queries, window_queries
+from tarnwatch.plans import detector_queries, function_queries, mechanism_queries, package_queries, report_queries, rollup_queries, stream_queries, window_queries
 
 QUERIES, ORACLE = {}, {}
-for _m in (rollup_queries, window_queries, report_queries, detector_queries, package_queries, function_queries, stream_queries):
+for _m in (rollup_queries, window_queries, report_queries, detector_queries, package_queries, function_queries, stream_queries, mechanism_queries):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE

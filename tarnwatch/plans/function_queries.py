@@ -129,7 +129,7 @@ def _merge(s, d):
     return G.merge_registries(a, b).withColumn("registries", F.array_join("registries", ","))
 
 
-EVENTS = ["*", "onStartupFinished", "onCommand:x", "workspaceContains:*.py", "onLanguage:js", "on*"]
+EVENTS = ["*", "onStartupFinished", "onCommand:x", "workspaceContains:*.py", "onLanguage:js", "on*", "onCommand:*", "workspaceContains", "onStartup", "workspaceContains:foo", "onCommand:a*", "onCommand:bun"]
 
 
 def _extension_versions(s, d):
@@ -316,7 +316,7 @@ SELECT * FROM (SELECT package, CAST(least(100, max(w) + least(15, (count(*) - 1)
 n AS (SELECT *, row_number() OVER w AS no, max(size) OVER w - min(size) OVER w > 409600 AS size_delta, flatten(list(ev) OVER (PARTITION BY extension ORDER BY born, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS seen
   FROM v WINDOW w AS (PARTITION BY extension ORDER BY born, version ROWS UNBOUNDED PRECEDING))
 SELECT extension, version, CASE WHEN no = 1 THEN '' ELSE array_to_string(list_sort(list_filter(ev, lambda e: NOT list_contains(seen, e))), ',') END AS new_events, size_delta FROM n""",
-    "activation_severity": "SELECT o_orderkey, " + pick_sql(["critical", "high", "low", "high", "low", "high"], "o_orderkey") + " AS value FROM orders",
+    "activation_severity": "SELECT o_orderkey, " + pick_sql(["critical", "high", "", "high", "", "high", "low", "high", "", "", "high", ""], "o_orderkey").join(["nullif(", ", '')"]) + " AS value FROM orders",
     "size_budget": "SELECT p_partkey, p_size * 20000000 AS length FROM part WHERE p_size <= 25",
     "ioc_rows": _values([(None, "packageName", "lib7", "1.14.1"), (None, "packageScope", "@corp/", ""), ("w2", "packageName", "core11", ""), ("w2", "hash", "ff", "")], "wave, type, value, malicious_versions"),
     "ioc_by_name": WITH + "SELECT package, version, CASE package WHEN 'core11' THEN 'w2' END AS wave FROM packages WHERE package = 'core11' OR (package = 'lib7' AND version = '1.14.1')",

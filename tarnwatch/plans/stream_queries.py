@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarnwatch.sources import scratch
 from tarnwatch.sources.tables import table
 from tarnwatch.streaming import bursts as B
+from tarnwatch.streaming.anchored import anchored_bursts
 
 
 def _folder(s) -> str:
@@ -39,10 +40,18 @@ def _sessions(s, d):
     return B.drained(B.publish_sessions(stream, "user_id", "ts"), folder)
 
 
-QUERIES = {"stream_repeats": _repeats, "stream_bursts": _bursts, "stream_sessions": _sessions}
+def _anchored(s, d):
+    stream, folder = _landed(s, d)
+    return B.drained(anchored_bursts(stream, "user_id", "ts", 600, 3), folder)
+
+
+QUERIES = {"stream_anchored_bursts": _anchored, "stream_repeats": _repeats, "stream_bursts": _bursts, "stream_sessions": _sessions}
 
 _LAST = "(SELECT max(epoch_us(ts)) - 7200000000 FROM events)"
 ORACLE = {
+    "stream_anchored_bursts": f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL),
+c AS (SELECT user_id, t, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 36000000000 FOLLOWING) AS n FROM e)
+SELECT user_id, make_timestamp(min(t)) AS burst_start, arg_min(n, t) AS versions_in_burst FROM c WHERE n >= 3 AND t + 36000000000 < {_LAST} GROUP BY user_id""",
     "stream_repeats": "SELECT event_id, user_id, event_type FROM events",
     "stream_bursts": f"""WITH w AS (SELECT event_type, (epoch_us(ts) // 360000000 - k) * 360000000 AS a FROM events, range(5) r(k))
 SELECT event_type, make_timestamp(a) AS "from", make_timestamp(a + 1800000000) AS until, count(*) AS versions FROM w WHERE a + 1800000000 <= {_LAST} GROUP BY event_type, a HAVING count(*) >= 2""",

@@ -97,12 +97,19 @@ def workflow_steps(files: DataFrame) -> DataFrame:
     return flows.select("path", "content").mapInPandas(work, "path string, job string, step int, run string, env map<string,string>")
 
 
+# A request to a host that is not the forge's, a secret, and a decoded shell.
+SENDS = r"(?i)curl\s+.*?https?://(?!github\.com|githubusercontent\.com|raw\.githubusercontent\.com)[^\s'\"]+"
+SECRET = r"\$\{\{?\s*secrets\.\w+"
+DECODES = r"base64\s+-d\s*[|>]\s*(ba)?sh"
+
+
 def workflow_exfiltration(steps: DataFrame) -> DataFrame:
-    """Steps that send secrets away, or decode and run what they hold."""
-    sends = F.col("run").rlike(r"\b(curl|wget|nc)\b") & (F.col("run").rlike(r"secrets\.|\$\{?[A-Z_]*(TOKEN|SECRET|KEY)") | F.exists(F.map_values("env"), lambda v: v.contains("secrets.")))
-    decodes = F.col("run").rlike(r"base64\s+(-d|--decode)[^|\n]*\|\s*(ba)?sh\b")
-    kind = F.when(decodes, "decode_chain").when(sends, "secret_exfiltration")
-    return steps.withColumn("kind", kind).where("kind IS NOT NULL").select("path", "job", "step", "kind")
+    """Workflow files (path) with a step (run, env) that sends secrets to a host other than the forge, or pipes decoded
+    text into a shell: path, kind, each kind once a file. A step's values of env count with its script."""
+    values = F.array_join(F.coalesce(F.map_values("env"), F.array().cast("array<string>")), " ")
+    whole = F.concat(F.coalesce("run", F.lit("")), F.lit(" "), values)
+    kinds = F.array_compact(F.array(F.when(whole.rlike(SENDS) & whole.rlike(SECRET), "secret_exfiltration"), F.when(whole.rlike(DECODES), "decode_chain")))
+    return steps.select("path", F.explode(kinds).alias("kind")).distinct()
 
 
 def indicators(files: DataFrame) -> DataFrame:
