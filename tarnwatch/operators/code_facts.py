@@ -62,7 +62,10 @@ def encoded_arrays(content: Column) -> Column:
     arrays = F.regexp_extract_all(content, F.lit(r"\[\s*+(?:['\"][^'\"\n]*+['\"]\s*+,\s*+){7,}+(?:['\"][^'\"\n]*+['\"]\s*+)?+\]"), F.lit(0))
     strings = lambda a: F.regexp_extract_all(a, F.lit(r"['\"]([^'\"\n]*)['\"]"), F.lit(1))
     encoded = lambda s: s.rlike(r"^(?:[0-9a-fA-F]{2}){3,}+$") | (s.rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (T.entropy_of_short(s) >= 4.5))
-    return F.size(F.filter(arrays, lambda a: (F.size(strings(a)) >= 8) & (F.size(F.filter(strings(a), encoded)) >= F.size(strings(a)) * 0.8)))
+    # Where hex strings are enough by themselves, which a count on the text tells, no string is looked at alone.
+    total = lambda a: F.regexp_count(a, F.lit(r"['\"][^'\"\n]*+['\"]"))
+    plain = lambda a: F.regexp_count(a, F.lit(r"['\"](?:[0-9a-fA-F]{2}){3,}+['\"]"))
+    return F.size(F.filter(arrays, lambda a: (total(a) >= 8) & ((plain(a) >= total(a) * 0.8) | (F.size(F.filter(strings(a), encoded)) >= total(a) * 0.8))))
 
 
 def dense_literals(content: Column) -> Column:

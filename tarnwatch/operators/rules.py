@@ -59,7 +59,7 @@ WORM = {
     "immediate_exfil": (80, r"(?:fetch|axios|request)\s*\([^)]+https?://"),
 }
 C2 = {
-    "known_endpoint": (80, r"(?i)(?:filev2\.getsession\.org|api\.signal\.org|(?:[\w-]+\.)?briarproject\.org|api\.ricochet\.im|signal-cli|signal-desktop|tor\s*(?:proxy|socks|connect|bridge))"),
+    "known_endpoint": (80, r"(?i)(?:filev2\.getsession\.org|api\.signal\.org|briarproject\.org|api\.ricochet\.im|signal-cli|signal-desktop|tor\s*(?:proxy|socks|connect|bridge))"),
     "onion": (30, r"(?i)(?:[a-z2-7]{16,56}\.onion|\.onion|tor\s*(?:proxy|socks|connect|bridge))"),
     "encoded_url": (35, r"(?i)(?:atob|Buffer\.from|decodeURIComponent)\s*\((?:['\"`][A-Za-z0-9+/=]{20,}['\"`]|['\"`](?:[0-9a-fA-F]{2,})['\"`])"),
     "hex_domain": (35, r"(?:0x[0-9a-fA-F]{2,}?(?=0x|[^0-9a-fA-F]|$)){4,}+"),

@@ -41,6 +41,31 @@ def first_target(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("name").agg(F.min_by("target", "ordinal").alias("target"))
 
 
+# Names that are copied, in the order in which they are tried, and spellings of six of them.
+TOP_NAMES = [
+    "lodash", "react", "express", "axios", "chalk", "vue", "typescript", "moment", "uuid", "commander", "debug", "semver", "underscore", "request", "async", "cheerio", "bluebird", "jest", "mocha", "dotenv", "glob", "minimist",
+    "body-parser", "cors", "helmet", "jsonwebtoken", "socket.io", "redis", "mongoose", "sequelize", "pg", "passport", "nodemailer", "multer", "bcrypt", "winston", "luxon", "dayjs", "rxjs", "redux",
+]
+SPELLINGS = ["lodash|lodahs|lodash-js|lodashexe", "axios|axio|ax10s|ax1os", "react|reakt|reackt|r3act", "express|expres|expresjs|exress", "vue|vu3|vujs|vuejs", "webpack|webpak|webpackjs"]
+
+
+def lookalike_dependencies(dependencies: DataFrame, top: list[str] = TOP_NAMES, shortest: int = 4) -> DataFrame:
+    """dependencies (package, dependency) to those within two edits of a top name, but not equal to it: package, dependency,
+    target (the first listed), distance, severity. Names of fewer than `shortest` characters are left alone."""
+    own = dependencies.where(F.length("dependency") >= shortest)
+    targets = own.sparkSession.createDataFrame(list(enumerate(top)), "ordinal int, target string")
+    pairs = near_names(own.select(F.col("dependency").alias("name")), targets)
+    first = pairs.groupBy("name").agg(F.min_by(F.struct("target", "distance"), "ordinal").alias("t")).select("name", "t.*")
+    return own.distinct().join(first, F.col("dependency") == F.col("name")).select("package", "dependency", "target", "distance", F.lit("low").alias("severity"))
+
+
+def lockfile_lookalikes(packages: DataFrame) -> DataFrame:
+    """Entries of lockfiles (path, name) that are spelt like, or are, one of six copied names: path, name, spelling,
+    severity. The names themselves count too."""
+    hits = F.array_compact(F.array(*[F.when(F.lower("name").rlike(f"^({p})$"), F.lit(p.split("|")[0])) for p in SPELLINGS]))
+    return packages.select("path", "name", F.explode(hits).alias("spelling"), F.lit("high").alias("severity"))
+
+
 # Characters that look like others.
 SWAPS = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "@": "a"}
 

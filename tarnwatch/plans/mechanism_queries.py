@@ -4,6 +4,8 @@ An order stands for a document and its line items for the document's lines, edge
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from tarnwatch.operators import detectors as D
 from tarnwatch.operators import provenance as P
 from tarnwatch.operators import reach as R
 from tarnwatch.operators import registry as G
+from tarnwatch.operators import similarity as M
 from tarnwatch.operators import source_tokens as K
+from tarnwatch.functions import signal_catalog as SC
 from tarnwatch.functions.signal_catalog import BUILD_FILES
 from tarnwatch.operators.detectors import LINKER_ROW, SHELL_ROW
 from tarnwatch.operators.payloads import PAAS
@@ -23,7 +27,9 @@ from tarnwatch.plans.package_queries import ORACLE as PACKAGE_SQL
 from tarnwatch.plans.package_queries import _all_texts, obfuscated_sql
 from tarnwatch.sources import lockfiles as LF
 from tarnwatch.sources import manifests as MF
+from tarnwatch.sources import scratch
 from tarnwatch.sources.tables import table
+from tarnwatch.streaming import rescan as RS
 
 
 def _lines(s, d, text: Column, head: str = "", foot: str = "", sep: str = "\n") -> DataFrame:
@@ -213,7 +219,44 @@ def _value_flows(s, d):
     return reaches(f, X.FLOW_MARKS).select("id", "stmt", "line", F.array_join("marks", ",").alias("marks"), F.array_join("reached", ",").alias("reached"))
 
 
+EDITS = ["", "s", "x", "1", "-js", "z9"]
+
+
+def _dependencies(s, d):
+    """Names that line items need: a top name, spelt with a letter less or something more."""
+    name = pick([*M.TOP_NAMES, "lodahs", "ax1os", "r3act", "webpak", "vu3"], "l_partkey")
+    cut = F.when(F.col("l_linenumber") % 2 == 0, F.substring(name, 2, 99)).otherwise(name)
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("package"), F.concat(cut, pick(EDITS, "l_suppkey")).alias("dependency"))
+
+
+HIDDEN = [
+    "node x", "eval(atob('cXdlcnR5dWlvcGFzZGZnaGprbHp4Y3Zibm0xMjM0NTY3ODkwUVdFUlRZVUlPUEFTREZHSEpLTFpYQ1ZCTk0=')); z.split('').reverse().join('')", "Function('\\x61\\x62\\x63\\x64\\x65\\x66\\x67\\x68\\x69')()",
+    "eval(c.charCodeAt(0) ^ key); Function(x)(); require(atob('ZnM='))", "aA0!bB1@cC2#dD3$eE4%fF5^gG6&hH7*iI8(jJ9)kK-lL_mM=nN+oO[pP]qQ{rR}sS;tT:uU,vV<wW.xX>yY/zZ?~`|",
+]
+
+
+def _hook_obfuscation(s, d):
+    own = packages(s, d).select("package", "id", F.explode(F.map_entries("scripts")).alias("s")).where(F.col("s.key").isin(P.LIFECYCLE))
+    h = own.select(F.concat_ws("#", "package", "s.key").alias("key"), F.concat("s.value", F.lit(" "), pick(HIDDEN, "id div 9")).alias("body"))
+    return D.obfuscation(h, "key", "body", least=40, shortest=0)
+
+
+def _rescans(s, d):
+    """All files, and then again with every seventh package's files changed: findings after both, and in which they were made."""
+    f = files(s, d).select("package", "path", "content", "id")
+    folder = f"{scratch.folder(s)}/rescan-{uuid4().hex}"
+    changed = f.withColumn("content", F.when(F.length("package") % 3 == 0, F.concat("content", F.lit("\npassword 10.0.0.1 token"))).otherwise(F.col("content")))
+    scan = lambda x: D.weighted(x, "PLAIN", SC.PLAIN).select("package", "raw_score")
+    for k, snapshot in enumerate((f, changed)):
+        RS.take(snapshot.drop("id"), k, folder, scan, "package string, raw_score int")
+    return RS.latest(s, folder, "findings", "package string, raw_score int, scanned_in long")
+
+
 QUERIES = {
+    "lookalike_dependencies": lambda s, d: M.lookalike_dependencies(_dependencies(s, d)),
+    "lockfile_lookalikes": lambda s, d: M.lockfile_lookalikes(_dependencies(s, d).select(F.col("package").alias("path"), F.col("dependency").alias("name"))),
+    "obfuscation_hooks": _hook_obfuscation,
+    "incremental_rescan": _rescans,
     "blast_radius": _blast,
     "gyp_rows": lambda s, d: K.gyp_rows(_gyp(s, d), "id"),
     "build_abuse": _build,
@@ -242,7 +285,19 @@ _MACRO = r"-D\s*['\"]?([A-Z_]+)=([^'\"\s]+)"
 _LINKER = "['\"](?:-l|-L|-rpath)[^'\"]+"
 _BEGINS = "['\"]?"
 
+_NAMES = f"""WITH d AS (SELECT l_orderkey AS package, CASE WHEN l_linenumber % 2 = 0 THEN substr(n, 2) ELSE n END || e AS dependency FROM (
+  SELECT *, {pick_sql([*M.TOP_NAMES, "lodahs", "ax1os", "r3act", "webpak", "vu3"], 'l_partkey')} AS n, {pick_sql(EDITS, 'l_suppkey')} AS e FROM lineitem))"""
+
 ORACLE = {
+    "lookalike_dependencies": _NAMES + f""", u AS (SELECT DISTINCT dependency FROM d WHERE length(dependency) >= 4), t AS (SELECT unnest({sql_list(M.TOP_NAMES)}) AS target, generate_subscripts({sql_list(M.TOP_NAMES)}, 1) AS o),
+p AS (SELECT dependency, target, o, levenshtein(dependency, target) AS x FROM u, t WHERE abs(length(dependency) - length(target)) <= 2 AND levenshtein(dependency, target) BETWEEN 1 AND 2),
+f AS (SELECT dependency, arg_min(target, o) AS target, arg_min(x, o) AS distance FROM p GROUP BY dependency)
+SELECT DISTINCT package, dependency, target, distance, 'low' AS severity FROM d JOIN f USING (dependency)""",
+    "lockfile_lookalikes": _NAMES + f"""SELECT package AS path, dependency AS name, unnest(list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(dependency), '^({p})$') THEN '{p.split('|')[0]}' END" for p in M.SPELLINGS)}], lambda x: x IS NOT NULL)) AS spelling, 'high' AS severity FROM d""",
+    "obfuscation_hooks": PACKAGE_SQL["obfuscation_score"].replace("FROM files WHERE length(content) >= 100", f"FROM (SELECT package || '#' || hook AS id, body || ' ' || {pick_sql(HIDDEN, 'id // 9')} AS content FROM packages WHERE hook IN ({', '.join(map(sql, P.LIFECYCLE))}))").replace("SELECT id, least", "SELECT id AS key, least").replace("s >= 50", "s >= 40"),
+    "incremental_rescan": WITH + f""", n AS (SELECT package, length(package) % 3 = 0 AS changed, content || CASE WHEN length(package) % 3 = 0 THEN chr(10) || 'password 10.0.0.1 token' ELSE '' END AS c FROM files),
+g AS (SELECT package, changed, sum({' + '.join(f"{w} * {count('c', *ps)}" for w, ps in SC.PLAIN.signals.values())}) AS raw FROM n GROUP BY ALL)
+SELECT package, CAST(raw AS INT) AS raw_score, CASE WHEN changed THEN 1 ELSE 0 END AS scanned_in FROM g WHERE raw > 0""",
     "blast_radius": """WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
 r(bad, node, depth) USING KEY (bad, node) AS (
   SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 400 = 7

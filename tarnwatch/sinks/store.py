@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def save_scans(scans: DataFrame, findings: DataFrame, path: str) -> None:
-    """Appends scans and findings, by day of the scan; a finding's title stands in where it has no description."""
-    scans.withColumn("scan_date", F.to_date("scanned_at")).write.mode("append").partitionBy("scan_date").parquet(f"{path}/scans")
+    """Appends scans and findings, by month of the scan; a finding's title stands in where it has no description.
+
+    Rows are range-sorted by day first, so that a task writes a few months and not a file in each of them."""
+    dated = lambda df: df.withColumn("scan_month", F.date_format("scan_date", "yyyy-MM")).repartitionByRange("scan_date", "scan_id")
     day = scans.select("scan_id", F.to_date("scanned_at").alias("scan_date"))
+    dated(scans.withColumn("scan_date", F.to_date("scanned_at"))).write.mode("append").partitionBy("scan_month").parquet(f"{path}/scans")
     f = findings.withColumn("description", F.coalesce("title", "description")).join(day, "scan_id")
-    f.write.mode("append").partitionBy("scan_date").parquet(f"{path}/findings")
+    dated(f).write.mode("append").partitionBy("scan_month").parquet(f"{path}/findings")
 
 
 def recent(spark: SparkSession, path: str, n: int) -> DataFrame:
