@@ -1,8 +1,9 @@
 """Quality by co-training: a classifier of the text content and one of the page's metadata teach each other.
 
 The content view is all that is read off the text: hashed words and word pairs, how often they repeat, its lines, and
-its shares of letters, digits, marks, capitals and spaces; the metadata view is what is recorded of a page without
-reading it: its source, language and length. No feature is in both. Both are logistic models trained in numpy on a bounded sample: `labelled` rows with labels and
+its shares of letters, digits, marks, capitals and spaces; the metadata view is what is recorded of a page beside its
+text: its source, its language, and the two together. Its length is in neither by name, and counts with the content,
+whose shares give it away. So neither view's features can be rebuilt from the other's. Both are logistic models trained in numpy on a bounded sample: `labelled` rows with labels and
 `unlabelled` rows without (those of the smallest hashes of their ids). In each round either view labels the
 unlabelled rows it is surest of, as many of each class as the base rate asks for, and the other view learns them.
 A part of the labelled rows is held back: on it each view is calibrated (Platt), and so is the sum of the two
@@ -67,11 +68,10 @@ def content_features(text: str, buckets: int) -> np.ndarray:
     return x
 
 
-def metadata_features(length: int, source: str | None, lang: str | None, buckets: int = 64) -> np.ndarray:
-    named = np.zeros(1 + buckets, np.float32)
-    named[0] = np.log1p(length) / 10
-    for name in (f"source:{source}", f"lang:{lang}", f"length:{int(2 * np.log2(length + 1))}"):
-        named[1 + zlib.crc32(name.encode("utf-8", "surrogatepass")) % buckets] = 1
+def metadata_features(source: str | None, lang: str | None, buckets: int = 64) -> np.ndarray:
+    named = np.zeros(buckets, np.float32)
+    for name in (f"source:{source}", f"lang:{lang}", f"both:{source}:{lang}"):
+        named[zlib.crc32(name.encode("utf-8", "surrogatepass")) % buckets] = 1
     return named
 
 
@@ -194,9 +194,9 @@ def fit(
 
 
 def _plain(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """(length, source, lang) with None for nulls of any kind."""
-    for t, s, g in zip(pdf["__text"], pdf["__source"], pdf["__lang"], strict=True):
-        yield len(t), s if isinstance(s, str) else None, g if isinstance(g, str) else None
+    """(source, lang) with None for nulls of any kind."""
+    for s, g in zip(pdf["__source"], pdf["__lang"], strict=True):
+        yield s if isinstance(s, str) else None, g if isinstance(g, str) else None
 
 
 def score(

@@ -77,16 +77,23 @@ def test_quality_scores_are_those_of_all_features_at_once(spark, make, edge_rows
     for i, text, lang, source in rows:
         t = text or ""
         z = 0.0
-        for view, x, (a, b) in zip(model.views, (quality.content_features(t, model.buckets), quality.metadata_features(len(t), source, lang)), model.scales, strict=True):
+        for view, x, (a, b) in zip(model.views, (quality.content_features(t, model.buckets), quality.metadata_features(source, lang)), model.scales, strict=True):
             z += a * (sum(float(p) * float(q) for p, q in zip(x, view.w, strict=True)) + view.b) + b
         want = 1 / (1 + np.exp(-(model.last[0] * z + model.last[1])))
         assert abs(got[i][0] - want) < 1e-4 and got[i][1] == int(got[i][0] >= 0.5)
 
 
-def test_views_share_no_feature():
-    low, high = quality.content_features("one two", 64), quality.content_features("one two", 64)
-    assert (low == high).all() and (quality.metadata_features(7, "a", "en") == quality.metadata_features(7, "a", "en")).all()
-    assert not (quality.metadata_features(7, "a", "en") == quality.metadata_features(7, "b", "en")).all()
+def test_no_view_can_be_rebuilt_from_the_other(spark, make, prose):
+    """The content features of a text are the same whatever its metadata, and the other way round: what one view holds of a
+    document says nothing certain of any feature of the other."""
+    texts, places = [prose(n, n) for n in (3, 40, 400)] + [""], [("a", "en"), ("b", "en"), ("a", None), (None, "fr")]
+    rows = [(len(places) * i + j, t, g, s) for i, t in enumerate(texts) for j, (s, g) in enumerate(places)]
+    seen = {}
+    for i, t, g, s in rows:
+        seen[i] = (quality.content_features(t, 64).tobytes(), quality.metadata_features(s, g).tobytes())
+    contents, metadata = {c for c, _ in seen.values()}, {m for _, m in seen.values()}
+    assert len(contents) == len(texts) and len(metadata) == len(places)
+    assert set(seen.values()) == {(c, m) for c in contents for m in metadata}
 
 
 def test_language_scores_by_brute_force(spark, make, edge_rows):
