@@ -45,6 +45,7 @@ def by_time(events: DataFrame, windows: DataFrame, key: str, ts: str) -> DataFra
 #: Runs of words that needles are met by: the longest a needle has of its own, without its first and last word, which
 #: may be parts of words in a text.
 RUNS = (5, 3, 2, 1)
+BITS = 1 << 16
 
 
 def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
@@ -52,15 +53,17 @@ def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needl
 
     A needle of seven words or more is met by its second to sixth word, shorter ones by three, two or one word between
     their first and last. Needles with no such word (one or two words, or none) are met by four characters from their
-    middle, the shortest by what they have. Texts are read twice: for their runs, and, those met, for the test."""
+    middle, the shortest by what they have. Before runs leave a text they are looked up in a table of BITS bits of the
+    needles' hashes, so that with few needles hardly any do. Texts are read twice: for their runs, all widths at once, and,
+    those met, for the test."""
     words = lambda c: F.split(c, "[^A-Za-z0-9]+")  # noqa: E731  an empty word may stand at either end, never between
-    run = lambda w, i, r: F.xxhash64(*[F.get(w, i + k) for k in range(r)])
+    run = lambda w, i, r: F.xxhash64(F.lit(r), *[F.get(w, i + k) for k in range(r)])
     n = needles.select(needle_key, F.col(needle).alias("__n")).where("__n IS NOT NULL AND __n <> ''").withColumn("__w", F.filter(words(F.col("__n")), lambda w: w != ""))
     inner = F.size("__w") - 2
     chars = F.least(F.length("__n"), F.lit(4))
     middle = F.substring(F.col("__n"), ((F.length("__n") - chars) / 2).cast("int") + 1, chars)
     width = F.coalesce(*[F.when(inner >= r, F.lit(r)) for r in RUNS], -chars)
-    hashed = F.coalesce(*[F.when(inner >= r, run(F.col("__w"), F.lit(1), r)) for r in RUNS], F.xxhash64(middle))
+    hashed = F.coalesce(*[F.when(inner >= r, run(F.col("__w"), F.lit(1), r)) for r in RUNS], F.xxhash64(-chars, middle))
     n = n.select(needle_key, "__n", width.alias("__r"), hashed.alias("__k"))
     kinds = sorted(r["__r"] for r in n.select("__r").distinct().collect())  # eight at most
     d = docs.select(key, F.col(text).alias("__t")).where("__t IS NOT NULL AND __t <> ''")
@@ -69,12 +72,15 @@ def contains_any(docs: DataFrame, needles: DataFrame, key: str, text: str, needl
 
     def runs(r: int) -> Column:
         last = (F.size("__w") if r > 0 else F.length("__t")) - abs(r)
-        one = (lambda i: run(F.col("__w"), i, r)) if r > 0 else (lambda i: F.xxhash64(F.substring(F.col("__t"), i + 1, F.lit(-r))))
+        one = (lambda i: run(F.col("__w"), i, r)) if r > 0 else (lambda i: F.xxhash64(F.lit(r), F.substring(F.col("__t"), i + 1, F.lit(-r))))
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<bigint>"))
 
-    met = None
-    for r in kinds:
-        keyed = (d.withColumn("__w", words(F.col("__t"))) if r > 0 else d).select(key, F.explode(runs(r)).alias("__k"))
-        own = keyed.join(sized(n.where(F.col("__r") == r).select(needle_key, "__n", "__k")), "__k").select(key, needle_key, "__n")
-        met = own if met is None else met.unionByName(own)
-    return d.join(sized(written(met.distinct(), "needle-runs")), key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()
+    n = written(n, "needles")
+    set_ = bytearray(BITS)
+    for row in n.select(F.pmod("__k", F.lit(BITS)).cast("int").alias("b")).distinct().collect():  # BITS rows at most
+        set_[row["b"]] = 1
+    known = lambda k: F.substring(F.lit(bytes(set_)), (F.pmod(k, F.lit(BITS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    d_words = d.withColumn("__w", words(F.col("__t"))) if max(kinds) > 0 else d
+    keyed = d_words.select(key, F.explode(F.array_distinct(F.concat(*[F.filter(runs(r), known) for r in kinds]))).alias("__k"))
+    met = keyed.join(sized(n.select(needle_key, "__n", "__k")), "__k").select(key, needle_key, "__n").distinct()
+    return d.join(sized(written(met, "needle-runs")), key).where(F.contains(F.col("__t"), F.col("__n"))).select(key, needle_key).distinct()
