@@ -17,6 +17,7 @@ from tarnwatch.operators import reach as R
 from tarnwatch.operators import registry as G
 from tarnwatch.operators import similarity as M
 from tarnwatch.operators import source_tokens as K
+from tarnwatch.operators import windows as W
 from tarnwatch.functions import signal_catalog as SC
 from tarnwatch.functions.signal_catalog import BUILD_FILES
 from tarnwatch.operators.detectors import LINKER_ROW, SHELL_ROW
@@ -136,6 +137,37 @@ def _requirements(s, d):
     return MF.requirements(f.select(F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("/requirements.txt")).alias("path"), "content"))
 
 
+TIER_LINES = ["fastapi==0.116.1", "fastapi", "mcp", "langserve>=1", "flask", "vllm==0.1", "starlette>=1.0.2", "starlette==0.9", "broadcaster~=1", "ray-serve", "# vllm", "fastapi==0.99  # old", "requests", "attrs", "pytest"]
+
+
+def _tiers(s, d):
+    f = _lines(s, d, pick(TIER_LINES, "l_partkey * 7 + l_suppkey")).select(F.col("id").cast("string").alias("path"), "content")
+    return C.bad_host_tiers(LF.numbered_requirements(f).withColumnRenamed("path", "project"))
+
+
+EXTENSION_CODE = [
+    "get('https://api.github.com/repos/a/b/git/commits/0123456789012345678901234567890123456789')", "npx -y https://github.com/a/b#0123abcd", "// Claude setup\nfetch('https://collect.example/x')", "// setup\ncurl 'https://github.com/x'",
+    "bun install", "cat ~/.ssh/id_rsa", "$GITHUB_TOKEN", "AES-256-GCM", "os.cpus().length < 4", "console.log('hello')", "fetch('https://collect.example/x')", "const x = 1", "return y", "export {}",
+]
+
+
+def _extension_campaign(s, d):
+    """Orders are extensions; their line items are files. Activation and bursts come from the orders' own columns."""
+    f = table(s, d, "lineitem").select(F.col("l_orderkey").alias("extension"), pick(EXTENSION_CODE, "l_partkey * 3 + l_suppkey * 7 + l_linenumber * 11").alias("content"))
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("extension"), F.explode(F.array_compact(F.array(
+        F.when(G.activation_severity(pick(RISK_EVENTS, "o_custkey")).isNotNull(), "activation"), F.when(F.col("o_custkey") % 17 == 0, "burst"), F.when(F.col("o_custkey") % 29 == 0, "known_ioc"), F.lit("unheard_of")))).alias("signal"))
+    return C.signal_campaign(C.extension_files(f).unionByName(o))
+
+
+def _workflow_campaign(s, d):
+    """Customers are packages: their orders are workflows and versions."""
+    o = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("package"), F.timestamp_add("MINUTE", ((F.col("o_orderkey") * 37) % 2000).cast("int"), F.lit("2024-05-01").cast("timestamp")).alias("at"))
+    sent = MF.workflow_exfiltration(_steps(s, d)).select(F.regexp_extract("path", r"^r(\d+)/", 1).cast("long").alias("o_orderkey"), F.col("kind").alias("signal")).join(o, "o_orderkey").select("package", "signal")
+    fast = W.anchored_burst(o, "package", "at", W.HOUR, 3).select("package", F.lit("publish_velocity").alias("signal"))
+    drift = table(s, d, "customer").where("c_custkey % 23 = 0").select(F.col("c_custkey").alias("package"), F.lit("publisher_drift").alias("signal"))
+    return C.signal_campaign(sent.unionByName(fast).unionByName(drift), C.WORKFLOW_WEIGHT, "package")
+
+
 IOC_TYPES = ["packageName", "packageScope", "fileHash", "publisherAccount"]
 
 
@@ -261,6 +293,10 @@ QUERIES = {
     "gyp_rows": lambda s, d: K.gyp_rows(_gyp(s, d), "id"),
     "build_abuse": _build,
     "unsafe_path_checks": lambda s, d: K.unsafe_path_checks(_python(s, d)),
+    "planted_payloads": lambda s, d: C.planted_payloads(packages(s, d), files(s, d)),
+    "bad_host_tiers": _tiers,
+    "extension_campaign": _extension_campaign,
+    "workflow_campaign": _workflow_campaign,
     "workflow_exfiltration": lambda s, d: MF.workflow_exfiltration(_steps(s, d)),
     "activation_risk": lambda s, d: G.activation_risk(_extensions(s, d)),
     "spoofed_orgs": lambda s, d: G.spoofed_orgs(_all_texts(s, d), s.createDataFrame([("google",), ("openai",)], "target string")).withColumn("score", F.round("score", 4)),
@@ -328,6 +364,22 @@ h AS (SELECT *, regexp_matches(text, '^(async\\s+)?def\\s+\\w+') AS head, regexp
 p AS (SELECT *, sum(CASE WHEN head OR margin THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS part FROM h),
 q AS (SELECT *, bool_or(head) OVER w AND bool_or({has('text', K.SCOPE_PATH)}) OVER w AS safe FROM p WINDOW w AS (PARTITION BY path, part))
 SELECT path, line, CAST(unnest(range(1, 1 + len(regexp_extract_all(text, {sql(K.URL_PATH)})))) AS INT) AS no, CASE WHEN regexp_matches(lower(path), '{"|".join(K.GUARDS)}') THEN 'medium' ELSE 'info' END AS severity FROM q WHERE NOT safe""",
+    "planted_payloads": WITH + f""", act AS (SELECT DISTINCT package, body FROM hooks WHERE hook IN ('postinstall', 'install', 'preinstall')),
+texts AS (SELECT package, body AS c FROM act UNION ALL SELECT package, content FROM files WHERE package IN (SELECT package FROM act)),
+s AS (SELECT package, bool_or({has('c', *C.HOOK_CODE)}) AS code, {', '.join(f"bool_or({has('c', p)}) AS {n}" for n, p in C.PLANTED.items())} FROM texts GROUP BY package),
+q AS (SELECT *, list_filter([CASE WHEN services OR temp THEN 'linux' END, CASE WHEN launchd OR temp THEN 'macos' END, CASE WHEN powershell OR loads OR injects OR temp THEN 'windows' END], lambda x: x IS NOT NULL) AS on_ FROM s WHERE code AND drops)
+SELECT p.package, p.version, CASE WHEN len(on_) >= 2 AND calls THEN 'cross_platform_rat' WHEN calls THEN 'network_backdoor' ELSE 'platform_persistence' END AS payload, array_to_string(on_, ',') AS platforms
+FROM q JOIN packages p USING (package) WHERE calls OR len(on_) > 0""",
+    "bad_host_tiers": f"""WITH r AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t) AS line, t FROM (SELECT l_orderkey, l_linenumber, {pick_sql(TIER_LINES, 'l_partkey * 7 + l_suppkey')} AS t FROM lineitem)),
+pin AS (SELECT o FROM (SELECT o, arg_min(t, line) AS t FROM r WHERE starts_with(t, 'starlette') GROUP BY o) WHERE t = 'starlette>=1.0.2'),
+safe AS (SELECT o FROM (SELECT o, arg_min(t, line) AS t FROM r WHERE starts_with(t, 'fastapi==') GROUP BY o) WHERE t = 'fastapi==0.116.1'),
+k AS (SELECT o, line, CASE WHEN starts_with(t, 'fastapi') THEN 'fastapi' WHEN t = 'vllm==0.1' THEN 'vllm' WHEN t = 'ray-serve' THEN t WHEN t = 'mcp' THEN t WHEN t = 'langserve>=1' THEN 'langserve' END AS name FROM r),
+z AS (SELECT *, CASE WHEN name IN ('mcp', 'langserve') THEN 2 ELSE 1 END AS tier FROM k WHERE name IS NOT NULL AND o NOT IN (SELECT o FROM pin) AND NOT (name = 'fastapi' AND o IN (SELECT o FROM safe)))
+SELECT CAST(o AS VARCHAR) AS project, arg_min(name, tier * 1000 + line) AS package, min(tier) AS tier FROM z GROUP BY o""",
+    "extension_campaign": f"""WITH f AS (SELECT l_orderkey AS x, (l_partkey * 3 + l_suppkey * 7 + l_linenumber * 11) % {len(EXTENSION_CODE)} AS k FROM lineitem),
+e AS (SELECT x, 'orphan_commit' AS s FROM f WHERE k IN (0, 1, 2, 4) UNION SELECT x, 'exfiltration' FROM f WHERE k BETWEEN 5 AND 8
+  UNION SELECT o_orderkey, 'activation' FROM orders WHERE o_custkey % {len(RISK_EVENTS)} IN (0, 1, 3, 5, 6) UNION SELECT o_orderkey, 'burst' FROM orders WHERE o_custkey % 17 = 0 UNION SELECT o_orderkey, 'known_ioc' FROM orders WHERE o_custkey % 29 = 0)
+SELECT x AS extension, string_agg(s, ',' ORDER BY s) AS signals, CASE WHEN bool_or(s IN ('orphan_commit', 'known_ioc')) THEN 'critical' ELSE 'high' END AS severity FROM e GROUP BY x""",
     "workflow_exfiltration": f"""WITH t AS (SELECT 'r' || CAST(l_orderkey AS VARCHAR) || '/.github/workflows/ci.yml' AS path, {pick_sql(RUNS, 'l_partkey')} || ' ' || {pick_sql(ENVS, 'l_suppkey')} AS r FROM lineitem),
 k AS (SELECT path, regexp_matches(regexp_replace(r, '(?i)https?://(github\\.com|githubusercontent\\.com|raw\\.githubusercontent\\.com)', 'x', 'g'), '(?i)curl\\s+.*?https?://[^\\s''"]+') AND regexp_matches(r, '\\$\\{{\\{{?\\s*secrets\\.\\w+') AS a,
   regexp_matches(r, 'base64\\s+-d\\s*[|>]\\s*(ba)?sh') AS b FROM t)
@@ -440,3 +492,9 @@ t AS (SELECT package, sum(raw) AS raw, list_sort(list_distinct(flatten(list(s)))
 z AS (SELECT t.*, coalesce(d.rebuilds, false) AND g.package IS NOT NULL AND (list_has_any(s, ['shell_exec', 'makefile_shell_exec', 'compile_macro_injection', 'gyp_shell_exec'])) AS armed FROM t LEFT JOIN dec d USING (package) LEFT JOIN gyp g USING (package)),
 y AS (SELECT package, CAST(least(100, raw + CASE WHEN armed THEN 99 ELSE 0 END) AS INT) AS score, array_to_string(list_sort(CASE WHEN armed THEN list_append(s, 'rebuilt_by_hook') ELSE s END), ',') AS signals FROM z)
 SELECT package, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity, signals FROM y"""
+
+ORACLE["workflow_campaign"] = f"""WITH x AS ({ORACLE["workflow_exfiltration"]}), o AS (SELECT o_orderkey, o_custkey AS package, (o_orderkey * 37) % 2000 AS m FROM orders),
+e AS (SELECT package, kind AS s FROM x JOIN o ON o_orderkey = CAST(regexp_extract(path, '^r(\\d+)/', 1) AS BIGINT)
+  UNION SELECT package, 'publish_velocity' FROM (SELECT package, count(*) OVER (PARTITION BY package ORDER BY m RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS n FROM o) WHERE n >= 3
+  UNION SELECT c_custkey, 'publisher_drift' FROM customer WHERE c_custkey % 23 = 0)
+SELECT package, string_agg(s, ',' ORDER BY s) AS signals, 'critical' AS severity FROM e GROUP BY package"""

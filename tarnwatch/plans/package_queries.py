@@ -411,13 +411,19 @@ ORACLE["campaign_trapdoor"] = WITH + f""", hit AS (
   UNION ALL SELECT package, 'D4' FROM (SELECT package, content FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$') UNION ALL SELECT package, body FROM hooks WHERE regexp_matches(hook, 'preinstall|install|postinstall|prepare'))
     WHERE regexp_matches(content, '(?i)ddjidd564\\.github\\.io|gist\\.github\\.com') AND regexp_matches(content, '(?i)\\.aws/|id_rsa|\\.env|keystore|credentials|\\.npmrc|\\.ssh/')
   UNION ALL SELECT package, 'D5' FROM files WHERE lower({_BASE}) IN ('.cursorrules', 'claude.md') AND regexp_matches(content, '[​-‍﻿]')
+  UNION ALL SELECT package, 'D7' FROM (SELECT package, content FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$') UNION ALL SELECT package, body FROM hooks WHERE regexp_matches(hook, 'preinstall|install|postinstall|prepare'))
+    WHERE regexp_matches(content, '(?i)fernet') AND regexp_matches(content, '(?i)\\b(create)?ECDH\\b')
+  UNION ALL SELECT package, 'D8' FROM files WHERE regexp_matches(path, '(?i)(package-lock\\.json|yarn\\.lock|pnpm-lock\\.ya?ml|Cargo\\.(lock|toml))|\\.node$|vendor|native') AND contains(content, 'cargo-build-helper-2026')
+  UNION ALL SELECT package, 'D9' FROM (SELECT package, content FROM files WHERE regexp_matches(path, '\\.(js|mjs|cjs)$') UNION ALL SELECT package, body FROM hooks WHERE regexp_matches(hook, 'preinstall|install|postinstall|prepare'))
+    WHERE regexp_matches(content, '(?i)sts\\.amazonaws\\.com|api\\.github\\.com/user')
   UNION ALL SELECT package, 'D6' FROM packages WHERE regexp_matches(package, '(?i)solidity|defi|solana|sui\\b|move-lang|^eth-|prompt-engineering|token-usage|dev-env-bootstrap')
     AND TIMESTAMP '2024-02-01' - first_published < INTERVAL 30 DAY AND versions <= 2),
 h AS (SELECT p.package, p.version, rule FROM packages p JOIN hit ON hit.package = p.package)
-""" + _ROLL.format("CASE WHEN bool_or(rule IN ('D1', 'D2', 'D3', 'D4')) THEN 'critical' WHEN bool_or(rule = 'D5') THEN 'high' ELSE 'medium' END")
+""" + _ROLL.format("CASE WHEN bool_or(rule IN ('D1', 'D2', 'D3', 'D4', 'D9')) THEN 'critical' WHEN bool_or(rule IN ('D5', 'D7', 'D8')) THEN 'high' ELSE 'medium' END")
 ORACLE["campaign_poisoned_client"] = WITH + f""", act AS (SELECT DISTINCT package, body FROM hooks WHERE hook IN ('postinstall', 'install', 'preinstall')),
 texts AS (SELECT package, body AS c FROM act UNION ALL SELECT package, content FROM files WHERE package IN (SELECT package FROM act)),
-seen AS (SELECT package FROM texts GROUP BY package HAVING bool_or({has('c', *C.HOOK_CODE)}) AND bool_or({has('c', *C.PLANTS)})),
+signed AS (SELECT package, bool_or({has('c', *C.HOOK_CODE)}) AS code, {', '.join(f"bool_or({has('c', p)}) AS {n}" for n, p in C.PLANTED.items())} FROM texts GROUP BY package),
+seen AS (SELECT package FROM signed WHERE code AND drops AND (calls OR powershell OR loads OR injects OR launchd OR services OR temp)),
 h AS (SELECT package, version, 'D2' AS rule FROM packages WHERE dependency = 'plain-crypto-js' UNION ALL SELECT package, version, 'D3' FROM packages WHERE package IN (SELECT package FROM seen))
 """ + _ROLL.format("'critical'")
 ORACLE["campaign_copied_names"] = WITH + f""", hit AS (

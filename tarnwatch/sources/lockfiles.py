@@ -60,12 +60,16 @@ def pnpm_packages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, "path string, name string, version string, integrity string")
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    """requirements.txt (path, content) to name, operator and version; null where unpinned."""
-    lines = files.select("path", F.explode(F.split("content", "\r?\n")).alias("l")).select("path", F.trim(F.regexp_replace("l", r"\s*#.*$", "")).alias("l"))
+def numbered_requirements(files: DataFrame) -> DataFrame:
+    """requirements.txt (path, content) to line, name, operator and version; null where unpinned."""
+    lines = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("line", "l")).select("path", "line", F.trim(F.regexp_replace("l", r"\s*#.*$", "")).alias("l"))
     lines = lines.where("l <> '' AND l NOT LIKE '-%'")
     part = lambda i: F.nullif(F.regexp_extract("l", r"^([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*(?:(==|>=|<=|~=|!=|>|<)\s*([^\s,;]+))?", i), F.lit(""))
-    return lines.select("path", F.lower(part(1)).alias("name"), part(2).alias("operator"), part(3).alias("version")).where("name IS NOT NULL")
+    return lines.select("path", "line", F.lower(part(1)).alias("name"), part(2).alias("operator"), part(3).alias("version")).where("name IS NOT NULL")
+
+
+def requirements(files: DataFrame) -> DataFrame:
+    return numbered_requirements(files).drop("line")
 
 
 def lockfile_totals(packages: DataFrame) -> DataFrame:

