@@ -84,10 +84,11 @@ def code_patterns(content: Column) -> Column:
     return F.array_compact(F.array(*[F.when(content.rlike(p), F.lit(n)) for n, p in CODE_PATTERNS.items()]))
 
 
-def obfuscation(files: DataFrame, key: str, content: str, least: int = 50, shortest: int = 100) -> DataFrame:
+def obfuscation(files: DataFrame, key: str, content: str, least: int = 50, shortest: int = 100, reputable: DataFrame | None = None, name: str = "package") -> DataFrame:
     """Entropy, suspicious code, minified shape and size of each text of `shortest` characters or more; from `least` on.
-    Bodies of hooks are scored by the same rule from 40 on, whatever their length."""
-    x = files.select(key, F.coalesce(F.col(content), F.lit("")).alias("c")).where(F.length("c") >= shortest)
+    Bodies of hooks are scored by the same rule from 40 on, whatever their length. Texts of reputable
+    packages (column `name`) are left out."""
+    x = unlisted(files, reputable, name).select(key, F.coalesce(F.col(content), F.lit("")).alias("c")).where(F.length("c") >= shortest)
     x = x.withColumns({"e": F.round(T.entropy(F.col("c")), 2), "m": T.is_minified(F.col("c")), "p": code_patterns(F.col("c"))})
     n = F.size("p")
     score = (

@@ -21,10 +21,34 @@ def deletions(name: Column, most: int = 2) -> Column:
     return F.array_distinct(out)
 
 
+#: From this length on targets are met by segments: their deletions would be too many.
+LONG = 12
+
+
+def segments(text: Column, of: Column, most: int, shifts: range) -> Column:
+    """Hashed parts of text where a target of length `of` has its most + 1 segments, moved by each of the shifts."""
+    keys = []
+    for i in range(most + 1):
+        begin, end = F.floor(of * i / (most + 1)).cast("int"), F.floor(of * (i + 1) / (most + 1)).cast("int")
+        for k in shifts:
+            inside = (begin + k >= 0) & (end + k <= F.length(text))
+            keys.append(F.when(inside, F.xxhash64(of, F.lit(i), F.substring(text, begin + k + 1, end - begin))))
+    return F.array_compact(F.array(*keys))
+
+
 def near_names(names: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame:
-    """names (name) x targets (target, ordinal) within `most` edits, not equal: name, target, ordinal, distance."""
-    left = names.select("name").distinct().select("name", F.explode(deletions(F.col("name"), most)).alias("__k"))
-    right = targets.select("target", "ordinal", F.explode(deletions(F.col("target"), most)).alias("__k"))
+    """names (name) x targets (target, ordinal) within `most` edits, not equal: name, target, ordinal, distance.
+
+    Short targets are met by deletions. Of a long one cut into most + 1 segments, one stays whole under so many edits and
+    moves by no more places, so that a name has a fixed number of keys, however long it is."""
+    hashed = lambda c: F.transform(deletions(F.col(c), most), lambda s: F.xxhash64(F.lit(0), s))
+    none = F.array().cast("array<bigint>")
+    near = F.flatten(F.array(*[
+        F.when(F.length("name") + d >= LONG, segments(F.col("name"), (F.length("name") + d).cast("int"), most, range(-most, most + 1))).otherwise(none) for d in range(-most, most + 1)]))
+    own = F.concat(F.when(F.length("name") < LONG + most, hashed("name")).otherwise(none), near)
+    theirs = F.when(F.length("target") < LONG, hashed("target")).otherwise(segments(F.col("target"), F.length("target"), most, range(1)))
+    left = names.select("name").distinct().select("name", F.explode(F.array_distinct(own)).alias("__k"))
+    right = targets.select("target", "ordinal", F.explode(F.array_distinct(theirs)).alias("__k"))
     met = left.join(right, "__k").select("name", "target", "ordinal").distinct()
     met = met.withColumn("distance", F.levenshtein("name", "target", most))
     return met.where((F.col("distance") >= 1) & (F.col("distance") <= most))

@@ -108,8 +108,11 @@ def tag_repoint(versions: DataFrame, tags: DataFrame, key: str, version: str, ts
     return v.join(tags, [key, version]).select(key, version, "tag", (F.col("next_gap") / 1_000_000).alias("gap_s"))
 
 
-def backfill_span(versions: DataFrame, key: str, ts: str, major: Column, minor: Column, least: int = 8, within: int = DAY) -> DataFrame:
-    """Many versions in a day that span a major or four minors: a history made up afterwards. Scores 80."""
+def backfill_span(versions: DataFrame, key: str, ts: str, major: Column, minor: Column, least: int = 8, within: int = DAY, reputable: DataFrame | None = None) -> DataFrame:
+    """Many versions in a day that span a major or four minors: a history made up afterwards. Scores 80. Reputable names
+    are left out."""
+    if reputable is not None:
+        versions = versions.join(reputable.select(F.col("name").alias(key)).distinct(), key, "left_anti")
     a = versions.select(key, micros(ts).alias("__t"), major.alias("ma"), minor.alias("mi")).where("ma IS NOT NULL AND mi IS NOT NULL")
     a = a.groupBy(key).agg(
         F.count("*").alias("versions"),

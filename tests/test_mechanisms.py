@@ -278,6 +278,44 @@ def test_lookalike_dependencies(spark):
     assert sorted((r.name, r.spelling) for r in found.collect()) == [("Lodash", "lodash"), ("axio", "axios"), ("vu3", "vue")]
 
 
+def test_near_names_of_any_length(spark):
+    """All pairs within two edits, of names of 0 to 60 characters, and few keys for long ones."""
+    from tarnwatch.operators import similarity as M
+
+    rng = random.Random(6)
+    targets = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 5, 9, 10, 11, 12, 13, 14, 20, 33, 60)]
+    names = ["", "b"]
+    for t in targets:
+        for _ in range(25):
+            s = list(t)
+            for _ in range(rng.randint(0, 3)):
+                at, what = rng.randint(0, len(s)), rng.randint(0, 2)
+                s[at : at + (what != 0)] = [] if what == 1 else [rng.choice("abc")]
+            names.append("".join(s))
+    want = set()
+    for n in set(names):
+        for t in targets:
+            row = list(range(len(t) + 1))
+            for i, a in enumerate(n, 1):
+                row = _edit_row(row, a, t, i)
+            if 1 <= row[-1] <= 2:
+                want.add((n, t, row[-1]))
+    got = M.near_names(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), spark.createDataFrame(list(enumerate(targets)), "ordinal int, target string"))
+    assert {(r.name, r.target, r.distance) for r in got.collect()} == want
+    long = spark.range(1).select(F.repeat(F.lit("ab"), 5_000).alias("name"))
+    assert M.near_names(long, spark.createDataFrame([(0, "ab" * 4_999 + "a")], "ordinal int, target string")).count() == 1
+
+
+def test_reputable_names_are_left_out(spark):
+    from tarnwatch.operators import windows as W
+
+    known = spark.createDataFrame([("p",)], "name string")
+    v = spark.createDataFrame([(n, T0 + timedelta(minutes=k), k, k) for n in "pq" for k in range(9)], "package string, at timestamp, ma int, mi int")
+    assert [r.package for r in W.backfill_span(v, "package", "at", F.col("ma"), F.col("mi"), reputable=known).collect()] == ["q"]
+    f = spark.createDataFrame([(n, "eval(a.charCodeAt(0) ^ 1); Function(x); " * 9) for n in "pq"], "package string, content string")
+    assert [r.package for r in D.obfuscation(f, "package", "content", least=10, reputable=known).collect()] == ["q"]
+
+
 def _edit_row(before, a, t, i):
     """The next row of the table of edit distances."""
     row = [i]
