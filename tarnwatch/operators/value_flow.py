@@ -77,7 +77,7 @@ def reaches(files: DataFrame, marks: dict[str, str], key: str = "id", content: s
     statements that have or are reached by any. Files without any mark's text are left out
     before they are cut up."""
     text = F.col(content)
-    anywhere = reduce(lambda a, b: a | b, [text.rlike(p.replace(" ", r"\s*")) for p in marks.values()])
+    anywhere = reduce(lambda a, b: a | b, [text.rlike(p.replace(" ?", r"\s*+").replace(" ", r"\s*")) for p in marks.values()])
     some = files.where(anywhere).select(key, content)
     t = written(statements(some, key, content), "flow-tokens")
     s = t.groupBy(key, "stmt").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("text"))

@@ -498,3 +498,44 @@ e AS (SELECT package, kind AS s FROM x JOIN o ON o_orderkey = CAST(regexp_extrac
   UNION SELECT package, 'publish_velocity' FROM (SELECT package, count(*) OVER (PARTITION BY package ORDER BY m RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS n FROM o) WHERE n >= 3
   UNION SELECT c_custkey, 'publisher_drift' FROM customer WHERE c_custkey % 23 = 0)
 SELECT package, string_agg(s, ',' ORDER BY s) AS signals, 'critical' AS severity FROM e GROUP BY package"""
+
+_JS_TOKEN = r"""//[^\n]*|/\*[\s\S]*?\*/|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\[\s\S])*`|[A-Za-z_$][\w$]*|\d[\w.]*|=>|[=!]==?|[-+*/%&|^<>]=|\n|[ \t\r]+|\S"""
+
+
+def _flow_sql(where: str) -> str:
+    """Statements with their own marks and those that reach them, as table `flows` behind the last comma."""
+    marks = ", ".join(f"CASE WHEN {has('text', p)} THEN '{n}' END" for n, p in X.FLOW_MARKS.items())
+    return WITH.replace("WITH packages", "WITH RECURSIVE packages", 1) + f""", t0 AS (SELECT id, unnest(regexp_extract_all(content, {sql(_JS_TOKEN)})) AS token, generate_subscripts(regexp_extract_all(content, {sql(_JS_TOKEN)}), 1) AS pos FROM files WHERE {where}),
+t1 AS (SELECT *, CASE WHEN token IN ('{{', '[', '(') THEN 1 WHEN token IN ('}}', ']', ')') THEN -1 ELSE 0 END AS step, CASE token WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS curly FROM t0),
+t2 AS (SELECT *, coalesce(sum(step) OVER b, 0) - (step = -1)::INT AS depth, coalesce(sum(curly) OVER b, 0) - (token = '}}')::INT AS blocks, 1 + coalesce(sum(length(token) - length(replace(token, chr(10), ''))) OVER b, 0) AS line
+  FROM t1 WINDOW b AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t3 AS (SELECT *, coalesce(sum((token = ';' OR (token IN ('{{', '}}', chr(10)) AND depth = blocks))::INT) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stmt FROM t2),
+t AS (SELECT *, lead(token) OVER w AS n1, lead(token, 2) OVER w AS n2, lag(token) OVER w AS p1, lag(token, 2) OVER w AS p2, lead(pos) OVER w AS a1, lead(pos, 2) OVER w AS a2 FROM t3 WHERE NOT regexp_matches(token, '^(\\s|//|/\\*)') WINDOW w AS (PARTITION BY id ORDER BY pos)),
+r AS (SELECT id, pos, token, n1, CASE WHEN n1 = '{{' THEN a1 WHEN n2 = '{{' THEN a2 END AS body, lag(pos) OVER w AS began, lag(token = '(' AND (p1 = 'function' OR p2 = 'function')) OVER w AS named, lag(token) OVER w AS opener FROM t WHERE token IN ('(', ')') WINDOW w AS (PARTITION BY id, depth ORDER BY pos)),
+lists AS (SELECT id, began, pos AS until, body FROM r WHERE token = ')' AND ((n1 = '=>' AND opener = '(') OR named)),
+w0 AS (SELECT *, CASE WHEN n1 = '=>' AND n2 = '{{' THEN a2 END AS alone FROM t WHERE regexp_matches(token, '^[A-Za-z_$]') AND p1 IS DISTINCT FROM '.'),
+words AS (SELECT w.id, w.pos, w.token, w.stmt, w.blocks, coalesce(w.n1 IN ('=', '=>'), false) OR coalesce(w.pos < l.until, false) AS sets, coalesce(CASE WHEN w.pos < l.until THEN l.body END, w.alone) AS body FROM w0 w ASOF LEFT JOIN lists l ON w.id = l.id AND w.pos > l.began),
+opens AS (SELECT id, pos, blocks AS level FROM t WHERE token = '{{'),
+placed AS (SELECT w.id, w.pos, o.level, max(o.pos) AS block FROM words w JOIN opens o ON o.id = w.id AND o.pos < w.pos AND o.level < w.blocks GROUP BY ALL UNION ALL SELECT id, pos, -1, -1 FROM words),
+defs AS (SELECT w.id, w.token, coalesce(w.body, p.block) AS block, w.pos, w.stmt FROM words w JOIN placed p USING (id, pos) WHERE sets AND p.level = w.blocks - 1),
+uses AS (SELECT w.id, w.pos, w.stmt, arg_max(d.stmt, (p.level, d.pos)) AS source FROM words w JOIN placed p USING (id, pos) JOIN defs d ON d.id = w.id AND d.token = w.token AND d.block = p.block AND d.pos < w.pos WHERE NOT sets GROUP BY ALL),
+edges AS (SELECT DISTINCT id, source, stmt FROM uses WHERE source <> stmt),
+st AS (SELECT id, stmt, min(line) AS line, string_agg(token, ' ' ORDER BY pos) AS text FROM t GROUP BY id, stmt),
+m AS (SELECT *, list_filter([{marks}], lambda x: x IS NOT NULL) AS marks FROM st),
+reach(id, mark, stmt) AS (SELECT id, unnest(marks), stmt FROM m UNION SELECT e.id, reach.mark, e.stmt FROM reach JOIN edges e ON e.id = reach.id AND e.source = reach.stmt),
+flows AS (SELECT m.id, m.stmt, m.line, m.text, m.marks, list_sort(list(reach.mark)) AS reached FROM m JOIN reach ON reach.id = m.id AND reach.stmt = m.stmt GROUP BY ALL)
+"""
+
+
+_FACTS = {
+    "dns_payload_assembly": "m('sink') AND r('txt') AND r('decoder')", "encoded_string_array": "m('array') AND dense", "dns_txt_oob": "m('txt')", "string_array_decoder": "m('decoder') AND r('array')",
+    "fingerprint_network_coupling": "m('network') AND r('fingerprint')", "env_fingerprint": "m('fingerprint')",
+}
+_FLAGS = ", ".join(f"bool_or({e.replace('m(', 'list_contains(marks, ').replace('r(', 'list_contains(reached, ')}) AS {n}" for n, e in _FACTS.items())
+_IN_ORDER = [n for n in X.DROPPER if n in _FACTS]
+ORACLE["value_flows"] = _flow_sql(f"regexp_matches(path, {sql(D.SCRIPTED)})") + "SELECT id, CAST(stmt AS INT) AS stmt, CAST(line AS INT) AS line, array_to_string(marks, ',') AS marks, array_to_string(reached, ',') AS reached FROM flows"
+ORACLE["dropper_flows"] = _flow_sql(f"regexp_matches(path, '\\.(js|mjs|cjs)$') AND {has('content', X._MARKER)}") + f""",
+d AS (SELECT f.*, len(regexp_extract_all(text, '[''"](?:[0-9a-fA-F]{{2}}){{3,}}[''"]')) >= 0.8 * len(regexp_extract_all(text, '[''"][^''"\\n]*[''"]')) AND len(regexp_extract_all(text, '[''"][^''"\\n]*[''"]')) >= 8 AS dense FROM flows f),
+g AS (SELECT package, {_FLAGS} FROM d JOIN files USING (id) GROUP BY package),
+z AS (SELECT package, CAST(least(100, {' + '.join(f'{n}::INT * {X.DROPPER[n]}' for n in _IN_ORDER)}) AS INT) AS score, concat_ws(',', {', '.join(f"CASE WHEN {n} THEN '{n}' END" for n in _IN_ORDER)}) AS signals FROM g WHERE {' OR '.join(X.DROPPER_ANCHORS)})
+SELECT package, 'D28-AI-SLOP-DROPPER' AS detector, score, signals, false AS approx, CASE WHEN score >= 80 THEN 'critical' ELSE 'high' END AS severity FROM z WHERE score >= 55"""
