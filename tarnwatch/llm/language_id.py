@@ -109,7 +109,7 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, width: int, epochs: int, r
 
 def fit(
     docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    examples: int = 2400, languages: int = 500, buckets: int = 4096, width: int = 16, epochs: int = 30, rate: float = 0.5, reject: float = 0.005,
+    examples: int = 2400, languages: int = 2000, buckets: int = 4096, width: int = 16, epochs: int = 30, rate: float = 0.5, reject: float = 0.005,
 ) -> LanguageModel:
     ship(docs.sparkSession)
     marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learn)

@@ -217,7 +217,7 @@ def test_url_lists(spark, few):
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(sql).df()
