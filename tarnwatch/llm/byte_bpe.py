@@ -13,7 +13,8 @@ Pieces repeat, so each Python worker keeps those it has seen of late, up to abou
 texts are put together from pieces. Tasks hold one Arrow batch of texts at a time, and yield it in parts of about `part_bytes`.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to empty; texts of any length
-are read whole; other columns of the input are not touched.
+are read whole; rows that repeat get the same ids each; an empty table gives an empty result; other columns of the input
+are not touched.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ for equal only when all three agree ("verified" entries).
 Defined results: null text counts as empty; empty texts are equal to each other; of equal texts the row with
 the largest (keep="largest") or smallest id stays; null ids lose to any other; rows that repeat both id and text
 are the same document, and all of them carry kept = true if that document stays (`drop_copies` leaves one of
-them); an empty table gives an empty result; other columns of the input are not touched.
+them); very long texts are hashed whole; an empty
+table gives an empty result; other columns of the input are not touched.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ nearest the target, found by one aggregation that sums all candidates at once. S
 taken come near the target also where few documents make up a source.
 
 Defined results: null text has size 0; a null source is a source of its own; a source without words has target
-0 and rate 0; repeated rows draw alike; null ids draw by the size of their text; an empty table gives an empty
+0 and rate 0; repeated rows draw alike; null ids draw by the size of their text; very long
+texts are counted whole; an empty table gives an empty
 result; columns that have names of ours are kept as they are, since ours get reserved names until the end.
 """
 

@@ -15,7 +15,7 @@ tables hold a single code of one bit, `decode` takes that path, and else it goes
 
 Defined results of the operator: null text counts as empty, and an empty payload is 576 bytes 255; equal texts
 give equal files; texts up to the format's largest picture (65,520 by 65,520, some 6 GB) are stored whole;
-repeated rows get the same result; other columns of the input are not touched.
+repeated rows get the same result; an empty table gives an empty result; other columns of the input are not touched.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ nearest examples come along as evidence.
 Defined results: null text counts as empty; a text without known terms has no neighbours and gets the
 calibrated score of such examples; without any labelled row, or with rows of one label only, every score is the
 base rate (0 without rows); labels that contradict each other count as toxic, null labels as none; repeated rows
-score alike, and of rows that share an id only the one of the smallest text is an example; other columns of the input are not touched.
+score alike, and of rows that share an id only the one of the smallest text is an example; equal cosines count by the
+examples' order; very long texts are read whole; an empty table gives an empty result; other columns of the input are not
+touched.
 """
 
 from __future__ import annotations
