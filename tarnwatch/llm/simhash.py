@@ -42,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.llm.common import keep_rows, row_key, ship, spread_join, text_mixes, text_or_empty, written
@@ -394,12 +394,39 @@ def _links_in_lists(rows: DataFrame, columns: list[str], least: float) -> DataFr
     return rows.select(*columns).mapInArrow(work, "a bigint, b bigint")
 
 
+def rare_families(sets: DataFrame, least: float) -> DataFrame:
+    """sets (family, name, label, shingles) to smaller families that lose no pair alike at `least` or more.
+
+    Of n shingles two such sets share so many that one is among the n - ceil(least * n) + 1 that are rarest in the family,
+    ties by value, of either. Sets that have one of their rarest in common make a family; those of one label go."""
+    size = F.size("shingles")
+    each = sets.select("family", "name", "label", size.alias("n"), F.explode("shingles").alias("s")).withColumn("k", F.xxhash64("family", "s"))
+    seen = written(each.groupBy("k").agg(F.count("*").alias("__n")).withColumn("seen", F.col("__n")), "shingle-counts")
+    rarest = Window.partitionBy("family", "name").orderBy("seen", "s")
+    few = spread_join(each, seen, "k").withColumn("at", F.row_number().over(rarest)).where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    rare = written(few.select("k", "name", "label"), "rare-shingles")
+    shared = rare.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
+    return written(rare.join(shared, "k").join(sets.select("name", "shingles"), "name").select(F.col("k").alias("family"), "name", "label", "shingles"), "rare-families")
+
+
 def family_links(sets: DataFrame, least: float, most_work: float = 2e9) -> DataFrame:
     """sets (family, name, label, shingles) to links that span, family by family, all pairs of different labels alike at
     `least` or more.
 
-    A family's work is its names times its shingles. Where that is more than most_work, it is cut into chunks by label
-    and name, and each chunk meets each other that has another label as a row of its own, on all executors."""
+    A family's work is its names times its shingles. Up to most_work a family is compared whole; a larger one becomes
+    families of those that share one of their rarest shingles, and only what is still larger is cut up."""
+    work = F.count("*").cast("double") * F.sum(F.size("shingles"))
+    sizes = written(sets.groupBy("family").agg(work.alias("work"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi"), "family-work")
+    if sizes.where(F.col("work") > most_work).isEmpty():
+        return compared_whole(sets, least, most_work)
+    small = sets.join(sizes.where(F.col("work") <= most_work).select("family"), "family")
+    large = sets.join(sizes.where(F.col("work") > most_work).select("family"), "family")
+    return compared_whole(small, least, most_work).unionByName(compared_whole(rare_families(large, least), least, most_work))
+
+
+def compared_whole(sets: DataFrame, least: float, most_work: float) -> DataFrame:
+    """family_links by comparison: a family beyond most_work is cut into chunks by label and name, and each chunk meets each
+    other that has another label as a row of its own, on all executors."""
     n = F.size("shingles")
     sizes = written(sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(n).alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi"), "families")
     work = F.col("n").cast("double") * F.col("of")
