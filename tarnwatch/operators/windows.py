@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.sources.scratch import written
+
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 
 
@@ -164,10 +166,10 @@ def cache_prune(entries: DataFrame, size: str, ts: str, tie: str, limit: float,
     """Which cache entries stay when the oldest go until the rest fits into a share of the limit.
 
     A running sum over all entries, in range partitions: each sums its own, and the sums of those before it, one row a
-    partition, are added. The number of partitions is given, so that both passes see the same ones."""
+    partition, are added. The partitions are written once, so that both passes see the same ones, also after a loss."""
     order = [F.col(ts).desc(), F.col(tie).desc()]
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = written(entries.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "prune")
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Ranges do not overlap, so the place of a partition's first row tells its place among the partitions.
     own = dealt.withColumns({"__run": F.sum(size).over(inside)})
