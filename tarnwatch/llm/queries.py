@@ -166,7 +166,7 @@ up AS (SELECT n.d, n.key, p.key AS parent FROM node n JOIN m p ON p.conv = n.con
 kids AS (SELECT d - 1 AS d, parent AS key, count(*) AS n_children FROM up GROUP BY ALL),
 own AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n - 1) * points AS saved FROM node LEFT JOIN kids USING (d, key)),
 below AS (
-  SELECT a.d, a.key, sum((o.n_children = 0)::INT) AS n_leaves, sum(o.saved) AS saved_tokens
+  SELECT a.d, a.key, sum((o.n_children = 0)::INT)::BIGINT AS n_leaves, sum(o.saved)::BIGINT AS saved_tokens
   FROM own o JOIN m a ON a.conv = o.conv_id AND a.d <= o.d GROUP BY a.d, a.key),
 ends AS (
   SELECT d, key, string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) AS ids
