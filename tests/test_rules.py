@@ -26,9 +26,11 @@ def test_worm_counts_each_match(spark):
 
 
 def test_cloud_metadata_needs_the_header_near(spark):
-    rows = [("a", i, t) for i, t in enumerate(["get 169.254.169.254", "x", "Metadata-Flavor: Google"])] + [("b", i, t) for i, t in enumerate(["169.254.169.254", *["x"] * 6, "Metadata-Flavor"])] + [("c", 0, "metadata.google.internal")]
-    lines = spark.createDataFrame(rows, "package string, n int, line string")
-    assert sorted((r["package"], r["score"]) for r in R.cloud_metadata(lines, "package", "n", "line").collect()) == [("a", 82), ("c", 82)]
+    """The address alone is nothing; with its header in five lines it is one cloud, and with the other's name two."""
+    near, far = "169.254.169.254" + "\nx" * 4 + "\nMetadata: true", "169.254.169.254" + "\nx" * 5 + "\nMetadata: true"
+    rows = [("near", near), ("far", far), ("far", "Metadata: true"), ("alone", "169.254.169.254"), ("two", near), ("two", "metadata.google.internal")]
+    got = {r["package"]: r["score"] for r in R.cloud_metadata(spark.createDataFrame(rows, "package string, content string")).collect()}
+    assert got == {"near": 82, "two": 92}
 
 
 def test_prompt_injection(spark):
