@@ -93,6 +93,15 @@ def _scan_arrays(s, d):
     )
 
 
+def _injection_turns(s, d):
+    """Words end where no ASCII word character follows, as in the SQL: Java's own boundary takes letters beyond ASCII and
+    marks above letters for parts of words. A capital I with a dot is lowered to i alone, not to i and a mark."""
+    low = F.lower(F.translate("text", "\u0130", "i"))
+    word = lambda *words: low.rlike(rf"(?<![0-9a-z_])({'|'.join(words)})(?![0-9a-z_])")
+    score = F.when(low.rlike("ignore (all|previous) instructions|disregard"), 75).when(word("curl", "wget", "bash", "sudo"), 95).when(word("the", "of"), 10).otherwise(0)
+    return table(s, d, "conversations").select("conv_id", "turn", score.alias("score")).where("score > 0")
+
+
 def _windows(s, d):
     e = table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     mid = F.timestamp_micros(((F.unix_micros(F.col("lo").cast("timestamp")) + F.unix_micros(F.col("hi").cast("timestamp"))) / 2).cast("long"))
@@ -104,7 +113,7 @@ QUERIES = {
     "minified_docs": lambda s, d: table(s, d, "pages").select("page_id", T.is_minified(F.col("html")).alias("minified")),
     "line_of_match": lambda s, d: table(s, d, "documents").select("doc_id", T.line_of(F.col("text"), "[0-9]{2}").alias("line")),
     "url_host_internal": lambda s, d: table(s, d, "pages").select("page_id", T.host(F.col("url")).alias("host")).withColumn("internal", T.is_internal_host(F.col("host"))),
-    "prompt_injection_turns": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.when(F.lower("text").rlike(r"ignore (all|previous) instructions|disregard"), 75).when(F.lower("text").rlike(r"\b(curl|wget|bash|sudo)\b"), 95).when(F.lower("text").rlike(r"\b(the|of)\b"), 10).otherwise(0).alias("score")).where("score > 0"),
+    "prompt_injection_turns": _injection_turns,
     "typosquat_pairs": lambda s, d: M.near_names(_part_names(s, d), _targets(s, d)).select("name", "target", "distance"),
     "typosquat_best": lambda s, d: M.best_target(M.near_names(_part_names(s, d), _targets(s, d))),
     "homoglyph_pairs": lambda s, d: M.homoglyphs(
