@@ -24,17 +24,17 @@ def typosquat(packages: DataFrame, targets: DataFrame, reputable: DataFrame) ->
     """packages (name, age_days, weekly_downloads: null where unknown): the best target by edits or look-alike
     characters, and scopes around a target's name; age and downloads change the score; 50 to 100.
 
-    Reputable names are left out, also as the part after a scope."""
+    Reputable names are left out, also as the part after a scope. Joins broadcast counted lists at most, and no packages."""
     p = packages.withColumn("part", F.regexp_replace("name", "^@[^/]+/", ""))
     known = sized(reputable.select(F.col("name").alias("__r")).distinct())
     p = p.join(known, F.col("name") == F.col("__r"), "left_anti").join(known, F.col("part") == F.col("__r"), "left_anti")
     plain = p.where("name NOT LIKE '@%'")
     names = plain.select("name")
     near = M.near_names(names, targets).select("name", "target", F.when(F.col("distance") == 1, 75).otherwise(45).alias("base"), "ordinal")
-    glyph = M.homoglyphs(names.distinct(), targets).join(targets, "target").select("name", "target", F.lit(60).alias("base"), "ordinal")
-    scoped = p.where("name LIKE '@%'").join(sized(targets), F.col("part") == F.col("target")).select("name", "target", F.lit(80).alias("base"), "ordinal")
+    glyph = M.homoglyphs(names.distinct(), targets).hint("merge").join(sized(targets), "target").select("name", "target", F.lit(60).alias("base"), "ordinal")
+    scoped = p.where("name LIKE '@%'").hint("merge").join(sized(targets), F.col("part") == F.col("target")).select("name", "target", F.lit(80).alias("base"), "ordinal")
     best = near.unionByName(glyph).unionByName(scoped).groupBy("name").agg(F.max(F.struct("base", (-F.col("ordinal")).alias("o"), "target")).alias("b")).select("name", "b.target", "b.base")
-    j = best.join(packages, "name")
+    j = best.hint("merge").join(packages, "name")
     young, few = F.col("age_days") < 30, F.col("weekly_downloads") < 1000
     settled = (F.col("age_days") >= 365) & (F.col("weekly_downloads") >= 100_000)
     on = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.operators.iocs import sized
+
 
 def deletions(name: Column, most: int = 2) -> Column:
     """The name with up to two characters left out, in all ways. Names within edit distance d share one of those
@@ -40,16 +42,20 @@ def near_names(names: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame
     """names (name) x targets (target, ordinal) within `most` edits, not equal: name, target, ordinal, distance.
 
     Short targets are met by deletions. Of a long one cut into most + 1 segments, one stays whole under so many edits and
-    moves by no more places, so that a name has a fixed number of keys, however long it is."""
+    moves by no more places, so that a name has a fixed number of keys, however long it is. Names more than `most` characters
+    longer or shorter than every target get no keys. Only counted targets are broadcast, never the names: what Spark
+    expects of their size doesn't know how many keys a name has."""
     hashed = lambda c: F.transform(deletions(F.col(c), most), lambda s: F.xxhash64(F.lit(0), s))
     none = F.array().cast("array<bigint>")
     near = F.flatten(F.array(*[
         F.when(F.length("name") + d >= LONG, segments(F.col("name"), (F.length("name") + d).cast("int"), most, range(-most, most + 1))).otherwise(none) for d in range(-most, most + 1)]))
     own = F.concat(F.when(F.length("name") < LONG + most, hashed("name")).otherwise(none), near)
     theirs = F.when(F.length("target") < LONG, hashed("target")).otherwise(segments(F.col("target"), F.length("target"), most, range(1)))
-    left = names.select("name").distinct().select("name", F.explode(F.array_distinct(own)).alias("__k"))
+    lengths = targets.select(F.explode(F.sequence(F.length("target") - most, F.length("target") + most)).alias("__l")).distinct()
+    within = names.select("name").distinct().join(sized(lengths), F.length("name") == F.col("__l"), "left_semi")
+    left = within.select("name", F.explode(F.array_distinct(own)).alias("__k"))
     right = targets.select("target", "ordinal", F.explode(F.array_distinct(theirs)).alias("__k"))
-    met = left.join(right, "__k").select("name", "target", "ordinal").distinct()
+    met = left.hint("merge").join(sized(right), "__k").select("name", "target", "ordinal").distinct()
     met = met.withColumn("distance", F.levenshtein("name", "target", most))
     return met.where((F.col("distance") >= 1) & (F.col("distance") <= most))
 
@@ -100,7 +106,8 @@ def skeleton(name: Column) -> Column:
 
 def homoglyphs(names: DataFrame, targets: DataFrame) -> DataFrame:
     """Names that differ from a target of their length in look-alike characters only: 1 - swaps / length."""
-    j = names.select("name", skeleton(F.col("name")).alias("__s")).join(targets.select("target", skeleton(F.col("target")).alias("__s")), "__s")
+    theirs = targets.select("target", skeleton(F.col("target")).alias("__s"))
+    j = names.select("name", skeleton(F.col("name")).alias("__s")).hint("merge").join(sized(theirs), "__s")
     j = j.where("name <> target AND length(name) = length(target)")
     swaps = F.size(F.filter(F.zip_with(F.split("name", ""), F.split("target", ""), lambda a, b: a != b), lambda x: x))
     return j.select("name", "target", F.round(1 - swaps / F.length("name"), 4).alias("score"))

@@ -19,6 +19,24 @@ def test_typosquat_scores(spark):
     assert got == {"loddash": ("lodash", 100), "expres": ("express", 50), "@x/express": ("express", 80), "expr3ss": ("express", 75)}
 
 
+def test_typosquat_broadcasts_no_packages(spark, tmp_path):
+    """Packages in files that Spark takes for small, though each name has many keys, stay on the executors."""
+    p = spark.range(500).selectExpr("concat('expres', id) AS name", "CAST(id AS INT) AS age_days", "CAST(id AS INT) AS weekly_downloads")
+    p.write.parquet(f"{tmp_path}/p")
+    t = spark.createDataFrame([("lodash", 1), ("express", 2)], "target string, ordinal int")
+    j = G.typosquat(spark.read.parquet(f"{tmp_path}/p"), t, spark.createDataFrame([("lodash",)], "name string"))
+
+    def sent(node):
+        if node.nodeName().startswith("Broadcast"):
+            yield (node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).toString()
+        for k in range(node.children().size()):
+            yield from sent(node.children().apply(k))
+
+    lists = list(sent(j._jdf.queryExecution().sparkPlan()))
+    assert lists and not [x for x in lists if "parquet" in x]
+    assert sorted(r["name"] for r in j.collect()) == sorted(f"expres{k}" for k in range(100))
+
+
 def test_transitive(spark):
     d = spark.createDataFrame([("a", "loddash", "^1"), ("a", "x", "99.0.0"), ("b", "ok", "1.0.0")], "package string, dependency string, spec string")
     t = spark.createDataFrame([("lodash", 1)], "target string, ordinal int")
