@@ -41,6 +41,36 @@ def test_blast_radius_against_breadth_first(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_blast_radius_of_many(spark, monkeypatch):
+    """150 bad packages behind a ring of six: rounds write a row for 64 origins at a node, not one for each."""
+    rows, write = [], R.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out.count() if name == "reach" else 0)
+        return out
+
+    monkeypatch.setattr(R, "written", counted)
+    bad = [k * 7 - 300 for k in range(150)]
+    edges = [(10_000, b) for b in bad] + [(10_000 + (k + 1) % 6, 10_000 + k) for k in range(6)]
+    e, b = spark.createDataFrame(edges, "package long, dependency long"), spark.createDataFrame([(x,) for x in bad], "package long")
+    got = [tuple(r) for r in R.blast_radius(e, e.selectExpr("package AS root"), b).collect()]
+    assert sorted(got) == sorted((10_000 + k, x, k + 1) for k in range(6) for x in bad)
+    assert sum(rows) <= 150 + 6 * 3
+    assert R.blast_radius(e, e.selectExpr("package AS root"), b.limit(0)).count() == 0
+
+
+def test_sets_are_what_is_reached(spark):
+    """Origins with several nodes, equal nodes of several origins, strings, repeats and nulls."""
+    rng = random.Random(5)
+    edges = [(f"n{rng.randint(0, 90)}", f"n{rng.randint(0, 90)}") for _ in range(120)] + [(None, "n1"), ("n1", None)]
+    start = [(f"o{rng.randint(0, 99)}", f"n{rng.randint(0, 95)}") for _ in range(200)] + [("o1", "n1"), ("o1", "n1"), (None, "n1"), ("o2", None)]
+    e, s = spark.createDataFrame(edges, "source string, target string"), spark.createDataFrame(start, "origin string, node string")
+    got, want = R.each_origin(*R.reached_sets(e, s)), R.reached(e, s)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_reach_of_nothing(spark):
     e, s = spark.createDataFrame([], "source string, target string"), spark.createDataFrame([("o", "n")], "origin string, node string")
     assert [tuple(r) for r in R.reached(e, s).collect()] == [("o", "n", 0)]
