@@ -96,10 +96,11 @@ def _scan_arrays(s, d):
 def _injection_turns(s, d):
     """Words end where no ASCII word character follows, as in the SQL: Java's own boundary takes letters beyond ASCII and
     marks above letters for parts of words. A capital I with a dot is lowered to i alone, not to i and a mark."""
-    low = F.lower(F.translate("text", "\u0130", "i"))
-    word = lambda *words: low.rlike(rf"(?<![0-9a-z_])({'|'.join(words)})(?![0-9a-z_])")
-    score = F.when(low.rlike("ignore (all|previous) instructions|disregard"), 75).when(word("curl", "wget", "bash", "sudo"), 95).when(word("the", "of"), 10).otherwise(0)
-    return table(s, d, "conversations").select("conv_id", "turn", score.alias("score")).where("score > 0")
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.lower(F.replace("text", F.lit("\u0130"), F.lit("i"))).alias("low"))
+    # What stands before a word is asked behind it, else it would be asked at every character.
+    word = lambda *words: F.col("low").rlike(f"({'|'.join(f'{w}(?<![0-9a-z_]{w})' for w in words)})(?![0-9a-z_])")
+    score = F.when(F.col("low").rlike("ignore (all|previous) instructions|disregard"), 75).when(word("curl", "wget", "bash", "sudo"), 95).when(word("the", "of"), 10).otherwise(0)
+    return rows.select("conv_id", "turn", score.alias("score")).where("score > 0")
 
 
 def _windows(s, d):
